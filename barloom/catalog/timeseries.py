@@ -35,7 +35,7 @@ def _returns(spark, sf):
     return ts.add_returns(load_bars(spark, sf), "close", (1, 5)).select(*K, "close_return_1", "close_return_5")
 
 
-GAPPY = """gappy as (select ts_code, trade_date, case when day(trade_date) % 7 = 0 then null else close end as close from bars),
+GAPPY = """gappy as (select ts_code, trade_date, case when day(trade_date) % 7 = 0 then null else close * 1.0471975511965976::double end as close from bars),
  filled as (select ts_code, trade_date, last_value(close ignore nulls) over
    (partition by ts_code order by trade_date rows between unbounded preceding and current row) as f,
    first_value(close ignore nulls) over
@@ -43,9 +43,9 @@ GAPPY = """gappy as (select ts_code, trade_date, case when day(trade_date) % 7 =
 
 
 def gappy(spark, sf):
-    """Bars with the close missing on every seventh day of a month."""
+    """Bars with the close missing on every seventh day of a month, scaled so that no mean ends in a rounding tie."""
     hole = F.dayofmonth("trade_date") % 7 == 0
-    return load_bars(spark, sf).withColumn("close", F.when(~hole, F.col("close")))
+    return load_bars(spark, sf).withColumn("close", F.when(~hole, F.col("close") * F.lit(1.0471975511965976)))
 
 
 @query(
