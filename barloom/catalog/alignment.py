@@ -134,7 +134,7 @@ def _window(spark, sf):
 @query(
     "sequence_matrix",
     oracle(
-        """select sample_id, 60 as rows, sum(close) as total, max(case when "offset" = 0 then close end) as first_close,
+        """select sample_id, 60 as rows, sum(close) as total, cast(max(case when "offset" = 0 then cast(close as float) end) as double) as first_close,
            max(case when "offset" = 59 then vol end) as last_vol from win group by sample_id""",
         WINDOW_SQL, ints="rows",
     ).replace("select * replace (", "select * replace (round(cast(total as double), 0) as total, round(cast(first_close as double), 2) as first_close, round(cast(last_vol as double), 2) as last_vol, "),
@@ -358,7 +358,7 @@ ens as (select *, (lgbm_score + xgb_score) / 2 as ensemble_score, abs(lgbm_score
 META = ["sample_id", "ts_code", "asof_date", "label", "split"]
 
 
-def ens(spark, sf):
+def ens(spark, sf, threshold=0.5):
     from barloom.operators.splits import date_boundary_split
 
     sides = []
@@ -366,7 +366,7 @@ def ens(spark, sf):
         p = pred(spark, sf, k).withColumnRenamed("y_true", "label")
         p = p.withColumns({"split": date_boundary_split("asof_date", "1998-12-31", "2000-06-30"), "pred_label": (F.col("score") >= 0.5).cast("int")})
         sides.append(p)
-    return pr.ensemble(*sides, META)
+    return pr.ensemble(*sides, META, threshold)
 
 
 @query(
@@ -389,13 +389,13 @@ def _ens_summary(spark, sf):
 @query(
     "latest_ensemble_top",
     oracle(
-        """select * from ens where asof_date >= '2001-09-01' and ensemble_pred_label = 1 and asof_date = (select max(asof_date) from ens)
+        """select * replace (1 as ensemble_pred_label) from ens where ensemble_score >= 0.1 and asof_date = (select max(asof_date) from ens)
            order by ensemble_score desc, score_gap, sample_id limit 20""",
         ENS_SQL, dates="asof_date", nums="lgbm_score xgb_score ensemble_score score_gap", ints="label",
     ),
 )
 def _ens_latest(spark, sf):
-    return pr.latest_candidates(ens(spark, sf), 20, by_gap=True)
+    return pr.latest_candidates(ens(spark, sf, 0.1), 20, by_gap=True)
 
 
 @query(
@@ -467,7 +467,7 @@ def _sorted(spark, sf):
     "legacy_prefilter",
     oracle(
         f"""select ts_code from (select *, row_number() over (partition by ts_code order by trade_date desc) as back from p) where back <= 20
-            group by ts_code having max(case when back = 1 then close end) between 5 and 120 and max(n) >= 60 and
+            group by ts_code having max(case when back = 1 then close end) between 5 and 120 and max(n) >= 25 and
             (bool_or(coalesce(pct >= 7, false)) or bool_or(coalesce(turn >= 95, false)) or bool_or(coalesce(vol > vma5 * 1.8, false)))""",
         f"""p as (select *, (close / lag(close) over (partition by ts_code order by trade_date) - 1) * 100 as pct, vol as turn,
             {roll('avg', 'vol', 5)} as vma5, count(*) over (partition by ts_code) as n from bars)""",

@@ -32,6 +32,15 @@ def one_row_per_day(df: DataFrame, order: Column | str, keys=("ts_code", "trade_
     return kept.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def by_entity(df: DataFrame, key: str = "ts_code") -> DataFrame:
+    """Hash by entity into the configured number of partitions.
+
+    Window stages are bound by CPU and not by bytes, so their partition count is set rather than derived from the
+    shuffle size; the windows and joins on the entity that follow reuse this exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -50,7 +59,7 @@ def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
     step = F.round(F.lit(100.0) * (F.col("disc") - 5 * F.col("n")) / F.col("n")).cast("bigint")
     code = F.concat(F.lit("S"), F.lpad(F.col("k").cast("string"), 6, "0"))
-    day = day.select(code.alias("ts_code"), "trade_date", "vol", "amt_c", step.alias("r_bp"))
+    day = by_entity(day.select(code.alias("ts_code"), "trade_date", "vol", "amt_c", step.alias("r_bp")))
     cum = F.sum("r_bp").over(BARS.upto)
     priced = day.withColumn("close", F.round(F.lit(100.0) * F.exp(cum / F.lit(10000.0)), 4))
     opened = priced.withColumn("open", F.coalesce(BARS.lag("close"), F.lit(100.0)))
