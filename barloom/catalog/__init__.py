@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["timeseries", "mining", "ingest", "alignment", "patterns", "vectors"]
+AREAS = ["timeseries", "mining", "ingest", "alignment", "patterns", "vectors", "reviews", "evaluation"]
 
 
 def load_all():

@@ -433,7 +433,7 @@ def _units(spark, sf):
 @query(
     "daily_units_keep_first",
     oracle(
-        "select symbol as ts_code, trade_date, volume * 100 as vol from dirty where ord < 100000",
+        "select symbol as ts_code, trade_date, volume * 100 as vol from dirty where ord % 2 = 0",
         DIRTY_SQL, dates="trade_date", nums="vol",
     ),
 )

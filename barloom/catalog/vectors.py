@@ -59,7 +59,7 @@ def _skips(spark, sf):
 @query(
     "scan_latest_features",
     oracle(
-        "select v.* replace (split_part(sample_id, '_', 1) as sample_id) rename (sample_id as ts_code) from vec v",
+        "select split_part(sample_id, '_', 1) as ts_code, v.* exclude (sample_id) from vec v",
         VEC_SQL.replace(SAMPLES_SQL, """samples as (select concat(ts_code, '_', 'x') as sample_id, ts_code, max(trade_date) as asof_date from bars
           where trade_date <= '2001-06-30' group by ts_code)"""),
         nums=VEC_NUMS,

@@ -69,10 +69,10 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
         F.when(rn % 17 == 0, -F.col("vol")).otherwise(F.col("vol")).alias("volume"),
         F.when(rn % 10 == 0, F.lit(None)).otherwise(F.col("close") * 0.5).alias("adj_close"),
         # symbols ending in 7 arrive with one block out of order
-        F.when(F.col("ts_code").endswith("7") & rn.between(20, 30), rn + 100).otherwise(rn).alias("ord"),
+        (F.when(F.col("ts_code").endswith("7") & rn.between(20, 30), rn + 100).otherwise(rn) * 2).alias("ord"),
         rn.alias("rn"),
     )
-    extra = base.where(rn % 23 == 0).withColumns({"volume": F.col("volume") + 1, "ord": F.col("ord") + 100000})
+    extra = base.where(rn % 23 == 0).withColumns({"volume": F.col("volume") + 1, "ord": F.col("ord") + 1})
     return base.unionByName(extra).drop("rn")
 
 
@@ -80,9 +80,9 @@ DIRTY_SQL = """numbered as (select *, row_number() over (partition by ts_code or
 dirty0 as (select ts_code as symbol, trade_date, open, case when rn % 13 = 0 then low - 1.0 else high end as high, low,
   case when rn % 11 = 0 then null when rn % 19 = 0 then -close else close end as close,
   case when rn % 17 = 0 then -vol else vol end as volume, case when rn % 10 = 0 then null else close * 0.5 end as adj_close,
-  case when ts_code like '%7' and rn between 20 and 30 then rn + 100 else rn end as ord, rn from numbered),
+  2 * case when ts_code like '%7' and rn between 20 and 30 then rn + 100 else rn end as ord, rn from numbered),
 dirty as (select symbol, trade_date, open, high, low, close, volume, adj_close, ord from dirty0 union all
-  select symbol, trade_date, open, high, low, close, volume + 1, adj_close, ord + 100000 from dirty0 where rn % 23 = 0)"""
+  select symbol, trade_date, open, high, low, close, volume + 1, adj_close, ord + 1 from dirty0 where rn % 23 = 0)"""
 
 
 def increment(spark: SparkSession, sf: str) -> DataFrame:

@@ -132,7 +132,7 @@ def performance(df: DataFrame, entity: str, time: str, ret: str, periods_per_yea
     spec = W.partitionBy(entity).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
     r = F.coalesce(F.col(ret), F.lit(0.0))
     wealth = df.where(F.col(ret).isNotNull()).withColumn("__w", F.exp(F.sum(F.log1p(r)).over(spec)))
-    wealth = wealth.withColumn("__peak", F.greatest(F.max("__w").over(spec), F.lit(1.0)))
+    wealth = wealth.withColumn("__peak", F.max("__w").over(spec))
     out = wealth.groupBy(entity).agg(
         F.exp(F.sum(F.log1p(F.col(ret)))).alias("__total"),
         F.count(ret).alias("__n"),
