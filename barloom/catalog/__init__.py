@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["timeseries", "mining", "ingest", "alignment", "patterns", "vectors", "reviews", "evaluation"]
+AREAS = [
+    "timeseries", "mining", "ingest", "alignment", "patterns", "vectors", "reviews", "evaluation", "labeling", "phases", "modeling",
+]
 
 
 def load_all():

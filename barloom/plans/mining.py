@@ -91,7 +91,7 @@ def user_miner(
     """Run a user's per-entity function over all entities; it sees one entity's days in order."""
     names = [f.name for f in schema]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = scan_one(key[0], pdf.sort_values("trade_date").reset_index(drop=True))
         return out.reindex(columns=names)
 
