@@ -28,13 +28,22 @@ def _instants(left, right, on, by, values, tie, last: bool) -> DataFrame:
     return both.groupBy(*by, on).agg(pick("__v", "__t").alias("__v"))
 
 
-def _fill_bounded(inst: DataFrame, on: str, by: list[str], backward: bool) -> DataFrame:
-    spec = W.partitionBy(*by).orderBy(on)
+def _fill_bounded(left, right, on, by, values, tie, backward: bool) -> DataFrame:
+    """Match per entity in one window over the right rows (one per instant, or ordered by ``tie``) and the left instants."""
+    order = F.lit(0) if tie is None else F.col(tie)
+    # at one instant right rows come first going backward and last going forward
+    r = right.where(F.col(on).isNotNull()).select(
+        *by, on, F.lit(0 if backward else 1).alias("__k"), order.alias("__t"), F.struct(F.col(on).alias("__on"), *values).alias("__v")
+    )
+    keys = left.where(F.col(on).isNotNull()).select(*by, on).distinct().withColumn("__k", F.lit(1 if backward else 0))
+    both = r.unionByName(keys, allowMissingColumns=True)
+    spec = W.partitionBy(*by).orderBy(on, "__k", "__t")
     if backward:
         v = F.last("__v", ignorenulls=True).over(spec.rowsBetween(W.unboundedPreceding, 0))
     else:
         v = F.first("__v", ignorenulls=True).over(spec.rowsBetween(0, W.unboundedFollowing))
-    return inst.select(*by, on, v.alias("__v"))
+    filled = both.select(*by, on, "__k", v.alias("__f"))
+    return filled.where(F.col("__k") == F.lit(1 if backward else 0)).select(*by, on, F.col("__f").alias("__v"))
 
 
 def _fill_spread(inst: DataFrame, on: str, by: list[str], backward: bool) -> DataFrame:
@@ -96,11 +105,13 @@ def asof_join(
     names = [c for c in right.columns if c != on and c not in by]
     out_names = {c: f"{c}_right" if c in left.columns else c for c in names}
     values = [F.col(c) for c in names] or [F.lit(True).alias("__any")]
-    fill = _fill_bounded if bounded and by else _fill_spread
     wanted = {"backward": [True], "forward": [False], "nearest": [True, False]}[direction]
     found = None
     for backward in wanted:
-        part = fill(_instants(left, right, on, by, values, tie, backward), on, by, backward)
+        if bounded and by:
+            part = _fill_bounded(left, right, on, by, values, tie, backward)
+        else:
+            part = _fill_spread(_instants(left, right, on, by, values, tie, backward), on, by, backward)
         part = part.withColumnRenamed("__v", "__b" if backward else "__f")
         if found is None:
             found = part

@@ -553,60 +553,74 @@ THRESHOLD_MINERS: dict[str, tuple[type, Callable]] = {
 }
 
 
-def _hit(name: str, cfg: MinerConfig, spec: Spec, p: Panel) -> Column:
-    """Candidate struct, or NULL when the bar does not qualify."""
-    score = reduce(lambda a, b: a + b, [holds(r.cond).cast("int") * r.weight for r in spec.rules if r.weight])
-    needed = [holds(r.cond) for r in spec.rules if r.required]
-    accept = reduce(lambda a, b: a & b, [p.bars() >= spec.min_rows, score >= cfg.min_candidate_score, *needed])
-    if spec.extra is not None:
-        accept = accept & spec.extra
+def _score(spec: Spec) -> Column:
+    return reduce(lambda a, b: a + b, [holds(r.cond).cast("int") * r.weight for r in spec.rules if r.weight])
+
+
+def _accept(cfg: MinerConfig, spec: Spec, score: Column, bars: Column) -> Column:
+    parts = [bars >= spec.min_rows, score >= cfg.min_candidate_score, *[holds(r.cond) for r in spec.rules if r.required]]
+    accept = reduce(lambda a, b: a & b, parts)
+    return accept if spec.extra is None else accept & spec.extra
+
+
+def _details(name: str, spec: Spec) -> Column:
+    """Descriptive columns of a candidate."""
     shown = [F.when(holds(r.cond), F.lit(r.name)) for r in spec.rules if r.shown]
     number = lambda c: F.lit(None).cast("double") if c is None else c
-    sid = sample_id("ts_code", "trade_date")
-    return F.when(
-        accept,
-        F.struct(
-            F.lit(spec.label).cast("int").alias("label"),
-            F.lit(name if spec.label is not None else f"{name}_candidate").alias("label_source"),
-            F.lit(1.0).alias("confidence"),
-            F.concat_ws("_", sid, F.lit(name)).alias("event_id"),
-            F.lit(name).alias("miner_name"),
-            score.cast("double").alias("candidate_score"),
-            number(spec.vol_1d).alias("vol_ratio_1d"),
-            number(spec.vol_3d).alias("vol_ratio_3d"),
-            F.lit(spec.window).alias("base_window_days"),
-            number(spec.base_range).alias("base_range_pct"),
-            (F.lit(False) if spec.breakout is None else holds(spec.breakout)).alias("breakout_flag"),
-            F.concat_ws(";", *shown, *spec.numbers).alias("rule_flags"),
-            F.lit(cfg.top_n_per_symbol).alias("_top"),
-        ),
+    return F.struct(
+        F.lit(spec.label).cast("int").alias("label"),
+        F.lit(name if spec.label is not None else f"{name}_candidate").alias("label_source"),
+        number(spec.vol_1d).alias("vol_ratio_1d"),
+        number(spec.vol_3d).alias("vol_ratio_3d"),
+        F.lit(spec.window).alias("base_window_days"),
+        number(spec.base_range).alias("base_range_pct"),
+        (F.lit(False) if spec.breakout is None else holds(spec.breakout)).alias("breakout_flag"),
+        F.concat_ws(";", *shown, *spec.numbers).alias("rule_flags"),
     )
 
 
 def scan_thresholds(bars: DataFrame, configs: dict[str, MinerConfig]) -> DataFrame:
-    """Run any number of threshold miners over all entities in one window stage and keep each one's top rows."""
+    """Run any number of threshold miners over all entities in one window stage and keep each one's top rows.
+
+    Only scores are computed for every bar.  The rank comes next, and the texts and ratios of a candidate are built for
+    the kept rows alone.
+    """
     p = Panel()
     specs = {name: (cfg, THRESHOLD_MINERS[name][1](cfg, p)) for name, cfg in configs.items()}
-    hits = [_hit(name, cfg, spec, p) for name, (cfg, spec) in specs.items()]
-    r1, r3 = p.ret(1), p.ret(3)
-    staged = p.apply(bars).select(
-        "ts_code", "trade_date", "close", r1.alias("ret_1d"), r3.alias("ret_3d"), F.array_compact(F.array(*hits)).alias("_hits")
+    r1, r3, bars_n = p.ret(1), p.ret(3), p.bars()
+    hits = []
+    for name, (cfg, spec) in specs.items():
+        score = _score(spec)
+        hit = F.struct(F.lit(name).alias("miner_name"), score.alias("_score"), F.lit(cfg.top_n_per_symbol).alias("_top"))
+        hits.append(F.when(_accept(cfg, spec, score, bars_n), hit))
+    # the array keeps the score expressions out of the filter that drops bars without hits
+    staged = p.apply(bars).select("*", F.inline(F.array_compact(F.array(*hits))))
+    # same entity key as the window stage: no further exchange
+    rank = F.row_number().over(W.partitionBy("ts_code", "miner_name").orderBy(F.desc("_score"), F.desc("trade_date")))
+    kept = staged.withColumn("_rn", rank)
+    tops = [cfg.top_n_per_symbol for cfg in configs.values()]
+    if min(tops) > 0:
+        # a constant bound lets the rank filter run before the sort
+        kept = kept.where(F.col("_rn") <= max(tops))
+    kept = kept.where((F.col("_rn") <= F.col("_top")) | (F.col("_top") <= 0))
+    detail = reduce(
+        lambda acc, item: acc.when(F.col("miner_name") == item[0], _details(item[0], item[1][1])), specs.items(), F
     )
-    rows = staged.where(F.size("_hits") > 0).select(
-        sample_id("ts_code", "trade_date").alias("sample_id"),
+    sid = sample_id("ts_code", "trade_date")
+    out = kept.select(
+        sid.alias("sample_id"),
         "ts_code",
         F.col("trade_date").alias("asof_date"),
+        F.lit(1.0).alias("confidence"),
+        F.concat_ws("_", sid, F.col("miner_name")).alias("event_id"),
+        "miner_name",
+        F.col("_score").alias("candidate_score"),
         "close",
-        "ret_1d",
-        "ret_3d",
-        F.inline("_hits"),
-    )
-    # same entity key as the window stage: no further exchange
-    rank = F.row_number().over(
-        W.partitionBy("ts_code", "miner_name").orderBy(F.desc("candidate_score"), F.desc("asof_date"))
+        r1.alias("ret_1d"),
+        r3.alias("ret_3d"),
+        F.inline(F.array(detail)),
     )
-    kept = rows.withColumn("_rn", rank).where((F.col("_rn") <= F.col("_top")) | (F.col("_top") <= 0))
-    return kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CANDIDATE_SCHEMA])
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CANDIDATE_SCHEMA])
 
 
 def complete_schema(df: DataFrame, schema: T.StructType = CANDIDATE_SCHEMA) -> DataFrame:

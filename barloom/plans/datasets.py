@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from barloom.functions.cols import sample_id
 from barloom.operators.asof import asof_join
 from barloom.operators.features import WINDOW_FEATURES, daily_vector, recent_bars, window_vector
-from barloom.operators.history import locate
 from barloom.operators.schema import label_schema
 
 
@@ -17,16 +16,21 @@ def _sampled(bars: DataFrame, samples: DataFrame) -> DataFrame:
     return bars.join(samples.select("ts_code").distinct(), "ts_code", "left_semi")
 
 
-def _attach(samples: DataFrame, bars: DataFrame, vector: DataFrame) -> DataFrame:
-    found = locate(samples, bars).where("bar_date is not null")
-    feats = vector.drop("pos").withColumnRenamed("trade_date", "bar_date")
-    return found.join(feats, ["ts_code", "bar_date"]).drop("bar_date", "pos")
+def _attach(samples: DataFrame, vector: DataFrame) -> DataFrame:
+    """Vectors of the last bar on or before each as-of date.
+
+    A vector exists for every bar from the history floor on, so the last vector is the last bar's unless that bar lies
+    before the floor, and then there is none.
+    """
+    right = vector.drop("pos").withColumnRenamed("trade_date", "asof_date")
+    out = asof_join(samples, right, "asof_date", "ts_code", bounded=True, matched_on="__bar")
+    return out.where("__bar is not null").drop("__bar")
 
 
 def build_dataset(samples: DataFrame, bars: DataFrame, window: int = 150, min_history: int = 1) -> DataFrame:
     """Samples with the 11-feature vector of the window that ends at their as-of date; short histories drop out."""
     s = label_schema(samples)
-    return _attach(s, bars, window_vector(_sampled(bars, s), window, min_history)).select(*s.columns, *WINDOW_FEATURES)
+    return _attach(s, window_vector(_sampled(bars, s), window, min_history)).select(*s.columns, *WINDOW_FEATURES)
 
 
 def check_skips(reasons: DataFrame, max_skip_ratio: float) -> None:
@@ -40,7 +44,7 @@ def build_tabular(samples: DataFrame, bars: DataFrame, min_history: int = 252, m
     """Samples with the 49-feature vector; the window shrinks at the start of an entity, down to ``min_history``."""
     vector = daily_vector(_sampled(bars, samples), max_window).where(F.col("pos") >= min_history)
     names = [c for c in vector.columns if c not in ("ts_code", "trade_date", "pos")]
-    return _attach(samples, bars, vector).select(*samples.columns, *names)
+    return _attach(samples, vector).select(*samples.columns, *names)
 
 
 def scan_features(bars: DataFrame, asof_date: str, window: int = 150, min_history: int = 1, exact: bool = False) -> DataFrame:
