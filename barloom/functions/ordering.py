@@ -77,11 +77,10 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], prefix: str
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     run = with_running_totals(counts, "__v", {"__cum": "__c"}).checkpoint()
-    total = run.agg(F.max("__cum").alias("__n"))
-    spans = run.join(F.broadcast(total))  # one-row side
+    n = run.agg(F.max("__cum")).first()[0] or 0
     picks = []
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("__n") - 1)
+        pos = F.lit(float(p) * (n - 1))
         lo, hi = F.floor(pos), F.ceil(pos)
         covers = lambda k: (F.col("__cum") > k) & (F.col("__cum") - F.col("__c") <= k)
         picks += [
@@ -89,7 +88,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], prefix: str
             F.max(F.when(covers(hi), F.col("__v"))).alias(f"__hi{i}"),
             F.max(pos - lo).alias(f"__w{i}"),
         ]
-    row = spans.agg(*picks)
+    row = run.agg(*picks)
     names = [f"{prefix}{int(round(p * 100))}" for p in probs]
     return row.select(
         *[

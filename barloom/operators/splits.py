@@ -50,10 +50,10 @@ def stratified_split(
     cls = pos.groupBy(label).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
     n = F.col("__n")
     small_train = F.greatest(F.lit(1), n - 1)
-    n_train = F.when(n < 3, small_train).otherwise(F.least(n - 2, F.greatest(F.lit(1), F.round(n * train).cast("bigint"))))
+    n_train = F.when(n < 3, small_train).otherwise(F.least(n - 2, F.greatest(F.lit(1), F.bround(n * train).cast("bigint"))))
     cls = cls.withColumn("__t", n_train)
     n_valid = F.when(n < 3, n - F.col("__t")).otherwise(
-        F.least(n - F.col("__t") - 1, F.greatest(F.lit(1), F.round(n * valid).cast("bigint")))
+        F.least(n - F.col("__t") - 1, F.greatest(F.lit(1), F.bround(n * valid).cast("bigint")))
     )
     cls = cls.withColumn("__v", n_valid)
     tight = n - F.col("__t") - F.col("__v") <= 0
