@@ -244,13 +244,13 @@ def _increment_sink(spark, sf):
 
 @query(
     "failed_dates",
-    oracle("select trade_date, n from (select trade_date, count(*) as n from bars group by trade_date) where n < 3", dates="trade_date", ints="n"),
+    oracle("select trade_date, n from (select trade_date, count(*) as n from bars group by trade_date) where n < 20", dates="trade_date", ints="n"),
 )
 def _failed(spark, sf):
     """Dates with few bars, written as a date to list map and read back."""
     path = scratch(spark, "failed")
     few = load_bars(spark, sf).groupBy(F.col("trade_date").cast("string").alias("trade_date")).agg(F.collect_set("ts_code").alias("endpoints"))
-    sinks.save_failed_dates(few.where(F.size("endpoints") < 3), path)
+    sinks.save_failed_dates(few.where(F.size("endpoints") < 20), path)
     return sinks.load_failed_dates(spark, path).select("trade_date", F.size("endpoints").alias("n"))
 
 

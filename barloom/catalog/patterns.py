@@ -244,7 +244,18 @@ def _band(spark, sf):
     return t.select("ts_code", F.col("nk.v").alias("neckline_price"))
 
 
-@query("support_touches")
+@query(
+    "support_touches",
+    oracle(
+        "select ts_code, count(*) as touches, string_agg(cast(trade_date as varchar), ',' order by o) as dates from chosen join tail using (ts_code, o) group by ts_code",
+        TAIL_SQL + """, zn as (select ts_code, quantile_cont(close, 0.10) * 1.15 as zone from tail group by ts_code),
+          hit as (select t.ts_code, t.o from tail t join zn using (ts_code) where t.close <= zone),
+          chosen as (select ts_code, min(o) as o from hit group by ts_code union all
+            select c.ts_code, (select min(h.o) from hit h where h.ts_code = c.ts_code and h.o >= c.o + 20) from chosen c
+            where exists (select 1 from hit h where h.ts_code = c.ts_code and h.o >= c.o + 20))""",
+        ints="touches",
+    ).replace("with bar_d", "with recursive bar_d", 1),
+)
 def _touches(spark, sf):
     """Touches of the 10 percent zone at least 20 bars apart in each symbol's last 120 bars (fold over one window)."""
     t = tails(spark, sf)
@@ -253,7 +264,18 @@ def _touches(spark, sf):
     return t.select("ts_code", F.size("touch").alias("touches"), F.array_join(F.transform("touch", lambda x: x["d"].cast("string")), ",").alias("dates"))
 
 
-@query("spaced_selection")
+@query(
+    "spaced_selection",
+    oracle(
+        """select sample_id, ts_code, d as asof_date, s as candidate_score from (select w.*, row_number() over (partition by w.ts_code order by k) as pos from walk w join
+           (select ts_code, arg_max(kept, k) as kept from st group by ts_code) f using (ts_code) where list_contains(f.kept, w.d)) where pos <= 5""",
+        HITS_SQL + """, walk as (select sample_id, ts_code, anchor_date as d, phase1_score_mean as s, row_number() over (partition by ts_code order by phase1_score_mean desc, anchor_date, sample_id) as k from hits),
+          st as (select ts_code, k, [d] as kept from walk where k = 1 union all
+            select w.ts_code, w.k, case when len(list_filter(st.kept, lambda x: abs(date_diff('day', x, w.d)) < 30)) = 0 then list_append(st.kept, w.d) else st.kept end
+            from st join walk w on w.ts_code = st.ts_code and w.k = st.k + 1)""",
+        dates="asof_date", nums="candidate_score",
+    ).replace("with bar_d", "with recursive bar_d", 1),
+)
 def _spaced(spark, sf):
     """Phase-1 hits of each symbol at least 30 days apart, best first (ordered fold per symbol)."""
     h = hits(spark, sf).select("sample_id", "ts_code", F.col("anchor_date").alias("asof_date"), F.col("phase1_score_mean").alias("candidate_score"))

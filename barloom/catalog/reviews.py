@@ -328,13 +328,13 @@ FACTORS = ["runup_penalty_factor", "volume_penalty_factor", "burst_strength_fact
 
 
 @query(
-    "adjustment_pipeline",
+    "adjust_all_stages",
     oracle(
         f"select sample_id, baseline_score, {', '.join(f'f{i + 1} as {n}' for i, n in enumerate(FACTORS))}, baseline_score * {' * '.join(f'f{i + 1}' for i in range(9))} as adjusted_score from adj",
         ADJ_SQL, nums=f"baseline_score adjusted_score {' '.join(FACTORS)}",
     ),
 )
-def _pipeline(spark, sf):
+def _all_stages(spark, sf):
     out = rv.apply_adjustments(candidates(spark, sf), bars_with_means(spark, sf), STAGES)
     return out.select("sample_id", "baseline_score", *FACTORS, "adjusted_score")
 
