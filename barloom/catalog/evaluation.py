@@ -12,6 +12,7 @@ from barloom.functions.ordering import exact_quantiles
 from barloom.functions.windows import BARS
 from barloom.operators import comparison as cmp, metrics as mt, profile as pf, quality as qa
 from barloom.operators.schema import duplicate_rows
+from barloom.session import stored
 from barloom.sources.bars import load, load_bars
 
 
@@ -376,7 +377,7 @@ def _disagreement(spark, sf):
     ),
 )
 def _compare(spark, sf):
-    return cmp.compare_report(aligned(spark, sf), 100)
+    return cmp.compare_report(stored(aligned(spark, sf)), 100)
 
 
 @query(
@@ -430,7 +431,7 @@ def _profile(spark, sf):
     from barloom.catalog.alignment import ens
 
     e = ens(spark, sf).withColumns({"lgbm_score": F.col("lgbm_score") * 0.7071067811865476, "xgb_score": F.when(~F.col("ts_code").endswith("3"), F.col("xgb_score") * 0.7071067811865476), "constant": F.lit(1.5)})
-    return pf.feature_profile(e, PROFILE_COLS)
+    return pf.feature_profile(stored(e.select(*PROFILE_COLS)), PROFILE_COLS)
 
 
 @query(

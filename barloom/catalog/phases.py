@@ -8,6 +8,7 @@ from barloom.catalog.core import oracle, query
 from barloom.catalog.views import HITS_SQL, frac, hits
 from barloom.operators import calendar as cal
 from barloom.plans import tracking as tk
+from barloom.session import stored
 from barloom.sources.bars import load_bars
 from barloom.sources.universe import dense_dates
 
@@ -194,8 +195,10 @@ def pseudo(prefix: str, a: str, b: str):
 
 
 def _tracked(spark, sf):
-    b = load_bars(spark, sf)
-    _, t = targets(spark, sf)
+    b = stored(load_bars(spark, sf))
+    d = dense_dates(b)
+    n = d.agg(F.max("pos").alias("n")).first()["n"]
+    t = d.where(F.col("pos").isin(n, n - 20)).select(F.col("date").alias("target_date"))
     return tk.run_tracking(b, t, pseudo("phase1", "base_range_pct", "base_vol_cv"), pseudo("phase2", "volatility_20", "recent_return_10"), top_n=10, lookback=6, reviewer="ma120_trend_soft")
 
 

@@ -12,6 +12,7 @@ from barloom.functions.windows import BARS
 from barloom.operators import review as rv
 from barloom.operators.predictions import by_score
 from barloom.plans.review_build import build_review_candidates
+from barloom.session import stored
 from barloom.sources.bars import load_bars
 
 # irrational scale: products do not end in a rounding tie
@@ -335,7 +336,7 @@ FACTORS = ["runup_penalty_factor", "volume_penalty_factor", "burst_strength_fact
     ),
 )
 def _all_stages(spark, sf):
-    out = rv.apply_adjustments(candidates(spark, sf), bars_with_means(spark, sf), STAGES)
+    out = rv.apply_adjustments(stored(candidates(spark, sf)), stored(bars_with_means(spark, sf)), STAGES)
     return out.select("sample_id", "baseline_score", *FACTORS, "adjusted_score")
 
 

@@ -10,6 +10,7 @@ from barloom.catalog.views import SAMPLES_SQL, samples
 from barloom.functions.windows import BARS
 from barloom.operators.features import HORIZONS, MEANS, WINDOW_FEATURES, daily_vector, trailing_drawdowns, window_vector
 from barloom.plans.datasets import build_dataset, build_tabular, features_for_dates, scan_features
+from barloom.session import stored
 from barloom.sources.bars import load_bars
 
 # per-window computation on the SQL side: every sample's own 150 bars, means restarted inside the window
@@ -135,7 +136,8 @@ TAB_NAMES = (
            dates="asof_date", nums=" ".join(TAB_NAMES), ints="label"),
 )
 def _tabular(spark, sf):
-    return build_tabular(samples(spark, sf).drop("close"), load_bars(spark, sf), 252, 504)
+    b = stored(load_bars(spark, sf))
+    return build_tabular(samples(spark, sf, bars=b).drop("close"), b, 252, 504)
 
 
 @query(

@@ -15,9 +15,9 @@ def frac(column: str, k: float):
     return F.round(v - F.floor(v), 6)
 
 
-def samples(spark: SparkSession, sf: str, every: int = 50) -> DataFrame:
+def samples(spark: SparkSession, sf: str, every: int = 50, bars: DataFrame | None = None) -> DataFrame:
     """Every 50th bar per symbol as a labelled sample."""
-    b = load_bars(spark, sf).withColumn("rn", BARS.index()).where(F.col("rn") % every == 0)
+    b = (load_bars(spark, sf) if bars is None else bars).withColumn("rn", BARS.index()).where(F.col("rn") % every == 0)
     return b.select(
         sample_id("ts_code", "trade_date").alias("sample_id"),
         "ts_code",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,3 +31,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table that several later stages read, and continue from it; its partitioning stays known to the planner."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
