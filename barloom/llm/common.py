@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.session import ensure_checkpoint_dir
+
 #: Rows of a batch that are worked on at once; Spark bounds the bytes of a batch itself.
 SLICE = 1000
 
@@ -79,3 +83,25 @@ def hash_sample(df: DataFrame, key: Column, bound: int, total: int) -> DataFrame
     if total <= bound:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < F.lit(int(1_000_000 * bound / total)))
+
+
+@dataclass
+class Written:
+    """A table in the checkpoint folder that is read again and dropped when it is no longer needed."""
+
+    df: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> Written:
+    """Parquet copy of ``df`` in the shared checkpoint folder; smaller than a checkpoint, and dropped by hand."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Written(spark.read.schema(df.schema).parquet(path), path)
