@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from barloom.llm.queries import ORACLES, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 __all__ = ["ORACLES", "QUERIES"]
