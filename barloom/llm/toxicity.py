@@ -1,8 +1,13 @@
-"""Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression."""
+"""Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
+
+Besides the stated lexicons, words and word beginnings that are much more frequent in toxic documents are learnt from a
+part of the training documents; the trees see them only as densities on the other part, and the calibration on a third.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import hash_sample, id_fold, labelled, q, text_pass
+from barloom.llm.common import explode_pass, hash_sample, id_fold, labelled, q, text_pass
 from barloom.session import stored
 
 # Insults, harsh adjectives, threats and second-person words of English, German, French and Spanish.
@@ -38,6 +43,7 @@ LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 FEATURES = (
     "log_words", "insult_density", "harsh_density", "threat_density", "hit_count", "distinct_hits", "near_you", "you_density",
     "upper_share", "upper_words", "mark_share", "shout_share", "hidden_share", "hidden_hits", "stretched_share",
+    "learnt_density", "learnt_weight", "learnt_hits", "learnt_top",
 )
 #: Words between a lexicon hit and a second-person word that count as near.
 NEAR = 5
@@ -45,6 +51,8 @@ NEAR = 5
 TRAIN_DOCS = 20_000
 TREES, DEPTH, SEED = 20, 3, 5
 THRESHOLD = 0.5
+#: Learnt lexicon: lengths of word beginnings, least log odds, least toxic documents of an entry (number and share), most entries.
+BEGINNINGS, LEAST_ODDS, LEAST_DOCS, LEAST_SHARE, ENTRIES = (5, 6, 7, 8), 2.0, 3, 0.004, 20_000
 #: Words whose kind a task remembers.
 REMEMBERED = 200_000
 
@@ -54,10 +62,24 @@ _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 INSULT, HARSH_WORD, THREAT, YOU, HIDDEN, STRETCHED, UPPER = (1 << i for i in range(7))
 
 
+def bare(raw: str) -> str:
+    """A raw word in lower case without marks at its ends."""
+    return raw.strip(_EDGES).lower()
+
+
+def entries_of(word: str) -> list[str]:
+    """Lexicon entries of a bare word: itself, and its beginnings with a dash."""
+    return [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) >= k)]
+
+
 class Kinds:
-    """What a raw word is: lexicon hit, second person, hidden by look-alikes or marks inside, stretched, in capitals."""
+    """What a raw word is: lexicon hit, second person, hidden by look-alikes or marks inside, stretched, in capitals.
+
+    The bits of the kind, and from bit 8 on the log odds of the word's strongest learnt entry in sixteenths.
+    """
 
-    def __init__(self):
+    def __init__(self, learnt: dict[str, float] | None = None):
+        self.learnt = learnt or {}
         self.lexicon: dict[str, int] = {}
         for words, kind in ((INSULTS, INSULT), (HARSH, HARSH_WORD), (THREATS, THREAT), (SECOND_PERSON, YOU)):
             for w in words:
@@ -74,16 +96,20 @@ class Kinds:
         return kind
 
     def _of(self, raw: str) -> int:
-        word = raw.strip(_EDGES).lower()
+        word = bare(raw)
         kind = self.lexicon.get(word, 0)
         if raw.isupper() and len(word) > 1:
             kind |= UPPER
         if _STRETCHED.search(word):
-            kind |= STRETCHED | self.lexicon.get(_STRETCHED.sub(r"\1", re.sub(r"([^\W\d_])\1+", r"\1\1\1", word)), 0)
+            once = re.sub(r"(.)\1\1+", r"\1", word)
+            kind |= STRETCHED | self.lexicon.get(once, 0) | self.lexicon.get(re.sub(r"(.)\1\1+", r"\1\1", word), 0)
         if not kind & (INSULT | HARSH_WORD | THREAT) and word and not word.isalpha() and any(c.isalpha() for c in word):
             plain = re.sub(r"[\W_]", "", word.translate(_UNMASK))
             if plain.isalpha():
                 kind |= HIDDEN | (self.lexicon.get(plain, 0) & ~YOU)
+        if self.learnt:
+            odds = max((self.learnt.get(e, 0.0) for e in entries_of(word)), default=0.0)
+            kind |= int(16 * min(odds, 15.0)) << 8
         return kind
 
 
@@ -94,6 +120,8 @@ def features(text: str | None, kinds: Kinds) -> list[float]:
     if not n:
         return [0.0] * len(FEATURES)
     k = np.fromiter((kinds[w] for w in words), np.int64, n)
+    odds = (k >> 8) / 16.0
+    learnt = np.flatnonzero(odds)
     hits = np.flatnonzero(k & (INSULT | HARSH_WORD | THREAT))
     you = np.flatnonzero(k & YOU)
     near = 0
@@ -109,24 +137,56 @@ def features(text: str | None, kinds: Kinds) -> list[float]:
     rate = lambda bits: float(((k & bits) > 0).sum()) / (n + 20) * 100
     return [
         float(np.log1p(n)), rate(INSULT), rate(HARSH_WORD), rate(THREAT), float(np.log1p(len(hits))),
-        float(len({words[i].strip(_EDGES).lower() for i in hits})), float(np.log1p(near)), rate(YOU),
+        float(len({bare(words[i]) for i in hits})), float(np.log1p(near)), rate(YOU),
         upper / chars, rate(UPPER), marks / chars, float(counts[33]) / (n + 20), rate(HIDDEN),
         float(((k & HIDDEN) > 0)[hits].sum()), rate(STRETCHED),
+        len(learnt) / (n + 20) * 100, float(odds.sum()) / (n + 20) * 100, float(np.log1p(len({bare(words[i]) for i in learnt}))), float(odds.max()),
     ]
 
 
-def with_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def with_features(docs: DataFrame, learnt: dict[str, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     def make():
-        kinds = Kinds()
+        kinds = Kinds(learnt)
         return lambda texts: [pa.array([features(t, kinds) for t in texts], pa.list_(pa.float64()))]
 
     return text_pass(docs, make, [T.StructField("__x", T.ArrayType(T.DoubleType()))], text=text, keep=keep)
 
 
+def learn_lexicon(train: DataFrame) -> dict[str, float]:
+    """Log odds (toxic against not) of words and word beginnings by the documents of ``train`` (__t, __y) that hold them.
+
+    Equal texts count once.  At most ``ENTRIES`` entries, the strongest, come to the driver.
+    """
+    once = train.where("__t is not null").groupBy(F.xxhash64("__t").alias("__h")).agg(F.first("__t").alias("__t"), F.max("__y").alias("__y"))
+
+    def make():
+        def work(batch):
+            seen = (Counter(), Counter())
+            for body, y in zip(*(c.to_pylist() for c in batch.columns)):
+                seen[y].update({e for w in {bare(raw) for raw in body.split()} if w.isalpha() for e in entries_of(w)})
+            both = list(seen[0].keys() | seen[1].keys())
+            columns = [pa.array(both, pa.string()), *(pa.array([c[e] for e in both], pa.int64()) for c in seen)]
+            yield pa.RecordBatch.from_arrays(columns, names=["e", "n", "p"])
+
+        return work
+
+    schema = T.StructType([T.StructField("e", T.StringType()), T.StructField("n", T.LongType()), T.StructField("p", T.LongType())])
+    n, p = 0, 0
+    for r in once.groupBy("__y").agg(F.count("*").alias("c")).collect():
+        n, p = (n, r["c"]) if r["__y"] else (r["c"], p)
+    if not n or not p:
+        return {}
+    counts = explode_pass(once, [F.col("__t"), F.col("__y")], make, schema).groupBy("e").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    odds = F.log((F.col("p") + 0.5) / (p + 1)) - F.log((F.col("n") + 0.5) / (n + 1))
+    top = counts.where(F.col("p") >= max(LEAST_DOCS, LEAST_SHARE * p)).withColumn("o", odds).where(F.col("o") >= LEAST_ODDS)
+    return {r["e"]: r["o"] for r in top.orderBy(F.desc("o"), "e").limit(ENTRIES).collect()}
+
+
 @dataclass
 class Calibrated:
-    """Boosted trees and the isotonic map of their raw score."""
+    """Learnt lexicon, boosted trees and the isotonic map of their raw score."""
 
+    learnt: dict[str, float]
     trees: GBTClassificationModel
     curve: IsotonicRegressionModel
 
@@ -135,26 +195,30 @@ class Calibrated:
         return self.curve.transform(raw).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__s"))))
 
 
-def fit(rows: DataFrame, labels: DataFrame, id_col: str, bound: int = TRAIN_DOCS, holdout: int = 0) -> Calibrated | None:
-    """Fit on about ``bound`` labelled rows outside the hold-out fold of 5; the last fold calibrates.
-
-    None if a part has no row of a class; then nothing can be learnt.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", bound: int = TRAIN_DOCS, holdout: int = 0) -> Calibrated | None:
+    """Fit on about ``bound`` labelled rows outside the hold-out fold of 5: folds 1 and 2 give the lexicon, 3 the trees,
+    4 the calibration.  If the last two do not hold both classes each, all of them serve for both; None if these do not.
     """
     known = labelled(labels, "toxic", id_col).where(id_fold("__id", 5) != holdout)
-    chosen = hash_sample(known, F.col("__id"), bound, known.count())
-    train = rows.join(chosen, q(id_col) == F.col("__id")).select("__x", F.col("__y").cast("double").alias("__y"), (id_fold("__id", 5) == 4).alias("__last"))
-    train = stored(train.withColumn("__v", array_to_vector("__x")).repartition(4))
-    per_class = {(r["__last"], r["__y"]) for r in train.groupBy("__last", "__y").agg(F.count("*")).collect()}
-    if not {(False, 0.0), (False, 1.0)} <= per_class:
+    total = known.count()
+    chosen = hash_sample(known, F.col("__id"), bound, total)
+    source = hash_sample(docs.where(q(id_col).isNotNull()), q(id_col), bound, total)  # the same hash on the other side
+    train = source.join(chosen, q(id_col) == F.col("__id")).select(q(text).cast("string").alias("__t"), "__y", id_fold("__id", 5).alias("__fold"))
+    train = stored(train.repartition(8))
+    learnt = learn_lexicon(train.where("__fold in (1, 2)"))
+    rows = with_features(train, learnt, "__t", ["__y", "__fold"]).withColumn("__v", array_to_vector("__x"))
+    rows = stored(rows.withColumn("__y", F.col("__y").cast("double")))
+    held = {(r["__fold"], r["__y"]) for r in rows.groupBy("__fold", "__y").agg(F.count("*")).collect()}
+    if len({y for _, y in held}) < 2:
         return None
-    calibrate = train.where("__last") if {(True, 0.0), (True, 1.0)} <= per_class else train
+    whole = {(3, 0.0), (3, 1.0), (4, 0.0), (4, 1.0)} <= held
     boosting = GBTClassifier(
         featuresCol="__v", labelCol="__y", predictionCol="__g", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, minInstancesPerNode=5, seed=SEED
     )
-    trees = boosting.setRawPredictionCol("__r").setProbabilityCol("__p").fit(train.where("not __last"))
-    raw = trees.transform(calibrate).withColumn("__raw", vector_to_array("__p")[1])
+    trees = boosting.setRawPredictionCol("__r").setProbabilityCol("__p").fit(rows.where("__fold = 3") if whole else rows)
+    raw = trees.transform(rows.where("__fold = 4") if whole else rows).withColumn("__raw", vector_to_array("__p")[1])
     curve = IsotonicRegression(featuresCol="__raw", labelCol="__y", predictionCol="__s").fit(raw)
-    return Calibrated(trees, curve)
+    return Calibrated(learnt, trees, curve)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,8 +227,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     A null or empty text has all features zero and gets the score of that point; null ids are scored, never learnt
     from; repeated rows get equal scores.  Without labelled rows of both classes every score is 0.
     """
-    rows = stored(with_features(docs, text, keep=[id_col]))
-    model = fit(rows, labels, id_col)
+    model = fit(docs, labels, id_col, text)
     if model is None:
-        return rows.select(q(id_col), F.lit(0.0).alias("score"))
-    return model.transform(rows).select(q(id_col), "score")
+        return docs.select(q(id_col), F.lit(0.0).alias("score"))
+    return model.transform(with_features(docs, model.learnt, text, keep=[id_col])).select(q(id_col), "score")
