@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from barloom.llm.common import SLICE, q
 
-#: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 200_000
+#: Words whose ids a task remembers, raw ones and bare ones; a memory is emptied when it is full.
+REMEMBERED = 400_000
 #: Examples that a pool holds before bins are filled from it.
 POOL = 2048
 
@@ -53,53 +54,65 @@ class Limits:
     loss: int = 4096
 
 
-class WordTokens:
-    """Ids of a text by a tokenizer that never joins across white space, word by word with a bounded memory.
-
-    A plain word (Latin-1 letters with closing punctuation) is encoded by the model alone, after the lower-casing and
-    byte mapping that the tokenizer's own normaliser would do; every other word goes through the whole tokenizer.
-    """
+class _Words(dict):
+    """Ids (little-endian unsigned 32-bit) by raw word, computed when a word is first asked for."""
 
-    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+    # Latin-1 letters, then closing ASCII marks other than those of contractions and special tokens
+    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.tokenize, self.cores = self.tokenizer.model.tokenize, {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.bytes = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _model(self, piece: str) -> list[int]:
-        if not piece.isascii():
-            piece = piece.encode("utf-8").decode("latin-1").translate(self.bytes)
-        return [t.id for t in self.tokenizer.model.tokenize(piece)]
-
-    def _learn(self, words: list[str]) -> None:
-        odd = []
-        for w in words:
-            m = self._PLAIN.fullmatch(w)
-            if m:
-                self.known[w] = self._model(m[1].lower()) + (self._model(m[2]) if m[2] else [])
-            else:
-                odd.append(w)
-        if odd:
-            for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-                self.known[w] = e.ids
+    def _core(self, piece: str) -> bytes:
+        ids = self.cores.get(piece)
+        if ids is None:
+            mapped = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.bytes)
+            ids = self.cores[piece] = _packed([t.id for t in self.tokenize(mapped)])
+        return ids
+
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8")
+        m = self._PLAIN.fullmatch(word)
+        if m is None:
+            ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        else:
+            body, marks = m.groups()
+            ids = self._core(body.lower())
+            if marks:
+                ids += self._core(marks)
+        self[raw] = ids
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordTokens:
+    """Ids of a text by a tokenizer that never joins across white space, word by word with a bounded memory.
+
+    A plain word (Latin-1 letters with closing marks) is encoded by the model alone, after the lower-casing and byte
+    mapping that the tokenizer's own normaliser would do; every other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        self.known = _Words(path)
 
     def ids(self, text: str) -> np.ndarray:
-        words, known = re.split("[ \t-\r]+", text), self.known
-        if missing := [w for w in set(words) if w not in known]:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
-            self._learn(missing)
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return np.array(out, "<u4")
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        if len(known.cores) > REMEMBERED:
+            known.cores.clear()
+        return np.frombuffer(b"".join(map(known.__getitem__, text.encode("utf-8", "replace").split())), "<u4")
 
 
 def _loss(start: int, length: int, prompt: int) -> int:
