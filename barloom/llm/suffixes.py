@@ -405,7 +405,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     removed = repeated_segments(docs, id_col, text).where("removed")
     cuts = removed.groupBy(F.col("doc").alias("__d"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
     doc, h = _row(id_col, text)
-    joined = docs.join(cuts, (doc == F.col("__d")) & (h == F.col("__h")), "left").drop("__d", "__h")
+    names = [f"__{i}" for i in range(len(docs.columns))]  # any column names may come in
+    plain = docs.select(*[q(c).alias(n) for c, n in zip(docs.columns, names)], doc.alias("__doc"), h.alias("__hash"))
+    joined = plain.join(cuts, (F.col("__doc") == F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").select(*names, "__cuts")
     place = docs.columns.index(text)
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField("__left", T.BooleanType())])
 
@@ -421,4 +423,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(left)], names=schema.fieldNames())
 
-    return joined.mapInArrow(run, schema).where("__left").drop("__left")
+    return joined.mapInArrow(run, schema).where("__left").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
