@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,28 +43,30 @@ LEFT, RIGHT = WINDOW - 1, MIN_WORDS - BLOCK
 #: Word hashes that a task remembers.
 REMEMBERED = 200_000
 
+#: Bits for a word position; a longer text would need more.
+POSITION = 28
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 1)
+        return h
+
+
 class WordHashes:
     """64-bit hash per word of a text, with a bounded memory of words."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Known()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "replace").lower().split()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w, 1)
-            out.append(h)
-        return np.array(out, np.uint64)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 class Powers:
@@ -106,17 +110,16 @@ def retained(rolling: Rolling, n: int) -> np.ndarray:
     if count < WINDOW:
         return np.empty(0, np.int64)
     at = np.arange(count)
-    grams = rolling.runs(at, at + KGRAM)
-    width, low = 1, grams
+    # the hash in the upper bits, the position in the lower ones: a tie goes to the leftmost
+    low = rolling.runs(at, at + KGRAM) & np.uint64(_MASK ^ (1 << POSITION) - 1) | at.astype(np.uint64)
+    width = 1
     while width * 2 <= WINDOW:  # minima of doubling windows
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     rest = WINDOW - width
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    # a position is chosen if it is the minimum of some window that holds it, ties included
     chosen = np.zeros(count, bool)
-    for shift in range(WINDOW):
-        chosen[shift : shift + len(low)] |= grams[shift : shift + len(low)] == low
+    chosen[(low & np.uint64((1 << POSITION) - 1)).astype(np.int64)] = True
     found = np.flatnonzero(chosen)
     return found[found + BLOCK <= n]
 
@@ -233,12 +236,31 @@ def _neighbours(found: DataFrame) -> DataFrame:
     return marked.where("hit and edge < 0").unionByName(mended)
 
 
-_CONTEXT = _schema("b1 long, doc long, h int, pos int, left binary, right binary")
+_CONTEXT = _schema("b1 long, doc long, h int, pos int, around binary")
+#: ``around``: flags (1 same, 2 earlier), words before and after that exist, then LEFT and RIGHT short hashes.
+_WIDTH = 4 + 2 * (LEFT + RIGHT)
+
+
+def _around(short: np.ndarray, pos: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """One row of ``_WIDTH`` bytes per position."""
+    n = len(short)
+    out = np.zeros((len(pos), _WIDTH), np.uint8)
+    out[:, 0], out[:, 1], out[:, 2] = flags, np.minimum(pos, LEFT), np.minimum(n - pos - BLOCK, RIGHT)
+    at = np.concatenate((pos[:, None] - 1 - np.arange(LEFT), pos[:, None] + BLOCK + np.arange(RIGHT)), axis=1)
+    out[:, 4:] = short[np.clip(at, 0, n - 1)].view(np.uint8).reshape(len(pos), -1)
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes of one length as an Arrow array."""
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32) if len(rows) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def _contexts(docs: DataFrame, hits: DataFrame, id_col: str, text: str) -> DataFrame:
     """Candidates with short hashes of the words around their first block, for the extension."""
-    per_row = hits.groupBy(F.col("doc").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("pos", "b1")).alias("__at"))  # bounded by a document's words
+    flags = (F.col("same").cast("int") + 2 * F.col("earlier").cast("int")).alias("flags")
+    per_row = hits.groupBy(F.col("doc").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("pos", "b1", flags)).alias("__at"))  # bounded by a document's words
     doc, h = _row(id_col, text)
     body = docs.select(doc.alias("doc"), h.alias("h"), q(text).cast("string").alias("body"))
     joined = body.join(per_row, (F.col("doc") == F.col("__d")) & (F.col("h") == F.col("__h")))
@@ -247,95 +269,150 @@ def _contexts(docs: DataFrame, hits: DataFrame, id_col: str, text: str) -> DataF
         hashes = WordHashes()
 
         def work(batch):
-            out: list[list] = [[] for _ in _CONTEXT.fields]
-            for doc, h, body_, at in zip(*(c.to_pylist() for c in batch.columns)):
-                short = (hashes(body_) >> np.uint64(40)).astype("<u2")
-                back = short[::-1].tobytes()
-                ahead, n = short.tobytes(), len(short)
-                for x in at:
-                    p = x["pos"]
-                    left = back[2 * (n - p) : 2 * (n - p + LEFT)]
-                    for c, v in zip(out, (x["b1"], doc, h, p, left, ahead[2 * (p + BLOCK) : 2 * (p + BLOCK + RIGHT)])):
-                        c.append(v)
-            yield _table(_CONTEXT, out)
+            count = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            pos, b1, flags = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).flatten().flatten())
+            around = np.empty((len(pos), _WIDTH), np.uint8)
+            at = 0
+            for text, n in zip(batch.column(2).to_pylist(), count.tolist()):
+                short = (hashes(text) >> np.uint64(40)).astype("<u2")
+                around[at : at + n] = _around(short, pos[at : at + n].astype(np.int64), flags[at : at + n])
+                at += n
+            doc, h = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), count) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(b1), pa.array(doc), pa.array(h), pa.array(pos), _binary(around)], names=_CONTEXT.fieldNames())
 
         return work
 
     return explode_pass(joined, [F.col("doc"), F.col("h"), F.col("body"), F.col("__at")], make, _CONTEXT)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words (two bytes each) that two contexts begin with alike."""
-    if a == b:
-        return len(a) // 2
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(np.frombuffer(a[:n], "<u2") != np.frombuffer(b[:n], "<u2"))
-    return int(differ[0]) if len(differ) else n // 2
+@dataclass
+class _Rows:
+    """Contexts as columns."""
+
+    b1: np.ndarray
+    doc: np.ndarray
+    h: np.ndarray
+    pos: np.ndarray
+    around: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Rows:
+        b1, doc, h, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        data = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(b1), _WIDTH)
+        return cls(b1, doc, h, pos, data)
+
+    def take(self, at) -> _Rows:
+        return _Rows(self.b1[at], self.doc[at], self.h[at], self.pos[at], self.around[at])
 
+    @staticmethod
+    def join(*parts: _Rows) -> _Rows:
+        return _Rows(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("b1", "doc", "h", "pos", "around")))
 
-def _shared(x: tuple | None, y: tuple | None) -> tuple[int, int] | None:
-    """Words that two contexts share before and from their position; None if they are too few."""
-    if x is None or y is None or x[0] != y[0] or x[1:4] == y[1:4]:
-        return None
-    left, right = _common(x[4], y[4]), BLOCK + _common(x[5], y[5])
-    return (left, right) if left + right >= MIN_WORDS else None
 
+def _common(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Short hashes that two rows begin with alike, row by row; only so many exist."""
+    differ = x != y
+    n = np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
+    return np.minimum(n, np.minimum(nx, ny)).astype(np.int64)
 
-_SPAN = _schema("doc long, h int, start int, end int, earlier boolean")
-_FOUND = _schema("doc long, h int, start int, end int, earlier boolean, b1 long, pos int, left binary, right binary, edge int")
 
+def _shared(x: _Rows, y: _Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Words that two contexts share before and from their position, row by row; -1 and 0 if they are too few."""
+    a, b = (np.ascontiguousarray(r.around[:, 4:]).view("<u2") for r in (x, y))
+    left = _common(a[:, :LEFT], b[:, :LEFT], x.around[:, 1], y.around[:, 1])
+    right = BLOCK + _common(a[:, LEFT:], b[:, LEFT:], x.around[:, 2], y.around[:, 2])
+    itself = (x.doc == y.doc) & (x.h == y.h) & (x.pos == y.pos)
+    good = (x.b1 == y.b1) & ~itself & (left + right >= MIN_WORDS)
+    return np.where(good, left, -1), np.where(good, right, 0)
 
-def _span_rows(x: tuple, earlier: list, later: list) -> Iterator[tuple]:
-    """Spans of ``x`` over its partners; the matches all hold its block, so their union is one run."""
-    for known, flag in ((earlier, True), ([*earlier, *later], False)):
-        known = [m for m in known if m]
-        if known and (flag or any(later)):
-            yield x[1], x[2], x[3] - max(m[0] for m in known), x[3] + max(m[1] for m in known), flag
+
+def _widest(*matches: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of one row all hold its block, so their union is one run."""
+    return np.maximum.reduce([m[0] for m in matches]), np.maximum.reduce([m[1] for m in matches])
+
+
+_FOUND = _schema("doc long, h int, any long, earlier long, b1 long, pos int, around binary, edge int")
+
+
+def _spans(rows: _Rows, early: tuple, whole: tuple) -> list[pa.Array]:
+    """doc, h and the two runs of each row that has one, as start << 32 | end (null: none)."""
+    same = rows.around[:, 0]
+    pos, runs = rows.pos.astype(np.int64), []
+    for (left, right), flag in ((whole, 1), (early, 2)):
+        told = (same & flag) > 0
+        start = pos - np.maximum(left, 0)
+        end = pos + np.maximum(right, np.where(told, 2 * BLOCK, 0))
+        runs.append((start << 32 | end, (left >= 0) | told))
+    keep = runs[0][1]
+    return [pa.array(rows.doc[keep]), pa.array(rows.h[keep]), *(pa.array(v[keep], mask=~on[keep]) for v, on in runs)]
 
 
 def _extended(contexts: DataFrame) -> DataFrame:
-    """Spans of ``MIN_WORDS`` words or more that suffixes share with the one before, the one after or the first of their
-    block in document order."""
+    """(doc, h, any, earlier): runs of ``MIN_WORDS`` words or more around a suffix that it shares with the suffix before
+    it, after it or at the head of its block in document order; ``earlier`` covers partners in earlier places alone."""
     key = ["b1", "doc", "h", "pos"]
     placed = contexts.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
-    nothing = (None,) * 5
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        x, top, before, first, part = None, None, [], True, -1
-        out: list[tuple] = []
+        held, early, top, part = None, None, None, -1
 
-        def as_edge(x):
-            return (x[1], x[2], None, None, None, x[0], x[3], x[4], x[5], part)
+        def spans(rows, early, whole):
+            columns = _spans(rows, early, whole)
+            n = len(columns[0])
+            nulls = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, *nulls], names=_FOUND.fieldNames())
+
+        def edge(row):
+            none = pa.nulls(1, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(row.doc), pa.array(row.h), none, none, pa.array(row.b1), pa.array(row.pos), _binary(row.around), pa.array([part], pa.int32())], names=_FOUND.fieldNames()
+            )
 
         for batch in batches:
-            for *y, part in zip(*(c.to_pylist() for c in batch.columns)):  # noqa: B007
-                y = tuple(y)
-                if x is None:
-                    out.append(as_edge(y))
-                    top = y
-                else:
-                    m = _shared(x, y)
-                    out += [r + nothing for r in _span_rows(x, before, [m])]
-                    if top[0] != y[0]:
-                        top = y
-                    before = [m] if top is x else [m, _shared(y, top)]
-                x = y
-            if len(out) > 5000:
-                yield _table(_FOUND, zip(*out))
-                out = []
-        if x is not None:
-            out += [r + nothing for r in _span_rows(x, before, [])]
-            out.append(as_edge(x))
-            yield _table(_FOUND, zip(*out))
+            if not batch.num_rows:
+                continue
+            rows = _Rows.of(batch)
+            if held is None:
+                part = batch.column(5)[0].as_py()
+                held = top = rows.take(slice(0, 1))
+                early = (np.full(1, -1), np.zeros(1, np.int64))
+                yield edge(held)
+                rows = rows.take(slice(1, None))
+                if not len(rows.b1):
+                    continue
+            rows = _Rows.join(held, rows)
+            n = len(rows.b1)
+            before = _shared(rows.take(slice(0, n - 1)), rows.take(slice(1, n)))
+            head = np.maximum.accumulate(np.where(rows.b1[1:] != rows.b1[:-1], np.arange(1, n), 0))
+            with_top = _Rows.join(rows, top)  # a block that began before this batch has its head at the end
+            head = np.where(head == 0, n, head)
+            to_head = _shared(rows.take(slice(1, n)), with_top.take(head))
+            found = _widest(before, to_head)
+            early = tuple(np.concatenate(x) for x in zip(early, found))
+            done = slice(0, n - 1)
+            yield spans(rows.take(done), tuple(x[done] for x in early), _widest(tuple(x[done] for x in early), before))
+            top = with_top.take(head[-1:])
+            held, early = rows.take(slice(n - 1, n)), tuple(x[-1:] for x in early)
+        if held is not None:
+            yield spans(held, early, early)
+            yield edge(held)
 
     found = stored(placed.mapInArrow(run, _FOUND))
-    edges = [tuple(r) for r in found.where("edge is not null").select("b1", "doc", "h", "pos", "left", "right", "edge").collect()]  # two rows per partition
-    edges.sort(key=lambda r: (r[0], r[1], r[2], r[3], r[6]))
+    ends = found.where("edge is not null").collect()  # two rows per partition
+    ends.sort(key=lambda r: (r["b1"], r["doc"], r["h"], r["pos"], r["edge"]))
+    pairs = [(a, b) for a, b in zip(ends, ends[1:]) if a["edge"] != b["edge"] and a["b1"] == b["b1"]]
     extra = []
-    for a, b in zip(edges, edges[1:]):
-        if a[6] != b[6] and (m := _shared(a, b)):
-            extra += [*_span_rows(a, [], [m]), *_span_rows(b, [m], [])]
-    return found.where("edge is null").select(*_SPAN.fieldNames()).unionByName(found.sparkSession.createDataFrame(extra, _SPAN))
+    if pairs:
+        sides = [
+            _Rows(*(np.array([p[k][n] for p in pairs]) for n in ("b1", "doc", "h", "pos")), np.frombuffer(b"".join(bytes(p[k]["around"]) for p in pairs), np.uint8).reshape(-1, _WIDTH))
+            for k in (0, 1)
+        ]
+        match = _shared(*sides)
+        none = (np.full(len(pairs), -1), np.zeros(len(pairs), np.int64))
+        for rows, early in ((sides[0], none), (sides[1], match)):
+            extra += list(zip(*(c.to_pylist() for c in _spans(rows, early, match))))
+    runs = _schema("doc long, h int, any long, earlier long")
+    return found.where("edge is null").select(*runs.fieldNames()).unionByName(found.sparkSession.createDataFrame(extra, runs))
 
 
 _SEGMENT = _schema("doc long, h int, start int, end int, removed boolean")
@@ -349,29 +426,31 @@ def repeated_segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     found = written(suffixes(docs, id_col, text))
     hits = _neighbours(found.df)
     found.drop()
-    spans = hits.where("same").select("doc", "h", F.col("pos").alias("start"), (F.col("pos") + 2 * BLOCK).alias("end"), "earlier")
-    spans = spans.unionByName(_extended(_contexts(docs, hits, id_col, text)))
-    grouped = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end", "earlier")).alias("s"))  # bounded by a document's words
+    spans = _extended(_contexts(docs, hits, id_col, text))
+    grouped = spans.groupBy("doc", "h").agg(F.collect_list("any").alias("any"), F.collect_list("earlier").alias("earlier"))  # bounded by a document's words
 
     def make():
         def work(batch):
             out: list[list] = [[] for _ in _SEGMENT.fields]
-            for doc, h, items in zip(*(c.to_pylist() for c in batch.columns)):
-                state = np.zeros(max(x["end"] for x in items) + 1, np.int8)
-                for wanted in (False, True):
-                    for x in items:
-                        if x["earlier"] == wanted:
-                            state[x["start"] : x["end"]] = 1 + wanted
-                cuts = np.flatnonzero(np.diff(state, prepend=0))
-                for a, b in zip(cuts, cuts[1:]):
+            runs = [(x.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))))) for x in batch.columns[2:]]
+            for i, (doc, h) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):
+                own = [v[at[i] : at[i + 1]] for v, at in runs]
+                size = int((own[0] & 0xFFFFFFFF).max()) + 1
+                cover = []
+                for v in own:
+                    steps = np.bincount(v >> 32, minlength=size) - np.bincount(v & 0xFFFFFFFF, minlength=size)
+                    cover.append(np.cumsum(steps) > 0)
+                state = cover[0].astype(np.int8) + cover[1]
+                cuts = np.flatnonzero(np.diff(state, prepend=np.int8(0)))
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
                     if state[a]:
-                        for c, v in zip(out, (doc, h, int(a), int(b), bool(state[a] == 2))):
+                        for c, v in zip(out, (doc, h, a, b, bool(state[a] == 2))):
                             c.append(v)
             yield _table(_SEGMENT, out)
 
         return work
 
-    return explode_pass(grouped, [F.col("doc"), F.col("h"), F.col("s")], make, _SEGMENT)
+    return explode_pass(grouped, [F.col("doc"), F.col("h"), F.col("any"), F.col("earlier")], make, _SEGMENT)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
