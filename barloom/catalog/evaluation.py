@@ -268,6 +268,22 @@ def _performance(spark, sf):
     return mt.performance(b, "ts_code", "trade_date", "r")
 
 
+@query(
+    "performance_total_loss",
+    oracle(
+        """select ts_code, product(1 + r) - 1 as total_return, case when product(1 + r) >= 0 then power(product(1 + r), 252.0 / count(*)) - 1 end as annual_return, min(w / nullif(peak, 0) - 1) as max_drawdown
+           from (select *, max(w) over (partition by ts_code order by trade_date rows unbounded preceding) as peak from (select *, product(1 + r) over (partition by ts_code order by trade_date rows unbounded preceding) as w
+           from (select ts_code, trade_date, case when ts_code like '%3' and rn = 200 then -1.0 when ts_code like '%5' and rn % 199 = 0 then -1.5 else close / prev - 1 end::double as r
+           from (select *, row_number() over w0 as rn, lag(close) over w0 as prev from bars window w0 as (partition by ts_code order by trade_date))) where r is not null)) group by ts_code""",
+        nums="total_return annual_return max_drawdown",
+    ),
+)
+def _performance_loss(spark, sf):
+    b = load_bars(spark, sf).withColumns({"rn": BARS.index(), "r0": BARS.pct("close")})
+    r = F.when(F.col("ts_code").endswith("3") & (F.col("rn") == 200), F.lit(-1.0)).when(F.col("ts_code").endswith("5") & (F.col("rn") % 199 == 0), F.lit(-1.5)).otherwise(F.col("r0"))
+    return mt.performance(b.withColumn("r", r), "ts_code", "trade_date", "r").select("ts_code", "total_return", "annual_return", "max_drawdown")
+
+
 QS = ", ".join(f"quantile_cont(score, {q}) as q{int(q * 100)}" for q in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
 
 

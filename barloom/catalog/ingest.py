@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -39,16 +38,7 @@ from barloom.sources import chart, normalize as nz, sinks
 from barloom.sources.bars import load_bars, symbol_bars
 from barloom.sources.contracts import DatasetContract, load_contract, read_by_entity, read_csv, read_parquet
 from barloom.sources.universe import merge_flat
-
-
-def scratch(spark, tag: str) -> str:
-    """Folder for a write-then-read query: beside the checkpoints when the cluster names a folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{tag}-") + "/out"
+from barloom.session import scratch_path
 
 
 @query(
@@ -67,7 +57,7 @@ def _scan(spark, sf):
 
 @query("scan_csv", oracle("select ts_code, trade_date, close, vol from bars", dates="trade_date", nums="close vol"))
 def _scan_csv(spark, sf):
-    path = scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     load_bars(spark, sf).select("ts_code", "trade_date", "close", "vol").write.mode("overwrite").option("header", True).csv(path)
     return read_csv(spark, path, "ts_code string, trade_date date, close double, vol double")
 
@@ -93,7 +83,7 @@ def _contract(spark, sf):
 
 def _entity_folder(spark, sf) -> str:
     """Bars written one folder per symbol."""
-    path = scratch(spark, "entity")
+    path = scratch_path(spark, "entity")
     sinks.write_by_symbol(load_bars(spark, sf), path, overwrite=True)
     return path
 
@@ -137,7 +127,7 @@ def _symbol(spark, sf):
     oracle("select sample_id, ts_code, asof_date, label from samples", SAMPLES_SQL, dates="asof_date", ints="label"),
 )
 def _label_scan(spark, sf):
-    path = scratch(spark, "labels")
+    path = scratch_path(spark, "labels")
     s = samples(spark, sf).select("sample_id", "ts_code", F.col("asof_date").alias("trade_date"), "label")
     s.write.mode("overwrite").option("header", True).csv(path)
     return sinks.read_labels(spark, path).select("sample_id", "ts_code", "asof_date", F.col("label").cast("int").alias("label"))
@@ -180,7 +170,7 @@ def _training(spark, sf):
     oracle("select symbol, count(*) as n, sum(volume) as volume from dirty group by symbol", DIRTY_SQL, nums="volume", ints="n"),
 )
 def _store(spark, sf):
-    store = sinks.MarketStore(spark, scratch(spark, "store"))
+    store = sinks.MarketStore(spark, scratch_path(spark, "store"))
     store.save_daily_prices(dirty(spark, sf), "US")
     return store.load_daily_prices("US").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
 
@@ -217,7 +207,7 @@ def _us_summary(spark, sf):
     ),
 )
 def _cn_export(spark, sf):
-    path = scratch(spark, "cn")
+    path = scratch_path(spark, "cn")
     flat = load_bars(spark, sf).withColumn("trade_date", F.date_format("trade_date", "yyyyMMdd"))
     sinks.export_cn_by_symbol(flat, F.lit(0), path)
     return spark.read.parquet(path)
@@ -237,7 +227,7 @@ def _increment_split(spark, sf):
     oracle("select ts_code, count(*) as n, sum(vol) as vol from increment group by ts_code", INCREMENT_SQL, nums="vol", ints="n"),
 )
 def _increment_sink(spark, sf):
-    path = scratch(spark, "inc")
+    path = scratch_path(spark, "inc")
     sinks.save_increment(increment(spark, sf), path)
     return spark.read.parquet(path).groupBy("ts_code").agg(F.count(F.lit(1)).alias("n"), F.sum("vol").alias("vol"))
 
@@ -248,7 +238,7 @@ def _increment_sink(spark, sf):
 )
 def _failed(spark, sf):
     """Dates with few bars, written as a date to list map and read back."""
-    path = scratch(spark, "failed")
+    path = scratch_path(spark, "failed")
     few = load_bars(spark, sf).groupBy(F.col("trade_date").cast("string").alias("trade_date")).agg(F.collect_set("ts_code").alias("endpoints"))
     sinks.save_failed_dates(few.where(F.size("endpoints") < 20), path)
     return sinks.load_failed_dates(spark, path).select("trade_date", F.size("endpoints").alias("n"))
@@ -367,7 +357,7 @@ def _audit_summary(spark, sf):
            dates="asof_date", nums="best", ints="n"),
 )
 def _ranked_csv(spark, sf):
-    path = scratch(spark, "ranked")
+    path = scratch_path(spark, "ranked")
     ranked = hits(spark, sf).select("ts_code", F.col("phase1_score_mean").alias("score"), F.col("anchor_date").alias("asof_date"))
     sinks.write_ranked_csv(ranked.repartition("asof_date"), path)
     back = spark.read.option("header", True).schema("ts_code string, score double, asof_date date").csv(path)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from barloom.catalog.core import oracle, query
 from barloom.catalog.vectors import VEC_SQL
 from barloom.catalog.views import samples
+from barloom.functions.windows import BARS
 from barloom.operators.features import WINDOW_FEATURES
 from barloom.operators.splits import date_boundary_split
 from barloom.plans import training as tr
@@ -97,6 +98,19 @@ def _pair(spark, sf):
     return with_pair(tr.pair_scorer(a, b, "phase1")(f), "phase1").select("sample_id", "phase1_score_lgbm", "phase1_score_xgb", "phase1_score_mean", "phase1_score_min")
 
 
+@query(
+    "median_imputer",
+    oracle(
+        "select 'close' as feature, median(close) as value from x union all select 'vol', median(vol) from x union all select 'none', 0.0",
+        "x as (select case when rn % 7 = 0 then null else close end as close, vol from (select *, row_number() over (partition by ts_code order by trade_date) as rn from bars))", nums="value",
+    ),
+)
+def _medians(spark, sf):
+    b = load_bars(spark, sf).withColumn("rn", BARS.index())
+    b = b.withColumns({"close": F.when(F.col("rn") % 7 != 0, F.col("close")), "none": F.lit(None).cast("double")})
+    return spark.createDataFrame(list(tr.medians(b, ["close", "vol", "none"]).items()), "feature string, value double")
+
+
 GAP_SCHEMA = T.StructType([T.StructField("ts_code", T.StringType()), T.StructField("asof_date", T.DateType()), T.StructField("gap", T.DoubleType())])
 
 

@@ -33,8 +33,8 @@ MEANS_SQL = f"""mbars as (select *, {roll('avg', 'close', 20)} as ma_bfq_20,
 
 
 def candidates(spark, sf):
-    """Every 50th bar as a candidate: anchored six bars earlier, or ten days earlier for falling bars."""
-    b = load_bars(spark, sf).withColumns({"rn": BARS.index(), "prev6": BARS.lag("trade_date", 6)}).where("rn % 50 = 0")
+    """Every bar as a candidate: anchored six bars earlier, or ten days earlier for falling bars."""
+    b = load_bars(spark, sf).withColumn("prev6", BARS.lag("trade_date", 6))
     anchor = F.when(F.col("close") > F.col("open"), F.col("prev6")).otherwise(F.date_sub("trade_date", 10))
     c = b.select(
         sample_id("ts_code", "trade_date").alias("sample_id"), "ts_code", F.col("trade_date").alias("asof_date"), anchor.alias("best_phase1_date"),
@@ -47,7 +47,7 @@ def candidates(spark, sf):
 CAND_SQL = f"""cand as (select sample_id, case when ts_code like '%7' then concat('X', ts_code) else ts_code end as ts_code, asof_date, best_phase1_date, baseline_score from (
   select concat(ts_code, '_', cast(trade_date as varchar)) as sample_id, ts_code, trade_date as asof_date,
     case when close > open then prev6 else cast(trade_date - 10 as date) end as best_phase1_date, round(close * 7.13::double - floor(close * 7.13::double), 6) * {IRR}::double as baseline_score
-  from (select *, row_number() over w as rn, lag(trade_date, 6) over w as prev6 from bars window w as (partition by ts_code order by trade_date)) where rn % 50 = 0))"""
+  from (select *, lag(trade_date, 6) over w as prev6 from bars window w as (partition by ts_code order by trade_date))))"""
 
 
 def sig(v: str, t: float, k: float, missing: str, sign: int = 1) -> str:

@@ -71,6 +71,20 @@ def _scan_features(spark, sf):
     return f.select("ts_code", *WINDOW_FEATURES)
 
 
+@query(
+    "scan_longer_history",
+    oracle(
+        "select split_part(sample_id, '_', 1) as ts_code, v.* exclude (sample_id) from vec v",
+        VEC_SQL.replace(SAMPLES_SQL, """samples as (select concat(ts_code, '_', 'x') as sample_id, ts_code, max(trade_date) as asof_date from bars
+          where trade_date <= '1997-06-30' group by ts_code having count(*) >= 190)"""),
+        nums=VEC_NUMS,
+    ),
+)
+def _scan_history(spark, sf):
+    """The history asked for is longer than the window: it is counted before the bars are cut."""
+    return scan_features(load_bars(spark, sf), "1997-06-30", 150, 190).select("ts_code", *WINDOW_FEATURES)
+
+
 @query(
     "features_for_dates",
     oracle(

@@ -15,9 +15,9 @@ def frac(column: str, k: float):
     return F.round(v - F.floor(v), 6)
 
 
-def samples(spark: SparkSession, sf: str, every: int = 50, bars: DataFrame | None = None) -> DataFrame:
-    """Every 50th bar per symbol as a labelled sample."""
-    b = (load_bars(spark, sf) if bars is None else bars).withColumn("rn", BARS.index()).where(F.col("rn") % every == 0)
+def samples(spark: SparkSession, sf: str, bars: DataFrame | None = None) -> DataFrame:
+    """Every bar as a labelled sample."""
+    b = load_bars(spark, sf) if bars is None else bars
     return b.select(
         sample_id("ts_code", "trade_date").alias("sample_id"),
         "ts_code",
@@ -28,8 +28,7 @@ def samples(spark: SparkSession, sf: str, every: int = 50, bars: DataFrame | Non
 
 
 SAMPLES_SQL = """samples as (select concat(ts_code, '_', cast(trade_date as varchar)) as sample_id, ts_code,
-  trade_date as asof_date, case when close > open then 1 else 0 end as label, close
-  from (select *, row_number() over (partition by ts_code order by trade_date) as rn from bars) where rn % 50 = 0)"""
+  trade_date as asof_date, case when close > open then 1 else 0 end as label, close from bars)"""
 
 
 def pred(spark: SparkSession, sf: str, k: float) -> DataFrame:
@@ -118,16 +117,11 @@ UNIVERSE_SQL = """universe as (select concat('s', lpad(cast(s_suppkey as varchar
   from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
 
 
-def hits(spark: SparkSession, sf: str, days: int = 60) -> DataFrame:
-    """Scored bars on the last trading dates, ranked per date."""
+def hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored bars of every date, the ten best of each ranked."""
     from barloom.operators.selection import top_per_group
-    from barloom.sources.universe import dense_dates
 
-    b = load_bars(spark, sf)
-    dates = dense_dates(b)
-    last = dates.agg(F.max("pos").alias("n"))
-    recent = dates.join(F.broadcast(last)).where(F.col("pos") > F.col("n") - days).select(F.col("date").alias("trade_date"))
-    s = b.join(F.broadcast(recent), "trade_date", "left_semi").select(
+    s = load_bars(spark, sf).select(
         sample_id("ts_code", "trade_date").alias("sample_id"),
         "ts_code",
         F.col("trade_date").alias("anchor_date"),
@@ -148,8 +142,7 @@ HITS_SQL = """all_dates as (select trade_date as date, row_number() over (order
   from (select distinct trade_date from bars)),
 hit0 as (select concat(ts_code, '_', cast(trade_date as varchar)) as sample_id, ts_code, trade_date as anchor_date,
   round(close * 7.13::double - floor(close * 7.13::double), 6) as phase1_score_lgbm,
-  round(close * 3.77::double - floor(close * 3.77::double), 6) as phase1_score_xgb from bars
-  where trade_date in (select date from all_dates where pos > (select max(pos) from all_dates) - 60)),
+  round(close * 3.77::double - floor(close * 3.77::double), 6) as phase1_score_xgb from bars),
 hit1 as (select *, (phase1_score_lgbm + phase1_score_xgb) / 2 as phase1_score_mean,
   least(phase1_score_lgbm, phase1_score_xgb) as phase1_score_min from hit0),
 hits as (select * from (select *, row_number() over (partition by anchor_date order by phase1_score_mean desc,

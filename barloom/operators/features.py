@@ -57,10 +57,14 @@ def window_vector(bars: DataFrame, window: int = 150, min_history: int = 1) -> D
 
 
 def recent_bars(bars: DataFrame, asof_date: str, window: int) -> DataFrame:
-    """Bars that the windows of one as-of date can touch: the last ``window`` (plus one return) per entity."""
+    """Bars that the windows of one as-of date can touch: the last ``window`` (plus one return) per entity.
+
+    ``history`` counts the entity's bars up to the date, those that are cut off included.
+    """
     upto = bars.where(F.col("trade_date") <= F.lit(asof_date).cast("date"))
     back = F.row_number().over(BARS.whole.orderBy(F.desc("trade_date")))
-    return upto.withColumn("__back", back).where(F.col("__back") <= window + 1).drop("__back")
+    counted = upto.withColumns({"__back": back, "history": F.count(F.lit(1)).over(BARS.whole)})
+    return counted.where(F.col("__back") <= window + 1).drop("__back")
 
 
 def _combine(older: tuple[Column, Column, Column], newer: tuple[Column, Column, Column]):

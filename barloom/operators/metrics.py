@@ -56,12 +56,12 @@ def curve_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
         F.sum("p").alias("P"),
         F.sum("n").alias("N"),
         # pairs where the negative scores lower, ties count half
-        F.sum(F.col("n") * (F.col("cp") - F.col("p") + F.col("p") / 2)).alias("area"),
+        F.sum(F.col("n").cast("double") * (F.col("cp") - F.col("p") + F.col("p") / 2)).alias("area"),
         F.sum(ratio(F.col("cp"), F.col("cp") + F.col("cn")) * F.col("p")).alias("ap"),
     )
     two = (F.col("P") > 0) & (F.col("N") > 0)
     return sums.select(
-        F.when(two, F.try_divide("area", F.col("P") * F.col("N"))).alias("auc"),
+        F.when(two, F.try_divide("area", F.col("P").cast("double") * F.col("N"))).alias("auc"),
         F.when(two, F.try_divide("ap", F.col("P"))).alias("pr_auc"),
     )
 
@@ -127,24 +127,31 @@ def score_summary(df: DataFrame, column: str) -> DataFrame:
 def performance(df: DataFrame, entity: str, time: str, ret: str, periods_per_year: int = 252) -> DataFrame:
     """Total and annual return, volatility, Sharpe and drawdown per return series.
 
-    A series has one return per period, so the running wealth is a calendar-bounded window.
+    A series has one return per period, so the running wealth is a calendar-bounded window.  A return of -1 leaves
+    nothing from then on, and one below -1 turns the sign; an annual return of negative wealth is unknown.
     """
     spec = W.partitionBy(entity).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
-    r = F.coalesce(F.col(ret), F.lit(0.0))
-    wealth = df.where(F.col(ret).isNotNull()).withColumn("__w", F.exp(F.sum(F.log1p(r)).over(spec)))
+    growth = F.col(ret) + 1
+
+    def product(over=lambda c: c):
+        size = F.exp(over(F.sum(F.log(F.abs(F.when(growth != 0, growth))))))
+        sign = 1 - 2 * (over(F.count_if(growth < 0)) % 2)
+        return F.when(over(F.count_if(growth == 0)) > 0, F.lit(0.0)).otherwise(sign * size)
+
+    wealth = df.where(F.col(ret).isNotNull()).withColumn("__w", product(lambda c: c.over(spec)))
     wealth = wealth.withColumn("__peak", F.max("__w").over(spec))
     out = wealth.groupBy(entity).agg(
-        F.exp(F.sum(F.log1p(F.col(ret)))).alias("__total"),
+        product().alias("__total"),
         F.count(ret).alias("__n"),
         F.stddev_pop(ret).alias("__sd"),
         F.avg(ret).alias("__mean"),
-        F.min(F.col("__w") / F.col("__peak") - 1).alias("max_drawdown"),
+        F.min(F.try_divide(F.col("__w"), F.col("__peak")) - 1).alias("max_drawdown"),
     )
     year = F.lit(float(periods_per_year))
     return out.select(
         entity,
         (F.col("__total") - 1).alias("total_return"),
-        (F.pow("__total", year / F.col("__n")) - 1).alias("annual_return"),
+        (F.pow(F.when(F.col("__total") >= 0, F.col("__total")), year / F.col("__n")) - 1).alias("annual_return"),
         (F.col("__sd") * F.sqrt(year)).alias("volatility"),
         (F.try_divide(F.col("__mean"), non_zero(F.col("__sd"))) * F.sqrt(year)).alias("sharpe"),
         "max_drawdown",

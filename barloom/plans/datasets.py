@@ -50,10 +50,10 @@ def build_tabular(samples: DataFrame, bars: DataFrame, min_history: int = 252, m
 def scan_features(bars: DataFrame, asof_date: str, window: int = 150, min_history: int = 1, exact: bool = False) -> DataFrame:
     """Feature rows of every entity for one date; with ``exact`` only entities with a bar on that date.
 
-    Only the last bars of each entity enter the window stage.
+    Only the last bars of each entity enter the window stage; the history is counted before they are cut out.
     """
-    last = recent_bars(bars, asof_date, window)
-    vector = window_vector(last, window, min_history)
+    last = recent_bars(bars, asof_date, window).where(F.col("history") >= max(window, min_history)).drop("history")
+    vector = window_vector(last, window)
     newest = F.max("trade_date").over(_entity())
     # a cut history loses positions, so the newest bar is found by date
     out = vector.withColumn("__last", newest).where("trade_date = __last").drop("__last")
@@ -76,7 +76,7 @@ def features_for_dates(
 ) -> DataFrame:
     """Feature rows for a set of dates at once: (date x entity) meets the last bar on or before the date.
 
-    ``dates`` is a bounded list of trading dates; ``codes`` optionally gives (ts_code) or (asof_date, ts_code).
+    ``dates`` is a table of trading dates; ``codes`` optionally gives (ts_code) or (asof_date, ts_code).
     """
     wanted = bars.select("ts_code").distinct()
     if codes is not None and "asof_date" in codes.columns:
@@ -84,17 +84,11 @@ def features_for_dates(
     else:
         if codes is not None:
             wanted = wanted.join(codes.select("ts_code").distinct(), "ts_code", "left_semi")
-        # every entity is scored on every wanted date by definition; the date list is the small side
-        keys = wanted.select("ts_code", F.explode(F.array(*[F.lit(d) for d in _date_list(dates)])).alias("asof_date"))
+        # every entity is scored on every wanted date by definition; one row holds the dates, bounded by the calendar
+        listed = dates.select("asof_date").distinct().groupBy(F.lit(1).alias("__one")).agg(F.collect_list("asof_date").alias("__dates"))
+        keys = wanted.withColumn("__one", F.lit(1)).join(F.broadcast(listed), "__one").select("ts_code", F.explode("__dates").alias("asof_date"))
     vector = window_vector(bars.join(keys.select("ts_code").distinct(), "ts_code", "left_semi"), window, min_history)
     right = vector.withColumnRenamed("trade_date", "asof_date").drop("pos")
     out = asof_join(keys, right, "asof_date", "ts_code", bounded=True, matched_on="bar_date").where("bar_date is not null")
     return out.select(sample_id("ts_code", "asof_date").alias("sample_id"), "ts_code", "asof_date", *WINDOW_FEATURES)
 
-
-def _date_list(dates: DataFrame, limit: int = 5000) -> list:
-    """Dates as literals; bounded by the calendar."""
-    rows = [r[0] for r in dates.select("asof_date").distinct().orderBy("asof_date").limit(limit + 1).collect()]
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} dates; pass (asof_date, ts_code) keys instead")
-    return rows or [None]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,22 +67,32 @@ class Scaler:
         return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in self.stats.items()})
 
 
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact median per column, NaN as missing; a column without a value gets 0.
+
+    Values are counted per column and value before they are ordered, so a frequent value is one row.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    counts = df.select(pairs.alias("p")).select("p.c", "p.v").where("v is not null and not isnan(v)").groupBy("c", "v").agg(F.count("*").alias("n"))
+    found = {r["c"]: r["m"] for r in counts.groupBy("c").agg(F.expr("percentile(v, 0.5, n)").alias("m")).collect()}
+    return {c: found.get(i, 0.0) for i, c in enumerate(columns)}
+
+
 class Scored:
-    """A fitted model with its preparation."""
+    """A fitted model with its preparation; ``imputed`` has the value per column that replaces a missing one, else 0 does."""
 
-    def __init__(self, columns: list[str], imputed: bool, scaler: Scaler | None, model: PipelineModel) -> None:
+    def __init__(self, columns: list[str], imputed: dict[str, float] | None, scaler: Scaler | None, model: PipelineModel) -> None:
         self.columns, self.imputed, self.scaler, self.model = columns, imputed, scaler, model
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        """Positive-class probability.  Key columns are not features; an unimputed model reads missing values as 0."""
+        """Positive-class probability.  Key columns are not features."""
         missing = [c for c in self.columns if c not in df.columns]
         if missing:
             raise ValueError(f"feature columns missing: {missing}")
         keep = df.columns
         temp = {c: f"__f_{i}" for i, c in enumerate(self.columns)}
         out = df.withColumns({t: F.col(c).cast("double") for c, t in temp.items()})
-        if not self.imputed:
-            out = out.na.fill(0.0, list(temp.values()))
+        out = out.na.fill({t: (self.imputed or {}).get(c, 0.0) for c, t in temp.items()})
         if self.scaler:
             out = out.withColumns({temp[c]: (F.col(temp[c]) - F.lit(m)) / F.lit(s) for c, (m, s) in self.scaler.stats.items()})
         out = self.model.transform(out)
@@ -133,18 +143,13 @@ def fit(
     temp = [f"__f_{i}" for i in range(len(features))]
     df = train.withColumns({t: F.col(c).cast("double") for c, t in zip(features, temp)})
     df = balanced_weights(df, balanced)
-    stages, scaler = [], None
-    if impute:
-        stages.append(Imputer(strategy="median", inputCols=temp, outputCols=temp))
-        df = df.withColumns({t: F.coalesce(t, F.lit(float("nan"))) for t in temp})
-    else:
-        df = df.na.fill(0.0, temp)
+    scaler, filler = None, medians(train, features) if impute else None
+    df = df.na.fill({t: (filler or {}).get(c, 0.0) for c, t in zip(features, temp)})
     if scale:
-        raw = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(None if impute else 0.0).cast("double")).alias(c) for c in features])
-        scaler = Scaler(features).fit(raw)
+        scaler = Scaler(features).fit(df.select(*[F.col(t).alias(c) for c, t in zip(features, temp)]))
         df = df.withColumns({t: (F.col(t) - F.lit(scaler.stats[c][0])) / F.lit(scaler.stats[c][1]) for c, t in zip(features, temp)})
-    stages += [VectorAssembler(inputCols=temp, outputCol="__x"), estimator(name, seed, **params)]
-    return Scored(features, impute, scaler, Pipeline(stages=stages).fit(df))
+    stages = [VectorAssembler(inputCols=temp, outputCol="__x"), estimator(name, seed, **params)]
+    return Scored(features, filler, scaler, Pipeline(stages=stages).fit(df))
 
 
 def train(df: DataFrame, name: str = "logistic_regression", threshold: float = 0.5, evaluator: Callable | None = None, **params):
@@ -185,7 +190,7 @@ def scan(
     bars: DataFrame, model: Scored, asof_date: str, window: int = 120, min_history: int = 160, *, exact: bool = False, gate: NewHigh | None = None
 ) -> DataFrame:
     """Score every entity on a date, optionally only those near their high, whose factor multiplies the score."""
-    f = scan_features(bars, asof_date, max(window, min_history) if min_history > window else window, min_history, exact)
+    f = scan_features(bars, asof_date, window, min_history, exact)
     if gate is not None:
         g = with_new_high(bars, gate).select("ts_code", "trade_date", *NEW_HIGH_COLUMNS).where("new_high_review_pass")
         f = f.join(g, ["ts_code", "trade_date"])

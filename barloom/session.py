@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def build_session(app_name: str = "barloom", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -25,14 +27,22 @@ def build_session(app_name: str = "barloom", master: str | None = None, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to a scratch folder only when none is set (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; in local mode, where one machine runs all, a folder of its own will do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared checkpoint folder, for tables that are written and read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table that several later stages read, and continue from it; its partitioning stays known to the planner."""
     ensure_checkpoint_dir(df.sparkSession)

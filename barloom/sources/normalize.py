@@ -86,6 +86,8 @@ def daily_with_units(
         "vol": 100.0 if vol_unit == "lots" else 1.0,
         "amount": 1000.0 if amount_unit == "thousand_yuan" else 1.0,
     }
+    if duplicates != "raise" and order is None:
+        raise ValueError("keeping the first or last of repeated rows needs an order")
     order = F.lit(0) if order is None else (F.col(order) if isinstance(order, str) else order)
     out = df.select(
         "ts_code",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.cols import holds
 from barloom.functions.cols import lenient_date
+from barloom.operators.schema import first_per_key
 
 
 def stock_basic(df: DataFrame) -> DataFrame:
@@ -60,7 +61,8 @@ def trading_universe(
     df = df.where(F.col("total_mv").between(min_total_mv, max_total_mv))
     for suffix, other in (optional or {}).items():
         df = merge_optional(df, other, suffix)
-    return df.dropDuplicates(["ts_code", "trade_date"])
+    keys = ["ts_code", "trade_date"]
+    return first_per_key(df, keys, [F.col(c).asc_nulls_last() for c in df.columns if c not in keys])
 
 
 def merge_flat(frames: list[DataFrame]) -> DataFrame:
