@@ -25,6 +25,8 @@ FEATURES = (
 )
 #: Shrinkage toward the diagonal and toward the mean variance, and the least variance of a feature.
 TO_DIAGONAL, TO_IDENTITY, LEAST_VARIANCE = 0.1, 0.02, 1e-4
+#: Added to what a share is taken of, so that a few words do not make an extreme one.
+SMOOTH = 8
 #: A document with a score of at least this is predicted as good.
 THRESHOLD = 0.3
 
@@ -49,7 +51,7 @@ def statistics(text: str | None) -> list[float]:
     triples = max(1, n - 2)
     repeated = 1 - len(set(zip(words, words[1:], words[2:]))) / triples if n > 3 else 0.0
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    share = lambda x, of: float(np.arcsin(np.sqrt(min(1.0, max(0.0, x / of)))))
+    share = lambda x, of: float(np.arcsin(np.sqrt(min(1.0, max(0.0, x / (of + SMOOTH))))))
     return [
         float(np.log1p(n)),
         float(np.log(chars / n)),
@@ -62,7 +64,7 @@ def statistics(text: str | None) -> list[float]:
         share(int(counts[44]), n),
         share(int(counts[0xC0:].sum()), letters),
         float(np.log(len(seen)) / np.log(n)) if n > 1 else 1.0,
-        share(repeated, 1),
+        share(repeated * triples, triples),
         share(max(seen.values()) - 1, n),
         share(len(lines) - len(set(lines)), len(lines)),
         float(np.log1p(len(raw) / len(lines))),
@@ -174,12 +176,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that the classifier does not reject, with the columns of ``docs``.
 
-    The model is fitted on the labelled rows alone; the scoring pass carries all columns through, so no row has to be
-    found again by its id.
+    One pass makes the statistics that the labels are joined to, so no text is shuffled; the scoring pass carries all
+    columns through, so no row has to be found again by its id.
     """
-    known = labelled(labels, "quality", id_col)
-    train = docs.join(known.where(id_fold("__id", 5) != 0), q(id_col) == F.col("__id"), "left_semi")
-    model = fit(with_statistics(train, text, keep=[id_col]), labels, id_col)
+    model = fit(with_statistics(docs, text, keep=[id_col]), labels, id_col)
     if model is None:
         return docs
 
