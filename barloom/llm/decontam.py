@@ -30,11 +30,14 @@ PASSAGE = 64
 #: Dimensions of the latent space, extra columns of the random test matrix, and power iterations.
 RANK, EXTRA, ITERATIONS = 96, 8, 2
 #: Least cosine of a candidate, least common subsequence of a leak and of a paraphrase (shares of the item's words).
-COSINE, LEAK, PARAPHRASE = 0.35, 0.7, 0.5
+COSINE, LEAK, PARAPHRASE = 0.4, 0.7, 0.5
+#: Share of the item's rare words that have to occur around the window, in any order.  At least half of a passage that
+#: occurs in a text lies in one window, so half of this share of its rare words has to lie in the window itself.
+CONTENT = 0.5
 #: Share of the item's words that count as its answer, the least of them, and the share of these that has to be there.
 ANSWER, ANSWER_WORDS, ANSWER_FOUND = 0.2, 3, 0.8
-#: A word in more than this share of the documents is common: it weighs little and cannot make a window worth a look.
-COMMON, COMMON_WEIGHT = 0.05, 0.05
+#: A word in more than this share of the documents is common and weighs nothing, unless its item has too few rare words.
+COMMON, LEAST_RARE = 0.05, 3
 #: Benchmark words in a block of items; larger benchmarks are searched block by block.
 BLOCK_WORDS = 2_000_000
 #: Raw words that a task remembers.
@@ -44,27 +47,32 @@ _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words in lower case without marks at their ends; words of marks alone drop out."""
-    return [w for raw in (text or "").split() if (w := raw.strip(_MARKS).lower())]
+    """Words (runs of anything but ASCII white space) in lower case without marks at their ends; marks alone drop out."""
+    return [w for raw in (text or "").encode("utf-8", "replace").split() if (w := raw.decode("utf-8").strip(_MARKS).lower())]
+
+
+class _Known(dict):
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, raw: bytes) -> int:
+        w = raw.decode("utf-8").strip(_MARKS).lower()
+        n = self[raw] = self.vocabulary.get(w, 0) if w else -1
+        return n
 
 
 class Numbers:
-    """Numbers of raw words: 0 for a word outside the vocabulary, -1 for no word, with a bounded memory."""
+    """Numbers of raw words: 0 for a word outside the vocabulary, words of marks alone left out; bounded memory."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
+        self.known = _Known(vocabulary)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        known, vocabulary, out = self.known, self.vocabulary, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        for raw in (text or "").split():
-            n = known.get(raw)
-            if n is None:
-                w = raw.strip(_MARKS).lower()
-                n = known[raw] = vocabulary.get(w, 0) if w else -1
-            out.append(n)
-        a = np.array(out, np.int32)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        words = (text or "").encode("utf-8", "replace").split()
+        a = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         return a[a >= 0] if len(a) and a.min() < 0 else a
 
 
@@ -131,15 +139,16 @@ def document_frequency(docs: DataFrame, items: Items, text: str = "text") -> tup
     return int(total[0]), total
 
 
-def weights_of(documents: int, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight per word number, and which words are rare; number 0 weighs nothing."""
+def weights_of(documents: int, frequency: np.ndarray, items: Items) -> np.ndarray:
+    """Weight per word number: the inverse document frequency of rare words, zero for common ones and number 0."""
     share = (frequency + 1) / (documents + 1)
-    rare = share <= COMMON
-    weight = np.where(rare, -np.log(share), COMMON_WEIGHT)
-    weight[0], rare[0] = 0.0, False
-    if not rare.any():  # a corpus too small to tell; every word counts
-        rare[1:], weight[1:] = True, 1.0
-    return weight, rare
+    idf = np.maximum(0.01, -np.log(np.minimum(1.0, share)))
+    weight = np.where(share <= COMMON, idf, 0.0)
+    weight[0] = 0.0
+    for words in items.words:
+        if np.count_nonzero(weight[np.unique(words)]) < LEAST_RARE:
+            weight[words] = idf[words]
+    return weight
 
 
 def _vector(words: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,62 +212,94 @@ class Search:
     """Everything a task needs to find the items of one block in a text."""
 
     items: Items
-    rare: np.ndarray
     latent: np.ndarray
+    rare: np.ndarray
     passages: np.ndarray
     owner: np.ndarray
-    need: int
 
     @classmethod
     def build(cls, docs: DataFrame, items: Items, text: str = "text") -> Search:
         documents, frequency = document_frequency(docs, items, text)
-        weight, rare = weights_of(documents, frequency)
-        vectors = randomised_svd(docs.sparkSession, items, weight)
+        weight = weights_of(documents, frequency, items)
+        return cls.of(items, weight, randomised_svd(docs.sparkSession, items, weight))
+
+    @classmethod
+    def of(cls, items: Items, weight: np.ndarray, vectors: np.ndarray) -> Search:
         latent = (weight[:, None] * vectors).astype(np.float32)
         queries = np.array([latent[p].sum(axis=0) for _, p in items.passages()], np.float32)
         queries /= np.maximum(1e-12, np.linalg.norm(queries, axis=1, keepdims=True))
-        least = min(len(np.unique(w[rare[w]])) for w in items.words)
-        return cls(items, rare, latent, queries, np.array([i for i, _ in items.passages()]), min(3, least // 3))
+        return cls(items, latent, weight > 0, queries, np.array([i for i, _ in items.passages()]))
 
     def __post_init__(self):
-        self.masks = []
+        self.masks, self.content = [], []
         for words in self.items.words:
             masks: dict[int, int] = {}
             for i, w in enumerate(words.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
+            self.content.append(np.unique(words[self.rare[words]]))
+        # passages by rare word, as one list with the start of each word's part
+        pairs = [(w, p) for p, (_, words) in enumerate(self.items.passages()) for w in np.unique(words[self.rare[words]]).tolist()]
+        word, self.holders = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
+        self.first = np.searchsorted(word, np.arange(len(self.rare) + 1))
+        self.wanted = CONTENT / 2 * np.bincount(self.holders, minlength=len(self.owner))
 
     def found(self, ids: np.ndarray) -> dict[int, tuple]:
         """Item number -> (common words, start, end, cosine, answer found) of the best window, for confirmed items."""
-        n = len(ids)
         out: dict[int, tuple] = {}
-        if not n:
+        at = np.flatnonzero(self.rare[ids])
+        if not len(at):
             return out
-        start = np.fromiter(_starts(n), np.int64)
+        n = len(ids)
+        start = np.arange(0, max(1, n - PASSAGE // 2), PASSAGE // 2)
         end = np.minimum(start + PASSAGE, n)
-        seen = np.concatenate(([0], np.cumsum(self.rare[ids])))
-        for k in np.flatnonzero(seen[end] - seen[start] >= self.need).tolist():
-            a, b = int(start[k]), int(end[k])
-            window = ids[a:b]
-            v = self.latent[window[window > 0]].sum(axis=0)
-            size = float(np.linalg.norm(v))
-            if size < 1e-9:
-                continue
-            cosines = self.passages @ (v / size)
-            for p in np.flatnonzero(cosines >= COSINE).tolist():
-                self._check(int(self.owner[p]), ids, a, b, float(cosines[p]), out)
+        # latent vectors of all windows as differences of running sums over the weighted words
+        sums = np.zeros((len(at) + 1, self.latent.shape[1]))
+        np.cumsum(self.latent[ids[at]], axis=0, out=sums[1:])
+        a, b = np.searchsorted(at, start), np.searchsorted(at, end)
+        some = np.flatnonzero(b > a)
+        vectors = sums[b[some]] - sums[a[some]]
+        vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
+        content = self._content(ids[at], a[some], b[some])
+        for at_ in range(0, len(some), 4096):
+            cosines = vectors[at_ : at_ + 4096].astype(np.float32) @ self.passages.T
+            for k, p in zip(*(x.tolist() for x in np.nonzero((cosines >= COSINE) & content(at_, at_ + 4096)))):
+                window = some[at_ + k]
+                self._check(int(self.owner[p]), ids, int(start[window]), int(end[window]), float(cosines[k, p]), out)
         return out
 
+    def _content(self, words: np.ndarray, a: np.ndarray, b: np.ndarray):
+        """Function of a range of windows: which passages have enough of their rare words in each of them.
+
+        ``words`` are the rare words of the text, ``a`` and ``b`` the first and the last (exclusive) of each window.
+        """
+        size = len(self.owner)
+
+        def enough(lo: int, hi: int) -> np.ndarray:
+            lo_, hi_ = a[lo:hi], b[lo:hi]
+            span = hi_ - lo_
+            window = np.repeat(np.arange(len(span)), span)
+            held = words[np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(lo_, span)]
+            window, held = np.divmod(np.unique(window * len(self.rare) + held), len(self.rare))
+            count = self.first[held + 1] - self.first[held]
+            passage = self.holders[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[held], count)]
+            found = np.bincount(np.repeat(window, count) * size + passage, minlength=len(span) * size)
+            return found.reshape(len(span), size) >= self.wanted
+
+        return enough
+
     def _check(self, item: int, ids: np.ndarray, a: int, b: int, cosine: float, out: dict[int, tuple]) -> None:
         words = self.items.words[item]
         n = len(words)
         lo, hi = max(0, a - n), min(len(ids), b + n)
-        near = ids[lo:hi].tolist()
-        common = common_subsequence(self.masks[item], n, near)
+        near, content = ids[lo:hi], self.content[item]
+        if np.isin(content, near).sum() < CONTENT * len(content):
+            return
+        common = common_subsequence(self.masks[item], n, near.tolist())
         if common < PARAPHRASE * n or (item in out and out[item][0] >= common):
             return
         tail = set(words[-max(ANSWER_WORDS, round(ANSWER * n)) :].tolist())
-        answer = len(tail & set(near)) >= ANSWER_FOUND * len(tail)
+        answer = len(tail.intersection(near.tolist())) >= ANSWER_FOUND * len(tail)
         if common >= LEAK * n or answer:
             out[item] = (common, lo, hi, cosine, answer)
 
