@@ -124,11 +124,19 @@ def shifted(spark, sf):
 
 @query(
     "history_window",
-    oracle('select sample_id, ts_code, asof_date, "offset", trade_date, close, label from win', WINDOW_SQL,
-           dates="asof_date trade_date", nums="close", ints='"offset" label').replace('as bigint) as "offset"', 'as bigint) as "offset"'),
+    oracle(
+        """select sample_id, ts_code, asof_date, label, count(*) as n_rows, min(trade_date) as first_date, max(trade_date) as last_date, count(distinct "offset") as offsets,
+           sum(("offset" + 1) * cast(round(close * 10000) as bigint)) as placed_close from win group by sample_id, ts_code, asof_date, label""",
+        WINDOW_SQL, dates="asof_date first_date last_date", ints="label n_rows offsets placed_close",
+    ),
 )
 def _window(spark, sf):
-    return hs.history_window(shifted(spark, sf), load_bars(spark, sf), 60, 120, ["trade_date", "close"])
+    """One row per sample with sums over its window, so that every bar can be a sample."""
+    w = hs.history_window(shifted(spark, sf), load_bars(spark, sf), 60, 120, ["trade_date", "close"])
+    return w.groupBy("sample_id", "ts_code", "asof_date", "label").agg(
+        F.count("*").alias("n_rows"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"), F.count_distinct("offset").alias("offsets"),
+        F.sum((F.col("offset") + 1) * F.round(F.col("close") * 10000).cast("bigint")).alias("placed_close"),
+    )
 
 
 @query(

@@ -139,17 +139,23 @@ def _trend(spark, sf):
 HIST_SQL = CAND_SQL + """, hx as (select *, row_number() over (partition by ts_code order by trade_date) as rn from bars),
 hw as (select c.sample_id, c.ts_code, c.asof_date, b.close, b.vol, b.rn, e.rn as ern, e.close as now from cand c join hx e on e.ts_code = c.ts_code and e.trade_date = c.asof_date
   join hx b on b.ts_code = c.ts_code and b.rn between e.rn - 149 and e.rn),
-hb as (select *, min(close) over (partition by sample_id) as lo, max(close) over (partition by sample_id) as hi from hw),
+hb0 as (select *, min(close) over (partition by sample_id) as lo0, max(close) over (partition by sample_id) as hi0 from hw),
+hb as (select * exclude (lo0, hi0), case when lo0 = hi0 then lo0 - greatest(abs(lo0) * 0.001, 0.01) else lo0 end as lo, case when lo0 = hi0 then hi0 + greatest(abs(lo0) * 0.001, 0.01) else hi0 end as hi from hb0),
 hc as (select *, least(49, cast(floor((close - lo) / (hi - lo) * 50) as int)) as bin, least(49, cast(floor((now - lo) / (hi - lo) * 50) as int)) as nbin from hb)"""
 
 
 @query(
     "price_histogram",
-    oracle("select sample_id, bin, sum(vol) as volume, any_value(nbin) as last_bin, any_value(lo) as bin_low, any_value(hi) as bin_high from hc group by sample_id, bin", HIST_SQL,
-           nums="volume bin_low bin_high", ints="bin last_bin"),
+    oracle("select sample_id, count(distinct bin) as bins, sum(vol) as volume, sum(bin * vol) as placed_volume, any_value(nbin) as last_bin, any_value(lo) as bin_low, any_value(hi) as bin_high from hc group by sample_id", HIST_SQL,
+           nums="volume placed_volume bin_low bin_high", ints="bins last_bin"),
 )
 def _histogram(spark, sf):
-    return rv.price_histogram(rv.history_span(candidates(spark, sf).select(*rv.KEYS), load_bars(spark, sf), 150))
+    """One row per candidate with sums over its bins, so that every bar can be a candidate."""
+    h = rv.price_histogram(rv.history_span(candidates(spark, sf).select(*rv.KEYS), load_bars(spark, sf), 150))
+    return h.groupBy("sample_id").agg(
+        F.count("*").alias("bins"), F.sum("volume").alias("volume"), F.sum(F.col("bin") * F.col("volume")).alias("placed_volume"),
+        F.max("last_bin").alias("last_bin"), F.min("bin_low").alias("bin_low"), F.max("bin_high").alias("bin_high"),
+    )
 
 
 @query(
@@ -216,9 +222,10 @@ CHIP_SQL = CAND_SQL + f""", sbars as (select * replace (close * {IRR}::double as
 ) + """, case when day(trade_date) % 5 <> 0 then avg(close) over f end as weight_avg, case when day(trade_date) % 5 <> 0 then avg(case when close > open then 1.0 else 0.0 end) over f end as winner_rate
   from sbars window f as (partition by ts_code order by trade_date rows 29 preceding)),
 cz as (select c.*, (select max(rn) from chip x where x.ts_code = c.ts_code and x.trade_date <= c.asof_date) as z, (select max(rn) from chip x where x.ts_code = c.ts_code and x.trade_date < c.best_phase1_date) as a,
-  (select max(rn) from chip x where x.ts_code = c.ts_code and x.trade_date <= c.asof_date and x.weight_avg is not null) as k from cand c),
-cm as (select cz.sample_id, avg(weight_avg) filter (where rn <= a and rn > a - 60) as pw, avg(weight_avg) filter (where rn > a) as qw, avg(winner_rate) filter (where rn <= a and rn > a - 60) as pr,
-  avg(winner_rate) filter (where rn > a) as qr from cz join chip b on b.ts_code = cz.ts_code and b.rn <= cz.z group by cz.sample_id)"""
+  coalesce((select max(rn) from chip x where x.ts_code = c.ts_code and x.trade_date <= c.asof_date and x.weight_avg is not null),
+    (select max(rn) from chip x where x.ts_code = c.ts_code and x.trade_date <= c.asof_date)) as k from cand c),
+cm as (select cz.sample_id, avg(weight_avg) filter (where rn <= a and rn > a - 60) as pw, avg(weight_avg) filter (where case when best_phase1_date is null then rn > z - 60 else rn > coalesce(a, 0) end) as qw, avg(winner_rate) filter (where rn <= a and rn > a - 60) as pr,
+  avg(winner_rate) filter (where case when best_phase1_date is null then rn > z - 60 else rn > coalesce(a, 0) end) as qr from cz join chip b on b.ts_code = cz.ts_code and b.rn <= cz.z group by cz.sample_id)"""
 CHIP_NUMS = (
     "chip_current_close chip_cost_5pct chip_cost_15pct chip_cost_50pct chip_cost_85pct chip_cost_95pct chip_weight_avg chip_winner_rate chip_price_vs_cost_50 chip_price_vs_cost_85 chip_price_vs_cost_95 "
     "chip_price_vs_weight_avg chip_cost_band_width_15_85 chip_cost_band_width_5_95 chip_pre_weight_avg_mean chip_post_weight_avg_mean chip_center_shift chip_pre_winner_rate_mean chip_post_winner_rate_mean chip_winner_rate_change"
