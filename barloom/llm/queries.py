@@ -97,4 +97,47 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply_rules(table(spark, sf_dir, "documents"))
+    judged = rules.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def rules_sql() -> str:
+    """Operator 10 in SQL, written from its definition."""
+    quoted = lambda words: ", ".join("'" + w + "'" for w in words)
+    forms = sorted({f for ws in rules.COMMON_WORDS.values() for w in ws for f in (w, w.capitalize(), w.upper())})
+    space = r"[\x20\x09-\x0D]+"
+    classes = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "mark": r"""[.,;:!?''"()-]""", "symbol": "[#*$%&|<>]"}
+    counted = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) as c_{n}" for n, p in classes.items())
+    names = [*classes, "rest"]
+    term = lambda a, b: f"case when {a} > 0 then {a} * log2(2 * {a} / ({a} + {b})) else 0 end"
+    parts = " + ".join(f"0.5 * ({term(f'p_{n}', f'q_{n}')} + {term(f'q_{n}', f'p_{n}')})" for n in names)
+    return f"""
+with d as (select doc_id, lang, coalesce(text, '') as t from documents),
+w as materialized (select doc_id, lang, t, list_filter(regexp_split_to_array(t, '{space}'), lambda x: x <> '') as ws,
+  length(regexp_replace(t, '{space}', '', 'g')) as word_chars, {counted} from d),
+n as materialized (select *, len(ws) as n_words, word_chars - ({" + ".join("c_" + c for c in classes)}) as c_rest from w),
+win as (select doc_id, i, list_slice(ws, i, i + 4) as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from win) where c > 1),
+rep as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) as p from twice) group by doc_id),
+dup as (select doc_id, count(*) - count(distinct l) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as l from w)
+  where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id),
+share as materialized (select doc_id, lang, {", ".join(f"c_{c} / greatest(word_chars, 1) as p_{c}" for c in names)}, word_chars from n),
+langs as (select lang, {", ".join(f"avg(p_{c}) filter (where word_chars > 0) as q_{c}" for c in names)} from share where lang is not null group by lang),
+word as materialized (select doc_id, lang, lower(x) as word, count(*) as k from (select doc_id, lang, unnest(ws) as x from w) where x in ({quoted(forms)}) group by doc_id, lang, lower(x)),
+p as (select doc_id, word, k / sum(k) over (partition by doc_id) as p from word),
+q as (select lang, word, sum(k) / sum(sum(k)) over (partition by lang) as q from word where lang is not null group by lang, word),
+cd as (select s.doc_id, l.lang, sqrt(greatest(0, {parts})) as c from share s cross join langs l),
+wd as (select doc_id, lang, sqrt(greatest(0, sum(0.5 * ({term("p", "q")} + {term("q", "p")})) + 0.5 * greatest(0, 1 - sum(q)))) as x
+  from (select p.doc_id, l.lang, p.p, coalesce(q.q, 0) as q from p cross join langs l left join q on q.lang = l.lang and q.word = p.word) group by doc_id, lang),
+far as (select cd.doc_id, cd.lang, c, coalesce(x, sqrt(0.5 * (select sum(q) from q where q.lang = cd.lang))) as x from cd left join wd using (doc_id, lang)),
+near as (select doc_id, bool_or((n.word_chars < {rules.MIN_CHARS} or c <= {rules.CLASS_LIMIT}) and (n_words < {rules.MIN_WORDS} or coalesce(x, 0) <= {rules.WORD_LIMIT})) as near
+  from far join n using (doc_id) group by doc_id),
+base as (select doc_id, n_words, n.word_chars, c_symbol as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from n left join dup using (doc_id) left join rep using (doc_id))
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and coalesce(near, true) as kept
+from base left join near using (doc_id)
+"""
+
+
+ORACLES["op10_quality_rules"] = rules_sql()
