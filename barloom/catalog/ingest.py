@@ -239,8 +239,10 @@ def _increment_sink(spark, sf):
 def _failed(spark, sf):
     """Dates with few bars, written as a date to list map and read back."""
     path = scratch_path(spark, "failed")
-    few = load_bars(spark, sf).groupBy(F.col("trade_date").cast("string").alias("trade_date")).agg(F.collect_set("ts_code").alias("endpoints"))
-    sinks.save_failed_dates(few.where(F.size("endpoints") < 20), path)
+    b = load_bars(spark, sf).select(F.col("trade_date").cast("string").alias("trade_date"), "ts_code")
+    # counted first: only the codes of dates with few of them are listed
+    few = b.groupBy("trade_date").agg(F.count_distinct("ts_code").alias("n")).where("n < 20").select("trade_date")
+    sinks.save_failed_dates(b.join(few, "trade_date").groupBy("trade_date").agg(F.collect_set("ts_code").alias("endpoints")), path)
     return sinks.load_failed_dates(spark, path).select("trade_date", F.size("endpoints").alias("n"))
 
 

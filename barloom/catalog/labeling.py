@@ -15,18 +15,18 @@ from barloom.sources.universe import dense_dates
 
 
 def positive_candidates(spark, sf):
-    """Scored samples as candidates: lower-case codes, repeated rows, some without confidence."""
-    p = pred(spark, sf, 7.13).where("score >= 0.7")
+    """The rare highest scores over all bars as candidates: lower-case codes, repeated rows, some without confidence."""
+    p = pred(spark, sf, 7.13).where("score >= 0.994")
     base = p.select(
         "sample_id", F.lower("ts_code").alias("ts_code"), F.col("asof_date").cast("string").alias("asof_date"), F.col("score").cast("string").alias("candidate_score"),
-        F.when(F.col("score") > 0.9, F.lit("0.8")).alias("confidence"), F.lit("long_base_recent_breakout").alias("pattern_stage"),
+        F.when(F.col("score") > 0.998, F.lit("0.8")).alias("confidence"), F.lit("long_base_recent_breakout").alias("pattern_stage"),
     )
     twin = base.withColumns({"sample_id": F.concat("sample_id", F.lit("b")), "candidate_score": F.lit("0.1"), "confidence": F.lit("0.2")})
     return base.unionByName(twin)
 
 
 POS_SQL = PREDS_SQL + """, posl as (select concat(ts_code, '_', cast(asof_date as varchar), '_long_base_breakout_pos') as sample_id, ts_code, asof_date, 1 as label, 'rule_long_base_breakout' as label_source,
-  case when score > 0.9 then 0.8 else 0.7 end as confidence, 'long_base_breakout' as pattern_type, 'long_base_breakout' as source_miner, score as candidate_score, 'long_base_recent_breakout' as pattern_stage from pred_a where score >= 0.7)"""
+  case when score > 0.998 then 0.8 else 0.7 end as confidence, 'long_base_breakout' as pattern_type, 'long_base_breakout' as source_miner, score as candidate_score, 'long_base_recent_breakout' as pattern_stage from pred_a where score >= 0.994)"""
 POS_COLS = "sample_id ts_code asof_date label label_source confidence pattern_type source_miner candidate_score pattern_stage"
 
 
@@ -202,7 +202,7 @@ def _negative_pools(spark, sf):
     pos = lb.positive_labels(positive_candidates(spark, sf))
     none = pos.select("ts_code", "asof_date").limit(0)
     out = [
-        lb.negative_rows(lb.accept(lb.far_from(lb.cap_per_symbol(lb.POOLS[s](b), 20, 1), pos, 30), none, 80, 50, 20, 7), s)
+        lb.negative_rows(lb.accept(lb.far_from(lb.POOLS[s](b), pos, 30), none, 80, 50, 20, 7), s)
         for s in ("downtrend_continuation", "weak_base_non_breakout")
     ]
     return out[0].unionByName(out[1])

@@ -72,7 +72,7 @@ def ensemble_split_summary(e: DataFrame) -> DataFrame:
     )
 
 
-def latest_candidates(e: DataFrame, top_n: int = 100, by_gap: bool = False) -> DataFrame:
+def latest_candidates(e: DataFrame, top_n: int, by_gap: bool = False) -> DataFrame:
     """Predicted positives of the latest date, best first."""
     latest = e.agg(F.max("asof_date").alias("asof_date"))
     now = e.join(F.broadcast(latest), "asof_date", "left_semi").where("ensemble_pred_label = 1")

@@ -13,8 +13,6 @@ from barloom.session import ensure_checkpoint_dir
 
 def _negatives(bars, positives, taken, source, target, seed, exclusion, max_per_symbol, min_gap, min_asof_date) -> DataFrame:
     pool = lb.POOLS[source](bars)
-    if source != "random_non_event":
-        pool = lb.cap_per_symbol(pool, max(20, target // 20 + 5), seed + 1)
     if min_asof_date:
         pool = pool.where(f"asof_date >= date'{min_asof_date}'")
     free = lb.far_from(pool, positives, exclusion)

@@ -39,7 +39,7 @@ def rank_phase1(scored: DataFrame, top_n: int, adjusted: str | None = None) -> D
 
 
 def phase1_cache(
-    bars: DataFrame, dates: DataFrame, scorer: Scorer, top_n: int = 20, window: int = 150, min_history: int = 1, reviewer=None
+    bars: DataFrame, dates: DataFrame, scorer: Scorer, top_n: int, window: int = 150, min_history: int = 1, reviewer=None
 ) -> DataFrame:
     """Phase-1 top rows for every anchor date (column ``asof_date`` of ``dates``)."""
     scored = with_pair(scorer(features_for_dates(bars, dates, window, min_history)), "phase1")
@@ -224,7 +224,7 @@ def pool_score_rows(pool: DataFrame, bars: DataFrame, scores: DataFrame, score_d
 
 
 def run_tracking(
-    bars: DataFrame, targets: DataFrame, phase1: Scorer, phase2: Scorer, *, top_n: int = 20, lookback: int = 10, window: int = 150,
+    bars: DataFrame, targets: DataFrame, phase1: Scorer, phase2: Scorer, *, top_n: int, lookback: int = 10, window: int = 150,
     min_history: int = 1, reviewer=None, merge: str = "default",
 ) -> dict[str, DataFrame]:
     """All stages for all target dates: hits, pool, scores, final, report and tracked price paths."""

@@ -199,13 +199,13 @@ def scan(
     return out.withColumn("score", F.col("model_score") * factor).orderBy(F.desc("score"), "sample_id")
 
 
-def scan_intersection(bars: DataFrame, a: Scored, b: Scored, asof_date: str, top_n: int = 200, **args) -> DataFrame:
+def scan_intersection(bars: DataFrame, a: Scored, b: Scored, asof_date: str, top_n: int, **args) -> DataFrame:
     left, right = scan(bars, a, asof_date, **args), scan(bars, b, asof_date, **args)
     order = [F.desc("score"), F.asc("sample_id")]
     return take_first(intersect_models(left, right, order, order), intersection_order(), top_n)
 
 
-def latest_ensemble(features: DataFrame, a: Scored, b: Scored, threshold: float = 0.5, top_n: int = 100) -> DataFrame:
+def latest_ensemble(features: DataFrame, a: Scored, b: Scored, threshold: float, top_n: int) -> DataFrame:
     """Both models on one feature table, combined, predicted positives of the latest date."""
     meta = ["sample_id", "ts_code", "asof_date"]
     sides = [m.score(features).withColumn("pred_label", (F.col("score") >= threshold).cast("int")) for m in (a, b)]

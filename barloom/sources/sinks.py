@@ -153,7 +153,7 @@ def write_training_matrix(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def code_matrix(final: DataFrame, top_n: int = 20, dates: list[str] | None = None, short_code: bool = False) -> DataFrame:
+def code_matrix(final: DataFrame, top_n: int, dates: list[str] | None = None, short_code: bool = False) -> DataFrame:
     """Rank by target date: one column per date, blank where a date has fewer rows.
 
     The rank is bounded by ``top_n`` and the columns by the number of dates, which pivot needs to know; pass ``dates``
