@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.session import ensure_checkpoint_dir
+from barloom.session import ensure_checkpoint_dir, stored
 
 #: Rows of a batch that are worked on at once; Spark bounds the bytes of a batch itself.
 SLICE = 1000
@@ -85,6 +85,12 @@ def hash_sample(df: DataFrame, key: Column, bound: int, total: int) -> DataFrame
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < F.lit(int(1_000_000 * bound / total)))
 
 
+def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows, stored before anyone collects them: the best rows of each task then meet in a task that keeps
+    ``n`` of them, and not all on the driver."""
+    return stored(df.orderBy(*order).limit(n))
+
+
 @dataclass
 class Written:
     """A table in the checkpoint folder that is read again and dropped when it is no longer needed."""

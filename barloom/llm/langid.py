@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import explode_pass, hash_sample, id_fold, q, text_pass
+from barloom.llm.common import explode_pass, hash_sample, id_fold, q, text_pass, top_rows
 from barloom.session import stored
 
 #: About so many labelled documents, chosen by the hash of their id, are learnt from.
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     for level in range(1 + len(ORDERS)):
         # the most frequent (item, language) pairs; the bound is on rows, so it holds for any number of languages
         top = counts.where(F.col("k") == level) if level else counts.where("k = 0 and n > 1")
-        rows += [(r["l"], level, r["w"], r["n"]) for r in top.orderBy(F.desc("n"), "w", "l").limit(GRAMS if level else WORDS).collect()]
+        rows += [(r["l"], level, r["w"], r["n"]) for r in top_rows(top, [F.desc("n"), F.col("w"), F.col("l")], GRAMS if level else WORDS).collect()]
     return Backoff.from_counts(rows) if rows else None
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import explode_pass, q, text_pass
+from barloom.llm.common import explode_pass, q, text_pass, top_rows
 from barloom.session import stored
 
 #: Bits in which two linked fingerprints may differ.
@@ -180,7 +180,7 @@ def _edges(nodes: DataFrame) -> DataFrame:
     """(a, b) with a > b, node ids of linked fingerprints; ``nodes`` has fp (distinct) and id (distinct)."""
     total = nodes.count()
     bound = min(SAMPLE, max(1024, total // 32))
-    rows = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(bound).toPandas()  # at most SAMPLE rows of 8 bytes
+    rows = top_rows(nodes.select("fp"), [F.xxhash64("fp"), F.col("fp")], bound).toPandas()  # at most SAMPLE rows of 8 bytes
     sample = rows["fp"].to_numpy(np.int64).view(np.uint64) if len(rows) else np.empty(0, np.uint64)
     tree, leaves = fit_tree(sample, total) if total else (Node(shard=0), 1)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import explode_pass, hash_sample, id_fold, labelled, q, text_pass
+from barloom.llm.common import explode_pass, hash_sample, id_fold, labelled, q, text_pass, top_rows
 from barloom.session import stored
 
 # Insults, harsh adjectives, threats and second-person words of English, German, French and Spanish.
@@ -179,7 +179,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     counts = explode_pass(once, [F.col("__t"), F.col("__y")], make, schema).groupBy("e").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     odds = F.log((F.col("p") + 0.5) / (p + 1)) - F.log((F.col("n") + 0.5) / (n + 1))
     top = counts.where(F.col("p") >= max(LEAST_DOCS, LEAST_SHARE * p)).withColumn("o", odds).where(F.col("o") >= LEAST_ODDS)
-    return {r["e"]: r["o"] for r in top.orderBy(F.desc("o"), "e").limit(ENTRIES).collect()}
+    return {r["e"]: r["o"] for r in top_rows(top, [F.desc("o"), F.col("e")], ENTRIES).collect()}
 
 
 @dataclass

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import explode_pass, q, text_pass
+from barloom.llm.common import explode_pass, q, text_pass, top_rows
 
 # Words that stand for either class before any page is seen, each worth PRIOR_COUNT occurrences.
 BLOCK_WORDS = ["adult", "bet", "betting", "bonus", "casino", "cheap", "crypto", "escort", "gamble", "jackpot", "loan", "lottery", "nude", "payday", "pharma", "pills", "poker", "porn", "sex", "slots", "viagra", "win", "xxx"]
@@ -66,8 +66,8 @@ def word_counts(pages: DataFrame, html: str = "html") -> dict[str, int]:
     """The most frequent words (2 to ``LONGEST`` letters a-z) in the text of all pages, at most ``WORDS`` of them."""
     text = F.regexp_replace(F.lower(F.coalesce(q(html), F.lit(""))), r"<(script|style)[^>]*>.*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.col("w").rlike(f"^[a-z]{{2,{LONGEST}}}$"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(WORDS)
-    return {r["w"]: r["n"] for r in top.collect()}
+    top = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+    return {r["w"]: r["n"] for r in top_rows(top, [F.desc("n"), F.col("w")], WORDS).collect()}
 
 
 class Segmenter:
@@ -166,9 +166,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str
 
     schema = T.StructType([T.StructField("v", T.StringType()), T.StructField("w", T.StringType()), T.StructField("n", T.LongType())])
     found = explode_pass(decided, [F.col("by_rule"), F.col("host"), F.col("path")], make, schema)
-    top = found.groupBy("w").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("v") == "block", F.col("n")).otherwise(0)).alias("b")).orderBy(F.desc("n"), "w").limit(TOKENS)
+    top = found.groupBy("w").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("v") == "block", F.col("n")).otherwise(0)).alias("b"))
     tokens: dict[tuple[str, str], int] = {}
-    for r in top.collect():
+    for r in top_rows(top, [F.desc("n"), F.col("w")], TOKENS).collect():
         tokens["block", r["w"]], tokens["allow", r["w"]] = r["b"], r["n"] - r["b"]
     for verdict, words in (("block", BLOCK_WORDS), ("allow", ALLOW_WORDS)):
         for w in words:
