@@ -142,13 +142,41 @@ NO_ID = (1 << 63) - 1
 
 
 def _row(id_col: str, text: str) -> list[Column]:
-    return [F.coalesce(q(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(q(text)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")]
+    return [F.coalesce(q(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(q(text))]
 
 
-_SUFFIX = _schema("b1 long, b2 long, doc long, h int, pos int")
+@dataclass
+class _Distinct:
+    """``rows`` (doc, h, body) with one row per key; ``copies`` (doc, h, n, words) of keys with several, None without any."""
+
+    rows: DataFrame
+    copies: DataFrame | None
+
+    def long_copies(self) -> DataFrame:
+        """Copies of texts with words enough to be a repeat as a whole."""
+        return self.copies.where(F.col("words") >= MIN_WORDS)
 
 
-def suffixes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _distinct(docs: DataFrame, id_col: str, text: str) -> _Distinct:
+    """Copies of a row (id and text) have the same suffixes, which would pass for repeats of the row in itself.
+
+    Keys are counted; only the texts of repeated keys are dealt out.
+    """
+    doc, h = _row(id_col, text)
+    rows = docs.select(doc.alias("doc"), h.alias("h"), q(text).cast("string").alias("body"))
+    several = stored(rows.groupBy("doc", "h").agg(F.count("*").alias("n")).where("n > 1"))
+    if several.isEmpty():
+        return _Distinct(rows, None)
+    firsts = stored(rows.join(several.select("doc", "h"), ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"]))
+    words = F.size(F.array_remove(F.split(F.coalesce("body", F.lit("")), r"[ \t-\r]+"), "")).cast("long").alias("words")
+    copies = firsts.select("doc", "h", words).join(several, ["doc", "h"]).select("doc", "h", "n", "words")
+    return _Distinct(rows.join(several.select("doc", "h"), ["doc", "h"], "left_anti").unionByName(firsts), stored(copies))
+
+
+_SUFFIX = _schema("b1 long, b2 long, doc long, h long, pos int")
+
+
+def suffixes(rows: DataFrame) -> DataFrame:
     """(b1, b2, doc, h, pos): hashes of the first two blocks of each retained suffix, its row and word position.
 
     The last bit of ``b2`` tells whether the text goes on for the whole second block.
@@ -169,17 +197,17 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                 second = at + BLOCK
                 whole = (second + BLOCK <= n).astype(np.uint64)
                 b2 = rolling.runs(second, np.minimum(second + BLOCK, n)) >> np.uint64(1) << np.uint64(1) | whole
-                for c, v in zip(cols, (rolling.runs(at, second).view(np.int64), b2.view(np.int64), np.full(len(at), doc, np.int64), np.full(len(at), h, np.int32), at.astype(np.int32))):
+                for c, v in zip(cols, (rolling.runs(at, second).view(np.int64), b2.view(np.int64), np.full(len(at), doc, np.int64), np.full(len(at), h, np.int64), at.astype(np.int32))):
                     c.append(v)
             if cols[0]:
                 yield _table(_SUFFIX, map(np.concatenate, cols))
 
         return work
 
-    return explode_pass(docs, [*_row(id_col, text), q(text).cast("string")], make, _SUFFIX)
+    return explode_pass(rows, [F.col("doc"), F.col("h"), F.col("body")], make, _SUFFIX)
 
 
-_MARKED = _schema("b1 long, b2 long, doc long, h int, pos int, hit boolean, same boolean, earlier boolean, edge int")
+_MARKED = _schema("b1 long, b2 long, doc long, h long, pos int, hit boolean, same boolean, earlier boolean, edge int")
 
 
 def _neighbours(found: DataFrame) -> DataFrame:
@@ -236,7 +264,7 @@ def _neighbours(found: DataFrame) -> DataFrame:
     return marked.where("hit and edge < 0").unionByName(mended)
 
 
-_CONTEXT = _schema("b1 long, doc long, h int, pos int, around binary")
+_CONTEXT = _schema("b1 long, doc long, h long, pos int, around binary")
 #: ``around``: flags (1 same, 2 earlier), words before and after that exist, then LEFT and RIGHT short hashes.
 _WIDTH = 4 + 2 * (LEFT + RIGHT)
 
@@ -257,13 +285,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _contexts(docs: DataFrame, hits: DataFrame, id_col: str, text: str) -> DataFrame:
+def _contexts(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Candidates with short hashes of the words around their first block, for the extension."""
     flags = (F.col("same").cast("int") + 2 * F.col("earlier").cast("int")).alias("flags")
     per_row = hits.groupBy(F.col("doc").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("pos", "b1", flags)).alias("__at"))  # bounded by a document's words
-    doc, h = _row(id_col, text)
-    body = docs.select(doc.alias("doc"), h.alias("h"), q(text).cast("string").alias("body"))
-    joined = body.join(per_row, (F.col("doc") == F.col("__d")) & (F.col("h") == F.col("__h")))
+    joined = rows.join(per_row, (F.col("doc") == F.col("__d")) & (F.col("h") == F.col("__h")))
 
     def make():
         hashes = WordHashes()
@@ -331,7 +357,7 @@ def _widest(*matches: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.nda
     return np.maximum.reduce([m[0] for m in matches]), np.maximum.reduce([m[1] for m in matches])
 
 
-_FOUND = _schema("doc long, h int, any long, earlier long, b1 long, pos int, around binary, edge int")
+_FOUND = _schema("doc long, h long, any long, earlier long, b1 long, pos int, around binary, edge int")
 
 
 def _spans(rows: _Rows, early: tuple, whole: tuple) -> list[pa.Array]:
@@ -411,22 +437,26 @@ def _extended(contexts: DataFrame) -> DataFrame:
         none = (np.full(len(pairs), -1), np.zeros(len(pairs), np.int64))
         for rows, early in ((sides[0], none), (sides[1], match)):
             extra += list(zip(*(c.to_pylist() for c in _spans(rows, early, match))))
-    runs = _schema("doc long, h int, any long, earlier long")
+    runs = _schema("doc long, h long, any long, earlier long")
     return found.where("edge is null").select(*runs.fieldNames()).unionByName(found.sparkSession.createDataFrame(extra, runs))
 
 
-_SEGMENT = _schema("doc long, h int, start int, end int, removed boolean")
+_SEGMENT = _schema("doc long, h long, start int, end int, removed boolean")
 
 
-def repeated_segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _segments(distinct: _Distinct) -> DataFrame:
     """(doc, h, start, end, removed): maximal runs of repeated words, each wholly removable or wholly kept.
 
-    ``doc`` and ``h`` name the row (see ``_row``), positions are word numbers from 0, ``end`` is exclusive.
+    ``doc`` and ``h`` name the row (see ``_row``), of copies the first one; positions are word numbers from 0, ``end`` is
+    exclusive.  The first of several rows without an id is repeated as a whole; copies with an id are one row.
     """
-    found = written(suffixes(docs, id_col, text))
+    found = written(suffixes(distinct.rows))
     hits = _neighbours(found.df)
     found.drop()
-    spans = _extended(_contexts(docs, hits, id_col, text))
+    spans = _extended(_contexts(distinct.rows, hits))
+    if distinct.copies is not None:
+        whole = distinct.long_copies().where(F.col("doc") == NO_ID)
+        spans = spans.unionByName(whole.select("doc", "h", F.col("words").alias("any"), F.lit(None).cast("long").alias("earlier")))
     grouped = spans.groupBy("doc", "h").agg(F.collect_list("any").alias("any"), F.collect_list("earlier").alias("earlier"))  # bounded by a document's words
 
     def make():
@@ -458,9 +488,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     ``removed`` runs occur at an earlier place too; the others are first occurrences.  A run may lie next to the other
     kind.  Texts with fewer than ``MIN_WORDS`` words (null ones too) have no row.  Rows that repeat id and text are one
-    row; a null id comes after all others and stays null.
+    row; a null id comes after all others and stays null, and rows without an id are documents of their own.
     """
-    rows = repeated_segments(docs, id_col, text)
+    distinct = _distinct(docs, id_col, text)
+    rows = _segments(distinct)
+    if distinct.copies is not None:
+        later = distinct.long_copies().where(F.col("doc") == NO_ID).select("doc", "h", "words", F.explode(F.sequence(F.lit(2).cast("long"), "n")))
+        rows = rows.unionByName(later.select("doc", "h", F.lit(0).alias("start"), F.col("words").cast("int").alias("end"), F.lit(True).alias("removed")))
     return rows.select(F.expr(f"nullif(doc, {NO_ID}L)").alias("doc_id"), "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "removed")
 
 
@@ -479,13 +513,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """``docs`` with later occurrences of repeated passages cut out of the text; all rows but those whose whole text goes.
 
     Texts without a repeated passage are unchanged to the byte.  A row loses its place only if it had a word and every
-    word of it occurs in earlier passages.  Columns are those of ``docs``.
+    word of it occurs in earlier passages.  Of copies (same id or none, same text of ``MIN_WORDS`` words or more) the one
+    with the smallest hash of all columns counts as the first.  Columns are those of ``docs``.
     """
-    removed = repeated_segments(docs, id_col, text).where("removed")
+    distinct = _distinct(docs, id_col, text)
+    removed = _segments(distinct).where("removed")
     cuts = removed.groupBy(F.col("doc").alias("__d"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
     doc, h = _row(id_col, text)
     names = [f"__{i}" for i in range(len(docs.columns))]  # any column names may come in
     plain = docs.select(*[q(c).alias(n) for c, n in zip(docs.columns, names)], doc.alias("__doc"), h.alias("__hash"))
+    if distinct.copies is not None:
+        copied = distinct.long_copies().select(F.col("doc").alias("__doc"), F.col("h").alias("__hash"))
+        first = F.min_by(F.struct(*names), F.xxhash64(F.to_json(F.struct(*names)))).alias("__row")
+        firsts = plain.join(copied, ["__doc", "__hash"], "left_semi").groupBy("__doc", "__hash").agg(first)
+        plain = plain.join(copied, ["__doc", "__hash"], "left_anti").unionByName(firsts.select("__row.*", "__doc", "__hash"))
     joined = plain.join(cuts, (F.col("__doc") == F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").select(*names, "__cuts")
     place = docs.columns.index(text)
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField("__left", T.BooleanType())])

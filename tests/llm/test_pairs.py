@@ -203,3 +203,16 @@ def test_null_id_keeps_its_place(docs_of):
     rows.append((None, hot + " more", None, None, None, None, None, None, None, None))
     got = {(r["doc_id"], r["removed"]) for r in suffixes.repeated_passages(docs_of(rows)).collect()}
     assert got == {(0, False), (None, True)}
+
+
+def test_copies_of_a_row_leave_one_whole(awkward, docs_of):
+    """Copies of id 7, and of rows without an id, are not taken for repeats of themselves."""
+    same = next(r["text"] for r in awkward.where("doc_id = 7").collect())
+    assert [r["text"] for r in suffixes.remove_repeats(awkward).collect() if r["doc_id"] == 7] == [same]
+    rng = np.random.default_rng(12)
+    a, b, c = (" ".join(unique_words(rng, 80)) for _ in range(3))
+    rows = [(i, t, *[None] * 8) for i, t in [(1, a), (1, a), (None, b), (None, b), (None, b), (2, c), (None, f"{c} {a}"), (5, "few words"), (5, "few words")]]
+    got = sorted((r["doc_id"] or 0, r["start"], r["end"], r["removed"]) for r in suffixes.repeated_passages(docs_of(rows)).collect())
+    assert got == [(0, 0, 80, False), (0, 0, 80, True), (0, 0, 80, True), (0, 0, 160, True), (1, 0, 80, False), (2, 0, 80, False)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in suffixes.remove_repeats(docs_of(rows)).collect())
+    assert left == sorted([(0, b), (1, a), (2, c), (5, "few words"), (5, "few words")])
