@@ -9,6 +9,9 @@
 4. Check: the longest common subsequence of words with the item around the window.  A large one is a leak; a middle one
    is a paraphrase if the window also holds the item's answer, its last words.
 
+Words that leak into many documents are common ones.  An item with too few rare words to rest on takes its rarest common
+words to them, and its windows are candidates by these words alone, whatever their cosine.
+
 Words are lower-cased and stripped of marks at their ends.
 """
 
@@ -139,11 +142,14 @@ def document_frequency(docs: DataFrame, items: Items, text: str = "text") -> tup
     return int(total[0]), total
 
 
+def idf_of(documents: int, frequency: np.ndarray) -> np.ndarray:
+    return np.maximum(0.01, -np.log(np.minimum(1.0, (frequency + 1) / (documents + 1))))
+
+
 def weights_of(documents: int, frequency: np.ndarray, items: Items) -> np.ndarray:
     """Weight per word number: the inverse document frequency of rare words, zero for common ones and number 0."""
-    share = (frequency + 1) / (documents + 1)
-    idf = np.maximum(0.01, -np.log(np.minimum(1.0, share)))
-    weight = np.where(share <= COMMON, idf, 0.0)
+    idf = idf_of(documents, frequency)
+    weight = np.where((frequency + 1) / (documents + 1) <= COMMON, idf, 0.0)
     weight[0] = 0.0
     for words in items.words:
         if np.count_nonzero(weight[np.unique(words)]) < LEAST_RARE:
@@ -216,33 +222,46 @@ class Search:
     rare: np.ndarray
     passages: np.ndarray
     owner: np.ndarray
+    idf: np.ndarray
 
     @classmethod
     def build(cls, docs: DataFrame, items: Items, text: str = "text") -> Search:
         documents, frequency = document_frequency(docs, items, text)
         weight = weights_of(documents, frequency, items)
-        return cls.of(items, weight, randomised_svd(docs.sparkSession, items, weight))
+        return cls.of(items, weight, randomised_svd(docs.sparkSession, items, weight), idf_of(documents, frequency))
 
     @classmethod
-    def of(cls, items: Items, weight: np.ndarray, vectors: np.ndarray) -> Search:
+    def of(cls, items: Items, weight: np.ndarray, vectors: np.ndarray, idf: np.ndarray | None = None) -> Search:
         latent = (weight[:, None] * vectors).astype(np.float32)
         queries = np.array([latent[p].sum(axis=0) for _, p in items.passages()], np.float32)
         queries /= np.maximum(1e-12, np.linalg.norm(queries, axis=1, keepdims=True))
-        return cls(items, latent, weight > 0, queries, np.array([i for i, _ in items.passages()]))
+        return cls(items, latent, weight > 0, queries, np.array([i for i, _ in items.passages()]), weight if idf is None else idf)
 
     def __post_init__(self):
-        self.masks, self.content = [], []
+        self.masks, self.content, needed, alone = [], [], [], []
         for words in self.items.words:
             masks: dict[int, int] = {}
             for i, w in enumerate(words.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
-            self.content.append(np.unique(words[self.rare[words]]))
+            content, n = np.unique(words[self.rare[words]]), len(words)
+            # a leak lacks (1 - LEAK) * n words at most: not more than the test allows if it rests on this many
+            least = int(np.ceil((1 - LEAK) / (1 - CONTENT) * n - 1e-9))
+            alone.append(len(content) < least)
+            if alone[-1]:
+                rest = np.setdiff1d(words, content)
+                content = np.sort(np.concatenate((content, rest[np.argsort(-self.idf[rest], kind="stable")][: least - len(content)])))
+            self.content.append(content)
+            needed.append(max(0.0, min(CONTENT * len(content), len(content) - (1 - LEAK) * n - 1e-9)))
+        self.needed, self.alone = np.array(needed), np.array(alone)[self.owner]
+        self.rare = self.rare.copy()
+        self.rare[np.concatenate(self.content)] = True
         # passages by rare word, as one list with the start of each word's part
-        pairs = [(w, p) for p, (_, words) in enumerate(self.items.passages()) for w in np.unique(words[self.rare[words]]).tolist()]
+        pairs = [(w, p) for p, (i, words) in enumerate(self.items.passages()) for w in np.intersect1d(words, self.content[i]).tolist()]
         word, self.holders = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
         self.first = np.searchsorted(word, np.arange(len(self.rare) + 1))
-        self.wanted = CONTENT / 2 * np.bincount(self.holders, minlength=len(self.owner))
+        share = self.needed / np.array([len(c) for c in self.content])
+        self.wanted = share[self.owner] / 2 * np.bincount(self.holders, minlength=len(self.owner))
 
     def found(self, ids: np.ndarray) -> dict[int, tuple]:
         """Item number -> (common words, start, end, cosine, answer found) of the best window, for confirmed items."""
@@ -263,7 +282,7 @@ class Search:
         content = self._content(ids[at], a[some], b[some])
         for at_ in range(0, len(some), 4096):
             cosines = vectors[at_ : at_ + 4096].astype(np.float32) @ self.passages.T
-            for k, p in zip(*(x.tolist() for x in np.nonzero((cosines >= COSINE) & content(at_, at_ + 4096)))):
+            for k, p in zip(*(x.tolist() for x in np.nonzero(((cosines >= COSINE) | self.alone) & content(at_, at_ + 4096)))):
                 window = some[at_ + k]
                 self._check(int(self.owner[p]), ids, int(start[window]), int(end[window]), float(cosines[k, p]), out)
         return out
@@ -293,14 +312,15 @@ class Search:
         n = len(words)
         lo, hi = max(0, a - n), min(len(ids), b + n)
         near, content = ids[lo:hi], self.content[item]
-        if np.isin(content, near).sum() < CONTENT * len(content):
+        held = np.isin(content, near).sum()
+        if held < self.needed[item]:
             return
         common = common_subsequence(self.masks[item], n, near.tolist())
         if common < PARAPHRASE * n or (item in out and out[item][0] >= common):
             return
         tail = set(words[-max(ANSWER_WORDS, round(ANSWER * n)) :].tolist())
         answer = len(tail.intersection(near.tolist())) >= ANSWER_FOUND * len(tail)
-        if common >= LEAK * n or answer:
+        if common >= LEAK * n or answer and held >= CONTENT * len(content):
             out[item] = (common, lo, hi, cosine, answer)
 
 

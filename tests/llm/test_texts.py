@@ -300,3 +300,19 @@ def test_svd_spans_the_passages(spark):
         at, x = decontam._vector(p, weight)
         a[i, at] = x
     assert np.allclose(v.T @ v, np.eye(12), atol=1e-8) and np.allclose(a @ v @ v.T, a, atol=1e-6)
+
+
+@pytest.mark.parametrize("share", [3, 10, 1])
+def test_partial_leak_in_many_documents(docs_of, spark, share):
+    """Most words of an item in a third, a tenth or all of the documents are common words and still a leak."""
+    rng = np.random.default_rng(21)
+    item = unique_words(rng, 30)
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(unique_words(rng, 40)))], "item_id long, text string")
+    copy = list(item)
+    for k in (3, 11, 19, 27):
+        copy[k] = unique_words(rng, 1)[0]
+    texts = [" ".join(unique_words(rng, 60) + (copy if i % share == 0 else []) + unique_words(rng, 50)) for i in range(60)]
+    texts.append(" ".join(unique_words(rng, 30) + item + unique_words(rng, 30)))
+    want = {(i, 0) for i in range(60) if i % share == 0} | {(60, 0)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs_of(texts), bench).collect()} == want
+    assert {r["doc_id"] for r in decontam.drop_leaks(docs_of(texts), bench).collect()} == set(range(61)) - {i for i, _ in want}
