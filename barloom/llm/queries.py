@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontam, langid, packing, quality, rules, simhash, suffixes, tokencount, toxicity, urls
+from barloom.llm import decontam, langid, lempelziv, merkle, negatives, packing, quality, rules, simhash, suffixes, tokencount, toxicity, urls
 from barloom.llm.common import id_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,92 @@ from base left join near using (doc_id)
 
 
 ORACLES["op10_quality_rules"] = rules_sql()
+
+
+@query("op11_merkle_manifest")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit_documents(table(spark, sf_dir, "documents"))
+
+
+#: Levels of the trees that the SQL writes out; FAN ** SQL_LEVELS leaves a language.
+SQL_LEVELS = 8
+
+
+def merkle_sql() -> str:
+    """Operator 11 in SQL: the trees level by level, every way folded from its leaf."""
+    part = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars")) + f" || {part(text)})"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    bits = "list_reduce([{x}, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ord(c) as bigint))), lambda a, c: {bits.format(x='xor(a, c)')}))"
+    ctes = [
+        f"l0 as materialized (select doc_id, lang, {leaf('text')} as leaf, case when {crc} % 3 = 0 then {leaf(f"translate(text, '{upper}', '{upper.lower()}')")} end as now from documents)",
+        "n0 as materialized (select doc_id, lang, leaf, coalesce(now, leaf) as now, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from l0)",
+        "t0 as materialized (select lang, pos, leaf as h, count(*) over (partition by lang) as n from n0)",
+    ]
+
+    def tower(t: str, levels: int) -> None:
+        for k in range(levels):
+            ctes.append(
+                f"{t}{k + 1} as materialized (select lang, p as pos, h, count(*) over (partition by lang) as n from (select lang, case when n = 1 then pos else pos // 8 end as p, "
+                f"case when max(n) = 1 then max(h) else sha256(string_agg(h, '' order by pos)) end as h from {t}{k} group by lang, n, case when n = 1 then pos else pos // 8 end))"
+            )
+
+    def fold(f: str, t: str, levels: int, key: str) -> None:
+        """Rows (id, key, pos, h, proof) carried up: their siblings on both sides and the hash with them."""
+        for k in range(levels):
+            ctes.append(
+                f"{f}{k + 1} as materialized (select f.id, f.lang, case when max(t.n) = 1 then max(f.pos) else max(f.pos) // 8 end as pos, "
+                f"case when max(t.n) = 1 then max(f.h) else sha256(coalesce(string_agg(t.h, '' order by t.pos) filter (where t.pos < f.pos), '') || max(f.h) || coalesce(string_agg(t.h, '' order by t.pos) filter (where t.pos > f.pos), '')) end as h, "
+                f"max(f.proof) || coalesce(string_agg(t.h, '' order by t.pos) filter (where t.pos <> f.pos), '') as proof "
+                f"from {f}{k} f join {t}{k} t on f.lang is not distinct from t.lang and t.pos // 8 = f.pos // 8 group by f.id, f.lang)"
+            )
+
+    tower("t", SQL_LEVELS)
+    ctes.append("f0 as materialized (select row_number() over () as id, lang, pos, now as h, '' as proof, doc_id, leaf from n0)")
+    ctes.append(f"s as materialized (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as pos from t{SQL_LEVELS})")
+    ctes.append("u0 as materialized (select 0 as lang, pos, subroot as h, count(*) over () as n from s)")
+    tower("u", 3)
+    fold("f", "t", SQL_LEVELS, "lang")
+    ctes.append(f"g0 as materialized (select f.id, 0 as lang, s.pos, f.h, f.proof from f{SQL_LEVELS} f join s on f.lang is not distinct from s.lang)")
+    fold("g", "u", 3, "0")
+    return "with " + ",\n".join(ctes) + """
+select f0.doc_id, f0.leaf, s.subroot, (select h from u3) as root, sha256(g3.proof) as proof_sha256, g3.h as folded_root, g3.h = (select h from u3) as verified
+from f0 join g3 on f0.id = g3.id join s on f0.lang is not distinct from s.lang"""
+
+
+ORACLES["op11_merkle_manifest"] = merkle_sql()
+
+
+@query("op12_substring_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lempelziv.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_substring_dedup"] = r"""
+with d as materialized (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+w as materialized (select doc_id, i, sha256(array_to_string(list_slice(ws, i, i + 12), ' ')) as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from d where len(ws) >= 13)),
+r as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) as first from w) where first < doc_id),
+c as (select doc_id, list_sort(list_distinct(flatten(list(range(i, i + 13))))) as gone from r group by doc_id),
+k as (select d.doc_id, len(ws) as n_words, coalesce(len(gone), 0) as n_removed,
+  case when gone is null then ws else list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: not list_contains(gone, x[2])), lambda x: x[1]) end as kept
+  from d left join c using (doc_id))
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from k
+"""
+
+
+@query("op13_hard_negatives")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_table(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_hard_negatives"] = """
+with e as materialized (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.id as anchor_id, b.id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from e a join e b on a.id % 50 = 0 and a.id <> b.id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as integer) as rank, s.id as negative_id, positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) <= 3
+"""
