@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -323,6 +324,19 @@ def covered(n: int, at: list[int] | None) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """The last column, texts, as compressed UTF-8: they are moved once, to be cut."""
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(rows.columns[-1], T.BinaryType())])
+
+    def run(batches):
+        close_text = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = [close_text((x or "").encode("utf-8", "replace")) for x in batch.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
 _CUT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
 
 
@@ -334,16 +348,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     rows = _rows(docs, id_col, text)
     keep = [c for c in docs.columns if c not in (text, *[f.name for f in _CUT])]
     found = factors(rows).groupBy(F.col("doc").alias("__doc"), F.col("h").alias("__h")).agg(F.collect_list("at").alias("__at"))  # bounded by a document's words
-    packed = rows.select(*[q(c).alias(f"__{i}") for i, c in enumerate(keep)], "__doc", "__h", "__body")
+    packed = _squeezed(rows.select(*[q(c).alias(f"__{i}") for i, c in enumerate(keep)], "__doc", "__h", "__body"))
     joined = packed.join(found, ["__doc", "__h"], "left").select(*[f"__{i}" for i in range(len(keep))], "__body", "__at")
     schema = T.StructType([*joined.schema.fields[: len(keep)], *_CUT])
     kinds = [f.type for f in to_arrow_schema(T.StructType(_CUT))]
 
     def cut(batches):
+        open_text = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, removed, left = [], [], []
             for body, at in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
-                words = words_of(body)
+                words = open_text(body).split()
                 gone = covered(len(words), at)
                 sizes.append(len(words))
                 removed.append(int(gone.sum()))

@@ -200,7 +200,7 @@ ORACLES["op11_merkle_manifest"] = merkle_sql()
 
 @query("op12_substring_dedup")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lempelziv.remove_repeats(table(spark, sf_dir, "documents"))
+    cut = lempelziv.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
