@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ SCALE = 256
 FAN, LEVELS, SAMPLE = 8, 3, 8_192
 #: Rows of a block of a leaf, and anchors of a block.
 LEAF_ROWS, ANCHORS = 8_192, 2_048
+#: Anchors whose scores a task holds at once.
+SLICE = 256
 #: Positives of an anchor, and negatives of a positive.
 POSITIVES, NEGATIVES = 5, 3
 #: Window of negative scores in hundredths of the positive's score.
@@ -65,10 +68,13 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector: str, label: Column)
 
 def _matrix(column, width: int) -> np.ndarray:
     """Vectors as rows, filled up with zeros."""
-    lists = column.to_pylist()
-    out = np.zeros((len(lists), width))
-    for row, v in zip(out, lists):
-        row[: len(v)] = v
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return values.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width)[None, :] < sizes[:, None]] = values
     return out
 
 
@@ -100,27 +106,23 @@ class Tree:
     def lift(self, v: np.ndarray) -> np.ndarray:
         return np.column_stack((v, np.sqrt(np.maximum(self.length2 - (v * v).sum(1), 0))))
 
-    def place(self, v: np.ndarray) -> tuple[list[tuple[int, ...]], list[list[tuple[tuple[int, ...], int, np.ndarray]]]]:
-        """Leaf of each vector, and on the way the distances to all split points of each node."""
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, list[tuple[tuple[int, ...], int, np.ndarray]]]:
+        """Leaf of each vector; and node, branch and distances to all split points of the vectors that go that way."""
         lifted = self.lift(v)
-        paths: list[tuple[int, ...]] = [()] * len(v)
-        seen: list[list] = [[] for _ in range(len(v))]
-        groups = {(): np.arange(len(v))}
-        for _ in range(LEVELS):
-            nxt = {}
-            for node, rows in groups.items():
-                if node not in self.nodes:
-                    continue
-                d = distances(lifted[rows], self.nodes[node])
-                branch = d.argmin(1)
-                for k in np.unique(branch):
-                    inside = rows[branch == k]
-                    nxt[(*node, int(k))] = inside
-                for r, k, row in zip(rows.tolist(), branch.tolist(), d):
-                    paths[r] = (*node, k)
-                    seen[r].append((node, k, row))
-            groups = nxt
-        return paths, seen
+        leaf = np.full(len(v), "", object)
+        ways = []
+        pending = [((), np.arange(len(v)))]
+        while pending:
+            node, rows = pending.pop()
+            if node not in self.nodes:
+                leaf[rows] = _name(node)
+                continue
+            d = distances(lifted[rows], self.nodes[node])
+            branch = d.argmin(1)
+            for k in np.unique(branch).tolist():
+                ways.append((node, k, d[branch == k]))
+                pending.append(((*node, k), rows[branch == k]))
+        return leaf, ways
 
     def search(self, anchor: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, ...]]:
         """Leaves that may hold a score in one of the ranges ``low`` to ``high`` (inclusive)."""
@@ -197,8 +199,8 @@ def placed(rows: DataFrame, tree: Tree) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, _ = shared.value.place(_matrix(batch.column("v"), shared.value.width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_name(p) for p in paths], pa.string())], names=schema.fieldNames())
+            leaf, _ = shared.value.place(_matrix(batch.column("v"), shared.value.width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.string())], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 
@@ -213,10 +215,9 @@ def with_ranges(tree: Tree, rows: DataFrame) -> Tree:
     def run(batches) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
-            for way in shared.value.place(_matrix(batch.column("v"), shared.value.width))[1]:
-                for node, branch, d in way:
-                    r = found.setdefault((node, branch), [d, d])
-                    r[0], r[1] = np.minimum(r[0], d), np.maximum(r[1], d)
+            for node, branch, d in shared.value.place(_matrix(batch.column("v"), shared.value.width))[1]:
+                r = found.setdefault((node, branch), [d[0], d[0]])
+                r[0], r[1] = np.minimum(r[0], d.min(0)), np.maximum(r[1], d.max(0))
         if found:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_name(n) for n, _ in found]), pa.array([b for _, b in found], pa.int32()), pa.array([list(r[0]) for r in found.values()], pa.list_(pa.float64())), pa.array([list(r[1]) for r in found.values()], pa.list_(pa.float64()))],
@@ -257,7 +258,34 @@ def index(rows: DataFrame) -> Index:
     return Index(tree, inside.join(F.broadcast(sizes), "leaf").withColumn("salt", F.pmod(F.xxhash64("label", "v"), F.col("blocks"))).drop("blocks"))
 
 
-_TOUCH = "query long, block long, leaf string, low array<long>, high array<long>"
+def _ragged(column, fill: int) -> np.ndarray:
+    """Lists as rows, filled up with ``fill``."""
+    lists = column.to_pylist()
+    out = np.full((len(lists), max(map(len, lists), default=0)), fill, np.int64)
+    for row, x in zip(out, lists):
+        row[: len(x)] = x
+    return out
+
+
+@dataclass
+class _Leaf:
+    """A block of a leaf: vectors, labels, and each row's ids as a piece of ``ids``."""
+
+    v: np.ndarray
+    labels: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table, width: int) -> _Leaf:
+        ids = rows.column("ids").combine_chunks()
+        return cls(_matrix(rows.column("v"), width), rows.column("label").to_numpy(), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False))
+
+    def ids_of(self, rows: np.ndarray) -> np.ndarray:
+        """Ids of ``rows``, one after the other."""
+        counts = self.counts[rows]
+        first = (np.cumsum(self.counts) - self.counts)[rows]
+        return self.ids[np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
 
 
 def _search(index: Index, queries: DataFrame, bounds, take: int, same: bool) -> DataFrame:
@@ -296,22 +324,29 @@ def _search(index: Index, queries: DataFrame, bounds, take: int, same: bool) ->
     asked = routed.join(salts, "leaf")
     width = index.tree.width
 
+    def best(part: pa.Table, rows: _Leaf) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query, range, id, score) of the best rows for some anchors, range by range."""
+        table = scores(_matrix(part.column("v"), width), rows.v)
+        fits = (part.column("label").to_numpy()[:, None] == rows.labels[None, :]) == same
+        query = part.column("query").to_numpy()
+        lows, highs = (_ragged(part.column(n), fill) for n, fill in (("low", 1), ("high", 0)))
+        for k in range(lows.shape[1]):
+            at, row = np.nonzero(fits & (table >= lows[:, k : k + 1]) & (table <= highs[:, k : k + 1]))
+            score = np.repeat(table[at, row], rows.counts[row])
+            at, ids = np.repeat(at, rows.counts[row]), rows.ids_of(row)
+            order = np.lexsort((ids, -score, at))
+            at, ids, score = at[order], ids[order], score[order]
+            nth = np.arange(len(at)) - np.searchsorted(at, at)
+            kept = nth < take
+            yield query[at[kept]], np.full(int(kept.sum()), k, np.int32), ids[kept], score[kept]
+
     def scan(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))]
         if rows.num_rows and asked.num_rows:
-            table = scores(_matrix(asked.column("v"), width), _matrix(rows.column("v"), width))
-            labels, ids = rows.column("label").to_numpy(), rows.column("ids").to_pylist()
-            of = asked.column("query").to_pylist()
-            for q_, label, s, lows, highs in zip(of, asked.column("label").to_pylist(), table, asked.column("low").to_pylist(), asked.column("high").to_pylist()):
-                fits = (labels == label) == same
-                for k, (a, b) in enumerate(zip(lows, highs)):
-                    found = np.flatnonzero(fits & (s >= a) & (s <= b))
-                    if len(found) > take:  # ties at the end stay
-                        found = found[s[found] >= np.partition(s[found], -take)[-take]]
-                    best = sorted((-int(s[r]), i) for r in found for i in ids[r])[:take]
-                    out += [(q_, k, i, -score) for score, i in best]
-        cols = list(zip(*out)) if out else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["query", "range", "id", "score"])
+            leaf = _Leaf.of(rows, width)
+            for at in range(0, asked.num_rows, SLICE):
+                out += best(asked.slice(at, SLICE), leaf)
+        return pa.table([np.concatenate(c) for c in zip(*out)], names=["query", "range", "id", "score"])
 
     by = ("leaf", "salt", "block")
     asked = asked.withColumnsRenamed({c: f"at_{c}" for c in by})
