@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 AREAS = [
-    "timeseries", "mining", "ingest", "alignment", "patterns", "vectors", "reviews", "evaluation", "labeling", "phases", "modeling",
+    "timeseries", "mining", "ingest", "alignment", "patterns", "vectors", "reviews", "evaluation", "labeling", "phases", "modeling", "stores",
 ]
 
 

@@ -98,6 +98,32 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], prefix: str
     )
 
 
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Exact linear quantiles of many columns: (column, n, q0, q1, ...), one row per column that has a value.
+
+    One table of (column, value, count) is put in order of column and value; running counts are carried over partitions
+    per column, so neither a column nor a frequent value is a task of its own.  NaN counts as missing.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)]))
+    counts = df.select(each.alias("p")).select("p.c", "p.v").where("v is not null and not isnan(v)").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = _spread(counts, [F.col("c"), F.col("v")])
+    # one row per column and partition that holds some of it: no more than columns and partitions together
+    sizes = placed.groupBy("__p", "c").agg(F.sum("n").alias("__t"))
+    before = W.partitionBy("c").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("c")
+    sizes = sizes.select("__p", "c", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"), F.sum("__t").over(whole).alias("__n"))
+    inside = W.partitionBy("__p", "c").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
+    run = placed.join(F.broadcast(sizes), ["__p", "c"]).withColumn("__cum", F.sum("n").over(inside) + F.col("__o"))
+    covers = lambda k: (F.col("__cum") > k) & (F.col("__cum") - F.col("n") <= k)
+    picks = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("__n") - 1)
+        picks += [F.max(F.when(covers(F.floor(at)), F.col("v"))).alias(f"lo{i}"), F.max(F.when(covers(F.ceil(at)), F.col("v"))).alias(f"hi{i}"), F.max(at - F.floor(at)).alias(f"w{i}")]
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1).alias("column")
+    values = [(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}") for i in range(len(probs))]
+    return run.groupBy("c").agg(F.max("__n").alias("n"), *picks).select(name, "n", *values)
+
+
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
 

@@ -621,11 +621,8 @@ class LongBase:
         return cls(**out)
 
     def base_bars(self, lookback: int) -> int:
-        recent = max(1, self.max_breakout_recency_bars)
-        want = max(self.min_base_duration_bars, int(lookback * 0.75))
-        if lookback >= self.min_base_duration_bars + recent:
-            want = max(want, self.min_base_duration_bars + recent)
-        return min(lookback, want)
+        shortest, recent = self.min_base_duration_bars, max(1, self.max_breakout_recency_bars)
+        return min(lookback, max(int(lookback * 0.75), shortest + (recent if lookback >= shortest + recent else 0)))
 
 
 def neckline_in_band(source: Column, low: Column, high: Column) -> Column:

@@ -132,11 +132,6 @@ def split_targets(total: int) -> dict[str, int]:
     return {n: base + (1 if i < extra else 0) for i, n in enumerate(names)}
 
 
-def cap_per_symbol(pool: DataFrame, limit: int, seed: int) -> DataFrame:
-    rn = F.row_number().over(W.partitionBy("ts_code").orderBy(hash_order(seed, "ts_code", "asof_date")))
-    return pool.withColumn("__rn", rn).where(F.col("__rn") <= limit).drop("__rn")
-
-
 def far_from(pool: DataFrame, positives: DataFrame, days: int) -> DataFrame:
     """Drop rows within ``days`` calendar days of a positive of the same symbol.
 

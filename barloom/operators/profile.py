@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.ordering import exact_quantiles
+from barloom.functions.ordering import column_quantiles
 
 SPLITS = ["train", "valid", "test"]
 
@@ -53,27 +51,29 @@ def append_run(snapshot: DataFrame, path: str) -> None:
 def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing share, constancy, variance and exact quartiles per feature.
 
-    Counts and moments come from one aggregate; quartiles need an ordering per feature, which is distributed.
+    Counts and moments come from one aggregate, the quartiles of all features from one ordering.
     """
-    parts = []
     row = df.agg(
         F.count(F.lit(1)).alias("__n"),
         *[f(c).alias(f"{k}__{c}") for c in columns for k, f in (
             ("n", F.count), ("var", F.var_pop), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))],
     )
-    for c in columns:
-        g = lambda k: F.col(f"{k}__{c}").cast("double")
-        distinct = F.when(F.col(f"n__{c}") == 0, 0).when(g("min") == g("max"), 1).otherwise(2)
-        missing = F.col("__n") - F.col(f"n__{c}")
-        base = row.select(
-            F.lit(c).alias("feature"),
-            missing.alias("missing_count"),
-            (missing / F.col("__n")).alias("missing_ratio"),
-            (distinct + (missing > 0).cast("int") <= 1).alias("is_constant"),
-            g("var").alias("variance"), g("mean").alias("mean"), g("std").alias("std"), g("min").alias("min"), g("max").alias("max"),
-        )
-        parts.append(base.join(exact_quantiles(df, c, [0.25, 0.5, 0.75])))  # one-row sides
-    return reduce(DataFrame.unionByName, parts)
+    per = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"n__{c}").alias("n"), *[F.col(f"{k}__{c}").cast("double").alias(k) for k in ("var", "mean", "std", "min", "max")])
+        for c in columns
+    ]))
+    base = row.select("__n", per.alias("f")).select("__n", "f.*")
+    distinct = F.when(F.col("n") == 0, 0).when(F.col("min") == F.col("max"), 1).otherwise(2)
+    missing = F.col("__n") - F.col("n")
+    base = base.select(
+        "feature",
+        missing.alias("missing_count"),
+        (missing / F.col("__n")).alias("missing_ratio"),
+        (distinct + (missing > 0).cast("int") <= 1).alias("is_constant"),
+        F.col("var").alias("variance"), "mean", "std", "min", "max",
+    )
+    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75]).select(F.col("column").alias("feature"), F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    return base.join(quartiles, "feature", "left")
 
 
 def dataset_shape(meta: DataFrame, features: DataFrame) -> DataFrame:

@@ -419,25 +419,27 @@ class NewHigh:
     very_far_factor: float = 0.45
 
 
+def high_ratio_bands(r: Column, k: NewHigh) -> list[tuple[Column, str, tuple[float, float], tuple[float, float]]]:
+    """Bands of close / previous high in order: test, reason, ends of the band and factors at its ends."""
+    edges = [k.min_high_ratio, k.breakout_ratio, k.ideal_min_ratio, k.ideal_max_ratio, k.far_ratio, k.max_high_ratio]
+    factors = [
+        (k.pre_breakout_min_factor, k.pre_breakout_max_factor), (1.0, k.ideal_factor), (k.ideal_factor, k.ideal_factor),
+        (k.ideal_factor, k.far_factor), (k.far_factor, k.very_far_factor),
+    ]
+    reasons = ["near_high_not_breakout", "fresh_breakout", "confirmed_breakout_ideal", "extended_breakout", "too_extended"]
+    # the ideal band and those above it hold their upper end
+    tests = [r < edges[1], r < edges[2], r <= edges[3], r <= edges[4], r.isNotNull()]
+    return list(zip(tests, reasons, zip(edges, edges[1:]), factors))
+
+
 def high_ratio_factor(r: Column, k: NewHigh) -> tuple[Column, Column]:
-    """Factor and reason for five bands of close / previous high, linear inside the bands."""
+    """Factor, linear inside each band, and reason of the band that close / previous high lies in."""
     if not k.enable_score_adjustment:
         return F.lit(1.0), F.lit("disabled")
-    reason = (
-        F.when(r < k.breakout_ratio, "near_high_not_breakout")
-        .when(r < k.ideal_min_ratio, "fresh_breakout")
-        .when(r <= k.ideal_max_ratio, "confirmed_breakout_ideal")
-        .when(r <= k.far_ratio, "extended_breakout")
-        .when(r.isNotNull(), "too_extended")
-    )
-    factor = (
-        F.when(r < k.breakout_ratio, interpolate(r, k.min_high_ratio, k.breakout_ratio, k.pre_breakout_min_factor, k.pre_breakout_max_factor))
-        .when(r < k.ideal_min_ratio, interpolate(r, k.breakout_ratio, k.ideal_min_ratio, 1.0, k.ideal_factor))
-        .when(r <= k.ideal_max_ratio, F.lit(k.ideal_factor))
-        .when(r <= k.far_ratio, interpolate(r, k.ideal_max_ratio, k.far_ratio, k.ideal_factor, k.far_factor))
-        .when(r.isNotNull(), interpolate(r, k.far_ratio, k.max_high_ratio, k.far_factor, k.very_far_factor))
-    )
-    return F.when(factor.isNotNull(), F.greatest(F.lit(0.0), factor)), reason
+    band = F.lit(None).cast("struct<reason:string,factor:double>")
+    for test, reason, ends, factors in reversed(high_ratio_bands(r, k)):
+        band = F.when(test, F.struct(F.lit(reason).alias("reason"), F.greatest(F.lit(0.0), interpolate(r, *ends, *factors)).alias("factor"))).otherwise(band)
+    return band["factor"], band["reason"]
 
 
 NEW_HIGH_COLUMNS = [

@@ -17,14 +17,42 @@ def symbols_filter(df: DataFrame, symbols: str | list[str] | None) -> DataFrame:
     return df.where(F.col("ts_code").isin(wanted)) if wanted else df
 
 
+def pushed_limit(df: DataFrame) -> int:
+    """Largest rank limit that Spark itself applies before the shuffle of a ranking window."""
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
-    """First n rows per group; the limit is applied on each side of the shuffle, so a hot group stays small."""
+    """First n rows per group (a positive ``n``; else all rows are ranked).
+
+    Up to ``pushed_limit`` rows Spark cuts each group before the shuffle.  Beyond it a group can be larger than a task:
+    each input partition first keeps the n best of its share of a group, dealt by group and partition, and the rows left
+    are ranked by the distributed order of group and ``order``, which should be total.
+    """
     name = rank or "__rn"
-    out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    out = out.where(F.col(name) <= n) if n > 0 else out
+    if n > pushed_limit(df):
+        out = _ranked_across_tasks(_cut_by_partition(df, keys, order, n), keys, order, name).where(F.col(name) <= n)
+    else:
+        out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+        out = out.where(F.col(name) <= n) if n > 0 else out
     return out if rank else out.drop(name)
 
 
+def _cut_by_partition(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    part = df.withColumn("__part", F.spark_partition_id())
+    rn = F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order))
+    return part.withColumn("__in", rn).where(F.col("__in") <= n).drop("__in", "__part")
+
+
+def _ranked_across_tasks(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rank inside each group without a task per group: the global rank minus that of the group's first row."""
+    placed = with_global_rank(df, [*[F.col(k).asc() for k in keys], *order], "__pos")
+    first = placed.groupBy(*keys).agg(F.min("__pos").alias("__first")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    out = placed.join(first, same)  # a hot group is split on its side; the other has one row per group
+    return out.withColumn(name, F.col("__pos") - F.col("__first") + 1).drop("__pos", "__first", *[f"__k_{k}" for k in keys])
+
+
 def best_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return first_per_key(df, keys, order)
 
@@ -97,18 +125,14 @@ def select_candidates(
 def year_round_robin(df: DataFrame, limit: int, score: str, key: str = "sample_id") -> DataFrame:
     """The k-th best row of each year, years in order, until the limit.
 
-    With a limit no year needs more than ``limit`` rows, and that cut is pushed below the shuffle.
+    With a limit no year needs more than ``limit`` rows (see ``top_per_group``).
     """
     df = df.withColumn("sample_year", F.year("asof_date")).where("sample_year is not null")
     order = [F.desc_nulls_last(score), F.asc(key)]
     if limit > 0:
-        rn = F.row_number().over(W.partitionBy("sample_year").orderBy(*order))
-        ranked = df.withColumn("year_rank", rn).where(F.col("year_rank") <= limit)
+        ranked = top_per_group(df, ["sample_year"], order, limit, "year_rank")
         return take_first(ranked, [F.asc("year_rank"), F.asc("sample_year")], limit)
-    placed = with_global_rank(df, [F.asc("sample_year"), *order], "__pos")
-    first = placed.groupBy("sample_year").agg(F.min("__pos").alias("__first"))
-    placed = placed.join(F.broadcast(first), "sample_year")  # one row per year
-    return placed.withColumn("year_rank", F.col("__pos") - F.col("__first") + 1).drop("__pos", "__first").orderBy("year_rank", "sample_year")
+    return _ranked_across_tasks(df, ["sample_year"], order, "year_rank").orderBy("year_rank", "sample_year")
 
 
 def distribution(df: DataFrame, *columns: Column) -> DataFrame:

@@ -47,28 +47,23 @@ def stratified_split(
     """
     known = df.where(F.col(label).isNotNull()).withColumn("__h", hash_order(seed, key))
     pos = with_global_rank(known, [F.asc(label), F.asc("__h"), F.asc(key)], "__pos")
-    cls = pos.groupBy(label).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    n = F.col("__n")
-    small_train = F.greatest(F.lit(1), n - 1)
-    n_train = F.when(n < 3, small_train).otherwise(F.least(n - 2, F.greatest(F.lit(1), F.bround(n * train).cast("bigint"))))
-    cls = cls.withColumn("__t", n_train)
-    n_valid = F.when(n < 3, n - F.col("__t")).otherwise(
-        F.least(n - F.col("__t") - 1, F.greatest(F.lit(1), F.bround(n * valid).cast("bigint")))
-    )
-    cls = cls.withColumn("__v", n_valid)
-    tight = n - F.col("__t") - F.col("__v") <= 0
-    cls = cls.withColumns(
-        {
-            "__v2": F.when(tight & (F.col("__v") > 1), F.col("__v") - 1).otherwise(F.col("__v")),
-            "__t2": F.when(tight & (F.col("__v") <= 1) & (F.col("__t") > 1), F.col("__t") - 1).otherwise(F.col("__t")),
-        }
-    ).select(label, "__first", "__t2", "__v2")
-    k = F.col("__pos") - F.col("__first") + 1
-    split = F.when(k <= F.col("__t2"), "train").when(k <= F.col("__t2") + F.col("__v2"), "valid").otherwise("test")
-    out = pos.join(F.broadcast(cls), label)  # one row per class
+    sizes = pos.groupBy(label).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # last rows of train and of valid; what follows is test
+    ends = sizes.withColumn("__train", _quota(F.col("__n"), train, F.col("__n"), 2))
+    ends = ends.withColumn("__valid", F.col("__train") + _quota(F.col("__n"), valid, F.col("__n") - F.col("__train"), 1))
+    nth = F.col("__pos") - F.col("__first") + 1
+    split = F.when(nth <= F.col("__train"), "train").when(nth <= F.col("__valid"), "valid").otherwise("test")
+    out = pos.join(ends.drop("__n"), label)  # one row per class on the right
     return out.withColumn("split", split).select(*df.columns, "split")
 
 
+def _quota(n: Column, share: float, left: Column, later: int) -> Column:
+    """Rounded share of ``n`` rows, of which ``left`` are not dealt yet: at least one while there is any, and one is left
+    for each of the ``later`` splits if there are enough."""
+    most = F.greatest(left - later, F.least(left, F.lit(1)))
+    return F.least(F.greatest(F.bround(n * share).cast("bigint"), F.lit(1)), most)
+
+
 def walk_forward(
     spark: SparkSession, n: int, train_size: int, test_size: int, step: int | None = None, expanding: bool = True
 ) -> DataFrame:

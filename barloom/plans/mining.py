@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,8 @@ from barloom.functions.ordering import take_first
 from barloom.operators import bases
 from barloom.operators.miners import CANDIDATE_SCHEMA, THRESHOLD_MINERS, candidate_order, complete_schema, scan_thresholds
 from barloom.operators.pullback import Pullback, pullback_negatives, pullback_samples
-from barloom.operators.selection import symbols_filter
+from barloom.operators.selection import symbols_filter, top_per_group
+from barloom.session import stored
 
 OTHER_MINERS: dict[str, tuple[Callable, Callable]] = {
     "w_bottom": (bases.WBottom.from_dict, bases.w_bottom),
@@ -71,9 +72,7 @@ def mine_many(
         caps = {n: k for n, k in caps.items() if k}
         if caps:
             capped = out.where(F.col("miner_name").isin(list(caps)))
-            # rank inside a miner; the common bound is applied before the shuffle as well
-            rn = F.row_number().over(W.partitionBy("miner_name").orderBy(*candidate_order()))
-            capped = capped.withColumn("__g", rn).where(F.col("__g") <= max(caps.values()))
+            capped = top_per_group(capped, ["miner_name"], candidate_order(), max(caps.values()), "__g")
             own = reduce(lambda a, b: a | b, [(F.col("miner_name") == n) & (F.col("__g") <= k) for n, k in caps.items()])
             out = capped.where(own).drop("__g").unionByName(out.where(~F.col("miner_name").isin(list(caps))))
     if max_total:
@@ -85,14 +84,50 @@ def write_candidates(candidates: DataFrame, path: str) -> None:
     candidates.orderBy(*candidate_order()).write.mode("overwrite").option("header", True).csv(path)
 
 
-def user_miner(
-    bars: DataFrame, scan_one: Callable[[str, pd.DataFrame], pd.DataFrame], schema: T.StructType = CANDIDATE_SCHEMA
-) -> DataFrame:
-    """Run a user's per-entity function over all entities; it sees one entity's days in order."""
+@dataclass
+class MinerRun:
+    """Rows that a miner found, and the entities it failed on with the reason."""
+
+    rows: DataFrame
+    failures: DataFrame
+
+    def accounts(self, bars: DataFrame) -> DataFrame:
+        """One row: entities scanned, entities failed and rows found."""
+        failed = self.failures.agg(F.count(F.lit(1)).alias("failed_symbols"))
+        found = self.rows.agg(F.count(F.lit(1)).alias("candidates"))
+        return bars.agg(F.count_distinct("ts_code").alias("symbol_count")).join(failed).join(found)  # one-row sides
+
+
+Scan = Callable[[str, pd.DataFrame], pd.DataFrame]
+_ERROR = "__error"
+
+
+def _user_rows(bars: DataFrame, scan_one: Scan, schema: T.StructType, collect: bool) -> DataFrame:
     names = [f.name for f in schema]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = scan_one(key[0], pdf.sort_values("trade_date").reset_index(drop=True))
-        return out.reindex(columns=names)
+        try:
+            out = scan_one(key[0], pdf.sort_values("trade_date").reset_index(drop=True)).reindex(columns=names)
+            return out.assign(**{_ERROR: None, "__code": key[0]}) if collect else out
+        except Exception as e:  # noqa: BLE001 - what a user's function raises is the result here
+            if not collect:
+                raise
+            return pd.DataFrame({**{n: pd.Series([None], dtype=object) for n in names}, _ERROR: [f"{type(e).__name__}: {e}"], "__code": [key[0]]})
 
-    return bars.groupBy("ts_code").applyInPandas(run, schema)
+    extra = [T.StructField(_ERROR, T.StringType()), T.StructField("__code", T.StringType())] if collect else []
+    return bars.groupBy("ts_code").applyInPandas(run, T.StructType([*schema.fields, *extra]))
+
+
+def user_miner(bars: DataFrame, scan_one: Scan, schema: T.StructType = CANDIDATE_SCHEMA) -> DataFrame:
+    """Run a user's per-entity function over all entities; it sees one entity's days in order.  An error stops the job."""
+    return _user_rows(bars, scan_one, schema, False)
+
+
+def run_user_miner(bars: DataFrame, scan_one: Scan, schema: T.StructType = CANDIDATE_SCHEMA) -> MinerRun:
+    """As ``user_miner``, but an entity whose scan fails becomes a row (ts_code, reason) and the others go on.
+
+    Both tables come from one pass, which is stored.
+    """
+    both = stored(_user_rows(bars, scan_one, schema, True))
+    failed = F.col(_ERROR).isNotNull()
+    return MinerRun(both.where(~failed).drop(_ERROR, "__code"), both.where(failed).select(F.col("__code").alias("ts_code"), F.col(_ERROR).alias("reason")))

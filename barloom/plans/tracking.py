@@ -49,11 +49,6 @@ def phase1_cache(
     return rank_phase1(scored.withColumn("anchor_date", F.col("asof_date")), top_n, "adjusted_phase1_score" if config else None)
 
 
-def write_phase1_cache(cache: DataFrame, path: str) -> None:
-    """One folder per anchor date; only the dates present are replaced."""
-    cache.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("anchor_date").parquet(path)
-
-
 def hits_for_targets(cache: DataFrame, anchors: DataFrame) -> DataFrame:
     """Cached hits of each target's anchor dates; ``anchors`` is (target_date, anchor_date)."""
     return cache.join(anchors, "anchor_date")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.ordering import take_first
+from barloom.functions.ordering import column_quantiles, take_first
 from barloom.operators.metrics import classification_metrics, extended_metrics
 from barloom.operators.predictions import ensemble, intersect_models, intersection_order, latest_candidates
 from barloom.operators.review import NEW_HIGH_COLUMNS, NewHigh, with_new_high
 from barloom.operators.schema import NON_FEATURES
 from barloom.plans.datasets import scan_features
 from barloom.session import ensure_checkpoint_dir
+from barloom.sources.dated import path_exists
 
 ALIASES = {
     "logistic_regression": "logistic_regression", "lr": "logistic_regression", "logistic": "logistic_regression",
@@ -68,14 +70,9 @@ class Scaler:
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact median per column, NaN as missing; a column without a value gets 0.
-
-    Values are counted per column and value before they are ordered, so a frequent value is one row.
-    """
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
-    counts = df.select(pairs.alias("p")).select("p.c", "p.v").where("v is not null and not isnan(v)").groupBy("c", "v").agg(F.count("*").alias("n"))
-    found = {r["c"]: r["m"] for r in counts.groupBy("c").agg(F.expr("percentile(v, 0.5, n)").alias("m")).collect()}
-    return {c: found.get(i, 0.0) for i, c in enumerate(columns)}
+    """Exact median per column, NaN as missing; a column without a value gets 0.  One ordering serves all columns."""
+    found = {r["column"]: r["q0"] for r in column_quantiles(df, columns, [0.5]).collect()}  # one row per column
+    return {c: found.get(c, 0.0) for c in columns}
 
 
 class Scored:
@@ -98,8 +95,75 @@ class Scored:
         out = self.model.transform(out)
         return out.select(*keep, vector_to_array("probability")[1].alias(name))
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def save(self, path: str, name: str = "", threshold: float = 0.5) -> None:
+        """Model and preparation (columns in order, fill values, scaler) under ``path``; what was there is replaced."""
+        kept = {
+            "format": BUNDLE, "name": name, "threshold": threshold, "columns": self.columns, "imputed": self.imputed,
+            "scaler": [[c, *self.scaler.stats[c]] for c in self.scaler.columns] if self.scaler else None,
+        }
+        self.model.write().overwrite().save(f"{path}/model")
+        # numbers as text of their shortest exact form: a reloaded model scores alike to the last bit
+        row = active_session().createDataFrame([(json.dumps(kept),)], "preparation string")
+        row.coalesce(1).write.mode("overwrite").text(f"{path}/preparation")
+
+    @classmethod
+    def load(cls, path: str) -> "Scored":
+        kept = read_preparation(path)
+        scaler = None
+        if kept["scaler"] is not None:
+            scaler = Scaler([c for c, _, _ in kept["scaler"]])
+            scaler.stats = {c: (m, d) for c, m, d in kept["scaler"]}
+        return cls(kept["columns"], kept["imputed"], scaler, PipelineModel.load(f"{path}/model"))
+
+
+#: Version of the stored preparation.
+BUNDLE = 1
+
+
+def active_session() -> SparkSession:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("no active session")
+    return spark
+
+
+def read_preparation(path: str) -> dict:
+    kept = json.loads("\n".join(r["value"] for r in active_session().read.text(f"{path}/preparation").collect()))
+    if kept.get("format") != BUNDLE:
+        raise ValueError(f"{path}: stored preparation has format {kept.get('format')}, not {BUNDLE}")
+    return kept
+
+
+class ModelStore:
+    """Trained models by name under one folder; any familiar name of a model finds it."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root.rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{model_name(name)}"
+
+    def save(self, name: str, model: Scored, threshold: float = 0.5) -> str:
+        model.save(self.path(name), model_name(name), threshold)
+        return self.path(name)
+
+    def names(self) -> list[str]:
+        spark = active_session()
+        return [n for n in sorted(set(ALIASES.values())) if path_exists(spark, f"{self.path(n)}/preparation")]
+
+    def load(self, name: str) -> Scored:
+        if model_name(name) not in self.names():
+            raise ValueError(f"no stored model {model_name(name)} under {self.root}; stored: {self.names()}")
+        return Scored.load(self.path(name))
+
+    def threshold(self, name: str) -> float:
+        return read_preparation(self.path(name))["threshold"]
+
+    def score(self, df: DataFrame, names: list[str] | None = None) -> DataFrame:
+        """``df`` with ``score_<name>`` and ``pred_<name>`` of each stored model."""
+        for n in model_names(names or self.names()):
+            df = self.load(n).score(df, f"score_{n}").withColumn(f"pred_{n}", (F.col(f"score_{n}") >= self.threshold(n)).cast("int"))
+        return df
 
 
 def feature_list(df: DataFrame) -> list[str]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import instrument_id, split_ratio
+from barloom.session import stored
 
 PAYLOAD_SCHEMA = """
 chart struct<
@@ -26,14 +29,39 @@ def utc_date(seconds: Column) -> Column:
     return F.to_date(F.timestamp_seconds(seconds))
 
 
+@dataclass
+class Payloads:
+    """Parsed payloads (symbol, r) and those set aside (symbol, reason)."""
+
+    good: DataFrame
+    rejected: DataFrame
+
+
+def _checked(df: DataFrame, payload: str) -> DataFrame:
+    """(symbol, r, reason): the first result of each payload, or why there is none."""
+    parsed = df.select(F.upper("symbol").alias("symbol"), F.col(payload).alias("__t"), F.from_json(payload, f"{PAYLOAD_SCHEMA.strip()}, __bad string", {"columnNameOfCorruptRecord": "__bad"}).alias("__p"))
+    first = F.get("__p.chart.result", F.lit(0))
+    reason = (
+        F.when(F.col("__t").isNull() | (F.trim("__t") == ""), F.lit("payload is empty"))
+        .when(F.col("__p").isNull() | F.col("__p.__bad").isNotNull(), F.lit("payload is not the JSON of a chart"))
+        .when(F.col("__p.chart").isNull(), F.lit("payload has no chart"))
+        .when(F.col("__p.chart.error").isNotNull(), F.col("__p.chart.error"))
+        .when(F.coalesce(F.size("__p.chart.result"), F.lit(0)) <= 0, F.lit("chart payload has no result"))
+        .when(first.isNull(), F.lit("chart payload has an empty result"))
+    )
+    return parsed.select("symbol", first.alias("r"), reason.alias("reason"))
+
+
+def split_payloads(df: DataFrame, payload: str = "payload") -> Payloads:
+    """Good payloads and bad ones with their reason; the JSON is parsed once and the outcome stored."""
+    both = stored(_checked(df, payload))
+    return Payloads(both.where("reason is null").drop("reason"), both.where("reason is not null").select("symbol", "reason"))
+
+
 def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Rows (symbol, result); a payload with an error, or without a result, stops the job."""
-    parsed = df.withColumn("__p", F.from_json(payload, PAYLOAD_SCHEMA))
-    empty = F.coalesce(F.size("__p.chart.result"), F.lit(0)) <= 0
-    why = F.coalesce(F.col("__p.chart.error"), F.lit("chart payload has no result"))
-    bad = F.col("__p.chart.error").isNotNull() | empty
-    result = F.when(bad, F.raise_error(F.concat(F.col("symbol"), F.lit(": "), why))).otherwise(F.get("__p.chart.result", F.lit(0)))
-    return parsed.select(F.upper("symbol").alias("symbol"), result.alias("r"))
+    """Rows (symbol, r); a payload with an error, or without a result, stops the job.  See ``split_payloads`` for going on."""
+    why = F.concat(F.col("symbol"), F.lit(": "), F.col("reason"))
+    return _checked(df, payload).select("symbol", F.when(F.col("reason").isNotNull(), F.raise_error(why)).otherwise(F.col("r")).alias("r"))
 
 
 def _at(array: Column, i: Column) -> Column:
@@ -56,8 +84,12 @@ def _ratio(e: Column) -> Column:
 
 
 def daily_prices(df: DataFrame, source: str = "chart", payload: str = "payload") -> DataFrame:
-    """One row per timestamp.  The arrays belong to one symbol's calendar, so an exploded payload stays small."""
-    r = parse_payloads(df, payload)
+    """One row per timestamp of payloads in JSON; a bad one stops the job."""
+    return prices_of(parse_payloads(df, payload), source)
+
+
+def prices_of(r: DataFrame, source: str = "chart") -> DataFrame:
+    """One row per timestamp of parsed payloads.  The arrays belong to one symbol's calendar, so an exploded payload stays small."""
     quote = F.get("r.indicators.quote", F.lit(0))
     adj = F.get("r.indicators.adjclose", F.lit(0))["adjclose"]
     rows = r.select(
@@ -83,8 +115,12 @@ def daily_prices(df: DataFrame, source: str = "chart", payload: str = "payload")
 
 
 def corporate_actions(df: DataFrame, source: str = "chart", payload: str = "payload") -> DataFrame:
-    """One row per dividend and per split, in symbol, date, type order of columns (see ``action_table``)."""
-    r = parse_payloads(df, payload)
+    """One row per dividend and per split of payloads in JSON; a bad one stops the job."""
+    return actions_of(parse_payloads(df, payload), source)
+
+
+def actions_of(r: DataFrame, source: str = "chart") -> DataFrame:
+    """One row per dividend and per split of parsed payloads; ``action_table`` orders them."""
     make = lambda events, kind, value: F.coalesce(
         F.transform(
             F.map_values(events),
