@@ -101,11 +101,12 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text:
 
     def make():
         trie = Trie(load_unigram(model_path))
+        node_of: dict[bytes, int] = {}  # no longer than the trie
 
         def work(texts):
             if len(trie) > NODES:
                 trie.clear()
-            node_of: dict[bytes, int] = {}
+                node_of.clear()
             words, tokens, scores = [], [], []
             for t in texts:
                 seen = Counter((t or "").encode("utf-8", "replace").split())
