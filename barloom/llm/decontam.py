@@ -43,6 +43,8 @@ ANSWER, ANSWER_WORDS, ANSWER_FOUND = 0.2, 3, 0.8
 COMMON, LEAST_RARE = 0.05, 3
 #: Benchmark words in a block of items; larger benchmarks are searched block by block.
 BLOCK_WORDS = 2_000_000
+#: Pairs of a window and a passage that a task counts words for at once.
+CELLS = 1 << 20
 #: Raw words that a task remembers.
 REMEMBERED = 200_000
 
@@ -264,7 +266,11 @@ class Search:
         self.wanted = share[self.owner] / 2 * np.bincount(self.holders, minlength=len(self.owner))
 
     def found(self, ids: np.ndarray) -> dict[int, tuple]:
-        """Item number -> (common words, start, end, cosine, answer found) of the best window, for confirmed items."""
+        """Item number -> (common words, start, end, cosine, answer found) of the best window, for confirmed items.
+
+        A pair of window and passage needs a cosine and enough rare words; the words are counted first, and the cosine is
+        taken of the windows that have enough for some passage.
+        """
         out: dict[int, tuple] = {}
         at = np.flatnonzero(self.rare[ids])
         if not len(at):
@@ -272,40 +278,45 @@ class Search:
         n = len(ids)
         start = np.arange(0, max(1, n - PASSAGE // 2), PASSAGE // 2)
         end = np.minimum(start + PASSAGE, n)
-        # latent vectors of all windows as differences of running sums over the weighted words
-        sums = np.zeros((len(at) + 1, self.latent.shape[1]))
-        np.cumsum(self.latent[ids[at]], axis=0, out=sums[1:])
+        words = ids[at]
         a, b = np.searchsorted(at, start), np.searchsorted(at, end)
         some = np.flatnonzero(b > a)
-        vectors = sums[b[some]] - sums[a[some]]
+        step = max(1, CELLS // len(self.owner))
+        for lo in range(0, len(some), step):
+            part = some[lo : lo + step]
+            window, passage = np.nonzero(self._enough(words, a[part], b[part]))
+            if not len(window):
+                continue
+            cosine = self._cosines(words, a[part], b[part], window, passage)
+            for k in np.flatnonzero((cosine >= COSINE) | self.alone[passage]).tolist():
+                w = part[window[k]]
+                self._check(int(self.owner[passage[k]]), ids, int(start[w]), int(end[w]), float(cosine[k]), out)
+        return out
+
+    def _cosines(self, words: np.ndarray, a: np.ndarray, b: np.ndarray, window: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """Cosine of each pair of a window and a passage in the latent space."""
+        own, back = np.unique(window, return_inverse=True)
+        vectors = np.array([self.latent[words[a[w] : b[w]]].sum(axis=0) for w in own.tolist()], np.float32)
         vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-        content = self._content(ids[at], a[some], b[some])
-        for at_ in range(0, len(some), 4096):
-            cosines = vectors[at_ : at_ + 4096].astype(np.float32) @ self.passages.T
-            for k, p in zip(*(x.tolist() for x in np.nonzero(((cosines >= COSINE) | self.alone) & content(at_, at_ + 4096)))):
-                window = some[at_ + k]
-                self._check(int(self.owner[p]), ids, int(start[window]), int(end[window]), float(cosines[k, p]), out)
+        out = np.empty(len(window), np.float32)
+        for lo in range(0, len(window), CELLS // 64):
+            s = slice(lo, lo + CELLS // 64)
+            out[s] = np.einsum("ij,ij->i", vectors[back[s]], self.passages[passage[s]])
         return out
 
-    def _content(self, words: np.ndarray, a: np.ndarray, b: np.ndarray):
-        """Function of a range of windows: which passages have enough of their rare words in each of them.
+    def _enough(self, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which passages (columns) have enough of their rare words in each window (rows).
 
         ``words`` are the rare words of the text, ``a`` and ``b`` the first and the last (exclusive) of each window.
         """
-        size = len(self.owner)
-
-        def enough(lo: int, hi: int) -> np.ndarray:
-            lo_, hi_ = a[lo:hi], b[lo:hi]
-            span = hi_ - lo_
-            window = np.repeat(np.arange(len(span)), span)
-            held = words[np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(lo_, span)]
-            window, held = np.divmod(np.unique(window * len(self.rare) + held), len(self.rare))
-            count = self.first[held + 1] - self.first[held]
-            passage = self.holders[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[held], count)]
-            found = np.bincount(np.repeat(window, count) * size + passage, minlength=len(span) * size)
-            return found.reshape(len(span), size) >= self.wanted
-
-        return enough
+        size, span = len(self.owner), b - a
+        window = np.repeat(np.arange(len(span)), span)
+        held = words[np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(a, span)]
+        window, held = np.divmod(np.unique(window * len(self.rare) + held), len(self.rare))
+        count = self.first[held + 1] - self.first[held]
+        passage = self.holders[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[held], count)]
+        found = np.bincount(np.repeat(window, count) * size + passage, minlength=len(span) * size)
+        return found.reshape(len(span), size) >= self.wanted
 
     def _check(self, item: int, ids: np.ndarray, a: int, b: int, cosine: float, out: dict[int, tuple]) -> None:
         words = self.items.words[item]
