@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import explode_pass, hash_sample, id_fold, q, text_pass, top_rows
+from barloom.llm.common import explode_pass, hash_sample, id_fold, q, text_pass
+from barloom.operators.selection import top_per_group
 from barloom.session import stored
 
 #: About so many labelled documents, chosen by the hash of their id, are learnt from.
 TRAIN_DOCS = 20_000
-#: Most known words and most n-grams of each order that the model keeps, the most frequent ones first.
-WORDS, GRAMS = 60_000, 30_000
+#: Most known words, and most n-grams of each order, that the model keeps of a language, the most frequent ones first.
+WORDS, GRAMS = 20_000, 10_000
 #: Orders of the character n-grams that unseen words fall back to, in this order.
 ORDERS = (5, 4, 3, 2, 1)
 #: Added to every count; weight of a level below the words, once per level.
@@ -34,8 +35,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letters_of(word: str) -> list[str]:
-    """Runs of letters of a word, in lower case."""
-    return _LETTERS.findall(word.lower())
+    """Runs of letters of a word, in lower case; number signs such as fractions and Roman numerals are none."""
+    found = _LETTERS.findall(word.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -46,40 +50,64 @@ def grams_of(word: str, order: int) -> list[str]:
 
 @dataclass
 class Backoff:
-    """Log frequencies per language: of words, and of the n-grams of each order."""
+    """Log frequencies per language: row numbers of words and of the n-grams of each order, and the rows of each level."""
 
     langs: list[str]
-    levels: list[dict[str, np.ndarray]]
+    rows: list[dict[str, int]]
+    tables: list[np.ndarray]
+
+    @property
+    def levels(self) -> list[dict[str, np.ndarray]]:
+        """Log frequencies by item, level by level."""
+        return [{item: table[row] for item, row in rows.items()} for rows, table in zip(self.rows, self.tables)]
 
     @classmethod
     def from_counts(cls, rows: list[tuple[str, int, str, int]]) -> Backoff:
         """``rows``: (language, level, item, count); level 0 is words, level i the i-th order."""
         langs = sorted({r[0] for r in rows})
         at = {x: i for i, x in enumerate(langs)}
-        levels: list[dict[str, np.ndarray]] = [{} for _ in range(1 + len(ORDERS))]
+        levels: list[dict[str, int]] = [{} for _ in range(1 + len(ORDERS))]
+        places: list[list[tuple[int, int, int]]] = [[] for _ in levels]
         for lang, level, item, n in rows:
-            levels[level].setdefault(item, np.zeros(len(langs)))[at[lang]] += n
-        for level in levels:
-            if level:
-                table = np.array(list(level.values())) + SMOOTHING
-                table = np.log(table / table.sum(axis=0))
-                for item, row in zip(level, table):
-                    level[item] = row
-        return cls(langs, levels)
+            places[level].append((levels[level].setdefault(item, len(levels[level])), at[lang], n))
+        tables = []
+        for level, found in zip(levels, places):
+            table = np.full((len(level), len(langs)), SMOOTHING)
+            if found:
+                row, col, n = np.array(found).T
+                np.add.at(table, (row, col), n)
+            tables.append(np.log(table / table.sum(axis=0)))
+        return cls(langs, levels, tables)
 
     def word(self, word: str) -> np.ndarray:
-        """Score of a word per language, relative to the mean over languages."""
-        hit = self.levels[0].get(word)
-        weight = 1.0
-        for level, order in enumerate(ORDERS, 1):
-            if hit is not None:
-                break
-            weight *= BACKOFF
-            known = [v for g in grams_of(word, order) if (v := self.levels[level].get(g)) is not None]
-            hit = np.mean(known, axis=0) if known else None
-        if hit is None:
-            return np.zeros(len(self.langs))
-        return weight * (hit - hit.mean())
+        return self.words([word])[0]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Score of each word per language, relative to the mean over languages.
+
+        A word outside the known ones takes the mean of its known n-grams of the longest order that has any.
+        """
+        out = np.zeros((len(words), len(self.langs)))
+        # per level: words, and the rows of their items
+        asked: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in self.rows]
+        for i, word in enumerate(words):
+            found = self.rows[0].get(word)
+            found, level = ([found], 0) if found is not None else ([], 0)
+            while not found and level < len(ORDERS):
+                level += 1
+                known = self.rows[level]
+                found = [r for g in grams_of(word, ORDERS[level - 1]) if (r := known.get(g)) is not None]
+            if found:
+                at, first, items = asked[level]
+                at.append(i)
+                first.append(len(items))
+                items += found
+        for level, (at, first, items) in enumerate(asked):
+            if at:
+                sizes = np.diff(np.append(first, len(items)))
+                mean = np.add.reduceat(self.tables[level][items], first) / sizes[:, None]
+                out[at] = BACKOFF**level * (mean - mean.mean(axis=1, keepdims=True))
+        return out
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_DOCS, fold: int = 2) -> Backoff | None:
@@ -111,49 +139,61 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
     schema = T.StructType([T.StructField("l", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("w", T.StringType()), T.StructField("n", T.LongType())])
     counts = stored(explode_pass(train, [q(lang), q(text)], make, schema).groupBy("k", "w", "l").agg(F.sum("n").alias("n")))
-    rows = []
-    for level in range(1 + len(ORDERS)):
-        # the most frequent (item, language) pairs; the bound is on rows, so it holds for any number of languages
-        top = counts.where(F.col("k") == level) if level else counts.where("k = 0 and n > 1")
-        rows += [(r["l"], level, r["w"], r["n"]) for r in top_rows(top, [F.desc("n"), F.col("w"), F.col("l")], GRAMS if level else WORDS).collect()]
+    # a quota per language, so that a small one keeps its words
+    order = [F.desc("n"), F.asc("w")]
+    kept = top_per_group(counts.where("k = 0"), ["k", "l"], order, WORDS).unionByName(top_per_group(counts.where("k > 0"), ["k", "l"], order, GRAMS))
+    rows = [(r["l"], r["k"], r["w"], r["n"]) for r in kept.orderBy("k", "l", *order).collect()]  # bounded by the quotas
     return Backoff.from_counts(rows) if rows else None
 
 
 class Scorer:
-    """Scores texts with a bounded memory of words."""
+    """Scores texts with a bounded memory of words: a row of ``table`` per raw word, row 0 for those without a letter."""
 
     def __init__(self, model: Backoff):
-        self.model, self.at, self.rows = model, {}, []
-
-    def _index(self, raw: str) -> int:
-        words = letters_of(raw)
-        if not words:
-            return 0
-        self.rows.append(sum(self.model.word(w) for w in words))
-        return len(self.rows)
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table, self.used = np.zeros((4096, len(self.model.langs))), 1
+
+    def _learn(self, raw: list[str]) -> None:
+        """Rows of new raw words."""
+        runs = [letters_of(w) for w in raw]
+        sizes = np.array([len(r) for r in runs])
+        some = np.flatnonzero(sizes)
+        for w in raw:
+            self.at[w] = 0
+        if not len(some):
+            return
+        scores = self.model.words([x for r in runs for x in r])
+        rows = np.add.reduceat(scores, (np.cumsum(sizes) - sizes)[some])
+        end = self.used + len(some)
+        if end > len(self.table):
+            self.table = np.concatenate((self.table[: self.used], np.zeros((max(end, 2 * len(self.table)) - self.used, self.table.shape[1]))))
+        self.table[self.used : end] = rows
+        for k, i in enumerate(some.tolist(), self.used):
+            self.at[raw[i]] = k
+        self.used = end
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if len(self.at) > REMEMBERED:
+            self._clear()
+        at = self.at
+        counted = [Counter((t or "").split()) for t in texts]
+        new = {w for seen in counted for w in seen if w not in at}
+        if new:
+            self._learn(sorted(new))
         langs, scores = [], []
-        for t in texts:
-            if len(self.at) > REMEMBERED:
-                self.at, self.rows = {}, []
-            seen = Counter((t or "").split())
-            at, use, weight = self.at, [], []
-            for w, n in seen.items():
-                i = at.get(w)
-                if i is None:
-                    i = at[w] = self._index(w)
-                if i:
-                    use.append(i - 1)
-                    weight.append(n)
-            if not use:
+        for seen in counted:
+            rows = np.fromiter(map(at.__getitem__, seen), np.int64, len(seen))
+            weight = np.fromiter(seen.values(), np.float64, len(seen))
+            letters = weight[rows > 0].sum()
+            if not letters:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            total = np.zeros(len(self.model.langs))
-            for i, n in zip(use, weight):
-                total += n * self.rows[i]
-            z = total / max(1.0, sum(weight) / SHARP_WORDS)
+            z = (weight @ self.table[rows]) / max(1.0, letters / SHARP_WORDS)
             z = np.exp(z - z.max())
             langs.append(self.model.langs[int(z.argmax())])
             scores.append(float(z.max() / z.sum()))
@@ -163,7 +203,7 @@ class Scorer:
 def identify(docs: DataFrame, model: Backoff | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score), one row per input row.
 
-    A null text or one without a letter is ``und`` with score 0, and so is every text without a model.  Ties go to the
+    Null and repeated ids pass through.  A null text or one without a letter is ``und`` with score 0, and so is every text without a model.  Ties go to the
     language that sorts first.
     """
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
