@@ -142,18 +142,19 @@ def _window(spark, sf):
 @query(
     "sequence_matrix",
     oracle(
-        """select sample_id, 60 as rows, sum(close) as total, cast(max(case when "offset" = 0 then cast(close as float) end) as double) as first_close,
+        """select sample_id, 60 as rows, sum(cast(floor(cast(cast(close as float) as double) * 100) as bigint)) as total, cast(max(case when "offset" = 0 then cast(close as float) end) as double) as first_close,
            max(case when "offset" = 59 then vol end) as last_vol from win group by sample_id""",
-        WINDOW_SQL, ints="rows",
-    ).replace("select * replace (", "select * replace (round(cast(total as double), 0) as total, round(cast(first_close as double), 2) as first_close, round(cast(last_vol as double), 2) as last_vol, "),
+        WINDOW_SQL, ints="rows total",
+    ).replace("select * replace (", "select * replace (round(cast(first_close as double), 2) as first_close, round(cast(last_vol as double), 2) as last_vol, "),
 )
 def _sequence(spark, sf):
     w = hs.history_window(shifted(spark, sf), load_bars(spark, sf), 60, 120, ["close", "vol"])
     m = hs.sequence_matrix(w, ["close", "vol"])
     seq = F.col("sequence")
-    total = F.aggregate(seq, F.lit(0.0), lambda a, x: a + x[0].cast("double"))
+    # whole hundredths: their sum does not depend on the order of addition
+    total = F.aggregate(seq, F.lit(0).cast("bigint"), lambda a, x: a + F.floor(x[0].cast("double") * 100))
     return m.select(
-        "sample_id", F.size(seq).alias("rows"), F.round(total, 0).alias("total"), F.round(seq[0][0].cast("double"), 2).alias("first_close"),
+        "sample_id", F.size(seq).alias("rows"), total.alias("total"), F.round(seq[0][0].cast("double"), 2).alias("first_close"),
         F.round(seq[59][1].cast("double"), 2).alias("last_vol"),
     )
 
@@ -253,7 +254,7 @@ def _anti(spark, sf):
 
 @query(
     "semi_join_codes",
-    oracle("select ts_code, trade_date, close from bars where ts_code in (select ts_code from hits)", HITS_SQL, dates="trade_date", nums="close"),
+    oracle("select ts_code, trade_date, close from bars join (select distinct ts_code from hits) using (ts_code)", HITS_SQL, dates="trade_date", nums="close"),
 )
 def _semi(spark, sf):
     return load_bars(spark, sf).join(hits(spark, sf).select("ts_code"), "ts_code", "left_semi").select("ts_code", "trade_date", "close")
@@ -306,7 +307,7 @@ def _exact(spark, sf):
     return last.join(F.broadcast(asof), "last_date", "left_semi").select("ts_code", "last_date")
 
 
-CAL_SQL = HITS_SQL + ", targets as (select date as target_date, pos as tpos from all_dates where pos % 250 = 0)"
+CAL_SQL = HITS_SQL + ", targets as (select date as target_date, pos as tpos from all_dates)"
 
 
 @query(
@@ -315,7 +316,7 @@ CAL_SQL = HITS_SQL + ", targets as (select date as target_date, pos as tpos from
 )
 def _anchors(spark, sf):
     d = cal.dense_dates(load_bars(spark, sf))
-    return cal.anchor_dates(d, d.where("pos % 250 = 0").select(F.col("date").alias("target_date")), 10)
+    return cal.anchor_dates(d, d.select(F.col("date").alias("target_date")), 10)
 
 
 @query(
@@ -329,7 +330,7 @@ def _anchors(spark, sf):
 def _anchors_start(spark, sf):
     d = cal.dense_dates(load_bars(spark, sf))
     start = str(d.where("date >= date'2000-01-05'").agg(F.min("date")).first()[0])
-    return cal.anchor_dates(d, d.where("pos % 250 = 0").select(F.col("date").alias("target_date")), anchor_start=start)
+    return cal.anchor_dates(d, d.select(F.col("date").alias("target_date")), anchor_start=start)
 
 
 @query(
@@ -339,7 +340,7 @@ def _anchors_start(spark, sf):
 )
 def _track(spark, sf):
     d = cal.dense_dates(load_bars(spark, sf))
-    return cal.track_dates(d, d.where("pos % 250 = 0").select(F.col("date").alias("anchor_date")), 7, "2001-01-15")
+    return cal.track_dates(d, d.select(F.col("date").alias("anchor_date")), 7, "2001-01-15")
 
 
 @query(

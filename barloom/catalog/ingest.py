@@ -575,8 +575,8 @@ def _union(spark, sf):
 @query(
     "keep_last",
     oracle(
-        """select ts_code, trade_date, close, vol from increment union all select ts_code, trade_date, close, vol from bars b
-           where not exists (select 1 from increment i where i.ts_code = b.ts_code and i.trade_date = b.trade_date)""",
+        """select ts_code, trade_date, close, vol from (select *, row_number() over (partition by ts_code, trade_date order by late desc) as k from (
+             select ts_code, trade_date, close, vol, 1 as late from increment union all select ts_code, trade_date, close, vol, 0 from bars)) where k = 1""",
         INCREMENT_SQL, dates="trade_date", nums="close vol",
     ),
 )
@@ -587,9 +587,9 @@ def _keep_last(spark, sf):
 @query(
     "upsert_increment",
     oracle(
-        """select ts_code, trade_date, open, high, low, close, vol, amount from increment union all
-           select ts_code, trade_date, open, high, low, close, vol, amount from bars b
-           where not exists (select 1 from increment i where i.ts_code = b.ts_code and i.trade_date = b.trade_date)""",
+        """select ts_code, trade_date, open, high, low, close, vol, amount from (select *, row_number() over (partition by ts_code, trade_date order by late desc) as k from (
+             select ts_code, trade_date, open, high, low, close, vol, amount, 1 as late from increment union all
+             select ts_code, trade_date, open, high, low, close, vol, amount, 0 from bars)) where k = 1""",
         INCREMENT_SQL, dates="trade_date", nums="open high low close vol amount",
     ),
 )

@@ -150,11 +150,19 @@ def _split_ratio(spark, sf):
     return sp.ratio_split(samples(spark, sf)).select("sample_id", "split")
 
 
-@query("split_stratified")
+@query(
+    "split_stratified",
+    oracle(
+        """select sample_id, label, case when k <= t then 'train' when k <= t + v then 'valid' else 'test' end as split from (
+             select *, least(greatest(cast(round_even(n * 0.15::double, 0) as bigint), 1), n - t - 1) as v from (
+               select *, least(greatest(cast(round_even(n * 0.7::double, 0) as bigint), 1), n - 2) as t from (
+                 select *, row_number() over (partition by label order by md5(concat('42|', sample_id)), sample_id) as k, count(*) over (partition by label) as n from samples)))""",
+        SAMPLES_SQL, ints="label",
+    ),
+)
 def _split_stratified(spark, sf):
-    """Counts per class and split of the seeded stratified split (the draw itself is a hash order)."""
-    s = sp.stratified_split(samples(spark, sf))
-    return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    """Every sample's split; classes have more than three samples here."""
+    return sp.stratified_split(samples(spark, sf)).select("sample_id", "label", "split")
 
 
 @query(

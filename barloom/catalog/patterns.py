@@ -173,7 +173,7 @@ def _long_monthly(spark, sf):
     oracle(
         """select s.ts_code, s.trade_date as asof_date, k as monthly_trend_months, s.close / m24 - 1 as monthly_trend_return_pct,
            case when k >= 12 then (before + s.close) / 12 end / pma - 1 as monthly_trend_ma_slope_pct, s.close / case when k >= 12 then (before + s.close) / 12 end - 1 as monthly_close_vs_ma_pct
-           from bars s join mo on mo.ts_code = s.ts_code and mo.month = date_trunc('month', s.trade_date) where day(s.trade_date) = 10""",
+           from bars s join mo on mo.ts_code = s.ts_code and mo.month = date_trunc('month', s.trade_date)""",
         """m0 as (select ts_code, date_trunc('month', trade_date) as month, arg_max(close, trade_date) as mc from bars group by 1, 2),
            mo as (select *, row_number() over w as k, lag(mc, 24) over w as m24,
              sum(mc) over (partition by ts_code order by month rows between 11 preceding and 1 preceding) as before,
@@ -184,7 +184,7 @@ def _long_monthly(spark, sf):
 )
 def _monthly(spark, sf):
     b = load_bars(spark, sf)
-    rows = b.where(F.dayofmonth("trade_date") == 10).select("ts_code", F.col("trade_date").alias("asof_date"), F.col("close").alias("now"))
+    rows = b.select("ts_code", F.col("trade_date").alias("asof_date"), F.col("close").alias("now"))
     return bases.monthly_trend(rows, b, bases.MonthlyTrend()).drop("now")
 
 
@@ -409,9 +409,12 @@ def _select_top(spark, sf):
     return sel.select_candidates(p, top_n=50, score="score")
 
 
-@query("select_random")
+@query(
+    "select_random",
+    oracle("select * from pred_a order by md5(concat('7|', sample_id)), sample_id limit 50", PREDS_SQL, dates="asof_date", nums="score", ints="y_true"),
+)
 def _select_random(spark, sf):
-    """Repeatable random choice by hash order (no SQL equivalent of the hash)."""
+    """Repeatable random choice by hash order."""
     return sel.select_candidates(pred(spark, sf, 7.13), top_n=50, sample="random", score="score", seed=7)
 
 

@@ -14,10 +14,9 @@ from barloom.sources.universe import dense_dates
 
 
 def targets(spark, sf):
-    """The last date and the date 20 trading days before it."""
+    """Every trading date."""
     d = dense_dates(load_bars(spark, sf))
-    n = d.agg(F.max("pos").alias("n"))
-    return d, d.join(F.broadcast(n)).where("pos = n or pos = n - 20").select(F.col("date").alias("target_date"))
+    return d, d.select(F.col("date").alias("target_date"))
 
 
 def staged(spark, sf):
@@ -27,7 +26,7 @@ def staged(spark, sf):
     return anchors, h, tk.stock_pool(h)
 
 
-STAGE_SQL = HITS_SQL + """, tgt as (select date as target_date, pos as tpos from all_dates where pos in ((select max(pos) from all_dates), (select max(pos) from all_dates) - 20)),
+STAGE_SQL = HITS_SQL + """, tgt as (select date as target_date, pos as tpos from all_dates),
 anc as (select target_date, date as anchor_date from tgt join all_dates on pos between tpos - 15 and tpos - 1),
 th as (select a.target_date, h.* from hits h join anc a using (anchor_date)),
 tf as (select *, row_number() over (partition by target_date, ts_code order by anchor_date, phase1_rank) as kf, row_number() over (partition by target_date, ts_code order by anchor_date desc, phase1_rank desc) as kl,
@@ -74,12 +73,10 @@ def _missing(spark, sf):
 @query(
     "price_paths",
     oracle(
-        """select p.target_date, p.ts_code, p.pool_entry_date, (select count(*) from bars b where b.ts_code = p.ts_code and b.trade_date > p.pool_entry_date and b.trade_date <= p.target_date) as days_since_anchor, a.close as anchor_close, c.close as current_close,
-           c.close / a.close - 1 as current_return_from_anchor, (select max(high) from bars b where b.ts_code = p.ts_code and b.trade_date between p.pool_entry_date and p.target_date) / a.close - 1 as max_runup_since_anchor,
-           c.close / (select max(high) from bars b where b.ts_code = p.ts_code and b.trade_date between p.pool_entry_date and p.target_date) - 1 as drawdown_from_post_anchor_high,
-           (select min(low) from bars b where b.ts_code = p.ts_code and b.trade_date between p.pool_entry_date and p.target_date) / a.close - 1 as min_low_return_from_anchor
-           from pool p join bars a on a.ts_code = p.ts_code and a.trade_date = p.pool_entry_date join bars c on c.ts_code = p.ts_code and c.trade_date = p.target_date""",
-        STAGE_SQL, dates="target_date pool_entry_date", nums="anchor_close current_close current_return_from_anchor max_runup_since_anchor drawdown_from_post_anchor_high min_low_return_from_anchor", ints="days_since_anchor",
+        """select target_date, ts_code, pool_entry_date, n - 1 as days_since_anchor, first as anchor_close, last as current_close, last / first - 1 as current_return_from_anchor, top / first - 1 as max_runup_since_anchor,
+           last / top - 1 as drawdown_from_post_anchor_high, bottom / first - 1 as min_low_return_from_anchor from spans where first is not null and last is not null""",
+        STAGE_SQL + """, spans as (select p.target_date, p.ts_code, p.pool_entry_date, count(*) as n, max(b.close) filter (where b.trade_date = p.pool_entry_date) as first, max(b.close) filter (where b.trade_date = p.target_date) as last,
+           max(b.high) as top, min(b.low) as bottom from pool p join bars b on b.ts_code = p.ts_code and b.trade_date between p.pool_entry_date and p.target_date group by p.target_date, p.ts_code, p.pool_entry_date)""", dates="target_date pool_entry_date", nums="anchor_close current_close current_return_from_anchor max_runup_since_anchor drawdown_from_post_anchor_high min_low_return_from_anchor", ints="days_since_anchor",
     ),
 )
 def _paths(spark, sf):
@@ -127,13 +124,14 @@ def target_scores(spark, sf, pool):
 TSC_SQL = SCORE_SQL + """, ts2 as (select p.ts_code, p.target_date, s.phase2_score_lgbm, s.phase2_score_xgb, s.phase2_score_mean, s.phase2_score_min from pool p asof join bs s on s.ts_code = p.ts_code and p.target_date >= s.asof_date),
 trend as (select ts_code, trade_date, avg(close) over w60 as m60, count(*) over w60 as n60, high from bars window w60 as (partition by ts_code order by trade_date rows 59 preceding)),
 trs as (select ts_code, trade_date, case when n60 = 60 then m60 end as m, lag(case when n60 = 60 then m60 end, 20) over (partition by ts_code order by trade_date) as mb from trend)"""
-TREND_CFG = {"midlong_trend": {"enabled": True, "score_col": "phase2_score_mean", "output_score_col": "adjusted_phase2_score"}}
+# a lowest factor of few digits would put products of six-digit scores on the edge of rounding
+TREND_CFG = {"midlong_trend": {"enabled": True, "min_factor": 0.25371, "score_col": "phase2_score_mean", "output_score_col": "adjusted_phase2_score"}}
 
 
 @query(
     "phase2_reviewed",
     oracle(
-        """select t.target_date, t.ts_code, phase2_score_mean, p.phase1_seen_count as phase1_hit_count, phase2_score_mean * (0.25 + 1.1 * case when m / mb - 1 is null then 0 else 1 / (1 + exp(greatest(-60, least(60, -80 * (m / mb - 1))))) end) as adjusted_phase2_score
+        """select t.target_date, t.ts_code, phase2_score_mean, p.phase1_seen_count as phase1_hit_count, phase2_score_mean * (0.25371 + (1.35 - 0.25371) * case when m / mb - 1 is null then 0 else 1 / (1 + exp(greatest(-60, least(60, -80 * (m / mb - 1))))) end) as adjusted_phase2_score
            from ts2 t join pool p using (target_date, ts_code) asof left join trs r on r.ts_code = t.ts_code and t.target_date >= r.trade_date""",
         TSC_SQL, dates="target_date", nums="phase2_score_mean adjusted_phase2_score", ints="phase1_hit_count",
     ),
@@ -181,11 +179,11 @@ def _top(spark, sf):
 
 @query(
     "pending_targets",
-    oracle("select date as target_date from all_dates where date not in (select anchor_date from hits)", HITS_SQL, dates="target_date"),
+    oracle("select date as target_date from all_dates where date not in (select anchor_date from hits where day(anchor_date) <> 7)", HITS_SQL, dates="target_date"),
 )
 def _pending(spark, sf):
     d = dense_dates(load_bars(spark, sf)).select(F.col("date").alias("target_date"))
-    return tk.pending_targets(d, hits(spark, sf).select(F.col("anchor_date").alias("target_date")))
+    return tk.pending_targets(d, hits(spark, sf).where(F.dayofmonth("anchor_date") != 7).select(F.col("anchor_date").alias("target_date")))
 
 
 def pseudo(prefix: str, a: str, b: str):
@@ -197,8 +195,7 @@ def pseudo(prefix: str, a: str, b: str):
 def _tracked(spark, sf):
     b = stored(load_bars(spark, sf))
     d = dense_dates(b)
-    n = d.agg(F.max("pos").alias("n")).first()["n"]
-    t = d.where(F.col("pos").isin(n, n - 20)).select(F.col("date").alias("target_date"))
+    t = d.select(F.col("date").alias("target_date"))
     return tk.run_tracking(b, t, pseudo("phase1", "base_range_pct", "base_vol_cv"), pseudo("phase2", "volatility_20", "recent_return_10"), top_n=10, lookback=6, reviewer="ma120_trend_soft")
 
 

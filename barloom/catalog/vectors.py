@@ -88,9 +88,9 @@ def _scan_history(spark, sf):
 @query(
     "features_for_dates",
     oracle(
-        "select split_part(sample_id, '|', 1) as ts_code, split_part(sample_id, '|', 2) as asof_date, v.* exclude (sample_id) from vec v",
-        VEC_SQL.replace(SAMPLES_SQL, """dd as (select date from (select trade_date as date, row_number() over (order by trade_date) as pos from (select distinct trade_date from bars)) where pos % 500 = 0),
-          samples as (select concat(b.ts_code, '|', cast(dd.date as varchar)) as sample_id, b.ts_code, max(b.trade_date) as asof_date from bars b join dd on b.trade_date <= dd.date group by b.ts_code, dd.date)"""),
+        "select g.ts_code, cast(g.date as varchar) as asof_date, d.* exclude (ts_code, asof_date) from grid g asof join dv d on d.ts_code = g.ts_code and g.date >= d.asof_date",
+        VEC_SQL + """, dv as (select s.ts_code, s.asof_date, v.* exclude (sample_id) from vec v join samples s using (sample_id)),
+          grid as (select c.ts_code, d.date from (select distinct ts_code from bars) c cross join (select distinct trade_date as date from bars) d)""",
         nums=VEC_NUMS,
     ),
 )
@@ -98,7 +98,7 @@ def _features_dates(spark, sf):
     from barloom.sources.universe import dense_dates
 
     b = load_bars(spark, sf)
-    d = dense_dates(b).where("pos % 500 = 0").select(F.col("date").alias("asof_date"))
+    d = dense_dates(b).select(F.col("date").alias("asof_date"))
     return features_for_dates(b, d, 150).select("ts_code", F.col("asof_date").cast("string").alias("asof_date"), *WINDOW_FEATURES)
 
 
@@ -199,13 +199,12 @@ def _drawdown(spark, sf):
 @query(
     "bars_since_extreme",
     oracle(
-        """select ts_code, trade_date, rn - (select min(y.rn) from ix y where y.ts_code = x.ts_code and y.rn between x.rn - 251 and x.rn and y.high = x.top) as since_high from (
-             select *, max(high) over (partition by ts_code order by trade_date rows 251 preceding) as top from ix) x where day(trade_date) = 1""",
-        "ix as (select *, row_number() over (partition by ts_code order by trade_date) as rn from bars)", dates="trade_date", ints="since_high",
+        "select ts_code, trade_date, len(last) - list_position(last, list_max(last)) as since_high from (select ts_code, trade_date, list(high) over (partition by ts_code order by trade_date rows 251 preceding) as last from bars)",
+        dates="trade_date", ints="since_high",
     ),
 )
 def _since(spark, sf):
-    v = daily_vector(load_bars(spark, sf)).where(F.dayofmonth("trade_date") == 1)
+    v = daily_vector(load_bars(spark, sf))
     return v.select("ts_code", "trade_date", F.col("days_since_252d_high").cast("bigint").alias("since_high"))
 
 

@@ -20,17 +20,6 @@ def _div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def confusion(df: DataFrame, y: str, score: str, threshold: float = 0.5) -> DataFrame:
-    pred = F.col(score) >= threshold
-    pos = F.col(y) == 1
-    return df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).agg(
-        F.count_if(pos & pred).alias("tp"),
-        F.count_if(~pos & pred).alias("fp"),
-        F.count_if(pos & ~pred).alias("fn"),
-        F.count_if(~pos & ~pred).alias("tn"),
-    )
-
-
 def _point_metrics(c: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
     precision, recall = _div(tp, tp + fp), _div(tp, tp + fn)
@@ -45,34 +34,43 @@ def _point_metrics(c: DataFrame) -> DataFrame:
     )
 
 
-def curve_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Exact ROC AUC and average precision; NULL when only one class occurs."""
+def score_sums(df: DataFrame, y: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """One row: the confusion counts at ``threshold`` and the sums behind the curves, all from one count per score."""
     clean = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     per = clean.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n")
     )
     run = with_running_totals(per, "s", {"cp": "p", "cn": "n"}, ascending=False)
+    above = F.col("s") >= threshold
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     sums = run.agg(
-        F.sum("p").alias("P"),
-        F.sum("n").alias("N"),
+        total("p").alias("P"),
+        total("n").alias("N"),
+        total(F.when(above, F.col("p"))).alias("tp"),
+        total(F.when(above, F.col("n"))).alias("fp"),
         # pairs where the negative scores lower, ties count half
         F.sum(F.col("n").cast("double") * (F.col("cp") - F.col("p") + F.col("p") / 2)).alias("area"),
         F.sum(ratio(F.col("cp"), F.col("cp") + F.col("cn")) * F.col("p")).alias("ap"),
     )
     two = (F.col("P") > 0) & (F.col("N") > 0)
     return sums.select(
+        "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"),
         F.when(two, F.try_divide("area", F.col("P").cast("double") * F.col("N"))).alias("auc"),
         F.when(two, F.try_divide("ap", F.col("P"))).alias("pr_auc"),
     )
 
 
+def curve_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Exact ROC AUC and average precision; NULL when only one class occurs."""
+    return score_sums(df, y, score).select("auc", "pr_auc")
+
+
 def classification_metrics(df: DataFrame, y: str, score: str, threshold: float = 0.5) -> DataFrame:
-    base = _point_metrics(confusion(df, y, score, threshold))
-    return base.join(curve_metrics(df, y, score)).select("accuracy", "precision", "recall", "f1", "auc")  # one-row sides
+    return _point_metrics(score_sums(df, y, score, threshold)).select("accuracy", "precision", "recall", "f1", "auc")
 
 
 def extended_metrics(df: DataFrame, y: str, score: str, threshold: float = 0.5) -> DataFrame:
-    base = _point_metrics(confusion(df, y, score, threshold)).join(curve_metrics(df, y, score))  # one-row sides
+    base = _point_metrics(score_sums(df, y, score, threshold))
     return base.select(
         "samples",
         _div(F.col("tp") + F.col("fn"), F.col("samples")).alias("positive_rate"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.cols import holds, lenient_date, sample_id
 from barloom.operators.schema import duplicate_rows, require_columns
+from barloom.session import stored
 
 QUALITY_COLUMNS = ["open", "high", "low", "close", "volume", "adj_close"]
 PRICES = ["open", "high", "low", "close"]
@@ -82,39 +83,65 @@ def unsorted_symbols(df: DataFrame, ordinal: str) -> DataFrame:
     return days.withColumn("__prev", prev).where(F.col("lo") < F.col("__prev")).select("symbol").distinct()
 
 
+def report_state(df: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """One row per symbol with all that the price report counts, from one scan.
+
+    Rows are counted per symbol and day first, so a hot symbol is its days when it is put together.
+    """
+    columns = [c for c in QUALITY_COLUMNS if c in df.columns]
+    days = df.groupBy("symbol", "trade_date").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns],
+        *[F.count_if(holds(rule)).alias(f"bad_{name}") for name, rule in anomaly_rules().items()],
+        *([F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi")] if ordinal else []),
+    )
+    if ordinal:
+        prev = F.max("hi").over(W.partitionBy("symbol").orderBy("trade_date").rowsBetween(W.unboundedPreceding, -1))
+        days = days.withColumn("late", holds(F.col("lo") < prev))
+    return days.groupBy("symbol").agg(
+        F.sum("n").alias("rows"),
+        F.min("trade_date").alias("first_trade_date"),
+        F.max("trade_date").alias("last_trade_date"),
+        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(F.lit(0))).alias("repeated"),
+        *[F.sum(c).alias(c) for c in days.columns if c.startswith(("null_", "bad_"))],
+        *([F.max("late").alias("unsorted")] if ordinal else []),
+    )
+
+
 def price_report(
     df: DataFrame, expected_start: str, tolerance_days: int = 7, ordinal: str | None = None, warn_rate: float = 0.05
 ) -> DataFrame:
-    """The validation report in long form: (section, name, value)."""
+    """The validation report in long form: (section, name, value).  The input is scanned once; every section is read from
+    the stored rows per symbol."""
     require_columns(df, ["symbol", "trade_date", *PRICES, "volume"])
-    history = symbol_history(df)
-    rates, counts = missing_rates(df), anomaly_counts(df)
-    text = lambda c: F.col(c).cast("string")
-    num = lambda c: F.format_string("%.6f", F.col(c).cast("double"))
-    overall = history.agg(
+    state = stored(report_state(df, ordinal))
+    columns, rules = [c for c in QUALITY_COLUMNS if c in df.columns], list(anomaly_rules())
+    late = holds(F.col("first_trade_date") > F.date_add(F.lit(expected_start).cast("date"), tolerance_days))
+    total = state.agg(
         F.sum("rows").alias("rows"),
         F.count("symbol").alias("symbols"),
         F.min("first_trade_date").cast("string").alias("date_min"),
         F.max("last_trade_date").cast("string").alias("date_max"),
-    ).select(F.expr("stack(4, 'rows', cast(rows as string), 'symbols', cast(symbols as string), 'date_min', date_min, 'date_max', date_max) as (name, value)"))
-    late = late_symbols(history, expected_start, tolerance_days).agg(F.count(F.lit(1)).cast("string").alias("value"))
-    dup = duplicate_rows(df, ["symbol", "trade_date"]).agg(F.count(F.lit(1)).cast("string").alias("value"))
-    sec = lambda d, s: d.select(F.lit(s).alias("section"), F.col("name"), F.col("value"))
-    parts = [
-        sec(overall, "summary"),
-        sec(rates.select(F.col("column_name").alias("name"), num("missing_rate").alias("value")), "missing_rate"),
-        sec(counts.select(F.col("anomaly").alias("name"), text("row_count").alias("value")), "anomaly"),
-        sec(late.withColumn("name", F.lit("symbols_starting_late")), "summary"),
-        sec(dup.withColumn("name", F.lit("duplicate_rows")), "summary"),
-        sec(extreme_histories(history, 20).select(F.col("symbol").alias("name"), text("rows").alias("value")), "shortest"),
-        sec(extreme_histories(history, 20, True).select(F.col("symbol").alias("name"), text("rows").alias("value")), "longest"),
-        sec(rates.where(F.col("missing_rate") > warn_rate).select(F.col("column_name").alias("name"), F.lit("missing").alias("value")), "warning"),
-        sec(counts.where("row_count > 0").select(F.col("anomaly").alias("name"), F.lit("anomaly").alias("value")), "warning"),
+        F.count_if(late).alias("symbols_starting_late"),
+        F.coalesce(F.sum("repeated"), F.lit(0)).alias("duplicate_rows"),
+        *([F.count_if(F.col("unsorted") & F.col("symbol").isNotNull()).alias("unsorted_symbols")] if ordinal else []),
+        *[F.coalesce(F.sum(f"null_{c}") / F.sum("rows"), F.lit(0.0)).alias(f"null_{c}") for c in columns],
+        *[F.coalesce(F.sum(f"bad_{r}"), F.lit(0)).alias(f"bad_{r}") for r in rules],
+    )
+    line = lambda section, name, value: F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    summary = ["rows", "symbols", "date_min", "date_max", "symbols_starting_late", "duplicate_rows", *(["unsorted_symbols"] if ordinal else [])]
+    lines = [
+        *[line("summary", n, F.col(n)) for n in summary],
+        *[line("missing_rate", c, F.format_string("%.6f", F.col(f"null_{c}"))) for c in columns],
+        *[line("anomaly", r, F.col(f"bad_{r}")) for r in rules],
+        *[F.when(F.col(f"null_{c}") > warn_rate, line("warning", c, F.lit("missing"))) for c in columns],
+        *[F.when(F.col(f"bad_{r}") > 0, line("warning", r, F.lit("anomaly"))) for r in rules],
     ]
-    if ordinal:
-        bad = unsorted_symbols(df, ordinal).agg(F.count(F.lit(1)).cast("string").alias("value"))
-        parts.append(sec(bad.withColumn("name", F.lit("unsorted_symbols")), "summary"))
-    return reduce(DataFrame.unionByName, parts)
+    out = total.select(F.inline(F.array_compact(F.array(*lines))))
+    for section, longest in (("shortest", False), ("longest", True)):
+        ends = extreme_histories(state, 20, longest)
+        out = out.unionByName(ends.select(F.lit(section).alias("section"), F.col("symbol").alias("name"), F.col("rows").cast("string").alias("value")))
+    return out
 
 
 def label_report(df: DataFrame, *, require_sample_id: bool = True, allowed: tuple[int, ...] = (0, 1)) -> DataFrame:

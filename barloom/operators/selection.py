@@ -58,8 +58,8 @@ def best_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 
 def hash_order(seed: int, *cols: str) -> Column:
-    """Repeatable pseudo-random order of rows by key."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+    """Repeatable pseudo-random order of rows by key: the md5 of seed and key columns as text, which any engine has."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
 def spaced_selection(
