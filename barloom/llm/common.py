@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -68,6 +70,16 @@ def explode_pass(
     return source.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Give what a finished task has freed back to the system: a worker that is used again would keep it for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def id_fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(q(column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import SLICE, q
+from barloom.llm.common import SLICE, q, release_memory
 
 #: Words whose ids a task remembers, raw ones and bare ones; a memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Examples that a pool holds before bins are filled from it.
 POOL = 2048
 
@@ -234,6 +234,8 @@ def pack(
                 yield from _batches(rows)
         if packer:
             yield from _batches(list(packer.finish()))
+        del words, packer
+        release_memory()
 
     return source.toDF(*names).mapInArrow(run, PIECE)
 
