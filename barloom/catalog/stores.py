@@ -12,6 +12,7 @@ from barloom.catalog.vectors import VEC_SQL
 from barloom.catalog.views import SAMPLES_SQL, samples
 from barloom.operators.features import WINDOW_FEATURES
 from barloom.operators.selection import top_per_group
+from barloom.plans import tracking as tk
 from barloom.plans import training as tr
 from barloom.plans.mining import run_user_miner
 from barloom.plans.ranges import run_range
@@ -74,6 +75,29 @@ def _range_summary(spark, sf):
     return ranged(spark, sf).summary
 
 
+REVIEW = {"midlong_trend": {"enabled": True, "min_factor": 0.25371, "score_col": "phase1_score_mean", "output_score_col": "adjusted_phase1_score"}}
+
+
+@query(
+    "phase1_top_reviewed",
+    oracle(
+        """select ts_code, date as anchor_date, m1 as phase1_score_mean, adj as adjusted_phase1_score, rk as phase1_rank from (
+             select *, row_number() over (partition by date order by adj desc nulls last, m1 desc, l1 desc, ts_code) as rk from (
+               select a.*, m1 * (0.25371 + (1.35 - 0.25371) * case when m / mb - 1 is null then 0 else 1 / (1 + exp(greatest(-60, least(60, -80 * (m / mb - 1))))) end) as adj
+               from at_date a asof left join trs r on r.ts_code = a.ts_code and a.date >= r.trade_date)) where rk <= 5""",
+        RANGE_SQL + """, trend as (select ts_code, trade_date, avg(close) over w60 as m60, count(*) over w60 as n60 from bars window w60 as (partition by ts_code order by trade_date rows 59 preceding)),
+        trs as (select ts_code, trade_date, case when n60 = 60 then m60 end as m, lag(case when n60 = 60 then m60 end, 20) over (partition by ts_code order by trade_date) as mb from trend)""",
+        dates="anchor_date", nums="phase1_score_mean adjusted_phase1_score", ints="phase1_rank",
+    ),
+)
+def _phase1_reviewed(spark, sf):
+    """Phase-1 top of every date by the reviewed score."""
+    bars = stored(load_bars(spark, sf))
+    dates = dense_dates(bars).select(F.col("date").alias("asof_date"))
+    cache = tk.phase1_cache(bars, dates, features_as_scores("phase1", "recent_return_5", "breakout_distance_20"), 5, reviewer=REVIEW)
+    return cache.select("ts_code", "anchor_date", "phase1_score_mean", "adjusted_phase1_score", "phase1_rank")
+
+
 @query(
     "model_bundle_scores",
     oracle("select sample_id, true as same_logistic, true as same_trees, true as in_range from samples join ix using (ts_code) where ix.trade_date = samples.asof_date and rn >= 150 and asof_date > '2000-12-31'",
