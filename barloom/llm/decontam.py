@@ -56,28 +56,34 @@ def words_of(text: str | None) -> list[str]:
     return [w for raw in (text or "").encode("utf-8", "replace").split() if (w := raw.decode("utf-8").strip(_MARKS).lower())]
 
 
-class _Known(dict):
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, raw: bytes) -> int:
-        w = raw.decode("utf-8").strip(_MARKS).lower()
-        n = self[raw] = self.vocabulary.get(w, 0) if w else -1
-        return n
+#: Bytes that are no marks at the end of a word.
+_PLAIN = frozenset(c for c in range(128) if chr(c).isalnum())
 
 
 class Numbers:
-    """Numbers of raw words: 0 for a word outside the vocabulary, words of marks alone left out; bounded memory."""
+    """Numbers of the words of a text: 0 for a word outside the vocabulary, words of marks alone left out.
+
+    Most words are looked up as they stand; those with something else than an ASCII letter or digit at an end are
+    stripped of marks, with a bounded memory.
+    """
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.known = _Known(vocabulary)
+        self.exact = {w.encode("utf-8", "replace"): n for w, n in vocabulary.items()}
+        self.stripped: dict[bytes, int] = {}
+
+    def _strip(self, raw: bytes) -> int:
+        n = self.stripped.get(raw)
+        if n is None:
+            w = raw.decode("utf-8").strip(_MARKS)
+            n = self.stripped[raw] = self.exact.get(w.encode("utf-8"), 0) if w else -1
+        return n
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        words = (text or "").encode("utf-8", "replace").split()
-        a = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        if len(self.stripped) > REMEMBERED:
+            self.stripped.clear()
+        words = (text or "").lower().encode("utf-8", "replace").split()
+        get, plain, strip = self.exact.get, _PLAIN, self._strip
+        a = np.array([n if (n := get(w)) is not None else 0 if w[0] in plain and w[-1] in plain else strip(w) for w in words], np.int32)
         return a[a >= 0] if len(a) and a.min() < 0 else a
 
 
@@ -255,6 +261,7 @@ class Search:
                 content = np.sort(np.concatenate((content, rest[np.argsort(-self.idf[rest], kind="stable")][: least - len(content)])))
             self.content.append(content)
             needed.append(max(0.0, min(CONTENT * len(content), len(content) - (1 - LEAK) * n - 1e-9)))
+        self.sets = [frozenset(c.tolist()) for c in self.content]
         self.needed, self.alone = np.array(needed), np.array(alone)[self.owner]
         self.rare = self.rare.copy()
         self.rare[np.concatenate(self.content)] = True
@@ -322,16 +329,17 @@ class Search:
         words = self.items.words[item]
         n = len(words)
         lo, hi = max(0, a - n), min(len(ids), b + n)
-        near, content = ids[lo:hi], self.content[item]
-        held = np.isin(content, near).sum()
+        near = ids[lo:hi].tolist()
+        there = set(near)
+        held = len(self.sets[item] & there)
         if held < self.needed[item]:
             return
-        common = common_subsequence(self.masks[item], n, near.tolist())
+        common = common_subsequence(self.masks[item], n, near)
         if common < PARAPHRASE * n or (item in out and out[item][0] >= common):
             return
         tail = set(words[-max(ANSWER_WORDS, round(ANSWER * n)) :].tolist())
-        answer = len(tail.intersection(near.tolist())) >= ANSWER_FOUND * len(tail)
-        if common >= LEAK * n or answer and held >= CONTENT * len(content):
+        answer = len(tail & there) >= ANSWER_FOUND * len(tail)
+        if common >= LEAK * n or answer and held >= CONTENT * len(self.sets[item]):
             out[item] = (common, lo, hi, cosine, answer)
 
 
