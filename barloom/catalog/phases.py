@@ -100,7 +100,7 @@ bs as (select *, (phase2_score_lgbm + phase2_score_xgb) / 2 as phase2_score_mean
     oracle(
         """select p.pool_entry_date as anchor_date, p.ts_code, c.trade_date as asof_date, concat(p.ts_code, '_', cast(p.pool_entry_date as varchar)) as event_id, concat(p.ts_code, '_', cast(c.trade_date as varchar)) as sample_id, c.close / a.close - 1 as current_return_from_anchor,
            s.phase2_score_mean, s.phase2_score_min from pool p join bars a on a.ts_code = p.ts_code and a.trade_date = p.pool_entry_date join all_dates d0 on d0.date = p.pool_entry_date
-           join all_dates d1 on d1.pos between d0.pos + 1 and d0.pos + 12 join bars c on c.ts_code = p.ts_code and c.trade_date = d1.date left join bs s on s.ts_code = p.ts_code and s.asof_date = c.trade_date""",
+           cross join range(1, 13) r(k) join all_dates d1 on d1.pos = d0.pos + r.k join bars c on c.ts_code = p.ts_code and c.trade_date = d1.date left join bs s on s.ts_code = p.ts_code and s.asof_date = c.trade_date""",
         SCORE_SQL, dates="anchor_date asof_date", nums="current_return_from_anchor phase2_score_mean phase2_score_min",
     ),
 )
