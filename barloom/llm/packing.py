@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from barloom.llm.common import SLICE, q, release_memory
 
 #: Words whose ids a task remembers, raw ones and bare ones; a memory is emptied when it is full.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Examples that a pool holds before bins are filled from it.
 POOL = 2048
 
