@@ -4,10 +4,11 @@ Of every window of ``WINDOW`` consecutive k-grams the position of the smallest k
 of ``MIN_WORDS`` words holds a retained position, the same one in each copy, within its first ``WINDOW`` words.  The
 suffixes at those positions are ordered by their words, block after block (a block of ``BLOCK`` words is compared by its
 64-bit hash: any fixed order of the alphabet serves, as only equal beginnings matter), then by document and position.
-Neighbours with two equal blocks share ``MIN_WORDS`` words.  Suffixes that share a first block with a neighbour are put in
-document order, compared word by word with the one before and the first of their block, and extended to the left and to
-the right; runs of ``MIN_WORDS`` words or more are repeats.  Words of a run that occurs in an earlier place (smaller id,
-then smaller position) can be removed; what is left holds the first occurrence.
+Suffixes that share a first block with a neighbour are extended to the left and to the right: each run of ``MIN_WORDS``
+words around the block that chooses its position is compared, by a 64-bit hash, with those of all suffixes of the block.
+Runs that occur twice are repeats, whichever suffixes of the block they are shared with and however the block is dealt
+over tasks.  Words of a run that occurs in an earlier place (smaller id, then smaller position) can be removed; what is
+left holds the first occurrence.
 
 Both orders are range partitionings down to document and position, so the suffixes of a passage that occurs in a third of
 all documents are dealt over many tasks.  The rows at the two ends of each task, and nothing else, meet on the driver.
@@ -38,8 +39,6 @@ MIN_WORDS = 50
 KGRAM, WINDOW = 5, 25
 #: Words of a block of the suffix order.
 BLOCK = 25
-#: Words before and after the first block that are compared one by one.
-LEFT, RIGHT = WINDOW - 1, MIN_WORDS - BLOCK
 #: Word hashes that a task remembers.
 REMEMBERED = 200_000
 
@@ -104,13 +103,15 @@ class Rolling:
             return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def retained(rolling: Rolling, n: int) -> np.ndarray:
-    """Positions of the smallest k-gram of each window, those with a whole block after them."""
+def chosen_positions(rolling: Rolling, n: int) -> np.ndarray:
+    """Position of the smallest k-gram of each window, in order of the windows; a tie goes to the leftmost."""
     count = n - KGRAM + 1
+    if count >> POSITION:
+        raise ValueError(f"a text has more than {1 << POSITION} words")
     if count < WINDOW:
         return np.empty(0, np.int64)
     at = np.arange(count)
-    # the hash in the upper bits, the position in the lower ones: a tie goes to the leftmost
+    # the hash in the upper bits, the position in the lower ones
     low = rolling.runs(at, at + KGRAM) & np.uint64(_MASK ^ (1 << POSITION) - 1) | at.astype(np.uint64)
     width = 1
     while width * 2 <= WINDOW:  # minima of doubling windows
@@ -118,14 +119,13 @@ def retained(rolling: Rolling, n: int) -> np.ndarray:
         width *= 2
     rest = WINDOW - width
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    chosen = np.zeros(count, bool)
-    chosen[(low & np.uint64((1 << POSITION) - 1)).astype(np.int64)] = True
-    found = np.flatnonzero(chosen)
-    return found[found + BLOCK <= n]
+    return (low & np.uint64((1 << POSITION) - 1)).astype(np.int64)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def retained(rolling: Rolling, n: int) -> np.ndarray:
+    """Positions chosen by a window, those with a whole block after them."""
+    found = np.unique(chosen_positions(rolling, n))
+    return found[found + BLOCK <= n]
 
 
 def _schema(text: str) -> T.StructType:
@@ -264,47 +264,47 @@ def _neighbours(found: DataFrame) -> DataFrame:
     return marked.where("hit and edge < 0").unionByName(mended)
 
 
-_CONTEXT = _schema("b1 long, doc long, h long, pos int, around binary")
-#: ``around``: flags (1 same, 2 earlier), words before and after that exist, then LEFT and RIGHT short hashes.
-_WIDTH = 4 + 2 * (LEFT + RIGHT)
+_CONTEXT = _schema("b1 long, doc long, h long, pos int, start int, runs binary")
 
 
-def _around(short: np.ndarray, pos: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """One row of ``_WIDTH`` bytes per position."""
-    n = len(short)
-    out = np.zeros((len(pos), _WIDTH), np.uint8)
-    out[:, 0], out[:, 1], out[:, 2] = flags, np.minimum(pos, LEFT), np.minimum(n - pos - BLOCK, RIGHT)
-    at = np.concatenate((pos[:, None] - 1 - np.arange(LEFT), pos[:, None] + BLOCK + np.arange(RIGHT)), axis=1)
-    out[:, 4:] = short[np.clip(at, 0, n - 1)].view(np.uint8).reshape(len(pos), -1)
-    return out
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Arrow array whose element i holds ``values[offsets[i]:offsets[i + 1]]``, 64-bit numbers, as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Rows of bytes of one length as an Arrow array."""
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32) if len(rows) else np.zeros(1, np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+def _extended(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Candidates extended to the left and right: ``runs`` are the hashes of the runs of ``MIN_WORDS`` words that choose
+    the candidate's position, the first of which begins at word ``start`` and each other one a word later.
 
-
-def _contexts(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Candidates with short hashes of the words around their first block, for the extension."""
-    flags = (F.col("same").cast("int") + 2 * F.col("earlier").cast("int")).alias("flags")
-    per_row = hits.groupBy(F.col("doc").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("pos", "b1", flags)).alias("__at"))  # bounded by a document's words
+    The position that a run chooses is that of its smallest k-gram among the first ``WINDOW``.  It depends on the run
+    alone, so equal runs are found at candidates of one block, and each run of a document at one candidate.
+    """
+    per_row = hits.groupBy(F.col("doc").alias("__d"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_list(F.struct("pos", "b1"))).alias("__at"))  # bounded by a document's words
     joined = rows.join(per_row, (F.col("doc") == F.col("__d")) & (F.col("h") == F.col("__h")))
 
     def make():
-        hashes = WordHashes()
+        hashes, powers = WordHashes(), Powers()
 
         def work(batch):
             count = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
-            pos, b1, flags = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).flatten().flatten())
-            around = np.empty((len(pos), _WIDTH), np.uint8)
-            at = 0
+            pos, b1 = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).flatten().flatten())
+            starts, sizes, values, at = [], [], [], 0
             for text, n in zip(batch.column(2).to_pylist(), count.tolist()):
-                short = (hashes(text) >> np.uint64(40)).astype("<u2")
-                around[at : at + n] = _around(short, pos[at : at + n].astype(np.int64), flags[at : at + n])
+                words = hashes(text)
+                rolling = Rolling(words, powers)
+                chosen = chosen_positions(rolling, len(words))[: len(words) - MIN_WORDS + 1]  # never falls
+                own = pos[at : at + n]
+                first, after = np.searchsorted(chosen, own, "left"), np.searchsorted(chosen, own, "right")
+                run = np.flatnonzero(np.isin(chosen, own))
+                starts.append(first)
+                sizes.append(after - first)
+                values.append(rolling.runs(run, run + MIN_WORDS))
                 at += n
+            start, size = np.concatenate(starts), np.concatenate(sizes)
+            some = size > 0  # at the ends of a text a position is chosen by no run
             doc, h = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), count) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(b1), pa.array(doc), pa.array(h), pa.array(pos), _binary(around)], names=_CONTEXT.fieldNames())
+            runs = _binary(np.concatenate(values), np.concatenate(([0], np.cumsum(size[some]))))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in (b1, doc, h, pos, start.astype(np.int32))), runs], names=_CONTEXT.fieldNames())
 
         return work
 
@@ -313,132 +313,114 @@ def _contexts(rows: DataFrame, hits: DataFrame) -> DataFrame:
 
 @dataclass
 class _Rows:
-    """Contexts as columns."""
+    """Candidates as columns; candidate i has the runs ``runs[at[i]:at[i + 1]]``."""
 
     b1: np.ndarray
     doc: np.ndarray
     h: np.ndarray
-    pos: np.ndarray
-    around: np.ndarray
+    start: np.ndarray
+    runs: np.ndarray
+    at: np.ndarray
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> _Rows:
-        b1, doc, h, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        data = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(b1), _WIDTH)
-        return cls(b1, doc, h, pos, data)
+        b1, doc, h, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4))
+        size = pc.binary_length(batch.column(5)).to_numpy(zero_copy_only=False) // 8
+        return cls(b1, doc, h, start, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64), np.concatenate(([0], np.cumsum(size))))
 
-    def take(self, at) -> _Rows:
-        return _Rows(self.b1[at], self.doc[at], self.h[at], self.pos[at], self.around[at])
+    def part(self, a: int, b: int) -> _Rows:
+        low = self.at[a]
+        return _Rows(self.b1[a:b], self.doc[a:b], self.h[a:b], self.start[a:b], self.runs[low : self.at[b]], self.at[a : b + 1] - low)
 
     @staticmethod
-    def join(*parts: _Rows) -> _Rows:
-        return _Rows(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("b1", "doc", "h", "pos", "around")))
-
-
-def _common(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Short hashes that two rows begin with alike, row by row; only so many exist."""
-    differ = x != y
-    n = np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
-    return np.minimum(n, np.minimum(nx, ny)).astype(np.int64)
-
-
-def _shared(x: _Rows, y: _Rows) -> tuple[np.ndarray, np.ndarray]:
-    """Words that two contexts share before and from their position, row by row; -1 and 0 if they are too few."""
-    a, b = (np.ascontiguousarray(r.around[:, 4:]).view("<u2") for r in (x, y))
-    left = _common(a[:, :LEFT], b[:, :LEFT], x.around[:, 1], y.around[:, 1])
-    right = BLOCK + _common(a[:, LEFT:], b[:, LEFT:], x.around[:, 2], y.around[:, 2])
-    itself = (x.doc == y.doc) & (x.h == y.h) & (x.pos == y.pos)
-    good = (x.b1 == y.b1) & ~itself & (left + right >= MIN_WORDS)
-    return np.where(good, left, -1), np.where(good, right, 0)
-
-
-def _widest(*matches: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Matches of one row all hold its block, so their union is one run."""
-    return np.maximum.reduce([m[0] for m in matches]), np.maximum.reduce([m[1] for m in matches])
+    def join(parts: list[_Rows]) -> _Rows:
+        columns = [np.concatenate([getattr(p, n) for p in parts]) for n in ("b1", "doc", "h", "start", "runs")]
+        return _Rows(*columns, np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p.at) for p in parts])))))
 
 
-_FOUND = _schema("doc long, h long, any long, earlier long, b1 long, pos int, around binary, edge int")
+_FOUND = _schema("doc long, h long, any long, earlier long, start int, runs binary")
 
 
-def _spans(rows: _Rows, early: tuple, whole: tuple) -> list[pa.Array]:
-    """doc, h and the two runs of each row that has one, as start << 32 | end (null: none)."""
-    same = rows.around[:, 0]
-    pos, runs = rows.pos.astype(np.int64), []
-    for (left, right), flag in ((whole, 1), (early, 2)):
-        told = (same & flag) > 0
-        start = pos - np.maximum(left, 0)
-        end = pos + np.maximum(right, np.where(told, 2 * BLOCK, 0))
-        runs.append((start << 32 | end, (left >= 0) | told))
-    keep = runs[0][1]
-    return [pa.array(rows.doc[keep]), pa.array(rows.h[keep]), *(pa.array(v[keep], mask=~on[keep]) for v, on in runs)]
+def _matched(rows: _Rows) -> pa.RecordBatch:
+    """Spans (start << 32 | end; null: none) of whole blocks of candidates, which come in order of their places.
 
-
-def _extended(contexts: DataFrame) -> DataFrame:
-    """(doc, h, any, earlier): runs of ``MIN_WORDS`` words or more around a suffix that it shares with the suffix before
-    it, after it or at the head of its block in document order; ``earlier`` covers partners in earlier places alone."""
+    All runs of a candidate hold its block, so those that occur elsewhere make up one span.
+    """
+    n = len(rows.b1)
+    order = np.argsort(rows.runs, kind="stable")  # equal runs stay in order of their places
+    alike = rows.runs[order[1:]] == rows.runs[order[:-1]]
+    early, whole = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    early[order[1:][alike]] = True
+    whole[order[:-1][alike]] = True
+    whole |= early
+    step = np.arange(len(order)) - np.repeat(rows.at[:-1], np.diff(rows.at))
+    spans = []
+    for flag in (whole, early):
+        low = np.minimum.reduceat(np.where(flag, step, 1 << 30), rows.at[:-1])
+        high = np.maximum.reduceat(np.where(flag, step, -1), rows.at[:-1])
+        start = rows.start.astype(np.int64)
+        spans.append(((start + low) << 32 | (start + high + MIN_WORDS), high >= 0))
+    keep = spans[0][1]
+    columns = [pa.array(rows.doc[keep]), pa.array(rows.h[keep]), *(pa.array(v[keep], mask=~on[keep]) for v, on in spans)]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(int(keep.sum()), pa.int32()), pa.nulls(int(keep.sum()), pa.binary())], names=_FOUND.fieldNames())
+
+
+def _open(rows: _Rows) -> pa.RecordBatch:
+    """Candidates of a block that other tasks may hold as well, as they came."""
+    none = pa.nulls(len(rows.b1), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(rows.doc), pa.array(rows.h), none, none, pa.array(rows.start), _binary(rows.runs, rows.at)], names=_FOUND.fieldNames())
+
+
+def _spans(contexts: DataFrame) -> DataFrame:
+    """(doc, h, any, earlier): spans of runs that occur elsewhere too; ``earlier``: in earlier places.
+
+    Blocks that lie within one task are compared there.  The first and the last block of each task, which may go on in
+    other tasks, give their runs to an order of runs, document and position, in which equal ones are neighbours.
+    """
     key = ["b1", "doc", "h", "pos"]
-    placed = contexts.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
+    placed = contexts.repartitionByRange(*key).sortWithinPartitions(*key)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, early, top, part = None, None, None, -1
-
-        def spans(rows, early, whole):
-            columns = _spans(rows, early, whole)
-            n = len(columns[0])
-            nulls = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.int32())]
-            return pa.RecordBatch.from_arrays([*columns, *nulls], names=_FOUND.fieldNames())
-
-        def edge(row):
-            none = pa.nulls(1, pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(row.doc), pa.array(row.h), none, none, pa.array(row.b1), pa.array(row.pos), _binary(row.around), pa.array([part], pa.int32())], names=_FOUND.fieldNames()
-            )
-
+        first, held = None, []  # hash of the task's first block; rows of the block that has not ended
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = _Rows.of(batch)
-            if held is None:
-                part = batch.column(5)[0].as_py()
-                held = top = rows.take(slice(0, 1))
-                early = (np.full(1, -1), np.zeros(1, np.int64))
-                yield edge(held)
-                rows = rows.take(slice(1, None))
+            if first is None:
+                first = rows.b1[0]
+            if not held:
+                n = int(np.searchsorted(rows.b1, first, "right"))
+                if n:
+                    yield _open(rows.part(0, n))
+                rows = rows.part(n, len(rows.b1))
                 if not len(rows.b1):
                     continue
-            rows = _Rows.join(held, rows)
-            n = len(rows.b1)
-            before = _shared(rows.take(slice(0, n - 1)), rows.take(slice(1, n)))
-            head = np.maximum.accumulate(np.where(rows.b1[1:] != rows.b1[:-1], np.arange(1, n), 0))
-            with_top = _Rows.join(rows, top)  # a block that began before this batch has its head at the end
-            head = np.where(head == 0, n, head)
-            to_head = _shared(rows.take(slice(1, n)), with_top.take(head))
-            found = _widest(before, to_head)
-            early = tuple(np.concatenate(x) for x in zip(early, found))
-            done = slice(0, n - 1)
-            yield spans(rows.take(done), tuple(x[done] for x in early), _widest(tuple(x[done] for x in early), before))
-            top = with_top.take(head[-1:])
-            held, early = rows.take(slice(n - 1, n)), tuple(x[-1:] for x in early)
-        if held is not None:
-            yield spans(held, early, early)
-            yield edge(held)
+            last = int(np.searchsorted(rows.b1, rows.b1[-1], "left"))
+            if held and (last or held[0].b1[0] != rows.b1[0]):
+                yield _matched(_Rows.join([*held, rows.part(0, last)]))
+                held = []
+            elif last:
+                yield _matched(rows.part(0, last))
+            held.append(rows.part(last, len(rows.b1)))
+        for rows in held:
+            yield _open(rows)
 
     found = stored(placed.mapInArrow(run, _FOUND))
-    ends = found.where("edge is not null").collect()  # two rows per partition
-    ends.sort(key=lambda r: (r["b1"], r["doc"], r["h"], r["pos"], r["edge"]))
-    pairs = [(a, b) for a, b in zip(ends, ends[1:]) if a["edge"] != b["edge"] and a["b1"] == b["b1"]]
-    extra = []
-    if pairs:
-        sides = [
-            _Rows(*(np.array([p[k][n] for p in pairs]) for n in ("b1", "doc", "h", "pos")), np.frombuffer(b"".join(bytes(p[k]["around"]) for p in pairs), np.uint8).reshape(-1, _WIDTH))
-            for k in (0, 1)
-        ]
-        match = _shared(*sides)
-        none = (np.full(len(pairs), -1), np.zeros(len(pairs), np.int64))
-        for rows, early in ((sides[0], none), (sides[1], match)):
-            extra += list(zip(*(c.to_pylist() for c in _spans(rows, early, match))))
-    runs = _schema("doc long, h long, any long, earlier long")
-    return found.where("edge is null").select(*runs.fieldNames()).unionByName(found.sparkSession.createDataFrame(extra, runs))
+
+    def make():
+        def work(batch):
+            doc, h, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            size = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
+            runs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            pos = np.repeat(start, size) + np.arange(len(runs)) - np.repeat(np.cumsum(size) - size, size)
+            yield _table(_SUFFIX, [runs, np.ones(len(runs), np.int64), np.repeat(doc, size), np.repeat(h, size), pos.astype(np.int32)])
+
+        return work
+
+    runs = explode_pass(found.where("runs is not null"), [F.col(c) for c in ("doc", "h", "start", "runs")], make, _SUFFIX)
+    span = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + MIN_WORDS)
+    across = _neighbours(runs).select("doc", "h", span.alias("any"), F.when(F.col("earlier"), span).alias("earlier"))
+    return found.where("runs is null").select("doc", "h", "any", "earlier").unionByName(across)
 
 
 _SEGMENT = _schema("doc long, h long, start int, end int, removed boolean")
@@ -453,7 +435,7 @@ def _segments(distinct: _Distinct) -> DataFrame:
     found = written(suffixes(distinct.rows))
     hits = _neighbours(found.df)
     found.drop()
-    spans = _extended(_contexts(distinct.rows, hits))
+    spans = _spans(_extended(distinct.rows, hits))
     if distinct.copies is not None:
         whole = distinct.long_copies().where(F.col("doc") == NO_ID)
         spans = spans.unionByName(whole.select("doc", "h", F.col("words").alias("any"), F.lit(None).cast("long").alias("earlier")))

@@ -173,6 +173,34 @@ def test_hot_passage_over_many_tasks(docs_of, spark):
         assert all((g[i] == w[i]).all() for i in w)
 
 
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_partners_apart_in_their_block(docs_of, spark, parts):
+    """Boilerplate of 49 words in many texts, of which some share more words before or after it: whole runs are found,
+    whichever texts lie between and however the suffixes are dealt over tasks."""
+    rng = np.random.default_rng(parts)
+    texts = []
+    for shared, copies in ((49, 60), (49, 40), (30, 50), (26, 30), (45, 3), (48, 2)):
+        plate, before, after = unique_words(rng, shared), unique_words(rng, 24), unique_words(rng, 24)
+        for _ in range(copies):
+            a, b = (int(n) for n in rng.integers(0, 25, 2)) if rng.random() < 0.3 else (0, 0)
+            texts.append(" ".join(unique_words(rng, 15) + before[24 - a :] + plate + after[:b] + unique_words(rng, 15)))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    plate, extra = unique_words(rng, 49), unique_words(rng, 11)
+    texts += [" ".join(unique_words(rng, 19) + (extra if i in (5, 40) else unique_words(rng, 11)) + plate + unique_words(rng, 19)) for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = masks(suffixes.repeated_passages(docs_of(texts)).collect(), texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = slow_repeats(texts)
+    assert want[1][len(texts) - 20][19:79].all()  # text 40 of the last 60
+    for g, w in zip(got, want):
+        assert all((g[i] == w[i]).all() for i in w)
+
+
 def test_every_window_has_a_retained_position():
     rng = np.random.default_rng(8)
     words = rng.integers(0, 2**63, 3000, dtype=np.uint64)
