@@ -338,22 +338,29 @@ class _Rows:
         return _Rows(*columns, np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p.at) for p in parts])))))
 
 
-_FOUND = _schema("doc long, h long, any long, earlier long, start int, runs binary")
+#: ``any`` and ``earlier`` as spans; or a ``run`` at word ``start`` that is still to be compared with those of other tasks.
+_FOUND = _schema("doc long, h long, any long, earlier long, run long, start int")
+#: Runs of one block that a task compares at once; a larger block is compared in parts, as if other tasks held them.
+PART = 2_000_000
 
 
-def _matched(rows: _Rows) -> pa.RecordBatch:
-    """Spans (start << 32 | end; null: none) of whole blocks of candidates, which come in order of their places.
+def _matched(rows: _Rows, whole_blocks: bool) -> Iterator[pa.RecordBatch]:
+    """Spans (start << 32 | end; null: none) of candidates, which come in order of their places.
 
-    All runs of a candidate hold its block, so those that occur elsewhere make up one span.
+    All runs of a candidate hold its block, so those that occur elsewhere make up one span.  If the rest of their block
+    is not at hand, the first occurrence of each run, which alone can be earlier than all others or have an earlier one
+    only there, goes on to the order of runs; later ones are settled here.
     """
-    n = len(rows.b1)
+    if not len(rows.b1):
+        return
     order = np.argsort(rows.runs, kind="stable")  # equal runs stay in order of their places
     alike = rows.runs[order[1:]] == rows.runs[order[:-1]]
     early, whole = np.zeros(len(order), bool), np.zeros(len(order), bool)
     early[order[1:][alike]] = True
     whole[order[:-1][alike]] = True
     whole |= early
-    step = np.arange(len(order)) - np.repeat(rows.at[:-1], np.diff(rows.at))
+    owner = np.repeat(np.arange(len(rows.b1)), np.diff(rows.at))
+    step = np.arange(len(order)) - rows.at[owner]
     spans = []
     for flag in (whole, early):
         low = np.minimum.reduceat(np.where(flag, step, 1 << 30), rows.at[:-1])
@@ -361,66 +368,49 @@ def _matched(rows: _Rows) -> pa.RecordBatch:
         start = rows.start.astype(np.int64)
         spans.append(((start + low) << 32 | (start + high + MIN_WORDS), high >= 0))
     keep = spans[0][1]
-    columns = [pa.array(rows.doc[keep]), pa.array(rows.h[keep]), *(pa.array(v[keep], mask=~on[keep]) for v, on in spans)]
-    return pa.RecordBatch.from_arrays([*columns, pa.nulls(int(keep.sum()), pa.int32()), pa.nulls(int(keep.sum()), pa.binary())], names=_FOUND.fieldNames())
-
-
-def _open(rows: _Rows) -> pa.RecordBatch:
-    """Candidates of a block that other tasks may hold as well, as they came."""
-    none = pa.nulls(len(rows.b1), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(rows.doc), pa.array(rows.h), none, none, pa.array(rows.start), _binary(rows.runs, rows.at)], names=_FOUND.fieldNames())
+    yield _table(_FOUND, [rows.doc[keep], rows.h[keep], *(pa.array(v[keep], mask=~on[keep]) for v, on in spans), pa.nulls(int(keep.sum()), pa.int64()), pa.nulls(int(keep.sum()), pa.int32())])
+    if not whole_blocks:
+        first = np.flatnonzero(~early)
+        none, of = pa.nulls(len(first), pa.int64()), owner[first]
+        yield _table(_FOUND, [rows.doc[of], rows.h[of], none, none, rows.runs[first].view(np.int64), (rows.start[of] + step[first]).astype(np.int32)])
 
 
 def _spans(contexts: DataFrame) -> DataFrame:
     """(doc, h, any, earlier): spans of runs that occur elsewhere too; ``earlier``: in earlier places.
 
-    Blocks that lie within one task are compared there.  The first and the last block of each task, which may go on in
-    other tasks, give their runs to an order of runs, document and position, in which equal ones are neighbours.
+    Blocks that lie within one task are compared there.  Of the first and the last block of each task, which may go on in
+    other tasks, the first occurrences in the task of their runs are put in order of runs, document and position, in
+    which equal ones are neighbours; copies of a run within a task cost nothing there.
     """
     key = ["b1", "doc", "h", "pos"]
     placed = contexts.repartitionByRange(*key).sortWithinPartitions(*key)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        first, held = None, []  # hash of the task's first block; rows of the block that has not ended
+        block, held, size, open_ = None, [], 0, True  # the block that has not ended: hash, rows, runs; whether others may hold more
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = _Rows.of(batch)
-            if first is None:
-                first = rows.b1[0]
-            if not held:
-                n = int(np.searchsorted(rows.b1, first, "right"))
-                if n:
-                    yield _open(rows.part(0, n))
-                rows = rows.part(n, len(rows.b1))
-                if not len(rows.b1):
-                    continue
+            ends = int(np.searchsorted(rows.b1, rows.b1[0] if block is None else block, "right"))  # rows that still belong to it
             last = int(np.searchsorted(rows.b1, rows.b1[-1], "left"))
-            if held and (last or held[0].b1[0] != rows.b1[0]):
-                yield _matched(_Rows.join([*held, rows.part(0, last)]))
-                held = []
-            elif last:
-                yield _matched(rows.part(0, last))
-            held.append(rows.part(last, len(rows.b1)))
-        for rows in held:
-            yield _open(rows)
+            block = rows.b1[-1]
+            held.append(rows.part(0, ends))
+            if ends < len(rows.b1):
+                yield from _matched(_Rows.join(held), not open_)
+                yield from _matched(rows.part(ends, last), True)
+                held, size, open_ = [rows.part(last, len(rows.b1))], 0, False
+            size += len(held[-1].runs)
+            if size > PART:
+                yield from _matched(_Rows.join(held), False)
+                held, size, open_ = [], 0, True
+        if held:
+            yield from _matched(_Rows.join(held), False)
 
     found = stored(placed.mapInArrow(run, _FOUND))
-
-    def make():
-        def work(batch):
-            doc, h, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            size = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
-            runs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
-            pos = np.repeat(start, size) + np.arange(len(runs)) - np.repeat(np.cumsum(size) - size, size)
-            yield _table(_SUFFIX, [runs, np.ones(len(runs), np.int64), np.repeat(doc, size), np.repeat(h, size), pos.astype(np.int32)])
-
-        return work
-
-    runs = explode_pass(found.where("runs is not null"), [F.col(c) for c in ("doc", "h", "start", "runs")], make, _SUFFIX)
+    runs = found.where("run is not null").select(F.col("run").alias("b1"), F.lit(1).cast("long").alias("b2"), "doc", "h", F.col("start").alias("pos"))
     span = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + MIN_WORDS)
     across = _neighbours(runs).select("doc", "h", span.alias("any"), F.when(F.col("earlier"), span).alias("earlier"))
-    return found.where("runs is null").select("doc", "h", "any", "earlier").unionByName(across)
+    return found.where("run is null").select("doc", "h", "any", "earlier").unionByName(across)
 
 
 _SEGMENT = _schema("doc long, h long, start int, end int, removed boolean")

@@ -174,9 +174,11 @@ def test_hot_passage_over_many_tasks(docs_of, spark):
 
 
 @pytest.mark.parametrize("parts", [1, 4, 16])
-def test_partners_apart_in_their_block(docs_of, spark, parts):
+def test_partners_apart_in_their_block(docs_of, spark, parts, monkeypatch):
     """Boilerplate of 49 words in many texts, of which some share more words before or after it: whole runs are found,
     whichever texts lie between and however the suffixes are dealt over tasks."""
+    if parts == 4:
+        monkeypatch.setattr(suffixes, "PART", 300)  # blocks in parts
     rng = np.random.default_rng(parts)
     texts = []
     for shared, copies in ((49, 60), (49, 40), (30, 50), (26, 30), (45, 3), (48, 2)):
