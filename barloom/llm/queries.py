@@ -129,7 +129,7 @@ q as (select lang, word, sum(k) / sum(sum(k)) over (partition by lang) as q from
 cd as (select s.doc_id, l.lang, sqrt(greatest(0, {parts})) as c from share s cross join langs l),
 wd as (select doc_id, lang, sqrt(greatest(0, sum(0.5 * ({term("p", "q")} + {term("q", "p")})) + 0.5 * greatest(0, 1 - sum(q)))) as x
   from (select p.doc_id, l.lang, p.p, coalesce(q.q, 0) as q from p cross join langs l left join q on q.lang = l.lang and q.word = p.word) group by doc_id, lang),
-far as (select cd.doc_id, cd.lang, c, coalesce(x, sqrt(0.5 * (select sum(q) from q where q.lang = cd.lang))) as x from cd left join wd using (doc_id, lang)),
+far as (select cd.doc_id, cd.lang, c, coalesce(x, case when cd.lang in (select lang from q) then 1 else 0 end) as x from cd left join wd using (doc_id, lang)),
 near as (select doc_id, bool_or((n.word_chars < {rules.MIN_CHARS} or c <= {rules.CLASS_LIMIT}) and (n_words < {rules.MIN_WORDS} or coalesce(x, 0) <= {rules.WORD_LIMIT})) as near
   from far join n using (doc_id) group by doc_id),
 base as (select doc_id, n_words, n.word_chars, c_symbol as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from n left join dup using (doc_id) left join rep using (doc_id))

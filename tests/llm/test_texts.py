@@ -162,6 +162,17 @@ def slow_distance(p, q):
     return float(np.sqrt(max(0.0, js)))
 
 
+def test_text_without_common_words_is_far(docs_of):
+    """Words alone, none of them a function word, pass only where no reference has any or the text is short."""
+    rng = np.random.default_rng(16)
+    junk = [" ".join("".join(rng.choice(list("bcdfghklmnprstaeiou"), 5)) for _ in range(n)) for n in (200, 40)]
+    texts = [sentence(rng, 200) for _ in range(20)] + junk
+    got = {r["doc_id"]: r for r in rules.apply_rules(docs_of(texts)).collect()}
+    assert got[20]["word_distance"] == 1 and not got[20]["kept"] and not got[20]["base_failed"]
+    assert got[21]["kept"] and all(got[i]["kept"] for i in range(20))
+    assert all(r["kept"] and r["word_distance"] == 0 for r in rules.apply_rules(docs_of(junk)).collect())
+
+
 def test_rules_match_brute_force(docs_of, awkward, no_docs):
     rng = np.random.default_rng(6)
     base = sentence(rng, 30)
@@ -191,11 +202,10 @@ def test_rules_match_brute_force(docs_of, awkward, no_docs):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == slow_base(t)
         a = slow_distance(classes[i], mean)
-        b = slow_distance({w: n / max(1, found[i].total()) for w, n in found[i].items()}, common)
+        b = slow_distance({w: n / found[i].total() for w, n in found[i].items()}, common) if found[i] else 1.0
         if t:
             assert abs(r["class_distance"] - a) < 1e-9
-        if found[i]:
-            assert abs(r["word_distance"] - b) < 1e-9
+        assert abs(r["word_distance"] - b) < 1e-9
         if not r["base_failed"]:
             assert r["kept"] == ((r["word_chars"] < rules.MIN_CHARS or a <= rules.CLASS_LIMIT) and (r["n_words"] < rules.MIN_WORDS or b <= rules.WORD_LIMIT))
     assert not got[20]["kept"] and got[0]["kept"]
