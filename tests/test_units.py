@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.labeling import positive_candidates
 from barloom.catalog.patterns import BASE_CFG, LONG_CFG
 from barloom.functions import windows as ts
+from barloom.functions.cols import toward_neutral
 from barloom.functions.ordering import exact_quantiles, take_first, with_global_rank, with_running_totals
 from barloom.operators import bases, labels as lb, metrics as mt, miners as mn, pullback as pb, schema as sc, selection as sel, splits as sp
 from barloom.operators.asof import asof_join
@@ -38,6 +39,13 @@ def column(df, name):
     return [r[name] for r in df.orderBy("trade_date").collect()]
 
 
+def test_full_weight_keeps_tiny_factors(spark):
+    df = spark.sql("select explode(array(1e-24D, 3e-24D, 0.5D)) as f")
+    got = df.select("f", toward_neutral(F.col("f"), 1.0).alias("full"), toward_neutral(F.col("f"), 0.4).alias("part")).orderBy("f").collect()
+    assert [r["full"] for r in got] == [1e-24, 3e-24, 0.5]
+    assert got[2]["part"] == pytest.approx(0.8)
+
+
 # ---------------------------------------------------------------- time series
 
 
