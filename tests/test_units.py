@@ -15,7 +15,7 @@ from barloom.functions.ordering import exact_quantiles, take_first, with_global_
 from barloom.operators import bases, labels as lb, metrics as mt, miners as mn, pullback as pb, schema as sc, selection as sel, splits as sp
 from barloom.operators.asof import asof_join
 from barloom.operators.calendar import require_dates
-from barloom.operators.history import history_window
+from barloom.operators.history import history_window, history_windows, sequence_matrix
 from barloom.operators.review import ensure_pullback_metrics, reviewer_config
 from barloom.operators.upsert import upsert
 from barloom.plans import mining, training
@@ -39,6 +39,15 @@ def column(df, name):
     return [r[name] for r in df.orderBy("trade_date").collect()]
 
 
+def test_windows_are_arrays_of_a_block(spark):
+    bars = spark.range(7).selectExpr("'A' as ts_code", "date_add(date'2024-01-01', int(id)) as trade_date", "if(id in (1, 2, 5), null, double(id)) as close")
+    s = spark.sql("select 's' || d as sample_id, 'A' as ts_code, date_add(date'2024-01-01', d) as asof_date from (select explode(sequence(0, 8)) as d)")
+    got = {r["sample_id"]: [x["rn"] for x in r["window"]] for r in history_windows(s, bars, 3, 3, ["close"]).collect()}
+    assert got == {f"s{d}": [min(d, 6) - 1, min(d, 6), min(d, 6) + 1] for d in range(2, 9)}
+    m = {r["sample_id"]: [x[0] for x in r["sequence"]] for r in sequence_matrix(history_windows(s, bars, 3, 3, ["close"]), ["close"]).collect()}
+    assert m["s2"] == [0, 0, 0] and m["s3"] == [3, 3, 3] and m["s5"] == [3, 4, 4]
+
+
 def test_full_weight_keeps_tiny_factors(spark):
     df = spark.sql("select explode(array(1e-24D, 3e-24D, 0.5D)) as f")
     got = df.select("f", toward_neutral(F.col("f"), 1.0).alias("full"), toward_neutral(F.col("f"), 0.4).alias("part")).orderBy("f").collect()
