@@ -10,6 +10,7 @@ from barloom.catalog.views import PREDS_SQL, frac, pred
 from barloom.functions.cols import clamp, positive_change, safe_ratio, sample_id, sigmoid_boost, sigmoid_decay, sigmoid_rise, toward_neutral, scale_factor, weighted_mean
 from barloom.functions.windows import BARS
 from barloom.operators import review as rv
+from barloom.operators.history import locate
 from barloom.operators.predictions import by_score
 from barloom.plans.review_build import build_review_candidates
 from barloom.session import stored
@@ -151,11 +152,18 @@ hc as (select *, least(49, cast(floor((close - lo) / (hi - lo) * 50) as int)) as
 )
 def _histogram(spark, sf):
     """One row per candidate with sums over its bins, so that every bar can be a candidate."""
-    h = rv.price_histogram(rv.history_span(candidates(spark, sf).select(*rv.KEYS), load_bars(spark, sf), 150))
-    return h.groupBy("sample_id").agg(
-        F.count("*").alias("bins"), F.sum("volume").alias("volume"), F.sum(F.col("bin") * F.col("volume")).alias("placed_volume"),
-        F.max("last_bin").alias("last_bin"), F.min("bin_low").alias("bin_low"), F.max("bin_high").alias("bin_high"),
+    at = _located(spark, sf)
+    h = rv.price_histogram(at, load_bars(spark, sf), 150)
+    total = lambda e: F.aggregate("bins", F.lit(0.0), lambda a, x: a + e(x))
+    sums = h.select(
+        "ts_code", "pos", F.size("bins").alias("bins"), total(lambda x: x["volume"]).alias("volume"), total(lambda x: x["bin"] * x["volume"]).alias("placed_volume"),
+        "last_bin", "bin_low", "bin_high",
     )
+    return at.join(sums, ["ts_code", "pos"]).drop("ts_code", "pos")
+
+
+def _located(spark, sf):
+    return locate(candidates(spark, sf).select(*rv.KEYS), load_bars(spark, sf)).select("sample_id", "ts_code", "pos")
 
 
 @query(
@@ -163,7 +171,8 @@ def _histogram(spark, sf):
     oracle("select sample_id, greatest(0, least(1, coalesce(sum(vol) filter (where bin > nbin), 0) / sum(vol))) as overhang_ratio from hc group by sample_id", HIST_SQL, nums="overhang_ratio"),
 )
 def _overhang_ratio(spark, sf):
-    return rv.overhang_ratio(rv.price_histogram(rv.history_span(candidates(spark, sf).select(*rv.KEYS), load_bars(spark, sf), 150)))
+    at = _located(spark, sf)
+    return at.join(rv.overhang_ratio(rv.price_histogram(at, load_bars(spark, sf), 150)), ["ts_code", "pos"]).select("sample_id", "overhang_ratio")
 
 
 OVER_SQL = HIST_SQL + """, ov as (select sample_id, coalesce(sum(vol) filter (where bin > nbin), 0) / sum(vol) as r from hc group by sample_id)"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from barloom.functions.cols import (
 )
 from barloom.functions.windows import BARS
 from barloom.operators.asof import asof_join
-from barloom.operators.history import bar_index, history_window
+from barloom.operators.history import bar_index, block_bars, block_start, history_window, locate
 
 KEYS = ["sample_id", "ts_code", "asof_date"]
 
@@ -180,59 +182,75 @@ def attach_trend(candidates: DataFrame, bars: DataFrame, t: Trend = Trend()) ->
 # ------------------------------------------------------------------ overhang
 
 
-def price_histogram(window: DataFrame, bins: int = 50, keys=("sample_id",)) -> DataFrame:
-    """Volume per equal-width close bin of each sample's window, with the bin of the last close.
-
-    A single price is padded on both sides; the top edge belongs to the last bin.
-    """
-    w = W.partitionBy(*keys)
-    df = window.where("close is not null").withColumn("__v", F.greatest(F.coalesce(F.col("vol"), F.lit(0.0)), F.lit(0.0)))
-    df = df.withColumns({"__lo": F.min("close").over(w), "__hi": F.max("close").over(w), "__last": F.max("offset").over(w)})
-    pad = F.greatest(F.abs("__lo") * 0.001, F.lit(0.01))
-    flat = F.col("__lo") == F.col("__hi")
-    df = df.withColumns({"bin_low": F.when(flat, F.col("__lo") - pad).otherwise(F.col("__lo")), "bin_high": F.when(flat, F.col("__hi") + pad).otherwise(F.col("__hi"))})
-    k = F.floor((F.col("close") - F.col("bin_low")) / (F.col("bin_high") - F.col("bin_low")) * bins).cast("int")
-    df = df.withColumn("bin", clamp_int(k, 0, bins - 1))
-    last = F.max(F.when(F.col("offset") == F.col("__last"), F.col("bin"))).over(w)
-    df = df.withColumn("last_bin", last)
-    return df.groupBy(*keys, "bin").agg(
-        F.sum("__v").alias("volume"), F.first("last_bin").alias("last_bin"), F.first("bin_low").alias("bin_low"), F.first("bin_high").alias("bin_high")
-    )
+HISTOGRAM = "ts_code string, pos bigint, last_bin int, bin_low double, bin_high double, bins array<struct<bin:int,volume:double>>"
 
 
-def clamp_int(c: Column, low: int, high: int) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+def price_histogram(positions: DataFrame, bars: DataFrame, lookback: int = 150, bins: int = 50) -> DataFrame:
+    """Volume per equal-width close bin of the up to ``lookback`` bars ending at each (ts_code, pos), with the bin of the
+    last close; one row per position, bins in order.
 
-
-def overhang_ratio(hist: DataFrame, keys=("sample_id",)) -> DataFrame:
-    """Share of volume in bins above the current price."""
-    above = F.sum(F.when(F.col("bin") > F.col("last_bin"), F.col("volume")).otherwise(F.lit(0.0)))
-    share = F.when(F.sum("volume") > 0, clamp(above / F.sum("volume"))).otherwise(F.lit(0.0))
-    return hist.groupBy(*keys).agg(share.alias("overhang_ratio"))
+    A single price is padded on both sides; the top edge belongs to the last bin.  Positions of one block of bars meet
+    that block's array once, and all their windows are views of it.
+    """
+    size = int(lookback)
+    wanted = positions.where("pos is not null").select("ts_code", "pos").distinct().groupBy("ts_code", F.floor((F.col("pos") - 1) / size).alias("block"))
+    blocks = wanted.agg(F.collect_list("pos").alias("pos")).join(block_bars(bars, size, ["close", "vol"]), ["ts_code", "block"])
+    part = lambda c: F.transform("bars", lambda b: b[c].cast("double"))
+    arrays = blocks.select("ts_code", "pos", block_start(F.col("block"), size).cast("bigint").alias("start"), part("close").alias("close"), part("vol").alias("vol"))
+
+    def histograms(close: np.ndarray, vol: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+        """Histograms of the windows that end at the given places of one run of bars (NaN: no close)."""
+        view = lambda x: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size - 1, np.nan), x]), size)[ends]
+        c, v = view(close), view(vol)
+        known = ~np.isnan(c)
+        some = known.any(axis=1)
+        c, v, known, ends = c[some], v[some], known[some], ends[some]
+        lo, hi = np.where(known, c, np.inf).min(axis=1), np.where(known, c, -np.inf).max(axis=1)
+        pad = np.where(lo == hi, np.maximum(np.abs(lo) * 0.001, 0.01), 0.0)
+        lo, hi = lo - pad, hi + pad
+        k = np.floor((c - lo[:, None]) / (hi - lo)[:, None] * bins)
+        k = np.where(known, np.clip(k, 0, bins - 1), 0).astype(np.int64)
+        rows = np.arange(len(ends))
+        last = k[rows, size - 1 - np.argmax(known[:, ::-1], axis=1)]
+        at = (k + rows[:, None] * bins)[known]
+        volume = np.bincount(at, np.maximum(np.nan_to_num(v[known]), 0.0), len(ends) * bins)
+        return {"ends": ends, "last": last, "lo": lo, "hi": hi, "volume": volume.reshape(-1, bins), "filled": np.bincount(at, minlength=len(ends) * bins).reshape(-1, bins) > 0}
+
+    def run(batches):
+        for batch in batches:
+            col = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                code, start = col["ts_code"][i].as_py(), col["start"][i].as_py()
+                close, vol, pos = (col[n][i].values.to_numpy(zero_copy_only=False).astype(t) for n, t in (("close", float), ("vol", float), ("pos", np.int64)))
+                h = histograms(close, vol, np.sort(pos) - start)
+                n, used = len(h["ends"]), h["filled"]
+                entry = pa.StructArray.from_arrays([pa.array(np.nonzero(used)[1].astype(np.int32)), pa.array(h["volume"][used])], ["bin", "volume"])
+                edges = np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([code] * n, pa.string()), pa.array(h["ends"] + start), pa.array(h["last"].astype(np.int32)), pa.array(h["lo"]), pa.array(h["hi"]),
+                     pa.ListArray.from_arrays(pa.array(edges), entry)],
+                    ["ts_code", "pos", "last_bin", "bin_low", "bin_high", "bins"],
+                )
+
+    return arrays.mapInArrow(run, HISTOGRAM)
+
+
+def overhang_ratio(hist: DataFrame) -> DataFrame:
+    """Share of volume in bins above the current price, per (ts_code, pos)."""
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x["volume"])
+    both = hist.select("ts_code", "pos", total("bins").alias("__all"), total(F.filter("bins", lambda x: x["bin"] > F.col("last_bin"))).alias("__above"))
+    share = F.when(F.col("__all") > 0, clamp(F.col("__above") / F.col("__all"))).otherwise(F.lit(0.0))
+    return both.select("ts_code", "pos", share.alias("overhang_ratio"))
 
 
 def attach_overhang(candidates: DataFrame, bars: DataFrame, lookback: int = 150, bins: int = 50) -> DataFrame:
     """Overhang per candidate over its last bars; 0 with no history up to the date, NULL for an unknown symbol."""
-    keyed = candidates.select(*KEYS).distinct()
-    span = history_span(keyed, bars, lookback)
-    ratios = overhang_ratio(price_histogram(span, bins, KEYS), KEYS)
+    days = locate(candidates.select("ts_code", "asof_date").distinct(), bars).select("ts_code", "asof_date", "pos")
+    ratios = days.join(overhang_ratio(price_histogram(days, bars, lookback, bins)), ["ts_code", "pos"]).drop("pos")
     known = bars.select("ts_code").distinct().withColumn("__known", F.lit(True))
-    out = candidates.join(ratios, KEYS, "left").join(known, "ts_code", "left")
-    return out.withColumn("overhang_ratio", F.coalesce("overhang_ratio", F.when(F.col("__known"), F.lit(0.0)))).drop("__known")
-
-
-def history_span(samples: DataFrame, bars: DataFrame, size: int) -> DataFrame:
-    """Up to ``size`` bars ending at each as-of date (short histories included), with ``offset`` in time order."""
-    from barloom.operators.history import locate
-
-    found = locate(samples, bars).where("pos is not null")
-    first = F.greatest(F.col("pos") - size + 1, F.lit(1))
-    blocks = F.array_distinct(F.array(F.floor((first - 1) / size), F.floor((F.col("pos") - 1) / size)))
-    left = found.withColumn("__b", F.explode(blocks))
-    right = bar_index(bars).withColumn("__b", F.floor((F.col("rn") - 1) / size))
-    keep = [c for c in right.columns if c not in samples.columns or c in ("ts_code",)]
-    joined = left.join(right.select(*keep), ["ts_code", "__b"]).where((F.col("rn") >= first) & (F.col("rn") <= F.col("pos")))
-    return joined.withColumn("offset", F.col("rn") - F.col("pos")).drop("__b")
+    out = candidates.join(ratios, ["ts_code", "asof_date"], "left").join(known, "ts_code", "left")
+    out = out.withColumn("overhang_ratio", F.coalesce("overhang_ratio", F.when(F.col("__known"), F.lit(0.0)))).drop("__known")
+    return out.select(*candidates.columns, "overhang_ratio")
 
 
 # ------------------------------------------------------------------ anchored metrics

@@ -16,7 +16,7 @@ from barloom.operators import bases, labels as lb, metrics as mt, miners as mn,
 from barloom.operators.asof import asof_join
 from barloom.operators.calendar import require_dates
 from barloom.operators.history import history_window, history_windows, sequence_matrix
-from barloom.operators.review import ensure_pullback_metrics, reviewer_config
+from barloom.operators.review import ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
 from barloom.operators.upsert import upsert
 from barloom.plans import mining, training
 from barloom.plans.labels import build_label_set
@@ -48,6 +48,17 @@ def test_windows_are_arrays_of_a_block(spark):
     assert m["s2"] == [0, 0, 0] and m["s3"] == [3, 3, 3] and m["s5"] == [3, 4, 4]
 
 
+def test_histogram_per_position(spark):
+    bars = spark.sql("select 'A' as ts_code, date_add(date'2024-01-01', i) as trade_date, c as close, 10D as vol from (select posexplode(array(5D, 5D, null, 1D, 2D)) as (i, c))")
+    at = spark.sql("select 'A' as ts_code, explode(array(2L, 3L, 5L, 5L)) as pos")
+    h = {r["pos"]: r for r in price_histogram(at, bars, 4, 4).collect()}
+    assert (h[2]["bin_low"], h[2]["bin_high"], h[2]["last_bin"]) == (4.99, 5.01, 2)
+    assert [(x["bin"], x["volume"]) for x in h[3]["bins"]] == [(2, 20.0)]
+    assert [(x["bin"], x["volume"]) for x in h[5]["bins"]] == [(0, 10.0), (1, 10.0), (3, 10.0)] and h[5]["last_bin"] == 1
+    ratios = {r["pos"]: r["overhang_ratio"] for r in overhang_ratio(price_histogram(at, bars, 4, 4)).collect()}
+    assert ratios == {2: 0.0, 3: 0.0, 5: pytest.approx(1 / 3)}
+
+
 def test_full_weight_keeps_tiny_factors(spark):
     df = spark.sql("select explode(array(1e-24D, 3e-24D, 0.5D)) as f")
     got = df.select("f", toward_neutral(F.col("f"), 1.0).alias("full"), toward_neutral(F.col("f"), 0.4).alias("part")).orderBy("f").collect()
