@@ -219,6 +219,19 @@ def test_rules_match_brute_force(docs_of, awkward, no_docs):
     assert rules.apply_rules(no_docs).collect() == []
 
 
+def test_every_language_is_a_reference(spark, monkeypatch):
+    texts = {"en": "the cat and the dog are in the house of a man ", "de": "der hund und die katze ist in dem haus ", "fr": "le chat et les chiens dans la maison ", "xx": "1234 5678 90 12 ", "yy": "QWER TY UIOP "}
+    rows = [(10 * i + j, text * (6 + j), lang) for i, (lang, text) in enumerate(texts.items()) for j in range(i + 1)] + [(98, "QWER ASDF " * 60, None), (99, "", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    columns = ("doc_id", "kept", "base_failed", "class_distance", "word_distance")
+    judge = lambda: {r["doc_id"]: tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in columns) for r in rules.apply_rules(docs).collect()}
+    whole = judge()
+    for held in (1, 3):
+        monkeypatch.setattr(rules, "LANGUAGES", held)
+        assert judge() == whole
+
+
+
 def test_rules_use_no_python(docs_of):
     plan = rules.document_counts(docs_of(["a b c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
