@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import safe_change, safe_ratio
+from barloom.functions.rolling import Series, per_entity
 from barloom.functions.windows import BARS
 
 WINDOW_FEATURES = [
@@ -19,41 +20,53 @@ WINDOW_FEATURES = [
 ]
 
 
-def window_vector(bars: DataFrame, window: int = 150, min_history: int = 1) -> DataFrame:
-    """The 11-feature vector at every bar with a full window (``pos`` is the bar's position)."""
+def window_vector(bars: DataFrame, window: int = 150, min_history: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The 11-feature vector at every bar with a full window (``pos`` is the bar's position), next to the columns ``carry``."""
     if window < 21:
         raise ValueError("window must cover at least 21 bars")
-    anyrow = dict(min_periods=1)
     c = F.col("close")
-    df = bars.withColumns({"pos": BARS.index(), "__cf": BARS.filled("close"), "__m10": BARS.mean("close", 10), "__m20": BARS.mean("close", 20)})
-    df = df.withColumns(
-        {
-            "__ret": BARS.pct("__cf", 1),
-            "__a10": F.when(F.col("__m10").isNotNull(), (c > F.col("__m10")).cast("double")),
-            "__a20": F.when(F.col("__m20").isNotNull(), (c > F.col("__m20")).cast("double")),
+    prior, span = min(60, window - 20), min(60, window - 1)
+
+    def frames(s: dict[str, Series]) -> dict[str, Series]:
+        high, low, close, vol = (s[n] for n in ("high", "low", "close", "vol"))
+        anyrow = dict(min_periods=1)
+        return {
+            "__hi": high.high(window, **anyrow),
+            "__lo": low.low(window, **anyrow),
+            "__hi20": high.high(20, lag=1, **anyrow),
+            "__hi60": high.high(span, lag=1, **anyrow) if window >= 61 else high.high(window, **anyrow),
+            "__sd": vol.std(window, **anyrow),
+            "__mu": vol.mean(window, **anyrow),
+            "__mu20": vol.mean(20, **anyrow),
+            "__mu60": vol.mean(prior, lag=20, **anyrow),
+            "__muv": vol.mean(20, lag=1, **anyrow),
+            "__r10": close.above(close.mean(10)).mean(window - 9, **anyrow),
+            "__r20": close.above(close.mean(20)).mean(window - 19, **anyrow),
+            "__sdr": close.last_known().change(1).std(20, **anyrow),
+            "__c5": close.lag(5),
+            "__c10": close.lag(10),
         }
-    )
-    prior = min(60, window - 20)
-    hi20, hi60 = BARS.high("high", 20, lag=1, **anyrow), BARS.high("high", min(60, window - 1), lag=1, **anyrow)
-    if window < 61:
-        hi60 = BARS.high("high", window, **anyrow)
-    out = df.select(
+
+    names = ["__hi", "__lo", "__hi20", "__hi60", "__sd", "__mu", "__mu20", "__mu60", "__muv", "__r10", "__r20", "__sdr", "__c5", "__c10"]
+    df = bars.withColumn("pos", BARS.index()).select("ts_code", "trade_date", "pos", *carry, "high", "low", "close", "vol")
+    df = per_entity(df, ["high", "low", "close", "vol"], names, frames).where(F.col("pos") >= max(window, min_history))
+    return df.select(
         "ts_code",
         "trade_date",
         "pos",
-        safe_change(BARS.high("high", window, **anyrow), BARS.low("low", window, **anyrow)).alias("base_range_pct"),
-        safe_ratio(BARS.std("vol", window, **anyrow), BARS.mean("vol", window, **anyrow)).alias("base_vol_cv"),
-        safe_ratio(BARS.mean("vol", 20, **anyrow), BARS.mean("vol", prior, lag=20, **anyrow)).alias("vol_shrink_ratio"),
-        safe_change(c, BARS.lag("close", 5)).alias("recent_return_5"),
-        safe_change(c, BARS.lag("close", 10)).alias("recent_return_10"),
-        safe_change(c, hi20).alias("breakout_distance_20"),
-        safe_change(c, hi60).alias("breakout_distance_60"),
-        safe_ratio(F.col("vol"), BARS.mean("vol", 20, lag=1, **anyrow)).alias("volume_spike_ratio"),
-        BARS.mean("__a10", window - 9, **anyrow).alias("above_ma10_ratio"),
-        BARS.mean("__a20", window - 19, **anyrow).alias("above_ma20_ratio"),
-        BARS.std("__ret", 20, **anyrow).alias("volatility_20"),
+        *carry,
+        safe_change(F.col("__hi"), F.col("__lo")).alias("base_range_pct"),
+        safe_ratio(F.col("__sd"), F.col("__mu")).alias("base_vol_cv"),
+        safe_ratio(F.col("__mu20"), F.col("__mu60")).alias("vol_shrink_ratio"),
+        safe_change(c, F.col("__c5")).alias("recent_return_5"),
+        safe_change(c, F.col("__c10")).alias("recent_return_10"),
+        safe_change(c, F.col("__hi20")).alias("breakout_distance_20"),
+        safe_change(c, F.col("__hi60")).alias("breakout_distance_60"),
+        safe_ratio(F.col("vol"), F.col("__muv")).alias("volume_spike_ratio"),
+        F.col("__r10").alias("above_ma10_ratio"),
+        F.col("__r20").alias("above_ma20_ratio"),
+        F.col("__sdr").alias("volatility_20"),
     )
-    return out.where(F.col("pos") >= max(window, min_history))
 
 
 def recent_bars(bars: DataFrame, asof_date: str, window: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.labeling import positive_candidates
 from barloom.catalog.patterns import BASE_CFG, LONG_CFG
-from barloom.functions import windows as ts
+from barloom.functions import rolling, windows as ts
 from barloom.functions.cols import toward_neutral
 from barloom.functions.ordering import exact_quantiles, take_first, with_global_rank, with_running_totals
 from barloom.operators import bases, labels as lb, metrics as mt, miners as mn, pullback as pb, schema as sc, selection as sel, splits as sp
@@ -19,6 +19,7 @@ from barloom.operators.history import history_window, history_windows, sequence_
 from barloom.operators.review import ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
 from barloom.operators.upsert import upsert
 from barloom.plans import mining, training
+from barloom.plans.datasets import features_for_dates
 from barloom.plans.labels import build_label_set
 from barloom.sources import chart, normalize as nz
 from barloom.sources.bars import load_bars
@@ -476,3 +477,65 @@ def test_label_set_rules(spark, sf):
     for n in neg:
         per[n["ts_code"]] = per.get(n["ts_code"], 0) + 1
     assert max(per.values()) <= 50
+
+
+def gappy(spark, sf):
+    """Bars of a few entities with missing closes and volumes."""
+    h = F.crc32(F.concat("ts_code", F.col("trade_date").cast("string")))
+    b = load_bars(spark, sf).where("ts_code <= 'S000004'")
+    return b.withColumns({"vol": F.when(h % 7 != 0, F.col("vol")), "close": F.when(h % 13 != 0, F.col("close"))}).localCheckpoint()
+
+
+def test_series_have_the_values_of_windows(spark, sf):
+    b, w = gappy(spark, sf), ts.BARS
+    want = {
+        "mean": w.mean("close", 30, lag=2), "mean1": w.mean("close", 30, min_periods=1), "std": w.std("vol", 25, min_periods=1), "samp": w.std("vol", 25, sample=True, min_periods=3),
+        "top": w.high("close", 37, lag=1, min_periods=1), "bottom": w.low("close", 21, min_periods=1), "lag": w.lag("close", 700), "ret": w.pct("close", 3),
+    }
+
+    def compute(s):
+        c, v = s["close"], s["vol"]
+        return {
+            "mean": c.mean(30, lag=2), "mean1": c.mean(30, min_periods=1), "std": v.std(25, min_periods=1), "samp": v.std(25, sample=True, min_periods=3),
+            "top": c.high(37, lag=1, min_periods=1), "bottom": c.low(21, min_periods=1), "lag": c.lag(700), "ret": c.change(3),
+        }
+
+    native = b.withColumns(want)
+    got = rolling.per_entity(b, ["close", "vol"], list(want), compute).select(*native.columns)
+    assert got.count() == b.count() and got.exceptAll(native).isEmpty()
+
+
+def test_an_entity_may_lie_in_many_batches(spark, sf):
+    b = gappy(spark, sf)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    count = lambda: rolling.per_entity(b, ["vol"], ["n"], lambda s: {"n": rolling.Series(s["vol"].count(10_000) * 1.0, s["vol"].known)}).agg(F.max("n"), F.sum("n")).first()
+    whole = count()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert count() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_meet_dates_without_another_shuffle(spark, sf):
+    b = gappy(spark, sf).checkpoint() if spark.sparkContext.getCheckpointDir() else gappy(spark, sf)
+    dates = spark.sql("select explode(sequence(date'1996-12-20', date'1997-01-20', interval 3 day)) as asof_date")
+    f = features_for_dates(b, dates, 30, 1)
+    assert plan_of(f).count("hashpartitioning(ts_code") <= 1
+    keys = b.select("ts_code").distinct().join(dates).select("asof_date", "ts_code")
+    by_key = features_for_dates(b, dates, 30, 1, codes=keys)
+    assert f.count() > 0 and f.exceptAll(by_key).isEmpty() and by_key.exceptAll(f).isEmpty()
+
+
+def test_bounded_asof_needs_no_join(spark):
+    left = spark.sql("select * from values ('a', 3, 'x'), ('a', 3, 'y'), ('a', null, 'z'), (null, 9, 'n'), ('b', 5, 'b'), ('c', 1, 'c') as t(g, t, id)")
+    right = spark.sql("select * from values ('a', 1, 10), ('a', 3, 30), ('a', null, 99), (null, 2, 20), ('b', 6, 60), ('b', 4, null) as t(g, t, v)")
+    back, ahead = (asof_join(left, right, "t", "g", d, bounded=True, matched_on="m") for d in ("backward", "forward"))
+    vals = lambda df: {r["id"]: (r["v"], r["m"]) for r in df.collect()}
+    assert vals(back) == {"x": (30, 3), "y": (30, 3), "z": (None, None), "n": (20, 2), "b": (None, 4), "c": (None, None)}
+    assert vals(ahead) == {"x": (30, 3), "y": (30, 3), "z": (None, None), "n": (None, None), "b": (60, 6), "c": (None, None)}
+    assert "Join" not in plan_of(back)
