@@ -121,6 +121,21 @@ class Series:
             x, at, span = np.where(older, old_x, x), np.where(older, old_at, at), span + step
         return Series((np.arange(len(self)) - at).astype(float), self.count(n) > 0)
 
+    def first_high(self, n: int) -> tuple["Series", "Series", "Series"]:
+        """Highest of the last ``n`` rows (the oldest among equals), rows since then, and the lowest up to that row."""
+        size = len(self)
+        x = self.filled(-np.inf)
+        low, top, since, until = np.full(size, np.inf), np.full(size, -np.inf), np.zeros(size), np.full(size, np.inf)
+        for back in range(min(n, size) - 1, -1, -1):
+            now = x[: size - back]
+            np.minimum(low[back:], np.where(self.known[: size - back], now, np.inf), out=low[back:])
+            higher = now > top[back:]
+            top[back:][higher] = now[higher]
+            since[back:][higher] = back
+            until[back:][higher] = low[back:][higher]
+        some = self.count(n) > 0
+        return Series(top, some), Series(since, some), Series(until, some)
+
     def drawdowns(self, spans: list[int]) -> dict[int, "Series"]:
         """Worst value/peak of the last n rows for each n: stretches of doubling length combined from two shorter ones."""
 

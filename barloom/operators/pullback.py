@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.cols import change, holds, ratio, sample_id
+from barloom.functions.rolling import Series, per_entity
 from barloom.functions.windows import BARS
 
 
@@ -44,14 +46,23 @@ FASTDROP = Pullback(
 )
 
 
-def derived(bars: DataFrame) -> DataFrame:
-    """Distance to three means, 20-bar sample volatility and volume against its 20-bar mean."""
-    df = bars.withColumn("__cf", BARS.filled("close"))
-    df = df.withColumn("__ret", BARS.pct("__cf", 1))
-    out = {f"ma{n}_distance": change(F.col("close"), BARS.mean("close", n)) for n in (5, 20, 60)}
-    out["volatility_20d"] = BARS.std("__ret", 20, sample=True)
-    out["volume_ratio_20"] = ratio(F.col("vol"), BARS.mean("vol", 20))
-    return df.withColumns(out).drop("__cf", "__ret")
+def derived(bars: DataFrame, lookback: int) -> DataFrame:
+    """Distance to three means, 20-bar sample volatility and volume against its 20-bar mean; the first highest close of the
+    lookback, the bars since then and the lowest close up to it."""
+
+    def frames(s: dict[str, Series]) -> dict[str, Series]:
+        close = s["close"]
+        means = {f"__ma{n}": close.mean(n) for n in (5, 20, 60)}
+        high, since, low = close.first_high(lookback)
+        day = s["__day"].values[np.arange(len(since)) - since.values.astype(int)]
+        highest = {"__high": high, "__since": since, "__low": low, "__high_day": Series(day, high.known)}
+        return {**means, **highest, "__v20": s["vol"].mean(20), "volatility_20d": close.last_known().change(1).std(20, sample=True)}
+
+    names = ["__ma5", "__ma20", "__ma60", "__v20", "__high", "__since", "__low", "__high_day", "volatility_20d"]
+    df = per_entity(bars.withColumn("__day", F.unix_date("trade_date")), ["close", "vol", "__day"], names, frames)
+    out = {f"ma{n}_distance": change(F.col("close"), F.col(f"__ma{n}")) for n in (5, 20, 60)}
+    out["volume_ratio_20"] = ratio(F.col("vol"), F.col("__v20"))
+    return df.withColumns(out).drop("__ma5", "__ma20", "__ma60", "__v20", "__day")
 
 
 def forward_diagnostics(cfg: Pullback) -> dict:
@@ -78,19 +89,10 @@ def pullback_samples(
 ) -> DataFrame:
     """Samples for every bar with enough history, the last bar, one date, or a strided date range."""
     n = cfg.lookback_days
-    df = derived(bars.where("trade_date is not null"))
+    df = bars.where("trade_date is not null").withColumns({"rn": BARS.index(), "nb": BARS.bars()})
     if cfg.compute_future_returns:
         df = df.withColumns(forward_diagnostics(cfg))
-    frame = BARS.rows(-(n - 1), 0)
-    df = df.withColumns({"rn": BARS.index(), "nb": BARS.bars()})
-    # first highest close with its position and date; the list is one lookback long, missing closes count as infinite
-    top = F.struct(F.col("close").alias("v"), (-F.col("rn")).alias("n"), F.col("trade_date").alias("d"))
-    df = df.withColumns(
-        {
-            "__top": F.max(F.when(F.col("close").isNotNull(), top)).over(frame),
-            "__c": F.collect_list(F.coalesce("close", F.lit(float("inf")))).over(frame),
-        }
-    ).where(F.col("rn") >= n)
+    df = derived(df, n).where(F.col("rn") >= n)
     if latest_only:
         df = df.where("rn = nb")
     elif asof_date:
@@ -103,15 +105,15 @@ def pullback_samples(
         if stride > 1:
             first = F.min("rn").over(W.partitionBy("ts_code"))
             df = df.withColumn("__first", first).where((F.col("rn") - F.col("__first")) % stride == 0)
-    df = df.withColumn("days_since_high", F.col("rn") + F.col("__top.n"))
     df = df.withColumns(
         {
-            "recent_high": F.col("__top.v"),
-            "recent_high_date": F.col("__top.d"),
-            "lookback_low": F.array_min(F.slice("__c", F.lit(1), (F.lit(n) - F.col("days_since_high")).cast("int"))),
-            "valid": holds(F.col("close") > 0) & F.col("__top").isNotNull(),
+            "days_since_high": F.col("__since").cast("int"),
+            "recent_high": F.col("__high"),
+            "recent_high_date": F.date_from_unix_date(F.col("__high_day").cast("int")),
+            "lookback_low": F.col("__low"),
+            "valid": holds(F.col("close") > 0) & F.col("__high").isNotNull(),
         }
-    ).drop("__c", "__top")
+    ).drop("__high", "__since", "__low", "__high_day")
     df = df.withColumns(
         {
             "rise_into_high_pct": F.when(F.col("lookback_low") > 0, F.col("recent_high") / F.col("lookback_low") - 1.0),

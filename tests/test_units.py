@@ -539,3 +539,12 @@ def test_bounded_asof_needs_no_join(spark):
     assert vals(back) == {"x": (30, 3), "y": (30, 3), "z": (None, None), "n": (20, 2), "b": (None, 4), "c": (None, None)}
     assert vals(ahead) == {"x": (30, 3), "y": (30, 3), "z": (None, None), "n": (None, None), "b": (60, 6), "c": (None, None)}
     assert "Join" not in plan_of(back)
+
+
+def test_first_high_of_a_lookback():
+    import numpy as np
+
+    x = np.array([3.0, 5.0, 0.0, 5.0, 1.0, 2.0])
+    high, since, low = rolling.Series(x, np.array([True, True, False, True, True, True])).first_high(3)
+    assert list(high.values) == [3, 5, 5, 5, 5, 5] and list(since.values) == [0, 0, 1, 2, 1, 2]
+    assert list(low.values) == [3, 3, 3, 5, 5, 5]
