@@ -179,6 +179,13 @@ def attach_trend(candidates: DataFrame, bars: DataFrame, t: Trend = Trend()) ->
     return out.withColumn("trend_midlong_pass", holds(F.col("trend_midlong_pass")))
 
 
+def ensure_trend(candidates: DataFrame, bars: DataFrame, t: Trend = Trend()) -> DataFrame:
+    """Attach the trend metrics once; candidates that came with those of their last bar are not joined again."""
+    if set(TREND_COLUMNS) <= set(candidates.columns):
+        return candidates.withColumn("trend_midlong_pass", holds(F.col("trend_midlong_pass")))
+    return attach_trend(candidates, bars, t)
+
+
 # ------------------------------------------------------------------ overhang
 
 
@@ -695,7 +702,7 @@ def apply_adjustments(candidates: DataFrame, bars: DataFrame, config: dict) -> D
             col = s.get("anchor_date_col", "anchor_date")
             df = df.join(chip_structure(df, bars, s.get("pre_window", 60), s.get("near_pct", 0.03), col), KEYS, "left")
         elif name == "midlong_trend":
-            df = attach_trend(df, bars, trend_of(s))
+            df = ensure_trend(df, bars, trend_of(s))
         elif name.startswith("phase2_"):
             d = PullbackSpan()
             df = ensure_pullback_metrics(df, bars, PullbackSpan(**{f: s.get(f, getattr(d, f)) for f in d.__dataclass_fields__}))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.cols import sample_id
 from barloom.operators.calendar import anchor_dates, track_dates
 from barloom.operators.history import bar_index
-from barloom.operators.review import apply_adjustments, reviewer_config
+from barloom.operators.review import TREND_COLUMNS, apply_adjustments, enabled_stages, reviewer_config, trend_of, with_trend_metrics
 from barloom.operators.selection import top_per_group
 from barloom.plans.datasets import features_for_dates
 
@@ -41,9 +41,15 @@ def rank_phase1(scored: DataFrame, top_n: int, adjusted: str | None = None) -> D
 def phase1_cache(
     bars: DataFrame, dates: DataFrame, scorer: Scorer, top_n: int, window: int = 150, min_history: int = 1, reviewer=None
 ) -> DataFrame:
-    """Phase-1 top rows for every anchor date (column ``asof_date`` of ``dates``)."""
-    scored = with_pair(scorer(features_for_dates(bars, dates, window, min_history)), "phase1")
+    """Phase-1 top rows for every anchor date (column ``asof_date`` of ``dates``).
+
+    Features and trend metrics are both of the last bar on or before the date, so a reviewer's trend comes along with the
+    features and the rows of all entities and dates are not joined for it.
+    """
     config = reviewer_config(reviewer)
+    trend = [trend_of(s) for s in enabled_stages(config) if s.name == "midlong_trend"]
+    priced = with_trend_metrics(bars, trend[0]) if trend else bars
+    scored = with_pair(scorer(features_for_dates(priced, dates, window, min_history, carry=tuple(TREND_COLUMNS) if trend else ())), "phase1")
     if config:
         scored = apply_adjustments(scored, bars, config)
     return rank_phase1(scored.withColumn("anchor_date", F.col("asof_date")), top_n, "adjusted_phase1_score" if config else None)

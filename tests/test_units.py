@@ -16,11 +16,12 @@ from barloom.operators import bases, labels as lb, metrics as mt, miners as mn,
 from barloom.operators.asof import asof_join
 from barloom.operators.calendar import require_dates
 from barloom.operators.history import history_window, history_windows, sequence_matrix
-from barloom.operators.review import ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
+from barloom.operators.review import apply_adjustments, ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
 from barloom.operators.upsert import upsert
 from barloom.plans import mining, training
 from barloom.plans.datasets import features_for_dates
 from barloom.plans.labels import build_label_set
+from barloom.plans.tracking import phase1_cache, rank_phase1
 from barloom.sources import chart, normalize as nz
 from barloom.sources.bars import load_bars
 from barloom.sources.contracts import ContractCatalog, DatasetContract, read_by_entity
@@ -548,3 +549,16 @@ def test_first_high_of_a_lookback():
     high, since, low = rolling.Series(x, np.array([True, True, False, True, True, True])).first_high(3)
     assert list(high.values) == [3, 5, 5, 5, 5, 5] and list(since.values) == [0, 0, 1, 2, 1, 2]
     assert list(low.values) == [3, 3, 3, 5, 5, 5]
+
+
+def test_reviewed_phase1_brings_its_trend_along(spark, sf):
+    b = gappy(spark, sf)
+    dates = spark.sql("select explode(sequence(date'1997-06-20', date'1997-07-20', interval 3 day)) as asof_date")
+    config = {"midlong_trend": {"enabled": True, "score_col": "phase1_score_mean", "output_score_col": "adjusted_phase1_score"}}
+    scorer = lambda df: df.withColumns({"phase1_score_lgbm": F.col("recent_return_5"), "phase1_score_xgb": F.col("recent_return_10")})
+    top = phase1_cache(b, dates, scorer, 3, 30, reviewer=config)
+    assert plan_of(top).count("Exchange hashpartitioning(ts_code") == 1
+    plain = phase1_cache(b, dates, scorer, 1000, 30)
+    joined = rank_phase1(apply_adjustments(plain.drop("phase1_rank"), b, config), 3, "adjusted_phase1_score")
+    key = lambda df: {(r["anchor_date"], r["ts_code"]): (r["phase1_rank"], r["adjusted_phase1_score"], r["trend_data_date"]) for r in df.collect()}
+    assert key(top) and key(top) == key(joined)
