@@ -119,44 +119,56 @@ MEANS = (20, 60, 120, 200)
 
 def daily_vector(bars: DataFrame, max_window: int = 504) -> DataFrame:
     """The 49-feature vector at every bar over at most ``max_window`` trailing bars."""
-    anyrow = dict(min_periods=1)
     c, long = F.col("close"), max_window
-    df = bars.withColumn("pos", BARS.index()).withColumns(
-        {
-            "__ret": BARS.pct("close", 1),
-            **{f"__ma{n}": BARS.mean("close", n) for n in MEANS},
-            **{f"__h{n}": BARS.high("high", n, **anyrow) for n in (*HORIZONS, long)},
-            **{f"__l{n}": BARS.low("low", n, **anyrow) for n in (*HORIZONS, long)},
-            **{f"__v{n}": BARS.mean("vol", n, **anyrow) for n in (20, 60, 120)},
+
+    def frames(s: dict[str, Series]) -> dict[str, Series]:
+        high, low, close, vol = (s[n] for n in ("high", "low", "close", "vol"))
+        anyrow = dict(min_periods=1)
+        ret, worst = close.change(1), close.drawdowns([252, long])
+        means = {n: close.mean(n) for n in MEANS}
+        return {
+            **{f"__ma{n}": m for n, m in means.items()},
+            **{f"__mb{n}": m.lag(20) for n, m in means.items()},
+            **{f"__h{n}": high.high(n, **anyrow) for n in (*HORIZONS, long)},
+            **{f"__l{n}": low.low(n, **anyrow) for n in (*HORIZONS, long)},
+            **{f"__c{n}": close.lag(n) for n in HORIZONS},
+            **{f"__sd{n}": ret.std(n, **anyrow) for n in HORIZONS},
+            **{f"__v{n}": vol.mean(n, **anyrow) for n in (20, 60, 120)},
+            **{f"__d{n}": worst[n] for n in (252, long)},
+            "__sdv": vol.std(120, **anyrow),
+            "__p60": high.high(60, lag=1, **anyrow),
+            "__p120": high.high(120, lag=1, **anyrow),
             # ties go to the oldest bar
-            "__hi_at": F.max(F.struct(F.col("high").alias("v"), (-F.col("pos")).alias("p"))).over(BARS.rows(-251, 0)),
-            "__lo_at": F.min(F.struct(F.col("low").alias("v"), F.col("pos").alias("p"))).over(BARS.rows(-251, 0)),
+            "__since_hi": high.since_extreme(252, 1),
+            "__since_lo": low.since_extreme(252, -1),
         }
-    )
-    df = trailing_drawdowns(df, "close", [252, long])
+
+    names = [f"__{k}{n}" for k, spans in (("ma", MEANS), ("mb", MEANS), ("h", (*HORIZONS, long)), ("l", (*HORIZONS, long)), ("c", HORIZONS), ("sd", HORIZONS), ("v", (20, 60, 120)), ("d", (252, long))) for n in spans]
+    df = bars.withColumn("pos", BARS.index()).select("ts_code", "trade_date", "pos", "high", "low", "close", "vol")
+    df = per_entity(df, ["high", "low", "close", "vol"], [*dict.fromkeys(names), "__sdv", "__p60", "__p120", "__since_hi", "__since_lo"], frames)
     feats: dict[str, Column] = {"history_bars": F.least(F.col("pos"), F.lit(long)).cast("double"), "current_close": c}
     for n in HORIZONS:
         h, lo = F.col(f"__h{n}"), F.col(f"__l{n}")
-        feats[f"ret_{n}d"] = safe_change(c, BARS.lag("close", n))
-        feats[f"volatility_{n}d"] = F.when(F.col("pos") >= n, BARS.std("__ret", n, **anyrow))
+        feats[f"ret_{n}d"] = safe_change(c, F.col(f"__c{n}"))
+        feats[f"volatility_{n}d"] = F.when(F.col("pos") >= n, F.col(f"__sd{n}"))
         feats[f"range_{n}d_pct"] = safe_change(h, lo)
         feats[f"close_pos_{n}d"] = safe_ratio(c - lo, h - lo)
     for n in MEANS:
         feats[f"close_vs_ma{n}"] = safe_change(c, F.col(f"__ma{n}"))
-        feats[f"ma{n}_slope_20d"] = safe_change(F.col(f"__ma{n}"), BARS.lag(f"__ma{n}", 20))
+        feats[f"ma{n}_slope_20d"] = safe_change(F.col(f"__ma{n}"), F.col(f"__mb{n}"))
     feats["ma20_vs_ma60"] = safe_change(F.col("__ma20"), F.col("__ma60"))
     feats["ma60_vs_ma120"] = safe_change(F.col("__ma60"), F.col("__ma120"))
     feats["drawdown_from_252d_high"] = safe_change(c, F.col("__h252"))
     feats[f"drawdown_from_{long}d_high"] = safe_change(c, F.col(f"__h{long}"))
     feats["distance_from_252d_low"] = safe_change(c, F.col("__l252"))
     feats[f"distance_from_{long}d_low"] = safe_change(c, F.col(f"__l{long}"))
-    feats["max_drawdown_252d"] = F.col("max_drawdown_252d")
-    feats[f"max_drawdown_{long}d"] = F.col(f"max_drawdown_{long}d")
+    feats["max_drawdown_252d"] = F.col("__d252") - 1.0
+    feats[f"max_drawdown_{long}d"] = F.col(f"__d{long}") - 1.0
     feats["volume_ratio_20_60"] = safe_ratio(F.col("__v20"), F.col("__v60"))
     feats["volume_ratio_20_120"] = safe_ratio(F.col("__v20"), F.col("__v120"))
-    feats["volume_cv_120"] = safe_ratio(BARS.std("vol", 120, **anyrow), F.col("__v120"))
-    feats["breakout_distance_60d"] = safe_change(c, BARS.high("high", 60, lag=1, **anyrow))
-    feats["breakout_distance_120d"] = safe_change(c, BARS.high("high", 120, lag=1, **anyrow))
-    feats["days_since_252d_high"] = (F.col("pos") + F.col("__hi_at.p")).cast("double")
-    feats["days_since_252d_low"] = (F.col("pos") - F.col("__lo_at.p")).cast("double")
+    feats["volume_cv_120"] = safe_ratio(F.col("__sdv"), F.col("__v120"))
+    feats["breakout_distance_60d"] = safe_change(c, F.col("__p60"))
+    feats["breakout_distance_120d"] = safe_change(c, F.col("__p120"))
+    feats["days_since_252d_high"] = F.col("__since_hi")
+    feats["days_since_252d_low"] = F.col("__since_lo")
     return df.select("ts_code", "trade_date", "pos", *[e.alias(n) for n, e in feats.items()])

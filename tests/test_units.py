@@ -15,6 +15,7 @@ from barloom.functions.ordering import exact_quantiles, take_first, with_global_
 from barloom.operators import bases, labels as lb, metrics as mt, miners as mn, pullback as pb, schema as sc, selection as sel, splits as sp
 from barloom.operators.asof import asof_join
 from barloom.operators.calendar import require_dates
+from barloom.operators.features import daily_vector
 from barloom.operators.history import history_window, history_windows, sequence_matrix
 from barloom.operators.review import apply_adjustments, ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
 from barloom.operators.upsert import upsert
@@ -562,3 +563,10 @@ def test_reviewed_phase1_brings_its_trend_along(spark, sf):
     joined = rank_phase1(apply_adjustments(plain.drop("phase1_rank"), b, config), 3, "adjusted_phase1_score")
     key = lambda df: {(r["anchor_date"], r["ts_code"]): (r["phase1_rank"], r["adjusted_phase1_score"], r["trend_data_date"]) for r in df.collect()}
     assert key(top) and key(top) == key(joined)
+
+
+def test_daily_vector_is_one_stage(spark, sf):
+    v = daily_vector(gappy(spark, sf))
+    assert plan_of(v).count("Window ") == 1
+    row = v.where("ts_code = 'S000001' and pos = 300").first()
+    assert row["history_bars"] == 300 and row["max_drawdown_252d"] <= 0 and 0 <= row["days_since_252d_high"] < 252
