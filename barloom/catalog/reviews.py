@@ -8,6 +8,7 @@ from barloom.catalog.core import oracle, query
 from barloom.catalog.timeseries import roll
 from barloom.catalog.views import PREDS_SQL, frac, pred
 from barloom.functions.cols import clamp, positive_change, safe_ratio, sample_id, sigmoid_boost, sigmoid_decay, sigmoid_rise, toward_neutral, scale_factor, weighted_mean
+from barloom.functions.rolling import per_entity
 from barloom.functions.windows import BARS
 from barloom.operators import review as rv
 from barloom.operators.history import locate
@@ -217,13 +218,18 @@ def _phase2(spark, sf):
 def chip_bars(spark, sf):
     """Bars with cost percentiles of the trailing closes; missing on every fifth day."""
     b = load_bars(spark, sf).withColumn("close", F.col("close") * F.lit(IRR))
-    frame = BARS.rows(-29, 0)
     ps = {"cost_5pct": 0.05, "cost_15pct": 0.15, "cost_50pct": 0.5, "cost_85pct": 0.85, "cost_95pct": 0.95}
+    shares, names = list(ps.values()), [*ps, "weight_avg", "winner_rate"]
+
+    def costs(s):
+        close = s["close"]
+        found = [*close.quantiles(30, shares), close.mean(30, min_periods=1), s["__up"].mean(30, min_periods=1)]
+        return dict(zip(names, found))
+
+    up = F.when(F.col("close") > F.col("open") * F.lit(IRR), 1.0).otherwise(0.0)
+    b = per_entity(b.select("ts_code", "trade_date", "close", up.alias("__up")), ["close", "__up"], names, costs)
     hole = F.dayofmonth("trade_date") % 5 == 0
-    q = F.percentile("close", F.array(*[F.lit(p) for p in ps.values()])).over(frame)
-    b = b.withColumns({"__q": q, "__m": F.avg("close").over(frame), "__w": F.avg(F.when(F.col("close") > F.col("open") * F.lit(IRR), 1.0).otherwise(0.0)).over(frame)})
-    return b.select("ts_code", "trade_date", "close", *[F.when(~hole, F.get("__q", F.lit(i))).alias(n) for i, n in enumerate(ps)],
-                    F.when(~hole, F.col("__m")).alias("weight_avg"), F.when(~hole, F.col("__w")).alias("winner_rate"))
+    return b.select("ts_code", "trade_date", "close", *[F.when(~hole, F.col(n)).alias(n) for n in names])
 
 
 CHIP_SQL = CAND_SQL + f""", sbars as (select * replace (close * {IRR}::double as close, open * {IRR}::double as open) from bars)""" + """, chip as (select ts_code, trade_date, close, row_number() over (partition by ts_code order by trade_date) as rn, """ + ", ".join(

@@ -12,8 +12,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.windows import BARS
@@ -109,6 +111,19 @@ class Series:
     def low(self, n: int, *, lag: int = 0, min_periods: int | None = None) -> "Series":
         return self._extreme(np.minimum, np.inf, n, lag, min_periods)
 
+    def quantiles(self, n: int, shares: list[float]) -> list["Series"]:
+        """Linear quantiles of the known values of the last ``n`` rows."""
+        size = len(self)
+        padded = np.concatenate([np.full(n - 1, np.inf), self.filled(np.inf)])
+        ordered = np.sort(np.lib.stride_tricks.sliding_window_view(padded, n), axis=1)
+        seen, rows, out = self.count(n), np.arange(size), []
+        for share in shares:
+            at = (np.maximum(seen, 1) - 1) * share
+            low, high = np.floor(at).astype(np.int64), np.ceil(at).astype(np.int64)
+            a, b = ordered[rows, low], ordered[rows, high]
+            out.append(Series(np.where((low == high) | (a == b), a, (high - at) * a + (at - low) * b), seen > 0))
+        return out
+
     def since_extreme(self, n: int, sign: int) -> "Series":
         """Rows since the highest (``sign`` 1) or lowest (-1) of the last ``n`` rows; ties go to the oldest."""
         x, at, span = sign * self.filled(-sign * np.inf), np.arange(len(self)), 1
@@ -204,3 +219,137 @@ def per_entity(bars: DataFrame, inputs: list[str], outputs: list[str], compute:
 
     placed = bars.withColumn(index, BARS.index()).sortWithinPartitions(BARS.entity, BARS.time)  # the window's own order
     return placed.mapInArrow(run, T.StructType(fields))
+
+
+class Lookup:
+    """Bars of some entities in date order, and the rows of the same entities that look bars up by their places."""
+
+    def __init__(self, bars: dict[str, Series], entity: np.ndarray, day: np.ndarray, row_entity: np.ndarray, row_days: dict[str, Series]) -> None:
+        self.bars, self.entity, self.row_entity, self.row_days = bars, entity, row_entity, row_days
+        self.day, self.key = day, self._key(entity, day)
+        #: place of the first bar of each row's entity
+        self.first = np.searchsorted(entity, row_entity, "left")
+
+    @staticmethod
+    def _key(entity: np.ndarray, day: np.ndarray) -> np.ndarray:
+        return (entity << 32) + (day.astype(np.int64) + (1 << 31))
+
+    def at(self, name: str) -> np.ndarray:
+        """Place of the entity's last bar on or before a day of each row; -1 without one."""
+        day = self.row_days[name]
+        place = np.searchsorted(self.key, self._key(self.row_entity, day.values), "right") - 1
+        return np.where(day.known & (place >= self.first), place, -1)
+
+    def get(self, series: Series, place: np.ndarray, inside: np.ndarray | bool = True) -> Series:
+        """Values at the given places; unknown where a place is not ``inside`` or negative."""
+        inside = inside & (place >= 0)
+        at = np.where(inside, place, 0)
+        if not len(series):
+            return Series(np.zeros(len(place)), np.zeros(len(place), bool))
+        return Series(np.where(inside, series.values[at], 0.0), inside & series.known[at])
+
+    def mean(self, series: Series, places: list[tuple[np.ndarray, np.ndarray]]) -> Series:
+        """Mean of the known values at the places that are inside, taken in the given order."""
+        total, seen = np.zeros(len(self.first)), np.zeros(len(self.first))
+        for place, inside in places:
+            x = self.get(series, place, inside)
+            total += x.filled(0.0)
+            seen += x.known
+        return Series(total / np.maximum(seen, 1.0), seen > 0)
+
+    def running(self, series: Series) -> tuple[Series, Series]:
+        """Sum and number of the known values of the entity up to each bar."""
+        total, known = np.empty(len(series)), np.ones(len(series), bool)
+        x = series.filled(0.0)
+        starts = np.flatnonzero(np.diff(self.entity, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(x)]):
+            np.cumsum(x[a:b], out=total[a:b])
+        seen = np.cumsum(series.known).astype(float)
+        before = np.concatenate([[0.0], seen])[np.searchsorted(self.entity, self.entity, "left")] if len(x) else seen
+        return Series(total, known), Series(seen - before, known)
+
+    def last_known(self, known: np.ndarray) -> np.ndarray:
+        """For each bar the place of the entity's last bar up to it that is ``known``; -1 without one."""
+        place = np.maximum.accumulate(np.where(known, np.arange(len(known)), -1)) if len(known) else np.zeros(0, int)
+        return np.where(place >= np.searchsorted(self.entity, self.entity, "left"), place, -1)
+
+    def extreme(self, series: Series, start: np.ndarray, end: np.ndarray, sign: int) -> Series:
+        """Highest (``sign`` 1) or lowest (-1) known value from place ``start`` to ``end``: two stretches of doubled length that overlap."""
+        out = np.full(len(start), -np.inf)
+        size = np.where(start >= 0, end - start + 1, 0)
+        level, span = sign * series.filled(-sign * np.inf), 1
+        while (wanted := size >= span).any():
+            now = wanted & (size < 2 * span)
+            out[now] = np.maximum(level[start[now]], level[end[now] - span + 1])
+            if len(level) <= span:
+                break
+            # the level's place i covers the bars i to i + 2 * span - 1
+            level, span = np.maximum(level[:-span], level[span:]), 2 * span
+        return Series(sign * out, out > -np.inf)
+
+
+def beside_bars(
+    rows: DataFrame, bars: DataFrame, days: dict[str, Column], inputs: list[str], outputs: list[str], compute: Callable[[Lookup], dict[str, Series]],
+    distinct: bool = False,
+) -> DataFrame:
+    """``rows`` with the double columns ``outputs`` that ``compute`` gets from the columns ``inputs`` of their entity's bars.
+
+    ``days`` are dates of a row by which it looks up bars.  Bars and rows move once, by entity; no join follows.  A task goes
+    from entity to entity as in ``per_entity``.  With ``distinct`` equal rows are returned once.
+    """
+    key, time = BARS.entity, BARS.time
+    fields = [*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in outputs]]
+    known = bars.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    b = known.select(F.col(key).alias("__e"), F.lit(False).alias("__r"), F.unix_date(F.col(time).cast("date")).alias("__t"), *[F.col(c).cast("double").alias(f"__b_{c}") for c in inputs])
+    mine = rows.select(F.col(key).alias("__e"), F.lit(True).alias("__r"), *[F.unix_date(d.cast("date")).alias(f"__d_{n}") for n, d in days.items()], F.struct(*rows.columns).alias("__l"))
+    both = b.unionByName(mine, allowMissingColumns=True)
+    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = both.repartition(parts, "__e").sortWithinPartitions("__e", "__r", "__t")
+    names, day_names = rows.columns, list(days)
+
+    def numbers(table: pa.Table, name: str) -> Series:
+        x = table.column(name).combine_chunks()
+        x = pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+        integer = pa.types.is_integer(x.type)
+        return Series(x.fill_null(0 if integer else 0.0).to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False))
+
+    def starts_of(table: pa.Table) -> np.ndarray:
+        code = pc.fill_null(table.column("__e"), "")
+        changed = pc.not_equal(code.slice(1), code.slice(0, len(code) - 1)).to_numpy()
+        return np.concatenate([[0], np.flatnonzero(changed) + 1])
+
+    def entities(table: pa.Table) -> pa.Table:
+        entity = np.zeros(table.num_rows, np.int64)
+        entity[starts_of(table)[1:]] = 1
+        entity = np.cumsum(entity)
+        is_row = table.column("__r").to_numpy()
+        bar_part, row_part = table.filter(pa.array(~is_row)), table.filter(pa.array(is_row))
+        mine_entity = entity[is_row]
+        if distinct and row_part.num_rows:
+            flat = row_part.column("__l").combine_chunks()
+            flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+            seen = pa.Table.from_arrays([*flat.flatten(), pa.array(np.arange(len(flat)))], [*names, "__i"])
+            first = np.sort(seen.group_by(names, use_threads=False).aggregate([("__i", "min")]).column("__i_min").to_numpy())
+            row_part, mine_entity = row_part.take(pa.array(first)), mine_entity[first]
+        look = Lookup(
+            {c: numbers(bar_part, f"__b_{c}") for c in inputs}, entity[~is_row], numbers(bar_part, "__t").values, mine_entity,
+            {n: numbers(row_part, f"__d_{n}") for n in day_names},
+        )
+        with np.errstate(all="ignore"):
+            found = compute(look)
+        flat = row_part.column("__l").combine_chunks()
+        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+        return pa.Table.from_arrays([*flat.flatten(), *[pa.array(found[n].values.astype(float), pa.float64(), mask=~found[n].known) for n in outputs]], [*names, *outputs])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows > 1 and (starts := starts_of(held))[-1] > 0:
+                yield from entities(held.slice(0, starts[-1])).to_batches()
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from entities(held).to_batches()
+
+    return placed.mapInArrow(run, T.StructType(fields))

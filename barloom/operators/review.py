@@ -28,9 +28,10 @@ from barloom.functions.cols import (
     sigmoid_rise,
     toward_neutral,
 )
+from barloom.functions.rolling import Lookup, Series, beside_bars
 from barloom.functions.windows import BARS
 from barloom.operators.asof import asof_join
-from barloom.operators.history import bar_index, block_bars, block_start, history_window, locate
+from barloom.operators.history import block_bars, block_start, history_window, locate
 
 KEYS = ["sample_id", "ts_code", "asof_date"]
 
@@ -280,55 +281,51 @@ def anchor_of(df: DataFrame, preferred: str) -> Column:
     return F.coalesce(*[F.col(c).cast("date") for c in names]) if names else F.lit(None).cast("date")
 
 
-def _positions(candidates: DataFrame, bars: DataFrame, anchor: Column) -> DataFrame:
-    """Candidate keys with the positions of the as-of bar and of the last bar on or before the anchor."""
-    idx = bar_index(bars).select("ts_code", F.col("trade_date").alias("__d"), F.col("rn").alias("pos"))
-    keyed = candidates.select(*KEYS, anchor.alias("__anchor")).distinct()
-    at = asof_join(keyed.withColumn("__d", F.col("asof_date")), idx, "__d", "ts_code", bounded=True).drop("__d")
-    anchored = at.withColumn("__d", F.least("__anchor", "asof_date"))
-    right = idx.withColumnRenamed("pos", "apos")
-    return asof_join(anchored, right, "__d", "ts_code", bounded=True).drop("__d")
-
-
-def pullback_metrics(candidates: DataFrame, bars: DataFrame, p: PullbackSpan = PullbackSpan()) -> DataFrame:
+def pullback_metrics(candidates: DataFrame, bars: DataFrame, p: PullbackSpan = PullbackSpan(), *, attach: bool = False) -> DataFrame:
     """Volume and range behaviour between a candidate's anchor bar and its as-of bar.
 
-    A candidate meets the bars from ``pre_window`` before its anchor to its as-of bar on blocks of bars; everything
-    else is one grouped aggregate.
+    A candidate looks up its two bars in its entity's bars and takes the bars before, after and between them by their places.
+    With ``attach`` every candidate is returned with its metrics, else one row per key and anchor that has any.
     """
-    pos = _positions(candidates, bars, anchor_of(candidates, p.anchor_date_col)).where("apos < pos")
-    block = 64
-    spans = pos.withColumn("__b", F.explode(F.sequence(F.floor((F.greatest(F.col("apos") - p.pre_window, F.lit(1)) - 1) / block), F.floor((F.col("pos") - 1) / block))))
-    b = bar_index(bars).withColumn("__prev", BARS.lag("close"))
-    b = b.select("ts_code", F.floor((F.col("rn") - 1) / block).alias("__b"), "rn", "high", "low", "close", "vol", "__prev")
-    j = spans.join(b, ["ts_code", "__b"]).where((F.col("rn") >= F.col("apos") - p.pre_window) & (F.col("rn") <= F.col("pos")))
-    rn, a, z = F.col("rn"), F.col("apos"), F.col("pos")
-    pre = (rn >= a - p.pre_window) & (rn < a)
-    burst = (rn >= a) & (rn < a + p.burst_window)
-    pull = rn > a
-    tail = pull & (rn > z - p.pullback_window)
-    recent = pull & (rn > z - p.recent_window)
-    down, up = tail & holds(F.col("close") < F.col("__prev")), tail & holds(F.col("close") >= F.col("__prev"))
-    rng = ratio(F.col("high") - F.col("low"), F.col("close"))
-    avg = lambda cond, c: F.avg(F.when(cond, c))
-    one = lambda cond, c: F.max(F.when(cond, F.col(c)))
-    g = j.groupBy(*KEYS, F.col("__anchor").alias("phase2_anchor_date"), (z - a).alias("phase2_days_since_anchor")).agg(
-        avg(pre, F.col("vol")).alias("phase2_pre_avg_volume"),
-        avg(burst, F.col("vol")).alias("phase2_burst_avg_volume"),
-        avg(tail, F.col("vol")).alias("phase2_pullback_avg_volume"),
-        avg(recent, F.col("vol")).alias("phase2_recent_avg_volume"),
-        avg(down, F.col("vol")).alias("__down"),
-        avg(up, F.col("vol")).alias("__up"),
-        one(rn == a, "high").alias("phase2_anchor_high"),
-        one(rn == a, "low").alias("phase2_anchor_low"),
-        one(rn == a, "close").alias("phase2_anchor_close"),
-        one(rn >= a, "high").alias("phase2_post_anchor_high"),
-        F.min(F.when(pull, F.col("low"))).alias("phase2_pullback_low"),
-        one(rn == z, "close").alias("phase2_current_close"),
-        avg(tail, rng).alias("phase2_pullback_avg_range_pct"),
-        one(recent, "high").alias("__rh"),
-        F.min(F.when(recent, F.col("low"))).alias("__rl"),
-    )
+    anchor = anchor_of(candidates, p.anchor_date_col)
+    rows = candidates.withColumn("phase2_anchor_date", anchor) if attach else candidates.select(*KEYS, anchor.alias("phase2_anchor_date"))
+    days = {"now": F.col("asof_date"), "anchor": F.when(F.col("asof_date").isNotNull(), F.least("phase2_anchor_date", "asof_date"))}
+    raw = [
+        "phase2_days_since_anchor", "phase2_pre_avg_volume", "phase2_burst_avg_volume", "phase2_pullback_avg_volume", "phase2_recent_avg_volume",
+        "__down", "__up", "phase2_anchor_high", "phase2_anchor_low", "phase2_anchor_close", "phase2_post_anchor_high", "phase2_pullback_low",
+        "phase2_current_close", "phase2_pullback_avg_range_pct", "__rh", "__rl",
+    ]
+
+    pre_window, burst_window, pullback_window, recent_window = p.pre_window, p.burst_window, p.pullback_window, p.recent_window
+
+    def spans(x: Lookup) -> dict[str, Series]:
+        high, low, close, vol = (x.bars[n] for n in ("high", "low", "close", "vol"))
+        z, a = x.at("now"), x.at("anchor")
+        some = (a >= 0) & (a < z)
+        a, z = np.where(some, a, -1), np.where(some, z, -1)
+        lag = close.lag(1)
+        before = Series(lag.values, lag.known & (np.diff(x.entity, prepend=-1) == 0))
+        both = close.known & before.known
+        down = Series(vol.values, vol.known & both & (close.values < before.values))
+        up = Series(vol.values, vol.known & both & (close.values >= before.values))
+        share = Series((high.values - low.values) / np.where(close.values == 0, 1.0, close.values), high.known & low.known & close.known & (close.values != 0))
+        last = lambda n: [(z - k, some & (z - k > a)) for k in range(n - 1, -1, -1)]
+        pre = [(a - k, some & (a - k >= x.first)) for k in range(pre_window, 0, -1)]
+        burst = [(a + k, some & (a + k <= z)) for k in range(burst_window)]
+        tail, recent = last(pullback_window), last(recent_window)
+        after = np.where(some, a + 1, -1)
+        late = np.where(some, np.maximum(a, z - recent_window) + 1, -1)
+        found = [
+            Series((z - a).astype(float), some), x.mean(vol, pre), x.mean(vol, burst), x.mean(vol, tail), x.mean(vol, recent), x.mean(down, tail), x.mean(up, tail),
+            x.get(high, a), x.get(low, a), x.get(close, a), x.extreme(high, a, z, 1), x.extreme(low, after, z, -1), x.get(close, z), x.mean(share, tail),
+            x.extreme(high, late, z, 1), x.extreme(low, late, z, -1),
+        ]
+        return dict(zip(raw, found))
+
+    g = beside_bars(rows, bars, days, ["high", "low", "close", "vol"], raw, spans, distinct=not attach)
+    g = (g if attach else g.where("phase2_days_since_anchor is not null")).withColumn("phase2_days_since_anchor", F.col("phase2_days_since_anchor").cast("int"))
+    if attach:
+        g = g.withColumn("phase2_anchor_date", F.when(F.col("phase2_days_since_anchor").isNotNull(), F.col("phase2_anchor_date")))
     c = F.col
     anchor_range = ratio(c("phase2_anchor_high") - c("phase2_anchor_low"), c("phase2_anchor_close"))
     return g.withColumns(
@@ -352,71 +349,72 @@ def ensure_pullback_metrics(df: DataFrame, bars: DataFrame, p: PullbackSpan = Pu
     """Compute the pullback metrics once; a frame that has them is returned as it is."""
     if "phase2_pullback_volume_vs_pre" in df.columns:
         return df
-    return df.join(pullback_metrics(df, bars, p), KEYS, "left")
+    return pullback_metrics(df, bars, p, attach=True)
 
 
 CHIP_COLUMNS = ["cost_5pct", "cost_15pct", "cost_50pct", "cost_85pct", "cost_95pct", "weight_avg", "winner_rate"]
 
 
 def chip_structure(
-    candidates: DataFrame, bars: DataFrame, pre_window: int = 60, near_pct: float = 0.03, anchor_date_col: str = "anchor_date"
+    candidates: DataFrame, bars: DataFrame, pre_window: int = 60, near_pct: float = 0.03, anchor_date_col: str = "anchor_date", *, attach: bool = False
 ) -> DataFrame:
     """Cost-distribution fields of the latest bar that has any, and their means before and after the anchor.
 
-    Running sums per entity give both means by difference, so a candidate needs a few bars and not its whole span.
+    Running sums per entity give both means by difference, so a candidate looks up a few bars and not its whole span.
+    With ``attach`` every candidate is returned with its fields, else one row per key and anchor.
     """
     anchor = F.col(anchor_date_col).cast("date") if anchor_date_col in candidates.columns else F.lit(None).cast("date")
-    run = {f"__s_{c}": F.coalesce(F.sum(c).over(BARS.upto), F.lit(0.0)) for c in ("weight_avg", "winner_rate")}
-    run |= {f"__k_{c}": F.count(c).over(BARS.upto) for c in ("weight_avg", "winner_rate")}
-    some = F.coalesce(F.col("weight_avg"), F.col("cost_50pct"), F.col("winner_rate")).isNotNull()
-    snap = F.struct("trade_date", *CHIP_COLUMNS)
-    last_chip = F.last(F.when(some, snap), ignorenulls=True).over(BARS.upto)
-    b = bar_index(bars).withColumns({**run, "__chip": F.coalesce(last_chip, snap)})
-    names = list(run)
-    idx = b.select("ts_code", F.col("trade_date").alias("__d"), "rn", "close", "__chip", *names)
+    rows = candidates.withColumn("chip_anchor_date", anchor) if attach else candidates.select(*KEYS, anchor.alias("chip_anchor_date"))
     # days before the anchor end one day earlier
-    keyed = candidates.select(*KEYS, anchor.alias("chip_anchor_date")).distinct()
-    now = asof_join(keyed.withColumn("__d", F.col("asof_date")), idx, "__d", "ts_code", bounded=True).drop("__d")
-    before = idx.select("ts_code", "__d", F.col("rn").alias("__arn"), *[F.col(n).alias(f"a{n}") for n in names])
-    now = asof_join(now.withColumn("__d", F.date_sub("chip_anchor_date", 1)), before, "__d", "ts_code", bounded=True).drop("__d")
-    start = b.select("ts_code", "rn", *[F.col(n).alias(f"p{n}") for n in names])
-    # sums up to just before the pre-anchor window, or before the trailing window when there is no anchor
-    now = now.withColumnRenamed("rn", "__rn").withColumn("rn", F.when(F.col("chip_anchor_date").isNotNull(), F.col("__arn") - pre_window).otherwise(F.col("__rn") - pre_window))
-    now = now.join(start, ["ts_code", "rn"], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    has = F.col("chip_anchor_date").isNotNull()
-
-    def means(col_name: str) -> tuple[Column, Column]:
-        s, k = f"__s_{col_name}", f"__k_{col_name}"
-        pre_n = z(f"a{k}") - z(f"p{k}")
-        pre_mean = F.when(has & (pre_n > 0), ratio(z(f"a{s}") - z(f"p{s}"), pre_n))
-        base_s, base_k = F.when(has, z(f"a{s}")).otherwise(z(f"p{s}")), F.when(has, z(f"a{k}")).otherwise(z(f"p{k}"))
-        post_n = F.col(k) - base_k
-        return pre_mean, F.when(post_n > 0, ratio(F.col(s) - base_s, post_n))
-
-    (pre_w, post_w), (pre_r, post_r) = means("weight_avg"), means("winner_rate")
-    c, px = (lambda n: F.col(f"__chip.{n}")), F.col("close")
-    near = lambda v: holds((v >= px * (1.0 - near_pct)) & (v <= px * (1.0 + near_pct)))
+    days = {"now": F.col("asof_date"), "before": F.date_sub("chip_anchor_date", 1)}
+    raw = [
+        "__day", "chip_current_close", *[f"chip_{n}" for n in CHIP_COLUMNS], "chip_price_vs_cost_50", "chip_price_vs_cost_85", "chip_price_vs_cost_95",
+        "chip_price_vs_weight_avg", "chip_cost_band_width_15_85", "chip_cost_band_width_5_95", "chip_pre_weight_avg_mean", "chip_post_weight_avg_mean",
+        "chip_center_shift", "chip_pre_winner_rate_mean", "chip_post_winner_rate_mean", "chip_winner_rate_change", "__near_cost", "__near_weight",
+    ]
+
+    def fields(x: Lookup) -> dict[str, Series]:
+        z, a, has = x.at("now"), x.at("before"), x.row_days["before"].known
+        some = x.bars["weight_avg"].known | x.bars["cost_50pct"].known | x.bars["winner_rate"].known
+        latest = x.get(Series(x.last_known(some).astype(float), np.ones(len(some), bool)), z).values.astype(np.int64)
+        chip = np.where((z >= 0) & (latest >= 0), latest, z)
+        # sums up to just before the pre-anchor window, or before the trailing window when there is no anchor
+        base = np.where(has, a, z)
+        p = np.where((base >= 0) & (base - pre_window >= x.first), base - pre_window, -1)
+
+        def means(name: str) -> tuple[Series, Series]:
+            total, seen = x.running(x.bars[name])
+            now_s, now_k, a_s, a_k, p_s, p_k = (x.get(s, at).filled(0.0) for at in (z, a, p) for s in (total, seen))
+            n = a_k - p_k
+            pre = Series((a_s - p_s) / np.where(n > 0, n, 1.0), has & (n > 0))
+            n = now_k - np.where(has, a_k, p_k)
+            return pre, Series((now_s - np.where(has, a_s, p_s)) / np.where(n > 0, n, 1.0), (z >= 0) & (n > 0))
+
+        def moved(new: Series, old: Series) -> Series:
+            known = new.known & old.known & (old.values != 0)
+            return Series(new.values / np.where(known, old.values, 1.0) - 1.0, known)
+
+        def near(v: Series) -> Series:
+            inside = (v.values >= px.values * (1.0 - near_pct)) & (v.values <= px.values * (1.0 + near_pct))
+            return Series((inside & v.known & px.known).astype(float), np.ones(len(z), bool))
+
+        px, c = x.get(x.bars["close"], z), {n: x.get(x.bars[n], chip) for n in CHIP_COLUMNS}
+        (pre_w, post_w), (pre_r, post_r) = means("weight_avg"), means("winner_rate")
+        day = x.get(Series(x.day.astype(float), np.ones(len(some), bool)), chip)
+        found = [
+            day, px, *c.values(), *[moved(px, c[n]) for n in ("cost_50pct", "cost_85pct", "cost_95pct", "weight_avg")],
+            moved(c["cost_85pct"], c["cost_15pct"]), moved(c["cost_95pct"], c["cost_5pct"]), pre_w, post_w, moved(post_w, pre_w),
+            pre_r, post_r, Series(post_r.values - pre_r.values, pre_r.known & post_r.known), near(c["cost_50pct"]), near(c["weight_avg"]),
+        ]
+        return dict(zip(raw, found))
+
+    now = beside_bars(rows, bars, days, ["close", *CHIP_COLUMNS], raw, fields, distinct=not attach)
     return now.select(
-        *KEYS,
-        "chip_anchor_date",
-        c("trade_date").alias("chip_data_date"),
-        px.alias("chip_current_close"),
-        *[c(n).alias(f"chip_{n}") for n in CHIP_COLUMNS],
-        change(px, non_zero(c("cost_50pct"))).alias("chip_price_vs_cost_50"),
-        change(px, non_zero(c("cost_85pct"))).alias("chip_price_vs_cost_85"),
-        change(px, non_zero(c("cost_95pct"))).alias("chip_price_vs_cost_95"),
-        change(px, non_zero(c("weight_avg"))).alias("chip_price_vs_weight_avg"),
-        change(c("cost_85pct"), non_zero(c("cost_15pct"))).alias("chip_cost_band_width_15_85"),
-        change(c("cost_95pct"), non_zero(c("cost_5pct"))).alias("chip_cost_band_width_5_95"),
-        pre_w.alias("chip_pre_weight_avg_mean"),
-        post_w.alias("chip_post_weight_avg_mean"),
-        change(post_w, non_zero(pre_w)).alias("chip_center_shift"),
-        pre_r.alias("chip_pre_winner_rate_mean"),
-        post_r.alias("chip_post_winner_rate_mean"),
-        (post_r - pre_r).alias("chip_winner_rate_change"),
-        near(c("cost_50pct")).alias("chip_near_price_has_cost_50"),
-        near(c("weight_avg")).alias("chip_near_price_has_weight_avg"),
+        *rows.columns,
+        F.date_from_unix_date(F.col("__day").cast("int")).alias("chip_data_date"),
+        *raw[1:-2],
+        (F.col("__near_cost") == 1).alias("chip_near_price_has_cost_50"),
+        (F.col("__near_weight") == 1).alias("chip_near_price_has_weight_avg"),
     )
 
 
@@ -700,7 +698,7 @@ def apply_adjustments(candidates: DataFrame, bars: DataFrame, config: dict) -> D
             df = attach_overhang(df, bars, s.get("lookback", 150), s.get("n_bins", 50))
         elif name == "chip_structure":
             col = s.get("anchor_date_col", "anchor_date")
-            df = df.join(chip_structure(df, bars, s.get("pre_window", 60), s.get("near_pct", 0.03), col), KEYS, "left")
+            df = chip_structure(df, bars, s.get("pre_window", 60), s.get("near_pct", 0.03), col, attach=True)
         elif name == "midlong_trend":
             df = ensure_trend(df, bars, trend_of(s))
         elif name.startswith("phase2_"):

@@ -17,7 +17,7 @@ from barloom.operators.asof import asof_join
 from barloom.operators.calendar import require_dates
 from barloom.operators.features import daily_vector
 from barloom.operators.history import history_window, history_windows, sequence_matrix
-from barloom.operators.review import apply_adjustments, ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
+from barloom.operators.review import CHIP_COLUMNS, apply_adjustments, ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
 from barloom.operators.upsert import upsert
 from barloom.plans import mining, training
 from barloom.plans.datasets import features_for_dates
@@ -570,3 +570,21 @@ def test_daily_vector_is_one_stage(spark, sf):
     assert plan_of(v).count("Window ") == 1
     row = v.where("ts_code = 'S000001' and pos = 300").first()
     assert row["history_bars"] == 300 and row["max_drawdown_252d"] <= 0 and 0 <= row["days_since_252d_high"] < 252
+
+
+@pytest.mark.parametrize("stage, anchor, own", [("chip_structure", "chip_anchor_date", "chip_pre_weight_avg_mean"), ("phase2_volume_hold", "phase2_anchor_date", "phase2_pre_avg_volume")])
+def test_anchored_metrics_come_with_the_candidate(spark, stage, anchor, own):
+    """A key with two anchors keeps its two rows, each with its own figures, and candidates are not joined again."""
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)
+    cost = ", ".join(f"{c} double" for c in CHIP_COLUMNS)
+    rows = [(code, day(i), 10.0 + i, 11.0 + i, 9.0 + i, 10.0 + i, float(100 + i * i), *[float(i)] * 7) for code in ("A", "B") for i in range(30)]
+    bars = spark.createDataFrame(rows, f"ts_code string, trade_date date, open double, high double, low double, close double, vol double, {cost}")
+    found = [("a", "A", day(25), day(5)), ("a", "A", day(25), day(15)), ("b", "B", day(25), None), ("c", "C", day(25), day(5))]
+    cand = spark.createDataFrame(found, "sample_id string, ts_code string, asof_date date, best_phase1_date date").withColumn("phase2_score_mean", F.lit(1.0))
+    out = apply_adjustments(cand, bars, {stage: {"enabled": True, "anchor_date_col": "best_phase1_date"}})
+    got = sorted((r["sample_id"], str(r["best_phase1_date"]), str(r[anchor]), r[own]) for r in out.collect())
+    mean = lambda f, n: sum(map(f, n)) / len(n)
+    first, second = [(float, range(0, 5)), (float, range(0, 15))] if stage == "chip_structure" else [(lambda i: 100.0 + i * i, range(0, 5)), (lambda i: 100.0 + i * i, range(0, 15))]
+    late = str(day(5)) if stage == "chip_structure" else "None"
+    assert got == [("a", str(day(5)), str(day(5)), mean(*first)), ("a", str(day(15)), str(day(15)), mean(*second)), ("b", "None", "None", None), ("c", str(day(5)), late, None)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
