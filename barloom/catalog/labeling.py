@@ -17,12 +17,12 @@ from barloom.sources.universe import dense_dates
 def positive_candidates(spark, sf):
     """The rare highest scores over all bars as candidates: lower-case codes, repeated rows, some without confidence."""
     p = pred(spark, sf, 7.13).where("score >= 0.994")
-    base = p.select(
-        "sample_id", F.lower("ts_code").alias("ts_code"), F.col("asof_date").cast("string").alias("asof_date"), F.col("score").cast("string").alias("candidate_score"),
-        F.when(F.col("score") > 0.998, F.lit("0.8")).alias("confidence"), F.lit("long_base_recent_breakout").alias("pattern_stage"),
-    )
-    twin = base.withColumns({"sample_id": F.concat("sample_id", F.lit("b")), "candidate_score": F.lit("0.1"), "confidence": F.lit("0.2")})
-    return base.unionByName(twin)
+    confidence = F.when(F.col("score") > 0.998, F.lit("0.8"))
+    own = F.struct("sample_id", F.col("score").cast("string").alias("candidate_score"), confidence.alias("confidence"))
+    twin = F.struct(F.concat("sample_id", F.lit("b")).alias("sample_id"), F.lit("0.1").alias("candidate_score"), F.lit("0.2").alias("confidence"))
+    # both rows of a bar at once: a union would go through the bars twice
+    both = p.select(F.lower("ts_code").alias("ts_code"), F.col("asof_date").cast("string").alias("asof_date"), F.explode(F.array(own, twin)).alias("r"))
+    return both.select("r.sample_id", "ts_code", "asof_date", "r.candidate_score", "r.confidence", F.lit("long_base_recent_breakout").alias("pattern_stage"))
 
 
 POS_SQL = PREDS_SQL + """, posl as (select concat(ts_code, '_', cast(asof_date as varchar), '_long_base_breakout_pos') as sample_id, ts_code, asof_date, 1 as label, 'rule_long_base_breakout' as label_source,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from barloom.functions.cols import lenient_date
 from barloom.functions.ordering import take_first
+from barloom.functions.rolling import Series, per_entity
 from barloom.functions.windows import BARS
 from barloom.operators.schema import first_per_key, require_columns
 from barloom.operators.selection import hash_order
@@ -78,13 +81,20 @@ def usable_bars(bars: DataFrame, min_rows: int = 120) -> DataFrame:
     return b.withColumn("__n", BARS.bars()).where(F.col("__n") >= min_rows).drop("__n")
 
 
+def _with_frames(bars: DataFrame, names: list[str], frames) -> DataFrame:
+    """Bars with their position ``rn`` and frames of the close."""
+    return per_entity(bars.select("ts_code", "trade_date", "close", BARS.index().alias("rn")), ["close"], names, frames)
+
+
 def downtrend_pool(bars: DataFrame) -> DataFrame:
     """Bars in a continuing downtrend, from the 253rd bar on."""
     c = F.col("close")
-    b = bars.withColumns(
-        {"rn": BARS.index(), "m60": BARS.mean("close", 60), "m120": BARS.mean("close", 120), "top60": BARS.high("close", 60, lag=1), "r120": BARS.pct("close", 120)}
-    )
-    b = b.withColumn("m60_back", BARS.lag("m60", 20))
+
+    def frames(x: dict[str, Series]) -> dict[str, Series]:
+        m60 = x["close"].mean(60)
+        return {"m60": m60, "m120": x["close"].mean(120), "top60": x["close"].high(60, lag=1), "r120": x["close"].change(120), "m60_back": m60.lag(20)}
+
+    b = _with_frames(bars, ["m60", "m120", "top60", "r120", "m60_back"], frames)
     falling = (F.col("m60") < F.col("m120")) | (F.col("m60") < F.col("m60_back"))
     return b.where((F.col("rn") >= 253) & (c < F.col("m60")) & falling & (F.col("r120") < -0.15) & (c < F.col("top60"))).select(
         "ts_code", F.col("trade_date").alias("asof_date")
@@ -94,18 +104,20 @@ def downtrend_pool(bars: DataFrame) -> DataFrame:
 def weak_base_pool(bars: DataFrame) -> DataFrame:
     """Bars in a quiet base below resistance, from the 505th bar on."""
     c = F.col("close")
-    b = bars.withColumns(
-        {
-            "rn": BARS.index(),
-            "hi": BARS.high("close", 252, lag=1),
-            "lo": BARS.low("close", 252, lag=1),
-            "sd": BARS.std("close", 120, sample=True),
-            "mu": BARS.mean("close", 120),
-            "h120": BARS.high("close", 120),
-            "l120": BARS.low("close", 120),
-            "res": BARS.high("close", 120, lag=1),
+
+    def frames(x: dict[str, Series]) -> dict[str, Series]:
+        close = x["close"]
+        return {
+            "hi": close.high(252, lag=1),
+            "lo": close.low(252, lag=1),
+            "sd": close.std(120, sample=True),
+            "mu": close.mean(120),
+            "h120": close.high(120),
+            "l120": close.low(120),
+            "res": close.high(120, lag=1),
         }
-    )
+
+    b = _with_frames(bars, ["hi", "lo", "sd", "mu", "h120", "l120", "res"], frames)
     quiet = (F.col("sd") / F.col("mu") <= 0.12) | ((F.col("h120") - F.col("l120")) / F.col("mu") <= 0.35)
     keep = (
         (F.col("rn") >= 505)
@@ -157,15 +169,28 @@ def accept(pool: DataFrame, taken: DataFrame, target: int, max_per_symbol: int,
     queue = pool.groupBy("ts_code").agg(F.sort_array(F.collect_set(F.struct(h.alias("h"), F.unix_date("asof_date").alias("d")))).alias("q"))
     before = taken.groupBy("ts_code").agg(F.collect_list(F.unix_date("asof_date")).alias("t"))
     both = queue.join(before, "ts_code", "left")
-    start = F.coalesce("t", F.expr("cast(array() as array<int>)"))
-    ends = F.aggregate(
-        "q",
-        start,
-        lambda acc, x: F.when(
-            (F.size(acc) >= max_per_symbol) | F.exists(acc, lambda d: (d == x["d"]) | (F.abs(d - x["d"]) < min_gap)), acc
-        ).otherwise(F.array_append(acc, x["d"])),
-    )
-    new = both.withColumn("new", F.array_except(ends, start)).select("ts_code", F.explode("new").alias("d"))
+    empty = F.expr("cast(array() as array<int>)")
+    walks = both.select("ts_code", F.transform("q", lambda x: x["d"]).alias("q"), F.coalesce("t", empty).alias("t"))
+    apart = max(min_gap, 1)  # a date is never taken twice
+
+    def walk(queue: list[int], before: list[int]) -> list[int]:
+        taken, new = sorted(before), []
+        for d in queue:
+            if len(taken) >= max_per_symbol:
+                break
+            i = bisect.bisect_left(taken, d)
+            if (i < len(taken) and taken[i] - d < apart) or (i > 0 and d - taken[i - 1] < apart):
+                continue
+            taken.insert(i, d)
+            new.append(d)
+        return new
+
+    def run(batches):
+        for batch in batches:
+            new = [walk(q, t) for q, t in zip(batch.column("q").to_pylist(), batch.column("t").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("ts_code"), pa.array(new, pa.list_(pa.int32()))], ["ts_code", "new"])
+
+    new = walks.mapInArrow(run, "ts_code string, new array<int>").select("ts_code", F.explode("new").alias("d"))
     dated = new.select("ts_code", F.date_from_unix_date("d").alias("asof_date")).withColumn("__h", hash_order(seed, "ts_code", "asof_date"))
     return take_first(dated, [F.asc("__h"), F.asc("ts_code"), F.asc("asof_date")], target).drop("__h")
 

@@ -588,3 +588,23 @@ def test_anchored_metrics_come_with_the_candidate(spark, stage, anchor, own):
     late = str(day(5)) if stage == "chip_structure" else "None"
     assert got == [("a", str(day(5)), str(day(5)), mean(*first)), ("a", str(day(15)), str(day(15)), mean(*second)), ("b", "None", "None", None), ("c", str(day(5)), late, None)]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_pools_take_no_sliding_frame_in_spark(spark, sf):
+    """Frames of up to 252 bars are taken in numpy, and the walk over a symbol's queue equals its plain statement."""
+    for pool in (lb.downtrend_pool, lb.weak_base_pool):
+        plan = pool(load_bars(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(f"(RowFrame, -{n}, " in plan for n in (59, 119, 60, 120, 252))
+    rng = random.Random(5)
+    rows = [(code, day(i)) for code in ("A", "B", "C") for i in rng.sample(range(400), 150)]
+    taken = [("A", day(i)) for i in (10, 200)]
+    pool = spark.createDataFrame(rows, "ts_code string, asof_date date")
+    got = {(r["ts_code"], r["asof_date"]) for r in lb.accept(pool, spark.createDataFrame(taken, pool.schema), 1000, 9, 12, 42).collect()}
+    order = pool.withColumn("h", sel.hash_order(42, "ts_code", "asof_date")).orderBy("ts_code", "h").collect()
+    want, held = set(), {c: [d for k, d in taken if k == c] for c in "ABC"}
+    for r in order:
+        mine = held[r["ts_code"]]
+        if len(mine) < 9 and all(abs((r["asof_date"] - d).days) >= 12 for d in mine):
+            mine.append(r["asof_date"])
+            want.add((r["ts_code"], r["asof_date"]))
+    assert got == want and len(want) > 20
