@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.cols import holds, lenient_date
 from barloom.operators.schema import require_columns
+from barloom.sources.bars import by_entity
 from barloom.sources.normalize import CN_COLUMNS, increment_rows
 
 US_REQUIRED = ["symbol", "trade_date", "open", "high", "low", "close", "volume"]
@@ -74,7 +83,17 @@ def us_export_summary(prices: DataFrame, min_rows: int = 500) -> DataFrame:
 
 
 def write_by_symbol(df: DataFrame, path: str, *, overwrite: bool = False, key: str = "ts_code") -> None:
-    """One folder per symbol, rows in date order; refuses an existing target unless told to overwrite."""
+    """One folder per symbol, rows in date order; refuses an existing target unless told to overwrite.
+
+    In a folder of the machine or a mounted one the tasks write the files: there Hadoop starts a process for every folder,
+    file and checksum that it makes, and moves each folder when the job ends.  Elsewhere Spark's writer does it.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":
+        _write_in_tasks(df, fs, fs.makeQualified(target), overwrite, key)
+        return
     (
         df.repartition(key)
         .sortWithinPartitions(key, "trade_date")
@@ -84,6 +103,65 @@ def write_by_symbol(df: DataFrame, path: str, *, overwrite: bool = False, key: s
     )
 
 
+_NAME = "__folder"
+
+
+def _write_in_tasks(df: DataFrame, fs, target, overwrite: bool, key: str) -> None:
+    """The files are written beside the target and get there together, by one rename, when all are done."""
+    if fs.exists(target) and not overwrite:
+        raise AnalysisException(f"path exists already: {target}")
+    jvm = df.sparkSession.sparkContext._jvm
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    root = beside.toUri().getPath()
+
+    def folder(name: str | None) -> str:
+        # the names that Spark gives to partitions
+        text = re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", name or "")
+        return os.path.join(root, f"{key}={text or '__HIVE_DEFAULT_PARTITION__'}")
+
+    def run(batches):
+        name, writer, temp = None, None, None
+        try:
+            for batch in batches:
+                names = batch.column(_NAME).to_numpy(zero_copy_only=False)
+                body = batch.drop_columns([_NAME])
+                edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+                for a, b in zip(edges, edges[1:]):
+                    if a == b:
+                        continue
+                    if writer is None or names[a] != name:
+                        if writer is not None:
+                            writer.close()
+                            os.replace(temp, os.path.join(folder(name), "part-0.parquet"))
+                        name = names[a]
+                        os.makedirs(folder(name), exist_ok=True)
+                        # a second attempt of the task writes the same rows and puts them in the same place
+                        temp = os.path.join(folder(name), f".{uuid.uuid4().hex}")
+                        writer = pq.ParquetWriter(temp, body.schema)
+                        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["files"])
+                    writer.write_batch(body.slice(a, b - a))
+            if writer is not None:
+                writer.close()
+                os.replace(temp, os.path.join(folder(name), "part-0.parquet"))
+                temp = None
+        finally:
+            if temp and os.path.exists(temp):
+                os.remove(temp)
+
+    try:
+        fs.mkdirs(beside)
+        named = F.col(key).cast("string")
+        placed = by_entity(df.withColumn(_NAME, F.when(named != "", named)), _NAME)
+        placed.sortWithinPartitions(_NAME, "trade_date").select(_NAME, *[c for c in df.columns if c != key]).mapInArrow(run, "files bigint").agg(F.sum("files")).first()
+        fs.create(jvm.org.apache.hadoop.fs.Path(beside, "_SUCCESS")).close()
+        if overwrite:
+            fs.delete(target, True)
+        if not fs.rename(beside, target):
+            raise OSError(f"could not move {beside} to {target}")
+    finally:
+        fs.delete(beside, True)
+
+
 def export_cn_by_symbol(
     df: DataFrame, order, path: str, *, overwrite: bool = False, columns: list[str] = CN_COLUMNS
 ) -> None:

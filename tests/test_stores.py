@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from barloom.catalog.stores import features_as_scores, fragile_gaps, mixed_payloads
@@ -15,7 +16,7 @@ from barloom.plans import training as tr
 from barloom.plans.mining import run_user_miner, user_miner
 from barloom.plans.ranges import RangeStore, run_range
 from barloom.catalog.modeling import GAP_SCHEMA
-from barloom.sources import chart
+from barloom.sources import chart, sinks
 from barloom.sources.bars import load_bars
 from barloom.sources.dated import DatedStore, path_exists
 from barloom.sources.universe import dense_dates
@@ -248,3 +249,41 @@ def test_year_round_robin_with_a_large_limit(spark):
 
 def test_paths_are_found(spark, tmp_path):
     assert path_exists(spark, str(tmp_path)) and not path_exists(spark, str(tmp_path / "no"))
+
+
+@pytest.mark.parametrize("key", ["code", "n"])
+def test_symbol_folders_are_spark_partitions(spark, tmp_path, key):
+    """Names, types and rows as Spark's partitioned writer leaves them; the tasks write, so no job of Hadoop moves files."""
+    codes = ["A.B", "x/y:z", "50%", "a=b", "ü \\[q]^", "", None, "B"]
+    rows = [(c, i % 3, D[i % 7], float(i) if i % 5 else None, str(i)) for i in range(70) for c in codes]
+    df = spark.createDataFrame(rows, "code string, n int, trade_date date, close double, note string")
+    df.repartition(key).write.partitionBy(key).parquet(str(tmp_path / "want"))
+    target = tmp_path / "got"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # a symbol lies in several batches
+    try:
+        sinks.write_by_symbol(df, str(target), key=key)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    folders = lambda at: sorted(p.name for p in at.iterdir() if p.is_dir())
+    assert folders(target) == folders(tmp_path / "want") and (target / "_SUCCESS").exists()
+    assert all([f.name for f in d.iterdir()] == ["part-0.parquet"] for d in target.iterdir() if d.is_dir())
+    got, want = (spark.read.parquet(str(tmp_path / n)) for n in ("got", "want"))
+    assert got.schema == want.schema
+    assert got.count() == len(rows) and got.exceptAll(want).count() == 0
+    one = spark.read.parquet(str(target / folders(target)[0])).toPandas()
+    assert one["trade_date"].is_monotonic_increasing
+
+
+def test_symbol_folders_come_whole_or_not_at_all(spark, tmp_path):
+    df = spark.createDataFrame([("a", D[0], 1), ("b", D[1], 2)], "ts_code string, trade_date date, v int")
+    target = str(tmp_path / "t")
+    sinks.write_by_symbol(df, target)
+    with pytest.raises(AnalysisException):
+        sinks.write_by_symbol(df, target)
+    bad = df.withColumn("v", F.when(F.col("v") == 2, F.raise_error(F.lit("no"))).otherwise(F.col("v")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_by_symbol(bad, target, overwrite=True)
+    assert spark.read.parquet(target).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    # a table may take the place of the one that it is read from
+    sinks.write_by_symbol(spark.read.parquet(target).where("v = 2"), target, overwrite=True)
+    assert [r["ts_code"] for r in spark.read.parquet(target).collect()] == ["b"]
