@@ -15,18 +15,25 @@ from barloom.operators.splits import date_boundary_split
 from barloom.plans import training as tr
 from barloom.plans.datasets import build_dataset, scan_features
 from barloom.plans.mining import user_miner
-from barloom.session import ensure_checkpoint_dir
+from barloom.session import ensure_checkpoint_dir, stored
 from barloom.sources.bars import load_bars
 
 SMALL = {"maxIter": 5}
 ASOF = "2001-06-30"
+TRAIN_END, VALID_END = "1999-12-31", "2000-12-31"
 
 
 def dataset(spark, sf):
     d = build_dataset(samples(spark, sf).drop("close"), load_bars(spark, sf), 150)
     ensure_checkpoint_dir(spark)
     # training reads the table many times
-    return d.withColumn("split", date_boundary_split("asof_date", "1999-12-31", "2000-12-31")).checkpoint()
+    return d.withColumn("split", date_boundary_split("asof_date", TRAIN_END, VALID_END)).checkpoint()
+
+
+def training_rows(spark, sf):
+    """Label and features of the training split.  Windows look back only, so no bar after its last date is needed."""
+    bars = load_bars(spark, sf, TRAIN_END)
+    return stored(build_dataset(samples(spark, sf, bars).drop("close"), bars, 150).select("label", *WINDOW_FEATURES))
 
 
 @query(
@@ -63,7 +70,7 @@ def _many(spark, sf):
 
 
 def pair(spark, sf):
-    d = dataset(spark, sf).where("split = 'train'")
+    d = training_rows(spark, sf)
     return tr.fit(d, WINDOW_FEATURES, "lightgbm", scale=False, **SMALL), tr.fit(d, WINDOW_FEATURES, "xgboost", scale=False, **SMALL)
 
 
@@ -71,8 +78,7 @@ def pair(spark, sf):
 def _scan(spark, sf):
     from barloom.catalog.reviews import NH
 
-    d = dataset(spark, sf).where("split = 'train'")
-    m = tr.fit(d, WINDOW_FEATURES, "logistic_regression", maxIter=20)
+    m = tr.fit(training_rows(spark, sf), WINDOW_FEATURES, "logistic_regression", maxIter=20)
     return tr.scan(load_bars(spark, sf), m, ASOF, 150, 150, gate=NH).select("sample_id", "ts_code", "new_high_review_reason", "new_high_score_factor", "model_score", "score")
 
 

@@ -7,6 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.catalog import modeling
 from barloom.catalog.labeling import positive_candidates
 from barloom.catalog.patterns import BASE_CFG, LONG_CFG
 from barloom.functions import rolling, windows as ts
@@ -15,7 +16,7 @@ from barloom.functions.ordering import exact_quantiles, take_first, with_global_
 from barloom.operators import bases, labels as lb, metrics as mt, miners as mn, pullback as pb, schema as sc, selection as sel, splits as sp
 from barloom.operators.asof import asof_join
 from barloom.operators.calendar import require_dates
-from barloom.operators.features import daily_vector
+from barloom.operators.features import WINDOW_FEATURES, daily_vector
 from barloom.operators.history import history_window, history_windows, sequence_matrix
 from barloom.operators.review import CHIP_COLUMNS, apply_adjustments, ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
 from barloom.operators.upsert import upsert
@@ -608,3 +609,22 @@ def test_label_pools_take_no_sliding_frame_in_spark(spark, sf):
             mine.append(r["asof_date"])
             want.add((r["ts_code"], r["asof_date"]))
     assert got == want and len(want) > 20
+
+
+def test_models_of_the_training_split_get_its_rows_alone(spark, sf):
+    """The rows of the training split, computed from its bars and stored without keys."""
+    got = modeling.training_rows(spark, sf)
+    want = modeling.dataset(spark, sf).where("split = 'train'").select("label", *WINDOW_FEATURES)
+    assert got.columns == ["label", *WINDOW_FEATURES]
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    cut = load_bars(spark, sf).where(F.col("trade_date") <= F.lit(modeling.TRAIN_END).cast("date"))
+    upto = load_bars(spark, sf, modeling.TRAIN_END)
+    assert upto.count() == cut.count() > 0 and upto.exceptAll(cut).count() == 0
+
+
+def test_the_pair_stores_no_row_of_another_split(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(training, "fit", lambda d, *a, **k: seen.append(d))
+    monkeypatch.setattr(modeling, "dataset", lambda *a: pytest.fail("the rows of all splits were computed"))
+    modeling.pair(spark, sf)
+    assert len(seen) == 2 and seen[0] is seen[1]
