@@ -240,6 +240,21 @@ class Lookup:
         place = np.searchsorted(self.key, self._key(self.row_entity, day.values), "right") - 1
         return np.where(day.known & (place >= self.first), place, -1)
 
+    def on(self, name: str) -> np.ndarray:
+        """Place of the entity's bar on a day of each row; -1 without one."""
+        place = self.at(name)
+        return np.where(place >= 0, np.where(self.day[place] == self.row_days[name].values, place, -1), -1) if len(self.day) else place
+
+    def present(self) -> np.ndarray:
+        """Whether the entity of each row has bars."""
+        return np.searchsorted(self.entity, self.row_entity, "right") > self.first
+
+    def each(self, compute: Callable[[dict[str, Series]], dict[str, Series]]) -> dict[str, Series]:
+        """What ``compute`` gets from the bars of one entity, for all of them."""
+        starts = np.flatnonzero(np.diff(self.entity, prepend=-1)) if len(self.entity) else [0]
+        parts = [compute({c: Series(s.values[a:b], s.known[a:b]) for c, s in self.bars.items()}) for a, b in zip(starts, [*starts[1:], len(self.entity)])]
+        return {n: Series(np.concatenate([p[n].values for p in parts]), np.concatenate([p[n].known for p in parts])) for n in parts[0]}
+
     def get(self, series: Series, place: np.ndarray, inside: np.ndarray | bool = True) -> Series:
         """Values at the given places; unknown where a place is not ``inside`` or negative."""
         inside = inside & (place >= 0)

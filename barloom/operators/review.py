@@ -1,13 +1,13 @@
 """Review metrics of candidates and the multiplicative score adjustments built on them.
 
-Bar metrics are columns of one window stage over bars and reach the candidates through one join on (code, date).
-Metrics that depend on a candidate's own anchor use the bars of that candidate's span.
+Bar metrics are columns of one window stage over bars.  The adjustments take all their metrics beside the bars of an entity
+(``metrics_np``): bars and candidates move once, however many stages are on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,43 @@ from barloom.functions.cols import (
 )
 from barloom.functions.rolling import Lookup, Series, beside_bars
 from barloom.functions.windows import BARS
+from barloom.operators import metrics_np as mx
 from barloom.operators.asof import asof_join
 from barloom.operators.history import block_bars, block_start, history_window, locate
 
 KEYS = ["sample_id", "ts_code", "asof_date"]
 
+
+@dataclass
+class Part:
+    """Metrics that candidates take beside their entity's bars: what they read, what they give, and how that becomes columns."""
+
+    inputs: list[str]
+    outputs: list[str]
+    compute: Callable[[Lookup], dict[str, Series]]
+    days: dict[str, Column] = field(default_factory=lambda: {"now": F.col("asof_date")})
+    own: dict[str, Column] = field(default_factory=dict)
+    finish: Callable[[DataFrame], DataFrame] = lambda df: df
+
+
+def beside(candidates: DataFrame, bars: DataFrame, parts: list[Part], distinct: bool = False) -> DataFrame:
+    """Candidates with the metrics of all parts, in one shuffle of bars and candidates; no join follows."""
+    rows, days, inputs, outputs, computes = candidates, {}, [], [], [p.compute for p in parts]
+    for p in parts:
+        rows, days, outputs = rows.withColumns(p.own) if p.own else rows, days | p.days, outputs + p.outputs
+        inputs += [c for c in dict.fromkeys(p.inputs) if c not in inputs]
+
+    def compute(x: Lookup) -> dict[str, Series]:
+        found = {}
+        for one in computes:
+            found.update(one(x))
+        return found
+
+    out = beside_bars(rows, bars, days, inputs, outputs, compute, distinct=distinct)
+    for p in parts:
+        out = p.finish(out)
+    return out
+
 # ------------------------------------------------------------------ bar metrics
 
 
@@ -180,11 +212,22 @@ def attach_trend(candidates: DataFrame, bars: DataFrame, t: Trend = Trend()) ->
     return out.withColumn("trend_midlong_pass", holds(F.col("trend_midlong_pass")))
 
 
-def ensure_trend(candidates: DataFrame, bars: DataFrame, t: Trend = Trend()) -> DataFrame:
-    """Attach the trend metrics once; candidates that came with those of their last bar are not joined again."""
+def trend_part(candidates: DataFrame, bars: DataFrame, t: Trend) -> Part:
+    """As ``attach_trend``; candidates that came with the metrics of their last bar keep them."""
     if set(TREND_COLUMNS) <= set(candidates.columns):
-        return candidates.withColumn("trend_midlong_pass", holds(F.col("trend_midlong_pass")))
-    return attach_trend(candidates, bars, t)
+        return Part([], [], lambda x: {}, {}, finish=lambda df: df.withColumn("trend_midlong_pass", holds(F.col("trend_midlong_pass"))))
+    raw, options = [f"__{c}" for c in TREND_COLUMNS], asdict(t)
+    held = [c for c in dict.fromkeys(f"ma_bfq_{n}" for n in (t.short_window, t.mid_window, t.long_window)) if c in bars.columns]
+
+    def finish(df: DataFrame) -> DataFrame:
+        found = dict(zip(TREND_COLUMNS, map(F.col, raw)))
+        found["trend_data_date"] = F.date_from_unix_date(F.col("__trend_data_date").cast("int"))
+        found["trend_midlong_pass"] = F.col("__trend_midlong_pass") == 1
+        df = df.withColumns({f"{n}_right" if n in candidates.columns else n: c for n, c in found.items()}).drop(*raw)
+        return df.withColumn("trend_midlong_pass", holds(F.col("trend_midlong_pass")))
+
+    compute = mx.up_to_the_day(lambda b: dict(zip(raw[1:], mx.trend(b, options))), raw[0])
+    return Part(["close", "high", "low", *held], raw, compute, finish=finish)
 
 
 # ------------------------------------------------------------------ overhang
@@ -210,19 +253,8 @@ def price_histogram(positions: DataFrame, bars: DataFrame, lookback: int = 150,
         """Histograms of the windows that end at the given places of one run of bars (NaN: no close)."""
         view = lambda x: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size - 1, np.nan), x]), size)[ends]
         c, v = view(close), view(vol)
-        known = ~np.isnan(c)
-        some = known.any(axis=1)
-        c, v, known, ends = c[some], v[some], known[some], ends[some]
-        lo, hi = np.where(known, c, np.inf).min(axis=1), np.where(known, c, -np.inf).max(axis=1)
-        pad = np.where(lo == hi, np.maximum(np.abs(lo) * 0.001, 0.01), 0.0)
-        lo, hi = lo - pad, hi + pad
-        k = np.floor((c - lo[:, None]) / (hi - lo)[:, None] * bins)
-        k = np.where(known, np.clip(k, 0, bins - 1), 0).astype(np.int64)
-        rows = np.arange(len(ends))
-        last = k[rows, size - 1 - np.argmax(known[:, ::-1], axis=1)]
-        at = (k + rows[:, None] * bins)[known]
-        volume = np.bincount(at, np.maximum(np.nan_to_num(v[known]), 0.0), len(ends) * bins)
-        return {"ends": ends, "last": last, "lo": lo, "hi": hi, "volume": volume.reshape(-1, bins), "filled": np.bincount(at, minlength=len(ends) * bins).reshape(-1, bins) > 0}
+        some = ~np.isnan(c).all(axis=1)
+        return {"ends": ends[some], **mx.histograms(c[some], v[some], bins)}
 
     def run(batches):
         for batch in batches:
@@ -251,14 +283,14 @@ def overhang_ratio(hist: DataFrame) -> DataFrame:
     return both.select("ts_code", "pos", share.alias("overhang_ratio"))
 
 
+def overhang_part(lookback: int = 150, bins: int = 50) -> Part:
+    size, count = int(lookback), int(bins)
+    return Part(["close", "vol"], ["overhang_ratio"], lambda x: {"overhang_ratio": mx.overhang(x, size, count)})
+
+
 def attach_overhang(candidates: DataFrame, bars: DataFrame, lookback: int = 150, bins: int = 50) -> DataFrame:
     """Overhang per candidate over its last bars; 0 with no history up to the date, NULL for an unknown symbol."""
-    days = locate(candidates.select("ts_code", "asof_date").distinct(), bars).select("ts_code", "asof_date", "pos")
-    ratios = days.join(overhang_ratio(price_histogram(days, bars, lookback, bins)), ["ts_code", "pos"]).drop("pos")
-    known = bars.select("ts_code").distinct().withColumn("__known", F.lit(True))
-    out = candidates.join(ratios, ["ts_code", "asof_date"], "left").join(known, "ts_code", "left")
-    out = out.withColumn("overhang_ratio", F.coalesce("overhang_ratio", F.when(F.col("__known"), F.lit(0.0)))).drop("__known")
-    return out.select(*candidates.columns, "overhang_ratio")
+    return beside(candidates, bars, [overhang_part(lookback, bins)])
 
 
 # ------------------------------------------------------------------ anchored metrics
@@ -287,8 +319,14 @@ def pullback_metrics(candidates: DataFrame, bars: DataFrame, p: PullbackSpan = P
     A candidate looks up its two bars in its entity's bars and takes the bars before, after and between them by their places.
     With ``attach`` every candidate is returned with its metrics, else one row per key and anchor that has any.
     """
-    anchor = anchor_of(candidates, p.anchor_date_col)
-    rows = candidates.withColumn("phase2_anchor_date", anchor) if attach else candidates.select(*KEYS, anchor.alias("phase2_anchor_date"))
+    if attach:
+        return beside(candidates, bars, [pullback_part(candidates, p, attach=True)])
+    rows = candidates.select(*KEYS, anchor_of(candidates, p.anchor_date_col).alias("phase2_anchor_date"))
+    return beside(rows, bars, [pullback_part(rows, p)], distinct=True)
+
+
+def pullback_part(candidates: DataFrame, p: PullbackSpan = PullbackSpan(), *, attach: bool = False) -> Part:
+    own = {"phase2_anchor_date": anchor_of(candidates, p.anchor_date_col)} if attach else {}
     days = {"now": F.col("asof_date"), "anchor": F.when(F.col("asof_date").isNotNull(), F.least("phase2_anchor_date", "asof_date"))}
     raw = [
         "phase2_days_since_anchor", "phase2_pre_avg_volume", "phase2_burst_avg_volume", "phase2_pullback_avg_volume", "phase2_recent_avg_volume",
@@ -322,27 +360,29 @@ def pullback_metrics(candidates: DataFrame, bars: DataFrame, p: PullbackSpan = P
         ]
         return dict(zip(raw, found))
 
-    g = beside_bars(rows, bars, days, ["high", "low", "close", "vol"], raw, spans, distinct=not attach)
-    g = (g if attach else g.where("phase2_days_since_anchor is not null")).withColumn("phase2_days_since_anchor", F.col("phase2_days_since_anchor").cast("int"))
-    if attach:
-        g = g.withColumn("phase2_anchor_date", F.when(F.col("phase2_days_since_anchor").isNotNull(), F.col("phase2_anchor_date")))
-    c = F.col
-    anchor_range = ratio(c("phase2_anchor_high") - c("phase2_anchor_low"), c("phase2_anchor_close"))
-    return g.withColumns(
-        {
-            "phase2_pullback_volume_vs_pre": ratio(c("phase2_pullback_avg_volume"), c("phase2_pre_avg_volume")),
-            "phase2_recent_volume_vs_pre": ratio(c("phase2_recent_avg_volume"), c("phase2_pre_avg_volume")),
-            "phase2_pullback_volume_vs_burst": ratio(c("phase2_pullback_avg_volume"), c("phase2_burst_avg_volume")),
-            "phase2_down_volume_pressure": ratio(c("__down"), c("__up")),
-            "phase2_pullback_depth_pct": F.lit(1.0) - ratio(c("phase2_current_close"), c("phase2_post_anchor_high")),
-            "phase2_close_to_anchor_close_pct": change(c("phase2_current_close"), c("phase2_anchor_close")),
-            "phase2_low_to_anchor_low_pct": change(c("phase2_pullback_low"), c("phase2_anchor_low")),
-            "phase2_chase_extension_pct": change(c("phase2_current_close"), c("phase2_anchor_high")),
-            "phase2_anchor_range_pct": anchor_range,
-            "phase2_range_contraction_ratio": ratio(c("phase2_pullback_avg_range_pct"), anchor_range),
-            "phase2_recent_range_pct": ratio(c("__rh") - c("__rl"), c("phase2_current_close")),
-        }
-    ).drop("__down", "__up", "__rh", "__rl")
+    def finish(g: DataFrame) -> DataFrame:
+        g = (g if attach else g.where("phase2_days_since_anchor is not null")).withColumn("phase2_days_since_anchor", F.col("phase2_days_since_anchor").cast("int"))
+        if attach:
+            g = g.withColumn("phase2_anchor_date", F.when(F.col("phase2_days_since_anchor").isNotNull(), F.col("phase2_anchor_date")))
+        c = F.col
+        anchor_range = ratio(c("phase2_anchor_high") - c("phase2_anchor_low"), c("phase2_anchor_close"))
+        return g.withColumns(
+            {
+                "phase2_pullback_volume_vs_pre": ratio(c("phase2_pullback_avg_volume"), c("phase2_pre_avg_volume")),
+                "phase2_recent_volume_vs_pre": ratio(c("phase2_recent_avg_volume"), c("phase2_pre_avg_volume")),
+                "phase2_pullback_volume_vs_burst": ratio(c("phase2_pullback_avg_volume"), c("phase2_burst_avg_volume")),
+                "phase2_down_volume_pressure": ratio(c("__down"), c("__up")),
+                "phase2_pullback_depth_pct": F.lit(1.0) - ratio(c("phase2_current_close"), c("phase2_post_anchor_high")),
+                "phase2_close_to_anchor_close_pct": change(c("phase2_current_close"), c("phase2_anchor_close")),
+                "phase2_low_to_anchor_low_pct": change(c("phase2_pullback_low"), c("phase2_anchor_low")),
+                "phase2_chase_extension_pct": change(c("phase2_current_close"), c("phase2_anchor_high")),
+                "phase2_anchor_range_pct": anchor_range,
+                "phase2_range_contraction_ratio": ratio(c("phase2_pullback_avg_range_pct"), anchor_range),
+                "phase2_recent_range_pct": ratio(c("__rh") - c("__rl"), c("phase2_current_close")),
+            }
+        ).drop("__down", "__up", "__rh", "__rl")
+
+    return Part(["high", "low", "close", "vol"], raw, spans, days, own, finish)
 
 
 def ensure_pullback_metrics(df: DataFrame, bars: DataFrame, p: PullbackSpan = PullbackSpan()) -> DataFrame:
@@ -363,8 +403,15 @@ def chip_structure(
     Running sums per entity give both means by difference, so a candidate looks up a few bars and not its whole span.
     With ``attach`` every candidate is returned with its fields, else one row per key and anchor.
     """
+    part = chip_part(candidates, pre_window, near_pct, anchor_date_col)
+    if attach:
+        return beside(candidates, bars, [part])
+    rows = candidates.select(*KEYS, part.own.pop("chip_anchor_date").alias("chip_anchor_date"))
+    return beside(rows, bars, [part], distinct=True)
+
+
+def chip_part(candidates: DataFrame, pre_window: int = 60, near_pct: float = 0.03, anchor_date_col: str = "anchor_date") -> Part:
     anchor = F.col(anchor_date_col).cast("date") if anchor_date_col in candidates.columns else F.lit(None).cast("date")
-    rows = candidates.withColumn("chip_anchor_date", anchor) if attach else candidates.select(*KEYS, anchor.alias("chip_anchor_date"))
     # days before the anchor end one day earlier
     days = {"now": F.col("asof_date"), "before": F.date_sub("chip_anchor_date", 1)}
     raw = [
@@ -408,14 +455,17 @@ def chip_structure(
         ]
         return dict(zip(raw, found))
 
-    now = beside_bars(rows, bars, days, ["close", *CHIP_COLUMNS], raw, fields, distinct=not attach)
-    return now.select(
-        *rows.columns,
-        F.date_from_unix_date(F.col("__day").cast("int")).alias("chip_data_date"),
-        *raw[1:-2],
-        (F.col("__near_cost") == 1).alias("chip_near_price_has_cost_50"),
-        (F.col("__near_weight") == 1).alias("chip_near_price_has_weight_avg"),
-    )
+    def finish(now: DataFrame) -> DataFrame:
+        kept = [c for c in now.columns if c not in raw]
+        return now.select(
+            *kept,
+            F.date_from_unix_date(F.col("__day").cast("int")).alias("chip_data_date"),
+            *raw[1:-2],
+            (F.col("__near_cost") == 1).alias("chip_near_price_has_cost_50"),
+            (F.col("__near_weight") == 1).alias("chip_near_price_has_weight_avg"),
+        )
+
+    return Part(["close", *CHIP_COLUMNS], raw, fields, days, {"chip_anchor_date": anchor}, finish)
 
 
 # ------------------------------------------------------------------ near-high gate
@@ -656,59 +706,70 @@ def trend_of(s: Stage) -> Trend:
 def apply_adjustments(candidates: DataFrame, bars: DataFrame, config: dict) -> DataFrame:
     """Apply the enabled stages in their fixed order.
 
-    All exact-bar metrics come from one window stage and one join; trend, overhang and anchored metrics add one join
-    each, and only when their stage is on.
+    The metrics of all stages come from one pass beside the bars, in one shuffle; metrics that candidates bring along are
+    not looked up again.
     """
     stages = {s.name: s for s in enabled_stages(config)}
-    df, exact, b = candidates, [], bars
-    if "runup" in stages:
-        name = _runup_name(stages["runup"])
-        b = b.withColumn(name, runup_metric(stages["runup"].get("window", 150)))
-        exact.append(name)
-    if "burst_strength" in stages:
-        s = stages["burst_strength"]
-        b = b.withColumns(burst_metrics(s.get("volume_window", 20), s.get("recent_high_window", 30)))
-        exact += BURST_COLUMNS
-    if "box_breakout" in stages:
-        s = stages["box_breakout"]
-        b = b.withColumns(box_metrics(s.get("window", 60), s.get("high_col", "high"), s.get("close_col", "close")))
-        exact += ["box_high", "box_breakout_pct"]
-    if "base_stability" in stages:
-        s = stages["base_stability"]
-        w, slow = s.get("window", 60), s.get("slow_ma_col", "ma_bfq_60")
-        b = with_base_stability(
-            b, w, s.get("fast_ma_col", "ma_bfq_20"), slow, s.get("trend_ma_col", slow), s.get("ma_trend.prior_lag", w * 2),
-            s.get("ma_trend.recent_weight", 0.7), s.get("ma_trend.prior_weight", 0.3),
-        )
-        exact += ["base_ma_gap_l2", "base_ma60_recent_slope_pct", "base_ma60_prior_slope_pct", "base_ma60_trend_abs"]
-    if "volume" in stages:
-        s = stages["volume"]
-        rc, sc = _volume_names(s)
-        spike = s.get("streak.spike_ratio", s.get("strength.threshold", 1.8))
-        b = with_volume_metrics(b, s.get("ma_window", 20), s.get("short_window", 3), spike)
-        b = b.withColumnsRenamed({"volume_ratio": rc, "volume_spike_streak": sc})
-        exact += [rc, sc]
-    if exact:
-        df = attach_metrics(df, b, exact)
-    for name in ORDER:
-        s = stages.get(name)
-        if s is None:
-            continue
-        if name == "overhang":
-            df = attach_overhang(df, bars, s.get("lookback", 150), s.get("n_bins", 50))
-        elif name == "chip_structure":
-            col = s.get("anchor_date_col", "anchor_date")
-            df = chip_structure(df, bars, s.get("pre_window", 60), s.get("near_pct", 0.03), col, attach=True)
-        elif name == "midlong_trend":
-            df = ensure_trend(df, bars, trend_of(s))
-        elif name.startswith("phase2_"):
-            d = PullbackSpan()
-            df = ensure_pullback_metrics(df, bars, PullbackSpan(**{f: s.get(f, getattr(d, f)) for f in d.__dataclass_fields__}))
+    parts = []
+    for name, part in (("runup", _runup_part), ("burst_strength", _burst_part), ("box_breakout", _box_part), ("base_stability", _stability_part), ("volume", _volume_part)):
+        if name in stages:
+            parts.append(part(stages[name]))
+    if "overhang" in stages:
+        parts.append(overhang_part(stages["overhang"].get("lookback", 150), stages["overhang"].get("n_bins", 50)))
+    if "chip_structure" in stages:
+        s = stages["chip_structure"]
+        parts.append(chip_part(candidates, s.get("pre_window", 60), s.get("near_pct", 0.03), s.get("anchor_date_col", "anchor_date")))
+    if "midlong_trend" in stages:
+        parts.append(trend_part(candidates, bars, trend_of(stages["midlong_trend"])))
+    pullback = [s for n, s in stages.items() if n.startswith("phase2_")]
+    if pullback and "phase2_pullback_volume_vs_pre" not in candidates.columns:
+        d = PullbackSpan()
+        span = PullbackSpan(**{f: pullback[0].get(f, getattr(d, f)) for f in d.__dataclass_fields__})
+        parts.append(pullback_part(candidates, span, attach=True))
+    if any(p.outputs for p in parts):
+        df = beside(candidates, bars, parts)
+    else:
+        df = candidates
+        for p in parts:
+            df = p.finish(df)
+    for name, s in stages.items():
         if name in RESCORE:
             df = RESCORE[name](df, s)
     return df
 
 
+def _runup_part(s: Stage) -> Part:
+    name, window = _runup_name(s), s.get("window", 150)
+    return Part(["close"], [name], mx.on_the_day(lambda b: {name: mx.runup(b, window)}))
+
+
+def _burst_part(s: Stage) -> Part:
+    names, spans = BURST_COLUMNS, (s.get("volume_window", 20), s.get("recent_high_window", 30))
+    return Part(["high", "low", "close", "vol", "amount"], names, mx.on_the_day(lambda b: dict(zip(names, mx.burst(b, *spans)))))
+
+
+def _box_part(s: Stage) -> Part:
+    window, high, close = s.get("window", 60), s.get("high_col", "high"), s.get("close_col", "close")
+    names = ["box_high", "box_breakout_pct"]
+    return Part([high, close], names, mx.on_the_day(lambda b: dict(zip(names, mx.box(b[high], b[close], window)))))
+
+
+def _stability_part(s: Stage) -> Part:
+    w, fast, slow = s.get("window", 60), s.get("fast_ma_col", "ma_bfq_20"), s.get("slow_ma_col", "ma_bfq_60")
+    trend, lag = s.get("trend_ma_col", slow), s.get("ma_trend.prior_lag", w * 2)
+    weights = s.get("ma_trend.recent_weight", 0.7), s.get("ma_trend.prior_weight", 0.3)
+    names = ["base_ma_gap_l2", "base_ma60_recent_slope_pct", "base_ma60_prior_slope_pct", "base_ma60_trend_abs"]
+    compute = mx.on_the_day(lambda b: dict(zip(names, mx.base_stability(b[fast], b[slow], b[trend], w, lag, *weights))))
+    return Part([fast, slow, trend], names, compute)
+
+
+def _volume_part(s: Stage) -> Part:
+    names, spans = list(_volume_names(s)), (s.get("ma_window", 20), s.get("short_window", 3))
+    spike = s.get("streak.spike_ratio", s.get("strength.threshold", 1.8))
+    compute = mx.on_the_day(lambda b: dict(zip(names, mx.volume(b, *spans, spike))))
+    return Part(["vol"], names, compute, finish=lambda df: df.withColumn(names[1], F.col(names[1]).cast("bigint")))
+
+
 PRESETS: dict[str, dict] = {
     "ma120_trend_soft": {
         "midlong_trend": {

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from barloom.catalog import modeling
 from barloom.catalog.labeling import positive_candidates
 from barloom.catalog.patterns import BASE_CFG, LONG_CFG
+from barloom.catalog.reviews import STAGES
 from barloom.functions import rolling, windows as ts
 from barloom.functions.cols import toward_neutral
 from barloom.functions.ordering import exact_quantiles, take_first, with_global_rank, with_running_totals
-from barloom.operators import bases, labels as lb, metrics as mt, miners as mn, pullback as pb, schema as sc, selection as sel, splits as sp
+from barloom.operators import bases, labels as lb, metrics as mt, miners as mn, pullback as pb, review as rv, schema as sc, selection as sel, splits as sp
 from barloom.operators.asof import asof_join
 from barloom.operators.calendar import require_dates
 from barloom.operators.features import WINDOW_FEATURES, daily_vector
-from barloom.operators.history import history_window, history_windows, sequence_matrix
+from barloom.operators.history import history_window, history_windows, locate, sequence_matrix
 from barloom.operators.review import CHIP_COLUMNS, apply_adjustments, ensure_pullback_metrics, overhang_ratio, price_histogram, reviewer_config
 from barloom.operators.upsert import upsert
 from barloom.plans import mining, training
@@ -628,3 +629,35 @@ def test_the_pair_stores_no_row_of_another_split(spark, sf, monkeypatch):
     monkeypatch.setattr(modeling, "dataset", lambda *a: pytest.fail("the rows of all splits were computed"))
     modeling.pair(spark, sf)
     assert len(seen) == 2 and seen[0] is seen[1]
+
+
+def test_adjustments_move_bars_and_candidates_once(spark, sf):
+    """All stages take their metrics in one shuffle without a join, with the values of the window expressions and of the histogram."""
+    w = ts.BARS
+    b = gappy(spark, sf).unionByName(load_bars(spark, sf).where("ts_code between 'S000005' and 'S000006'"))
+    b = b.withColumns({"ma_bfq_20": w.mean("close", 20), "ma_bfq_60": F.when(F.dayofmonth("trade_date") % 9 != 0, w.mean("close", 60))}).localCheckpoint()
+    each = b.select("ts_code", "trade_date").unionByName(spark.sql("select 'S000001' as ts_code, date'1980-01-01' as trade_date union all select 'S000002', null union all select 'none', date'1997-01-01'"))
+    moved = F.when(F.dayofmonth("trade_date") % 7 == 0, F.date_add("trade_date", 1)).otherwise(F.col("trade_date"))
+    cand = each.select(F.monotonically_increasing_id().cast("string").alias("sample_id"), "ts_code", moved.alias("asof_date"), F.date_sub("trade_date", 10).alias("best_phase1_date"), F.lit(1.0).alias("baseline_score")).localCheckpoint()
+    out = apply_adjustments(cand, b, STAGES | {"runup": {"enabled": True, "window": 30}, "base_stability": {"enabled": True, "window": 5}})
+    plan = plan_of(out)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    exact = rv.with_volume_metrics(rv.with_base_stability(b.withColumns({"runup_30": rv.runup_metric(30), **rv.burst_metrics(), **rv.box_metrics()}), 5))
+    exact = exact.withColumnRenamed("volume_ratio", "volume_ratio_3d_20")
+    names = [c for c in exact.columns if c not in b.columns]
+    trend = rv.attach_trend(cand, b, rv.Trend())
+    over = locate(cand, b).join(overhang_ratio(price_histogram(locate(cand, b), b)), ["ts_code", "pos"], "left")
+    over = over.withColumn("overhang_ratio", F.when(F.col("ts_code") != "none", F.coalesce("overhang_ratio", F.lit(0.0))))
+    for want, columns in ((rv.attach_metrics(cand, exact, names), names), (trend, rv.TREND_COLUMNS), (over, ["overhang_ratio"])):
+        want, got = (df.select("sample_id", *columns) for df in (want, out))
+        assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    full = out.agg(*[F.count(c).alias(c) for c in [*names, *rv.TREND_COLUMNS, "overhang_ratio", "phase2_pullback_depth_pct"]]).first()
+    assert min(full) > 100
+
+
+def test_a_brought_trend_needs_no_bars(spark, sf):
+    b = gappy(spark, sf)
+    cand = rv.attach_trend(b.select(F.concat("ts_code", F.col("trade_date").cast("string")).alias("sample_id"), "ts_code", F.col("trade_date").alias("asof_date"), F.lit(2.0).alias("score")), b).localCheckpoint()
+    out = apply_adjustments(cand, b, {"midlong_trend": {"enabled": True, "score_col": "score", "output_score_col": "adjusted"}})
+    assert "Exchange" not in plan_of(out) and out.where("adjusted is not null").count() == cand.count()
