@@ -661,3 +661,14 @@ def test_a_brought_trend_needs_no_bars(spark, sf):
     cand = rv.attach_trend(b.select(F.concat("ts_code", F.col("trade_date").cast("string")).alias("sample_id"), "ts_code", F.col("trade_date").alias("asof_date"), F.lit(2.0).alias("score")), b).localCheckpoint()
     out = apply_adjustments(cand, b, {"midlong_trend": {"enabled": True, "score_col": "score", "output_score_col": "adjusted"}})
     assert "Exchange" not in plan_of(out) and out.where("adjusted is not null").count() == cand.count()
+
+
+def test_overhang_comes_beside_the_bars(spark):
+    """A candidate's share of volume above its price, in one shuffle: 0 before the first bar, NULL without bars."""
+    rows = [("A", day(i), c, v) for i, (c, v) in enumerate([(10.0, 5.0), (20.0, 7.0), (None, 9.0), (14.0, 2.0)])]
+    bars = spark.createDataFrame(rows, "ts_code string, trade_date date, close double, vol double")
+    found = [("a", "A", day(1)), ("b", "A", day(2)), ("c", "A", day(9)), ("d", "A", day(-1)), ("e", "B", day(1)), ("f", "A", None)]
+    out = rv.attach_overhang(spark.createDataFrame(found, "sample_id string, ts_code string, asof_date date"), bars, 3, 4)
+    plan = plan_of(out)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {r["sample_id"]: r["overhang_ratio"] for r in out.collect()} == {"a": 0.0, "b": 0.0, "c": 7.0 / 9.0, "d": 0.0, "e": None, "f": 0.0}
